@@ -1,6 +1,6 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from . import bpe, decontam, langid, linededup, minhash, sharding, token_files, topk
+from . import bpe, decontam, langid, linededup, minhash, pii, sharding, token_files, topk
 
-QUERIES = {f.__name__: f for f in (sharding.op1_sharding, token_files.op2_token_files, bpe.op3_bpe, decontam.op4_decontam, minhash.op6_minhash, langid.op8_langid, topk.op9_topk, linededup.op10_linededup)}
+QUERIES = {f.__name__: f for f in (sharding.op1_sharding, token_files.op2_token_files, bpe.op3_bpe, decontam.op4_decontam, minhash.op6_minhash, pii.op7_pii, langid.op8_langid, topk.op9_topk, linededup.op10_linededup)}
 ORACLE_SQL = {"op9_topk": topk.SQL, "op10_linededup": linededup.SQL}
