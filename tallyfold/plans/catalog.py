@@ -1,5 +1,6 @@
 """All queries over the driver's tables, by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "benchmark_net_performance"
+from . import feature_queries, market  # noqa: F401  (registers)
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "daily_bars"
