@@ -1,7 +1,7 @@
 """Token ids in flat binary files: encode with the tokenizers library, write, memory-map, read back.
 
-A part holds a range of ascending ids: part-00007.bin has unsigned 32-bit little-endian ids and nothing
-else; part-00007.idx has n, then n + 1 offsets of documents within the part, n document ids (all 64-bit)
+A part holds a range of ascending ids: part-00007.bin has unsigned little-endian ids and nothing else, of
+16 bits each if all ids of the tokenizer fit, else of 32; part-00007.idx has n, then n + 1 offsets of documents within the part, n document ids (all 64-bit)
 and n validity bytes (0: the id is null). Where a part begins among all ids is the prefix sum of the parts
 before it, kept in parts.json. Parts are written under a task's own name and then renamed, so a task that
 runs twice, after a lost executor, leaves the same files.
@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +25,11 @@ from .common import ensure_columns, prepare, scratch_path, text_bytes
 
 END = 2
 PART_BYTES = 16 << 20
-#: Entries of each of a worker's two caches; a full cache is emptied.
-CACHE = 150_000
+#: Pieces that a worker remembers; a full memory is emptied.
+CACHE = 1_000_000
+
+
+_odd = re.compile(r" (?:\s|$)").search
 
 
 def tokenizer_path() -> str:
@@ -35,52 +38,61 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def id_type(n: int) -> str:
+    """The numpy type of ids below n."""
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
 class Encoder:
     """Whole texts to little-endian ids, by the tokenizers library.
 
-    Byte-level BPE takes a space as the start of the pre-token that follows, so a text may be cut before
-    each single space, and the pieces encoded and remembered one by one. A text with other white space
-    next to a space is encoded as it is.
+    Byte-level BPE takes a space as the start of the pre-token that follows, so a text may be cut before each
+    space that is followed by anything but white space. The ids of the pieces are remembered. Pieces not
+    seen before are encoded together, as one text; the tokens' lengths in bytes tell where each one ends.
+    A text with other white space after a space is encoded as it is.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.find = regex.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
+        n = self.tok.get_vocab_size()
+        self.kind = id_type(n)
+        self.width = np.dtype(self.kind).itemsize
+        # in this alphabet a character stands for a byte
+        self.bytes_of = np.array([len(self.tok.id_to_token(i) or "") for i in range(n)])
         self.pieces: dict[str, bytes] = {}
-
-    def _learn(self, texts: set[str]) -> None:
-        new = list(texts)
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            self.words[w] = np.asarray(e.ids, "<u4").tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    @staticmethod
-    def _split(text: str) -> list[str] | None:
-        first, *rest = text.split(" ")
-        if any(not x or x[0].isspace() for x in rest):
-            return None
-        return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+        self.marks = {c: self._ids(c).tobytes() for c in ".,;:!?"}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _learn(self, new: set[str]) -> None:
+        # letters and a mark are the pre-token of the letters and that of the mark
+        marked = [x for x in new if x[-1] in self.marks and x[:-1].isalpha()]
+        plain = list(new.difference(marked).union(x[:-1] for x in marked).difference(self.pieces))
+        ids = self._ids(" " + " ".join(plain)) if plain else np.zeros(0, self.kind)
+        ends = np.cumsum(np.fromiter((len(x.encode()) + 1 for x in plain), np.int64, len(plain)))
+        at = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.width
+        raw, a = ids.tobytes(), 0
+        for x, z in zip(plain, at.tolist()):
+            self.pieces[x] = raw[a:z]
+            a = z
+        for x in marked:
+            self.pieces[x] = self.pieces[x[:-1]] + self.marks[x[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) if t else [] for t in texts]
+        split = [None if _odd(t) else t.split(" ") for t in texts]
         if len(self.pieces) > CACHE:
             self.pieces.clear()
-        if len(self.words) > CACHE:
-            self.words.clear()
-        new = {p for s in split if s for p in s}.difference(self.pieces)
-        parts = {p: self.find(p) for p in new}
-        self._learn({w for s in parts.values() for w in s}.difference(self.words))
-        word = self.words.__getitem__
-        self.pieces.update((p, b"".join(map(word, s))) for p, s in parts.items())
+        new = set().union(*(s[1:] for s in split if s)).difference(self.pieces)
+        if new:
+            self._learn(new)
         piece = self.pieces.__getitem__
-        return [self._whole(t) if s is None else b"".join(map(piece, s)) for t, s in zip(texts, split)]
+        firsts = iter(self.tok.encode_batch_fast([s[0] for s in split if s], add_special_tokens=False))
+        return [self._ids(t).tobytes() if s is None else np.asarray(next(firsts).ids, self.kind).tobytes() + b"".join(map(piece, s[1:])) for t, s in zip(texts, split)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -88,9 +100,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
-        import public_tokenizers
-
-        _encoders[path] = Encoder(path, public_tokenizers.PATTERN)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -116,7 +126,8 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
     total, rows = text_bytes(spark, docs)
     fs, root = _fs(out)
     fs.create_dir(root, recursive=True)
-    tail = np.array([end], "<u4").tobytes()
+    kind = encoder(tokenizer).kind
+    tail, width = np.array([end], kind).tobytes(), np.dtype(kind).itemsize
 
     def write(batches):
         from pyspark import TaskContext
@@ -132,7 +143,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
             for a in range(0, len(texts), 128):
                 for x in enc.encode(texts[a : a + 128]):
                     body.write(x + tail)
-                    lengths.append(len(x) // 4 + 1)
+                    lengths.append(len(x) // width + 1)
         body.close()
         if not ids:
             fs.delete_file(f"{root}/{name}.bin.{mark}")
@@ -148,13 +159,13 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
     listed = sorted(ranged.mapInArrow(write, "part string, docs bigint, ids bigint").collect())  # one row a part
     base, found = 0, []
     for part, n, ids in listed:
-        found.append({"part": part, "docs": n, "ids": ids, "base": base})
+        found.append({"part": part, "docs": n, "ids": ids, "base": base, "type": kind})
         base += ids
     _put(fs, f"{root}/parts.json", [json.dumps(found).encode()], "new")
     return found
 
 
-def open_part(out: str, part: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def open_part(out: str, part: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Offsets, document ids, validity and token ids of a part; the last memory-mapped where the store is a mounted one."""
     fs, root = _fs(out)
     with fs.open_input_file(f"{root}/{part}.idx") as f:
@@ -163,10 +174,10 @@ def open_part(out: str, part: str) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     offsets, ids = np.frombuffer(raw, "<i8", n + 1, 8), np.frombuffer(raw, "<i8", n, 8 * (n + 2))
     valid = np.frombuffer(raw, "u1", n, 8 * (2 * n + 2))
     if isinstance(fs, pafs.LocalFileSystem):
-        tokens = np.memmap(f"{root}/{part}.bin", "<u4", "r") if offsets[-1] else np.empty(0, "<u4")
+        tokens = np.memmap(f"{root}/{part}.bin", kind, "r") if offsets[-1] else np.empty(0, kind)
     else:
         with fs.open_input_file(f"{root}/{part}.bin") as f:
-            tokens = np.frombuffer(f.read(), "<u4")
+            tokens = np.frombuffer(f.read(), kind)
     return offsets, ids, valid, tokens
 
 
@@ -181,15 +192,15 @@ def read_token_files(spark, out: str) -> DataFrame:
 
     def read(batches):
         for b in batches:
-            for part, base in zip(b.column("part").to_pylist(), b.column("base").to_pylist()):
-                offsets, ids, valid, tokens = open_part(out, part)
+            for part, base, kind in zip(*(b.column(c).to_pylist() for c in ("part", "base", "type"))):
+                offsets, ids, valid, tokens = open_part(out, part, kind)
                 for a in range(0, len(ids), 4096):
                     z = min(a + 4096, len(ids))
-                    crc = [zlib.crc32(tokens[offsets[i] : offsets[i + 1]].tobytes()) for i in range(a, z)]
+                    crc = [zlib.crc32(tokens[offsets[i] : offsets[i + 1]].astype("<u4").tobytes()) for i in range(a, z)]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a:z], pa.int64(), mask=valid[a:z] == 0), pa.array(base + offsets[a:z], pa.int64()), pa.array(offsets[a + 1 : z + 1] - offsets[a:z], pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    table = spark.createDataFrame([(p["part"], p["base"], i) for i, p in enumerate(parts)], "part string, base bigint, i int")
-    return table.repartitionByRange(min(len(parts), 10_000), "i").select("part", "base").mapInArrow(read, schema)
+    table = spark.createDataFrame([(p["part"], p["base"], p["type"], i) for i, p in enumerate(parts)], "part string, base bigint, type string, i int")
+    return table.repartitionByRange(min(len(parts), 10_000), "i").select("part", "base", "type").mapInArrow(read, schema)
 
 
 def op2_token_files(spark, sf_dir: str) -> DataFrame:
