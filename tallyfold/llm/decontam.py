@@ -3,8 +3,9 @@
 The test items are the indexed documents and every passage of the training texts is a query. An item's
 scores are divided by the least score of a passage that could pass verification, so that one threshold,
 1, holds for all items and loses none. Passages are windows of twice the length of the longest item of
-their index, at steps of that length, so each occurrence of an item lies in one whole. A passage whose
-summed upper bounds stay below 1 has no pivot and is left at once; others are searched block by block.
+their index, at steps of that length, so each occurrence of an item lies in one whole. Blocks are runs of
+BLOCK items, with a term's best score in each. A passage whose summed best scores stay below 1, over all
+items or in a block, has no pivot there and is left at once; WAND searches the blocks that remain.
 Retrieved items are verified: of the item's five-word shingles at least 0.8 must be in the passage, and
 of its question's and of its answer's words at least PART each.
 """
@@ -15,6 +16,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +27,11 @@ from .words import SHINGLE, words
 
 SIMILARITY, PART = 0.8, 0.5
 K1, B = 1.2, 0.75
-#: Postings of a block that share an upper bound.
-BLOCK = 32
-#: Text bytes of the items of one index, which is broadcast; more items make more indexes.
+#: Items of a block.
+BLOCK = 8
+#: Text bytes of the items that are broadcast at once; more items make more passes.
 INDEX_BYTES = 8 << 20
-MATCH = "item_id bigint, score double, overlap double, question_overlap double, answer_overlap double"
+MATCHES = "array<struct<item_id: bigint, score: double, overlap: double, question_overlap: double, answer_overlap: double>>"
 _answer = re.compile(r"(?im)^\s*(?:answer|a)\s*:")
 _sentence = re.compile(r"(?<=[.!?])\s+")
 
@@ -59,10 +61,10 @@ class Item:
 
 
 class Index:
-    """items: (id, text), each of at least five words."""
+    """items: (id, text), each of at least five words. terms: numbers of words from 1 on, shared by the indexes of a pass."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
-        self.similarity, self.items, token_lists = similarity, [], []
+    def __init__(self, items: list[tuple[int, str]], terms: dict[str, int] | None = None, similarity: float = SIMILARITY):
+        self.similarity, self.items, self.terms, token_lists = similarity, [], {} if terms is None else terms, []
         for i, text in items:
             w, (q, a) = words(text), split_item(text)
             self.items.append(Item(i, shingles(w), set(words(q)), set(words(a))))
@@ -70,7 +72,7 @@ class Index:
         self.length = max(map(len, token_lists))
         df = Counter(t for w in token_lists for t in set(w))
         n, mean = len(items), sum(map(len, token_lists)) / len(items)
-        postings: dict[str, list[tuple[int, float]]] = {}
+        self.postings: dict[int, list[tuple[int, float]]] = {}
         for i, w in enumerate(token_lists):
             norm = K1 * (1 - B + B * len(w) / mean)
             gains = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in Counter(w).items()}
@@ -78,109 +80,119 @@ class Index:
             lost = math.floor((1 - similarity) * len(self.items[i].shingles) + 1e-9)
             least = sum(sorted(gains.values())[: max(len(gains) - lost, 1)])
             for t, g in gains.items():
-                postings.setdefault(t, []).append((i, g / least * (1 + 1e-9)))
-        self.terms = {t: k + 1 for k, t in enumerate(postings)}
-        self.docs = [[]] + [[i for i, _ in p] for p in postings.values()]
-        self.gains = [[]] + [[g for _, g in p] for p in postings.values()]
-        self.blocks = [[]] + [[max(g[a : a + BLOCK]) for a in range(0, len(g), BLOCK)] for g in self.gains[1:]]
-        self.best = np.array([0.0] + [max(g) for g in self.gains[1:]])
-
-    def passages(self, ids: np.ndarray):
-        """First words of the passages whose summed upper bounds reach the threshold."""
-        step = self.length
-        at = np.flatnonzero(ids)
-        if not len(at):
-            return
-        t = ids[at]
-        order = np.argsort(t, kind="stable")
-        before = np.full(len(at), -1)
-        same = t[order[1:]] == t[order[:-1]]
-        before[order[1:][same]] = at[order[:-1][same]]
-        cell, bound = at // step, self.best[t]
-        n = len(ids) // step + 1
-        # a word counts at its first place in a window of two cells
-        total = np.bincount(cell, bound * (before < cell * step), n)
-        total[: n - 1] += np.bincount(cell, bound * (before < (cell - 1) * step), n)[1:]
-        yield from (int(c) * step for c in np.flatnonzero(total >= 1))
-
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """All items that score at least 1, by block-max WAND."""
-        docs, gains, blocks, best, end = self.docs, self.gains, self.blocks, self.best, len(self.items)
-        cursors, out = [[docs[t][0], 0, t] for t in terms], []
-
-        def move(c: list, to: int) -> None:
-            d, i = docs[c[2]], c[1]
-            while i < len(d) and d[i] < to:
-                last = min((i // BLOCK + 1) * BLOCK, len(d)) - 1
-                i = last + 1 if d[last] < to else i + 1
-            c[1], c[0] = i, d[i] if i < len(d) else end
-
+                self.postings.setdefault(self.terms.setdefault(t, len(self.terms) + 1), []).append((i, g / least * (1 + 1e-9)))
+
+    def close(self) -> None:
+        """Block bounds, once all indexes of the pass have numbered their words."""
+        self.bounds = np.zeros((len(self.terms) + 1, -(-len(self.items) // BLOCK)), np.float32)
+        for t, p in self.postings.items():
+            for i, g in p:
+                self.bounds[t, i // BLOCK] = max(self.bounds[t, i // BLOCK], np.float32(g * (1 + 1e-6)))
+        self.best = self.bounds.max(1).astype(np.float64)
+
+    def wand(self, terms: list[int], lo: int, hi: int) -> list[tuple[int, float]]:
+        """The items in [lo, hi) that score at least 1: cursors in order of their items; the first at which the bounds sum to 1 is the pivot."""
+        out, block, cursors = [], lo // BLOCK, []
+        for t in terms:
+            p = [x for x in self.postings.get(t, ()) if lo <= x[0] < hi]
+            if p:
+                cursors.append([p[0][0], 0, float(self.bounds[t, block]), p])
         while True:
-            cursors.sort()
-            bound, pivot = 0.0, None
-            for k, c in enumerate(cursors):
-                if c[0] == end:
-                    break
-                bound += best[c[2]]
+            cursors.sort(key=lambda c: c[0])
+            bound, pivot = 0.0, hi
+            for c in cursors:
+                bound += c[2]
                 if bound >= 1:
                     pivot = c[0]
                     break
-            if pivot is None:
+            if pivot >= hi:
                 return out
-            while k + 1 < len(cursors) and cursors[k + 1][0] == pivot:
-                k += 1
-            near, leap = 0.0, end if k + 1 == len(cursors) else cursors[k + 1][0]
-            for c in cursors[: k + 1]:
-                d, i = docs[c[2]], c[1]
-                while (last := min((i // BLOCK + 1) * BLOCK, len(d)) - 1) + 1 < len(d) and d[last] < pivot:
-                    i = last + 1
-                if d[last] >= pivot:
-                    near += blocks[c[2]][i // BLOCK]
-                    leap = min(leap, d[last] + 1)
-            if near < 1:
-                for c in cursors[: k + 1]:
-                    move(c, max(leap, pivot + 1))
-            elif cursors[0][0] == pivot:
-                score = sum(gains[c[2]][c[1]] for c in cursors[: k + 1])
+            if cursors[0][0] == pivot:
+                score = sum(c[3][c[1]][1] for c in cursors if c[0] == pivot)
                 if score >= 1:
                     out.append((pivot, score))
-                for c in cursors[: k + 1]:
-                    move(c, pivot + 1)
-            else:
-                for c in cursors[: k + 1]:
-                    if c[0] < pivot:
-                        move(c, pivot)
-
-    def matches(self, text: str | None) -> list[tuple]:
-        """item_id, score, overlap, question_overlap, answer_overlap of the verified items, by id; of several passages the best."""
-        w = words(text)
-        ids = np.fromiter(map(self.terms.get, w, (0,) * len(w)), np.int64, len(w))
-        found: dict[int, tuple] = {}
-        for s in self.passages(ids):
-            part = w[s : s + 2 * self.length]
-            hits = self.search(sorted(set(ids[s : s + 2 * self.length].tolist()) - {0}))
-            if hits:
-                have, vocab = shingles(part), set(part)
-                for i, score in hits:
-                    x = self.items[i]
-                    row = (x.id, score, share(x.shingles, have), share(x.question, vocab), share(x.answer, vocab))
-                    if row[2] >= self.similarity - 1e-12 and min(row[3:]) >= PART and row[1:] > found.get(i, (x.id, -1.0))[1:]:
-                        found[i] = row
-        return sorted(found.values())
-
-
-def indexes(benchmark: DataFrame, similarity: float = SIMILARITY):
-    """An index for each class of item lengths (powers of two) and bounded share of the items; one at a time is on the driver."""
-    items = ensure_columns(benchmark, item_id="bigint", text="string").where(F.col("item_id").isNotNull() & (F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0))) >= SHINGLE))
-    size = F.size(F.split("text", r"\s+"))
-    items = items.withColumn("long", F.floor(F.log2(size.cast("double"))).cast("int"))
-    for c, total in sorted((r["long"], r["b"]) for r in items.groupBy("long").agg(F.sum(F.octet_length("text")).alias("b")).collect()):
-        shares = -(-2 * total // INDEX_BYTES)
-        for k in range(shares):
-            rows = items.where((F.col("long") == c) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(shares)) == k)).select("item_id", "text").distinct().collect()
-            kept = sorted((r["item_id"], r["text"]) for r in rows if len(words(r["text"])) >= SHINGLE)
-            if kept:
-                yield Index(kept, similarity)
+                pivot += 1
+            for c in cursors:
+                while c[0] < pivot:
+                    c[1] += 1
+                    c[0] = c[3][c[1]][0] if c[1] < len(c[3]) else hi
+
+    def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
+        """All items that score at least 1."""
+        return [x for b in np.flatnonzero(self.bounds[terms].sum(0) >= 1).tolist() for x in self.wand(terms.tolist(), b * BLOCK, min((b + 1) * BLOCK, len(self.items)))]
+
+    def passages(self, at: np.ndarray, term: np.ndarray, before: np.ndarray, begin: np.ndarray, sizes: np.ndarray):
+        """(document, first word) of the passages whose summed best scores reach 1.
+
+        at, term, before, begin: of the words of any item among those of all documents, place, number, place of
+        the same word before it, and place of its document's first word.
+        """
+        step = self.length
+        cells = sizes // step + 1
+        base, doc = np.cumsum(cells) - cells, np.searchsorted(np.cumsum(sizes), at, side="right")
+        local, gain = (at - begin) // step, self.best[term]
+        cell, first = base[doc] + local, begin + local * step
+        n = int(cells.sum())
+        # a word counts at its first place in a window of two cells
+        total = np.bincount(cell, gain * (before < first), n)
+        second = local > 0
+        total += np.bincount(cell[second] - 1, (gain * (before < first - step))[second], n)
+        for c in np.flatnonzero(total >= 1):
+            d = int(np.searchsorted(base, c, side="right")) - 1
+            yield d, int(c - base[d]) * step
+
+
+class Pass:
+    """Indexes whose items are broadcast together."""
+
+    def __init__(self, groups: list[list[tuple[int, str]]], similarity: float = SIMILARITY):
+        self.terms: dict[str, int] = {}
+        self.indexes = [Index(g, self.terms, similarity) for g in groups]
+        for x in self.indexes:
+            x.close()
+
+    def matches(self, texts: list[str | None]) -> list[list[tuple]]:
+        """For each text item_id, score, overlap, question_overlap, answer_overlap of the verified items, by id; of several passages the best."""
+        docs = [words(t) for t in texts]
+        sizes = np.array([len(w) for w in docs])
+        flat = [t for w in docs for t in w]
+        ids = np.fromiter(map(self.terms.get, flat, repeat(0)), np.int64, len(flat))
+        at = np.flatnonzero(ids)
+        term, starts = ids[at], np.cumsum(sizes) - sizes
+        order = np.argsort(term, kind="stable")
+        before = np.full(len(at), -1)
+        same = term[order[1:]] == term[order[:-1]]
+        before[order[1:][same]] = at[order[:-1][same]]
+        begin = np.repeat(starts, sizes)[at]
+        found: list[dict[int, tuple]] = [{} for _ in texts]
+        for index in self.indexes:
+            for d, s in index.passages(at, term, before, begin, sizes):
+                a, z = starts[d] + s, starts[d] + min(s + 2 * index.length, sizes[d])
+                terms = np.unique(ids[a:z])
+                hits = index.search(terms[terms > 0])
+                if hits:
+                    part = docs[d][s : s + 2 * index.length]
+                    have, vocab = shingles(part), set(part)
+                    for i, score in hits:
+                        x = index.items[i]
+                        row = (x.id, score, share(x.shingles, have), share(x.question, vocab), share(x.answer, vocab))
+                        if row[2] >= index.similarity - 1e-12 and min(row[3:]) >= PART and row[1:] > found[d].get(x.id, (x.id, -1.0))[1:]:
+                            found[d][x.id] = row
+        return [sorted(f.values()) for f in found]
+
+
+def passes(benchmark: DataFrame, similarity: float = SIMILARITY):
+    """The items in passes of bounded size, each with an index for every class of lengths (powers of two); one pass at a time is on the driver."""
+    items = ensure_columns(benchmark, item_id="bigint", text="string").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shares = max(1, -(-2 * total // INDEX_BYTES))
+    for k in range(shares):
+        groups: dict[int, list] = {}
+        for i, text in sorted(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shares)) == k).select("item_id", "text").collect()):
+            if (n := len(words(text))) >= SHINGLE:
+                groups.setdefault(n.bit_length(), []).append((i, text))
+        if groups:
+            yield Pass([groups[k] for k in sorted(groups)], similarity)
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -192,16 +204,16 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     spark = prepare(docs.sparkSession)
     docs = make_room(docs, "matches")
-    found = F.expr("cast(array() as array<struct<item_id: bigint, score: double, overlap: double, question_overlap: double, answer_overlap: double>>)")
-    for index in indexes(benchmark, similarity):
-        held = spark.sparkContext.broadcast(index)
+    found = F.expr(f"cast(array() as {MATCHES})")
+    for one in passes(benchmark, similarity):
+        held = spark.sparkContext.broadcast(one)
 
-        @F.pandas_udf("array<struct<item_id: bigint, score: double, overlap: double, question_overlap: double, answer_overlap: double>>")
+        @F.pandas_udf(MATCHES)
         def match(texts, held=held):
             import pandas as pd
 
             names = ("item_id", "score", "overlap", "question_overlap", "answer_overlap")
-            return pd.Series([[dict(zip(names, row)) for row in held.value.matches(t)] for t in texts])
+            return pd.Series([[dict(zip(names, row)) for row in rows] for rows in held.value.matches(texts.tolist())])
 
         found = F.concat(found, match("text"))
     return docs.withColumn("matches", found)
