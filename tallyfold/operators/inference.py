@@ -83,10 +83,14 @@ def jobson_korkie(a: str, b: str) -> list[Column]:
     return [rho.alias("rho"), F.when(var > 0, (sa - sb) / F.sqrt(F.when(var > 0, var))).alias("z")]
 
 
-@F.pandas_udf("double")
-def two_sided_p(z):
+def two_sided_p(z: Column | str) -> Column:
     """Two-sided normal p-value; there is no normal distribution function in SQL."""
-    return z.map(lambda v: None if v != v else math.erfc(abs(v) / math.sqrt(2)))
+
+    @F.pandas_udf("double")
+    def p(values):
+        return values.map(lambda v: None if v != v else math.erfc(abs(v) / math.sqrt(2)))
+
+    return p(z)
 
 
 def expected_max_sharpe(n_trials: int, sd: float) -> float:

@@ -25,7 +25,7 @@ def label(z: Column, q_lo: Column, q_hi: Column) -> Column:
 
 def positions_in_order(df: DataFrame, by: list[str] = ["symbol"]) -> DataFrame:
     """pos from 0 in session order."""
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("session")) - 1)
+    return df.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy("session")).cast("long") - 1)
 
 
 def time_series_split(n: int, n_splits: int, test_size: int, gap: int = 0) -> Iterator[tuple[int, int, int, int]]:

@@ -211,22 +211,22 @@ a AS (SELECT symbol, benchmark, count(*) AS sessions, round(count(*) / 252.0, 2)
   min(drawdown) AS max_drawdown, arg_max(equity, session) AS terminal_wealth, avg(CASE WHEN weight <> 0 THEN 1.0 ELSE 0.0 END) AS participation_rate, avg(weight) AS avg_net_exposure, avg(abs(weight)) AS avg_gross_exposure,
   avg(coalesce(turn, 0)) * 252 AS turnover_per_year, avg(CASE WHEN sign(weight) = sign(o2c) THEN 1.0 ELSE 0.0 END) FILTER (weight <> 0) AS hit_rate_active FROM dd GROUP BY 1, 2),
 perf AS (SELECT *, CASE WHEN terminal_wealth > 0 THEN pow(terminal_wealth, 252.0 / sessions) - 1 END AS cagr_total FROM a)"""
-METRICS = ("ann_mean_excess", "ann_mean_total", "ann_vol_excess", "sharpe_excess", "sortino_excess", "max_drawdown", "terminal_wealth", "participation_rate", "avg_net_exposure", "avg_gross_exposure", "turnover_per_year", "hit_rate_active", "cagr_total")
+METRICS = ("ann_mean_excess", "ann_mean_total", "ann_vol_excess", "sharpe_excess", "sortino_excess", "max_drawdown", "participation_rate", "avg_net_exposure", "avg_gross_exposure", "turnover_per_year", "hit_rate_active", "cagr_total")
 
 
-@query("performance_metrics", f"WITH {BENCH}, {NET}, {PERF} SELECT symbol, benchmark, sessions, CAST(years AS DOUBLE) AS years, {rnd(*METRICS, digits=6)}, round(CASE WHEN max_drawdown < 0 THEN cagr_total / abs(max_drawdown) END, 6) + 0.0 AS calmar FROM perf")
+@query("performance_metrics", f"WITH {BENCH}, {NET}, {PERF} SELECT symbol, benchmark, sessions, CAST(years AS DOUBLE) AS years, {rnd(*METRICS, digits=6)}, round(terminal_wealth, 3) + 0.0 AS terminal_wealth, round(CASE WHEN max_drawdown < 0 THEN cagr_total / abs(max_drawdown) END, 6) + 0.0 AS calmar FROM perf")
 def performance_metrics(spark, sf):
-    return rounded(P.performance(bench_net(spark, sf), ["symbol", "benchmark"], gross="o2c"), 6)
+    return rounded(P.performance(bench_net(spark, sf), ["symbol", "benchmark"], gross="o2c").withColumn("terminal_wealth", F.round("terminal_wealth", 3)), 6)
 
 
 @query(
     "benchmark_net_performance",
-    f"""WITH {BENCH}, {NET}, {PERF} SELECT symbol, benchmark, sessions, {rnd('ann_mean_excess', 'sharpe_excess', 'max_drawdown', 'terminal_wealth', 'participation_rate', digits=6)} FROM perf WHERE benchmark IN ('always_long', 'prior_open_close')""",
+    f"""WITH {BENCH}, {NET}, {PERF} SELECT symbol, benchmark, sessions, {rnd('ann_mean_excess', 'sharpe_excess', 'max_drawdown', 'participation_rate', digits=6)}, round(terminal_wealth, 3) + 0.0 AS terminal_wealth FROM perf WHERE benchmark IN ('always_long', 'prior_open_close')""",
 )
 def benchmark_net_performance(spark, sf):
     """The flagship: cost-adjusted performance of prior-day direction against always-long."""
     d = bench_net(spark, sf).where(F.col("benchmark").isin("always_long", "prior_open_close"))
-    return rounded(P.performance(d, ["symbol", "benchmark"]).select("symbol", "benchmark", "sessions", "ann_mean_excess", "sharpe_excess", "max_drawdown", "terminal_wealth", "participation_rate"), 6)
+    return rounded(P.performance(d, ["symbol", "benchmark"]).select("symbol", "benchmark", "sessions", "ann_mean_excess", "sharpe_excess", "max_drawdown", "participation_rate", F.round("terminal_wealth", 3).alias("terminal_wealth")), 6)
 
 
 @query(

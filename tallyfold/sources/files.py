@@ -119,18 +119,22 @@ class _Page(HTMLParser):
             self.text.append(data)
 
 
-@F.pandas_udf("title string, n_links int, first_link string, body string")
-def parse_page(html):
-    """Title, links and visible text of pages; a null page has none."""
-    import pandas as pd
-
-    rows = []
-    for h in html:
-        p = _Page()
-        p.feed(h or "")
-        p.close()
-        rows.append((p.title.strip() or None, len(p.links), p.links[0] if p.links else None, " ".join(" ".join(p.text).split())))
-    return pd.DataFrame(rows, columns=["title", "n_links", "first_link", "body"])
+def parse_page(html: Column | str) -> Column:
+    """Title, links and visible text of pages, Arrow batch by batch; a null page has none."""
+
+    @F.pandas_udf("title string, n_links int, first_link string, body string")
+    def parse(pages):
+        import pandas as pd
+
+        rows = []
+        for h in pages:
+            p = _Page()
+            p.feed(h or "")
+            p.close()
+            rows.append((p.title.strip() or None, len(p.links), p.links[0] if p.links else None, " ".join(" ".join(p.text).split())))
+        return pd.DataFrame(rows, columns=["title", "n_links", "first_link", "body"])
+
+    return parse(html)
 
 
 def new_items(found: DataFrame, done: DataFrame, key: str) -> DataFrame:
