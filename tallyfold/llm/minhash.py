@@ -8,9 +8,11 @@ probability equal to their weighted Jaccard similarity. Points come in ascending
 when it passes the latest register, so nearly all end at their first point.
 
 Registers are banded. In each bucket of a band the members are linked to a leader, the member with the
-most company over all its buckets, and each link is verified on the exact multisets. Buckets whose members
-are not yet in one component go into further rounds with twice as many leaders each, until all members of
-a bucket have met; so no group is expanded into pairs unless it has no links to speak of.
+most company over all its buckets, and each link is verified on the exact multisets. In nearly all buckets
+that puts all members into one component. In the others, the members outside the bucket's largest component
+meet all its members, in blocks of BLOCK by BLOCK that are spread over the tasks and compared at once; of
+what is similar there, one link for each document and component is passed on and verified. So all
+similar texts that share a bucket end in one component, and no group is expanded into pairs of rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, lookup, make_room, prepare, split_heavy, written
+from .common import ensure_columns, lookup, make_room, prepare, written
 from .words import GOLDEN, mix, multiset, overlap, shingle_hashes, word_hashes
 
 SIMILARITY = 0.8
@@ -28,6 +30,8 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 40, 6
 REGISTERS = BANDS * BAND_ROWS
 BATCH = 512
+#: Members of a block.
+BLOCK = 64
 
 
 def signatures(docs: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
@@ -150,35 +154,82 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = written(live.groupBy("node").agg(F.sum("n").alias("company")), "company")
     labels = nodes.select("node", F.col("node").alias("label"))
     near = written(texts.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-texts")
-    edges = tested = None
-    leaders_wanted, live_n = 0, live.count()
-    while live_n:
-        placed = live.join(labels.join(nodes, "node"), "node")
-        pack = F.shiftleft(F.least("company", F.lit((1 << 31) - 1)), 32).bitwiseOR(F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)))
-        if not leaders_wanted:
-            chosen = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", pack).alias("b"), F.max_by("label", pack).alias("label_b"))
-        else:
-            draw = F.pmod(F.xxhash64("node", F.lit(leaders_wanted)), F.lit(1 << 20)) / float(1 << 20)
-            chosen = placed.where(draw * F.col("n") < leaders_wanted).select("key", "n", F.col("node").alias("b"), F.col("label").alias("label_b"))
-        chosen = written(chosen, "leaders")
-        met = lookup(placed.select("key", "node", "label"), chosen, ["key"], "n", live_n).where(F.col("label") != F.col("label_b"))
-        a, b = (F.col("node"), F.col("b")) if not leaders_wanted else (F.greatest("node", "b"), F.least("node", "b"))
-        pairs = met.select(a.alias("a"), b.alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        good = written(verify(pairs, near, similarity), "edges")
-        edges = good if edges is None else edges.unionByName(good)
-        tried = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        tested = tried if tested is None else tested.unionByName(tried)
-        labels = components(labels, good)
-        # buckets go on while their members are in different components and have not all met
-        open_rows = live.join(labels, "node").select("key", "node", "label", "n")
-        mixed = open_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where((F.col("lo") < F.col("hi")) & (F.col("n") > max(leaders_wanted, 2)))
-        live = written(lookup(open_rows.select("key", "node"), mixed.select("key", "n"), ["key"], "n", live_n), "live")
-        live_n = live.count()
-        leaders_wanted = 2 * leaders_wanted or 8
-    return labels
+    live_n = live.count()
+    if not live_n:
+        return labels
+    pack = F.shiftleft(F.least("company", F.lit((1 << 31) - 1)), 32).bitwiseOR(F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)))
+    chosen = live.join(nodes, "node").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max_by("node", pack).alias("b"))
+    met = lookup(live.select("key", "node"), written(chosen, "leaders"), ["key"], "n", live_n).where("node != b")
+    pairs = written(met.select(F.col("node").alias("a"), "b").distinct(), "pairs")
+    labels = components(labels, written(verify(pairs, near, similarity), "edges"))
+    more = written(_block_links(live, live_n, labels, near, similarity), "more-pairs")
+    return components(labels, written(verify(more, near, similarity), "more-edges"))
+
+
+def _sketches(texts: DataFrame) -> DataFrame:
+    """node, sketch: 32-bit hashes of (shingle, its how-manieth occurrence), ascending; sets whose overlap is that of the multisets, or a little more."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for t in b.column("text").to_pylist():
+                h, n = multiset(t)
+                first = np.repeat(np.cumsum(n) - n, n)
+                out.append(np.unique((mix(np.repeat(h, n) + (np.arange(n.sum()) - first).astype(np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(out, pa.binary())], names=["node", "sketch"])
+
+    return texts.mapInArrow(run, "node bigint, sketch binary")
+
+
+def _similar(ask: list[tuple], held: list[tuple], similarity: float) -> list[tuple[int, int]]:
+    """For rows (node, label, sketch), of each asking one and each other label the most similar held one, if similar enough."""
+    arrays = [np.frombuffer(r[2], np.uint32) for r in (*ask, *held)]
+    sizes = np.array([len(x) for x in arrays])
+    values, at = np.unique(np.concatenate(arrays), return_inverse=True)
+    table = np.zeros((len(arrays), len(values)), np.float32)
+    table[np.repeat(np.arange(len(arrays)), sizes), at] = 1
+    both = table[: len(ask)] @ table[len(ask) :].T
+    hit = both >= (similarity - 1e-6) * (sizes[: len(ask), None] + sizes[None, len(ask) :] - both) - 1
+    out = []
+    for i, j in zip(*np.nonzero(hit)):
+        if ask[i][1] != held[j][1]:
+            out.append((float(both[i, j] / (sizes[i] + sizes[len(ask) + j] - both[i, j])), i, j))
+    best = {(i, held[j][1]): j for _, i, j in sorted(out)}
+    return [(max(a, b), min(a, b)) for (i, _), j in best.items() for a, b in [(ask[i][0], held[j][0])]]
+
+
+def _block_links(live: DataFrame, live_n: int, labels: DataFrame, near: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b), to be verified, between components that share a bucket."""
+    placed = live.select("key", "node").join(labels, "node")
+    sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy("key").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("label", "k").alias("main")).where("n >= 3 AND most < n")
+    mixed = written(mixed.select("key", "n", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("held"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("asking")), "mixed")
+    rows = written(lookup(placed, mixed, ["key"], "n", live_n), "mixed-rows")
+    sketches = _sketches(near.join(rows.select("node").distinct(), "node", "left_semi"))
+    rows = rows.join(written(sketches, "sketches"), "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    held = rows.select("key", own(F.col("held")).alias("h"), all_(F.col("asking")).alias("q"), F.lit(0).alias("asks"), "node", "label", "sketch")
+    ask = rows.where("label != main").select("key", all_(F.col("held")).alias("h"), own(F.col("asking")).alias("q"), F.lit(1).alias("asks"), "node", "label", "sketch")
+    dealt = held.unionByName(ask).repartition("key", "h", "q").sortWithinPartitions("key", "h", "q", "asks")
+
+    def run(batches):
+        at, sides = None, ([], [])
+
+        def done():
+            links = set(_similar(sides[1], sides[0], similarity)) if sides[0] and sides[1] else ()
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+
+        for b in batches:
+            for key, h, q, asks, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, h, q) != at:
+                    yield from done()
+                    at, sides = (key, h, q), ([], [])
+                sides[asks].append(row)
+        yield from done()
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -192,11 +243,9 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
 
 
 def with_groups(docs: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    heavy, light = split_heavy(found, "n", docs.count())
-    heavy = F.broadcast(heavy)
-    hot = docs.join(heavy, "__node").select(*docs.columns, *columns)
-    rest = docs.join(F.broadcast(heavy.select("__node")), "__node", "left_anti").join(light, "__node", "left").select(*docs.columns, *columns)
-    return hot.unionByName(rest)
+    """docs (with __node) and the columns of found as __<name>, NULL where there is no group."""
+    named = found.select("__node", F.col("n").alias("__n"), *(F.col(c).alias(f"__{c}") for c in columns))
+    return lookup(docs, named, ["__node"], "__n", docs.count(), "left").select(*docs.columns, *(f"__{c}" for c in columns))
 
 
 def classify(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -210,19 +259,20 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     docs, found = groups(ensure_columns(docs, doc_id="bigint", text="string"), similarity)
     rows = with_groups(docs.select("doc_id", "__node"), found, ["class_id", "class_size"])
-    return rows.select("doc_id", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    alone = F.col("__class_size").isNull()
+    return rows.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("__class_id")).alias("class_id"), F.coalesce("__class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of each class of classify(): that of the smallest doc_id; of repeated rows any one."""
+    """One row of each class of classify(): that of the smallest doc_id; of repeated rows any one. Columns stay, clashing ones (__*) as <name>_in."""
+    docs = make_room(docs, "__node", "__n", "__class_id", "__best")
     columns = docs.columns
-    docs, found = groups(make_room(docs, "__node"), similarity)
-    best = found.where(F.col("first").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("__node").alias("__best"))
-    marked = found.join(best.withColumnRenamed("label", "__label"), F.col("label") == F.col("__label"), "left").select("__node", "n", "class_id", (F.col("__node") == F.col("__best")).alias("__is"))
-    marked = written(marked, "marked")
-    rows = with_groups(docs, marked, ["class_id", "__is"])
-    single = rows.where(F.col("__is").isNull()).select(*columns)
-    several = rows.where(F.col("__is") & F.col("doc_id").cast("bigint").eqNullSafe(F.col("class_id"))).dropDuplicates(["__node"]).select(*columns)
+    docs, found = groups(docs, similarity)
+    best = found.where(F.col("first").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("__node").alias("chosen")).withColumnRenamed("label", "of")
+    marked = found.join(best, F.col("label") == F.col("of"), "left").select("__node", "n", "class_id", (F.col("__node") == F.col("chosen")).alias("best"))
+    rows = with_groups(docs, written(marked, "marked"), ["class_id", "best"])
+    single = rows.where(F.col("__best").isNull()).select(*columns)
+    several = rows.where(F.col("__best") & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__class_id"))).dropDuplicates(["__node"]).select(*columns)
     return single.unionByName(several)
 
 
