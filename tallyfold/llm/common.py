@@ -7,11 +7,11 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch: whole texts travel in them, so the default of 10,000 is too many.
-ARROW_ROWS = 1000
+ARROW_ROWS = 400
 #: A key that holds at least 1/HEAVY of the rows goes by broadcast; there are at most HEAVY of them.
 HEAVY = 4096
 
@@ -73,18 +73,19 @@ def text_bytes(spark: SparkSession, docs: DataFrame, text: str = "text") -> tupl
     return int(row[0] or 0), int(row[1])
 
 
-def split_heavy(counts: DataFrame, n: str, total: int) -> tuple[DataFrame, DataFrame]:
-    """Keys with at least total/HEAVY rows (at most HEAVY keys, so safe to broadcast), and the others."""
-    least = max(total // HEAVY, 64)
-    return counts.where(F.col(n) >= least), counts.where(F.col(n) < least)
+def hot_keys(table: DataFrame, keys: list[str], n: str, total: int) -> Column | None:
+    """A condition for the keys with at least total/HEAVY rows (there are at most HEAVY), as a list of their hashes; None if there are none."""
+    found = table.where(F.col(n) >= max(total // HEAVY, 64)).select(F.xxhash64(*keys)).distinct().collect()
+    return F.expr(f"xxhash64({', '.join(keys)}) IN ({', '.join(f'{r[0]}L' if r[0] > -(1 << 63) else 'cast(-9223372036854775808 as bigint)' for r in found)})") if found else None
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
-    """Inner join of rows with a table that has each key once and its number of rows as n.
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of rows with a written table that has each key's number of rows as n.
 
-    Hot keys meet by broadcast (split_heavy bounds them), all others by a shuffle in which no key has
-    more than 1/HEAVY of the rows.
+    Hot keys meet by broadcast (at most HEAVY of them, and what shares their hash), all others by a shuffle in
+    which no key has more than 1/HEAVY of the rows.
     """
-    heavy, light = split_heavy(table, n, total)
-    hot = F.broadcast(heavy)
-    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys))
+    hot = hot_keys(table, keys, n, total)
+    if hot is None:
+        return rows.join(table, keys, how)
+    return rows.where(hot).join(F.broadcast(table.where(hot)), keys).unionByName(rows.where(F.coalesce(~hot, F.lit(True))).join(table.where(~hot), keys, how))

@@ -11,12 +11,10 @@ of one type would meet in one surrogate, or a surrogate is itself an entity, the
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, lookup, make_room, prepare, split_heavy, written
+from .common import ensure_columns, lookup, make_room, prepare, written
 
 #: Redrawn entities that a literal map may hold; more go by joins.
 MAP_ENTRIES = 4096
@@ -184,10 +182,8 @@ def _with_redraws(parsed: DataFrame, over: DataFrame, entity: Column) -> DataFra
     hits = lookup(held, uses, ["k", "c"], "n", held.count()).groupBy("__h1", "__h2").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "k", "c"), "attempt"))).alias("__over"))
     rows = keyed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__many"))
     hits = written(hits.join(rows, ["__h1", "__h2"]), "redrawn")
-    heavy, light = split_heavy(hits, "__many", parsed.count())
-    hot = keyed.join(F.broadcast(heavy), ["__h1", "__h2"])
-    rest = keyed.join(F.broadcast(heavy.select("__h1", "__h2")), ["__h1", "__h2"], "left_anti").join(light, ["__h1", "__h2"], "left")
-    return reduce(DataFrame.unionByName, (hot, rest)).withColumn("__over", F.coalesce("__over", F.expr("cast(map() as map<string, int>)"))).drop("__h1", "__h2", "__many")
+    rows = lookup(keyed, hits, ["__h1", "__h2"], "__many", parsed.count(), "left")
+    return rows.withColumn("__over", F.coalesce("__over", F.expr("cast(map() as map<string, int>)"))).drop("__h1", "__h2", "__many")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
