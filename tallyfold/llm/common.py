@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ HEAVY = 4096
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -39,7 +43,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tallyfold/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What lies in a folder of this machine is removed when the driver ends; elsewhere it is the cluster's to clean."""
+    _made.append(at := f"{shared_dir(spark)}/tallyfold/{name}-{uuid.uuid4().hex}")
+    return at
+
+
+@atexit.register
+def _remove() -> None:
+    for at in _made:
+        if at.startswith(("/", "file:")):
+            shutil.rmtree(urlsplit(at).path, ignore_errors=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
