@@ -88,3 +88,9 @@ def sharpe(x: Column) -> Column:
     """Annualised mean over annualised deviation; NULL where the deviation is 0 or there are fewer than two values."""
     sd = F.when(F.stddev_samp(x) > 0, F.stddev_samp(x))
     return F.avg(x) / sd * F.sqrt(F.lit(float(TRADING_DAYS)))
+
+
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation over the rows that have both; NULL where a side does not vary (Spark's corr raises there)."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return div(F.covar_pop(x, y), F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)))

@@ -78,7 +78,7 @@ def politis_white(x: np.ndarray) -> float:
 def jobson_korkie(a: str, b: str) -> list[Column]:
     """Memmel's z for the difference of two Sharpe ratios, in session units, and their correlation."""
     sa, sb = F.avg(a) / F.stddev_samp(a), F.avg(b) / F.stddev_samp(b)
-    rho = F.corr(a, b)
+    rho = C.correlation(a, b)
     var = (2 - 2 * rho + 0.5 * (sa * sa + sb * sb - 2 * sa * sb * rho * rho)) / F.count(F.lit(1))
     return [rho.alias("rho"), F.when(var > 0, (sa - sb) / F.sqrt(F.when(var > 0, var))).alias("z")]
 

@@ -35,7 +35,7 @@ def rolling_spearman(long: DataFrame, window: int = WINDOW, by: list[str] = ["sy
 
     ranked = ends.select(*key, "pos", ranks("x").alias("rx"), ranks("z").alias("rz"))
     flat = (F.min("rx") == F.max("rx")) | (F.min("rz") == F.max("rz"))
-    return ranked.groupBy(*key).agg(F.max("pos").alias("pos"), F.when(~flat, F.corr("rx", "rz")).alias("rho")).drop("__end")
+    return ranked.groupBy(*key).agg(F.max("pos").alias("pos"), F.when(~flat, C.correlation("rx", "rz")).alias("rho")).drop("__end")
 
 
 def information_coefficients(rho: DataFrame, by: list[str] = ["symbol", "feature"]) -> DataFrame:
@@ -58,8 +58,8 @@ def top_per_group(ics: DataFrame, groups: DataFrame, k: int = PER_GROUP, by: lis
 def correlation_pairs(df: DataFrame, features: list[str], by: list[str] = ["symbol"]) -> DataFrame:
     """by, a, b, corr for each pair of features, in one aggregate; both present."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    wide = df.groupBy(*by).agg(*(F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
-    return wide.select(*by, F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), C.no_nan(F.col(f"c{i}")).alias("corr")) for i, (a, b) in enumerate(pairs)))))
+    wide = df.groupBy(*by).agg(*(C.correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
+    return wide.select(*by, F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)))))
 
 
 def average_linkage(distance: np.ndarray, cut: float = CUT) -> list[int]:

@@ -22,7 +22,8 @@ def bucket_stream(events: DataFrame, grid: DataFrame, ts: str = "ts") -> DataFra
 
 def session_totals(events: DataFrame, grid: DataFrame, ts: str = "ts", value: str = "value", late: str = "2 days") -> DataFrame:
     """session, n_events, total; events later than the watermark are dropped."""
-    kept = bucket_stream(events.withWatermark(ts, late), grid, ts)
+    instants = events.withColumn(ts, F.col(ts).cast("timestamp"))  # a watermark needs instants; wall times count as the session's zone
+    kept = bucket_stream(instants.withWatermark(ts, late), grid, ts)
     return kept.groupBy("session").agg(F.count(F.lit(1)).alias("n_events"), F.sum(value).alias("total"))
 
 
