@@ -53,9 +53,8 @@ def interior_gaps(df: DataFrame, columns: list[str]) -> DataFrame:
 def asof_bucket(events: DataFrame, grid: DataFrame, ts: str, at: str = "close_utc", session: str = "session") -> DataFrame:
     """The first session of the grid that closes at or after the event: left-open, right-closed buckets; NULL after the last.
 
-    A merge of both sides in time order, grouped by day so that no task has all events: an event looks at the
-    grid's closes of its own day, and where there is none left, at the first close of a later day, which is a
-    column of the small grid of days.
+    A table with a row for each day of the grid's span has the day's closes and the first session after that
+    day. Events look their day up in it, so they are not shuffled, sorted or compared with other days.
     """
     closes = grid.select(F.to_date(at).alias("__day"), F.col(at).alias("__at"), F.col(session).alias("__session"))
     by_day = closes.groupBy("__day").agg(F.array_sort(F.collect_list(F.struct("__at", "__session"))).alias("__closes"))
@@ -69,7 +68,7 @@ def asof_bucket(events: DataFrame, grid: DataFrame, ts: str, at: str = "close_ut
     table = days.join(by_day, "__day", "left").withColumn("__next", F.last(F.col("__closes")[0]["__session"], ignorenulls=True).over(later))
     own = F.filter("__closes", lambda c: c["__at"] >= F.col(ts))
     before = F.lit(first).cast("date")
-    joined = events.withColumn("__key", F.greatest(F.col("__day"), before)).join(table.withColumnRenamed("__day", "__key"), "__key", "left")
+    joined = events.withColumn("__key", F.greatest(F.col("__day"), before)).join(F.broadcast(table.withColumnRenamed("__day", "__key")), "__key", "left")  # one row a day of the grid
     hit = F.coalesce(F.get(own, F.lit(0))["__session"], F.col("__next"))
     return joined.withColumn(session, F.when(F.col(ts).isNotNull(), hit)).drop("__day", "__key", "__closes", "__next")
 

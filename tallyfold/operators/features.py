@@ -113,8 +113,8 @@ def month_bounds(frame: DataFrame, calendar: DataFrame | None = None) -> DataFra
     return frame.withColumn("__month", month).join(F.broadcast(bounds), "__month", "left").drop("__month")  # twelve rows a year
 
 
-def build(frame: DataFrame, registry: Registry = REGISTRY, calendar: DataFrame | None = None) -> DataFrame:
-    """symbol, session and the registry's features, in its order."""
+def build(frame: DataFrame, registry: Registry = REGISTRY, calendar: DataFrame | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
+    """symbol, session and the registry's features, in its order; extra columns, such as a target, come from the same windows."""
     c, wanted = F.col, set(registry.names())
     d = frame
     if wanted & set(REGISTRY.names("calendar")):
@@ -132,20 +132,28 @@ def build(frame: DataFrame, registry: Registry = REGISTRY, calendar: DataFrame |
         first["_spread"] = C.lag(c("dgs10") - c("dgs2"))
     if first:
         d = d.withColumns(first)
-    out = d.select("symbol", "session", *(f.expr().alias(f.name) for f in registry.features))
-    if missing := wanted ^ (set(out.columns) - {"symbol", "session"}):
+    out = d.select("symbol", "session", *(f.expr().alias(f.name) for f in registry.features), *(x.alias(n) for n, x in (extra or {}).items()))
+    if missing := wanted ^ (set(out.columns) - {"symbol", "session", *(extra or {})}):
         raise ValueError(f"registry and frame differ: {sorted(missing)}")
     return out
 
 
+def open_close_target() -> Column:
+    """The next session's C / O - 1."""
+    return F.lead(C.div(F.col("close"), F.col("open")) - 1).over(C.series())
+
+
+def close_close_target() -> Column:
+    """C[t+1] / C[t] - 1."""
+    return C.div(F.lead("close").over(C.series()), F.col("close")) - 1
+
+
 def target_open_close(frame: DataFrame, name: str = "target") -> DataFrame:
-    """symbol, session, target: the next session's C / O - 1."""
-    return frame.select("symbol", "session", F.lead(C.div(F.col("close"), F.col("open")) - 1).over(C.series()).alias(name))
+    return frame.select("symbol", "session", open_close_target().alias(name))
 
 
 def target_close_close(frame: DataFrame, name: str = "target") -> DataFrame:
-    """symbol, session, target: C[t+1] / C[t] - 1."""
-    return frame.select("symbol", "session", (C.div(F.lead("close").over(C.series()), F.col("close")) - 1).alias(name))
+    return frame.select("symbol", "session", close_close_target().alias(name))
 
 
 def as_table(spark: SparkSession, registry: Registry = REGISTRY) -> DataFrame:

@@ -31,8 +31,8 @@ zpos AS (SELECT *, row_number() OVER ({W}) - 1 AS pos FROM zrows)"""
 
 def zrows(spark, sf):
     s = snapshot(spark, sf)
-    f = X.build(s, X.Registry([x for x in X.REGISTRY.features if x.name == "Volatility_20"]))
-    d = f.join(X.target_open_close(s), ["symbol", "session"]).withColumn("z", L.vol_adjusted(F.col("target"), F.col("Volatility_20"))).where("target > -1 AND z IS NOT NULL")
+    f = X.build(s, X.Registry([x for x in X.REGISTRY.features if x.name == "Volatility_20"]), extra={"target": X.open_close_target()})
+    d = f.withColumn("z", L.vol_adjusted(F.col("target"), F.col("Volatility_20"))).where("target > -1 AND z IS NOT NULL")
     return L.positions_in_order(d.select("symbol", "session", "target", "z"))
 
 
@@ -101,8 +101,8 @@ slice AS MATERIALIZED (SELECT * FROM slice1 WHERE pos < 150)"""
 
 def slice_of(spark, sf, rows: int = 150):
     s = snapshot(spark, sf)
-    f = X.build(s, X.Registry([x for x in X.REGISTRY.features if x.name in SCREENED]))
-    d = f.join(X.target_open_close(s), ["symbol", "session"]).withColumn("z", L.vol_adjusted(F.col("target"), F.col("Volatility_20"))).where("target > -1 AND z IS NOT NULL")
+    f = X.build(s, X.Registry([x for x in X.REGISTRY.features if x.name in SCREENED]), extra={"target": X.open_close_target()})
+    d = f.withColumn("z", L.vol_adjusted(F.col("target"), F.col("Volatility_20"))).where("target > -1 AND z IS NOT NULL")
     return L.positions_in_order(d).where(F.col("pos") < rows)
 
 
