@@ -7,8 +7,10 @@ occurs once, in it as elsewhere, holds no repeat. Segments that are equal as a w
 and different content, at the edges of repeats and at edits, is decided by suffix arrays: segments of a
 name meet in one task, which sorts their suffixes by two-stage sorting (directly sort only the suffixes
 smaller than their successors, induce the rest by scans of the buckets) and compares adjacent suffixes for a
-common prefix of 200 bytes. Names with very many segments would fill a task; their windows are instead
-counted one by one by 128-bit digests, which Spark combines before it shuffles them.
+common prefix of 200 bytes. Names with very many segments would fill a task; theirs are trimmed first: a
+32-byte string that occurs once under its name rules out all windows that hold it, and what is left of the
+segments at the edges of a very common passage is mostly equal, and decided as a whole. Should a name still
+have too many, its windows are counted one by one by digests, which Spark combines before it shuffles them.
 
 Equal texts are taken as one text with a count: all bytes of copies of 200 bytes or more repeat.
 """
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, lookup, prepare, scratch_path, split_heavy, text_bytes, written
+from .common import ensure_columns, hot_keys, lookup, prepare, scratch_path, text_bytes, written
 from .words import GOLDEN, mix
 
 WIDTH, SEED = 200, 32
@@ -35,6 +37,8 @@ BUCKET_BYTES = 16 << 20
 BLOCK_BYTES = 2 << 20
 #: Segments of a name that one task takes, or the total through HOT if that is more.
 NAME_SEGMENTS, HOT = 256, 4096
+#: Distance of the strings that trimming looks at.
+TRIM_STEP = 48
 B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -231,6 +235,61 @@ def _sorted_spans(segs: DataFrame) -> DataFrame:
     return segs.mapInArrow(run, SPAN)
 
 
+def _trimmed(segs: DataFrame) -> DataFrame:
+    """What is left of segments(m, t1, t2, s, n, body), as such, without the windows that hold a string found once under their name."""
+
+    def strings(batches):
+        for b in batches:
+            out = []
+            for m, t1, t2, s, n, body in zip(*(b.column(c).to_pylist() for c in ("m", "t1", "t2", "s", "n", "body"))):
+                at = np.arange(0, n + WIDTH - SEED, TRIM_STEP)
+                g = mix(rolling(np.frombuffer(body, np.uint8), SEED, B2))[at].view(np.int64)
+                out.append((np.full(len(at), m), g, np.full(len(at), t1), np.full(len(at), t2), np.full(len(at), s, np.int32), at.astype(np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["m", "g", "t1", "t2", "s", "p"])
+
+    found = segs.mapInArrow(strings, "m bigint, g bigint, t1 bigint, t2 bigint, s int, p int")
+    once = found.groupBy("m", "g").agg(F.count(F.lit(1)).alias("c"), *(F.max(c).alias(c) for c in ("t1", "t2", "s", "p"))).where("c = 1")
+    once = once.groupBy("t1", "t2", "s").agg(F.collect_list("p").alias("ps"))  # of one segment
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for m, t1, t2, s, n, body, ps in zip(*(b.column(c).to_pylist() for c in ("m", "t1", "t2", "s", "n", "body", "ps"))):
+                alive = np.ones(n, bool)
+                for p in ps or ():
+                    alive[max(0, p + SEED - WIDTH) : p + 1] = False
+                out += [(m, t1, t2, s + a, k, body[a : a + k + WIDTH - 1]) for a, k in runs(alive)]
+            if out:
+                m, t1, t2, s, n, body = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(body, pa.binary())], names=["m", "t1", "t2", "s", "n", "body"])
+
+    joined = segs.join(once, ["t1", "t2", "s"], "left").select("m", "t1", "t2", "s", "n", "body", "ps")
+    return written(joined.mapInArrow(cut, "m bigint, t1 bigint, t2 bigint, s int, n int, body binary"), "trimmed")
+
+
+def _decided(segs: DataFrame, trim: bool) -> DataFrame:
+    """Spans of repeated starts of distinct segments(m, t1, t2, s, n, body): by suffix arrays, and for names with very many segments after trimming."""
+    total = segs.count()
+    if not total:
+        return segs.select("t1", "t2", "s", "n")
+    counts = written(segs.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max(NAME_SEGMENTS, total // HOT)), "hot-names")
+    hot = hot_keys(counts, ["m"], "k", 0)  # HOT names at most
+    cold = segs if hot is None else segs.where(~hot)
+    parts = max(8, -(-total // 16_384))
+    out = _sorted_spans(cold.repartition(parts, "m").sortWithinPartitions("m", "t1", "t2", "s"))
+    if hot is None:
+        return out
+    rest = segs.where(hot)
+    if not trim:
+        return out.unionByName(_window_spans(rest))
+    rest = _trimmed(rest).withColumn("h1", F.xxhash64("body")).withColumn("h2", F.xxhash64(F.lit(1), "body"))
+    keys = ["m", "h1", "h2"]
+    same = written(rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("t1", "t2", "s", "n", "body"), F.xxhash64("t1", "t2", "s")).alias("one")), "trimmed-contents")
+    again = lookup(rest.drop("body"), same.where("c >= 2").select(*keys, "c"), keys, "c", rest.count()).select("t1", "t2", "s", "n")
+    return out.unionByName(again).unionByName(_decided(written(same.select("m", "one.*"), "trimmed-distinct"), False))
+
+
 def _window_spans(segs: DataFrame) -> DataFrame:
     """The same for names with very many segments: windows by digest."""
 
@@ -260,18 +319,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     raw = F.encode("text", "UTF-8")
     cut = F.transform("cuts", lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"), x["n"].alias("n"), x["c"].alias("c"), F.substring(raw, x["s"] + 1, x["n"] + (WIDTH - 1)).alias("body")))
     bodies = written(texts.join(wanted.hint("shuffle_hash"), ["t1", "t2"]).select("t1", "t2", F.inline(cut)), "bodies")
-    per_name = bodies.groupBy("m").agg(F.count(F.lit(1)).alias("k"))
-    total = bodies.count()
-    hot = written(per_name.where(F.col("k") > max(NAME_SEGMENTS, total // HOT)), "hot-names")  # HOT names at most if they hold the total through HOT
-    hot_names = F.broadcast(hot) if hot.count() <= 1 << 16 else hot
-    cold = bodies.join(hot_names, "m", "left_anti")
-    parts = max(8, -(-total // 16_384))
     # equal segments repeat whole, and are known as `again`; their one representative is here for others to match
-    by_suffix = _sorted_spans(cold.repartition(parts, "m").sortWithinPartitions("m", "t1", "t2", "s"))
-    out = whole.unionByName(again).unionByName(by_suffix)
-    if hot.count():
-        out = out.unionByName(_window_spans(bodies.join(hot_names, "m", "left_semi")))
-    return written(out, "spans")
+    return written(whole.unionByName(again).unionByName(_decided(bodies.select("m", "t1", "t2", "s", "n", "body"), True)), "spans")
 
 
 def cut_out(body: bytes, spans: list[tuple[int, int]], keep: bool = True) -> tuple[int, int, bytes]:
