@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import ensure_columns, prepare, written
 
 CHUNK, OVERLAP = 32_768, 512
+#: Texts that a worker has as lists of ids at a time.
+STEP = 64
 #: Characters that a boundary needs to its right, within its chunk, to be one of the whole text too.
 CONTEXT = 4
 
@@ -79,10 +81,14 @@ def stitches(heads: list[list[int]], tails: list[list[int]]) -> list[int | None]
     return [min(set(t) & set(h), default=None) for t, h in zip(tails[:-1], heads[1:])]
 
 
-def encode_documents(docs: DataFrame, ranks: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+ENCODED = "doc_id bigint, ids array<int>"
+
+
+def encode_documents(docs: DataFrame, ranks: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, finish: tuple | None = None) -> DataFrame:
     """doc_id, ids (array of int) of every row of docs(doc_id, text).
 
-    Null and empty texts give no ids. Equal ids, repeated rows and null ids stay separate rows. Other
+    finish: a function from encoded to other Arrow batches and the schema of these; it runs in the same Python
+    workers, so that ids need not leave them. Null and empty texts give no ids. Equal ids, repeated rows and null ids stay separate rows. Other
     columns are left out. An empty table gives no rows.
     """
     spark, ranks = prepare(docs.sparkSession), ranks or ranks_path()
@@ -90,16 +96,21 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, chunk: int = CHU
     if overlap <= 2 * CONTEXT or chunk <= 2 * overlap:
         raise ValueError("chunk > 2 overlap > 4 contexts is needed")
     long = F.length("text") > chunk
+    then, schema = finish or ((lambda batches: batches), ENCODED)
 
     def one(batches):
         enc = bpe(ranks)
-        for b in batches:
-            texts = b.column("text")
-            for a in range(0, len(texts), 256):
-                ids = pa.array([enc.encode(t) for t in texts.slice(a, 256).to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, 256), ids], names=["doc_id", "ids"])
 
-    short = docs.where(~long).mapInArrow(one, "doc_id bigint, ids array<int>")
+        def encoded():
+            for b in batches:
+                texts = b.column("text")
+                for a in range(0, len(texts), STEP):
+                    ids = pa.array([enc.encode(t) for t in texts.slice(a, STEP).to_pylist()], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, STEP), ids], names=["doc_id", "ids"])
+
+        return then(encoded())
+
+    short = docs.where(~long).mapInArrow(one, schema)
     step = chunk - overlap
     # equal (doc_id, text) rows have equal results, so a row's content is its key
     chunks = written(
@@ -140,25 +151,37 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, chunk: int = CHU
     encoded = pieces.mapInArrow(encode_pieces, "doc_id bigint, h bigint, copies bigint, c int, ids array<int>")
     gathered = encoded.groupBy("doc_id", "h", "copies").agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("parts"))
     stitched = gathered.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), F.flatten(F.col("parts.ids")).alias("ids")).select("doc_id", "ids")
-    return short.unionByName(stitched).unionByName(whole.mapInArrow(one, "doc_id bigint, ids array<int>"))
+    if finish:
+        stitched = stitched.mapInArrow(then, schema)
+    return short.unionByName(stitched).unionByName(whole.mapInArrow(one, schema))
 
 
-def decode_documents(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
-    """doc_id, ids -> doc_id, n_tokens, ids_sha256, decoded (raw bytes); ids null: none."""
-    ranks = ranks or ranks_path()
+def decoder(ranks: str):
+    """From batches of doc_id, ids to batches of doc_id, n_tokens, ids_sha256, decoded."""
 
     def decode(batches):
         enc = bpe(ranks)
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                ids = [x or [] for x in b.column("ids").slice(a, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, 256), pa.array(map(len, ids), pa.int64()), pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]), pa.array([enc.decode(x) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids_sha256", "decoded"])
+            for a in range(0, b.num_rows, STEP):
+                ids = [x or [] for x in b.column("ids").slice(a, STEP).to_pylist()]
+                shas = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, STEP), pa.array(map(len, ids), pa.int64()), pa.array(shas, pa.string()), pa.array([enc.decode(x) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids_sha256", "decoded"])
 
-    return encoded.mapInArrow(decode, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded binary")
+    return decode
+
+
+DECODED = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded binary"
+
+
+def decode_documents(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
+    """doc_id, ids -> doc_id, n_tokens, ids_sha256, decoded (raw bytes); ids null: none."""
+    return encoded.mapInArrow(decoder(ranks or ranks_path()), DECODED)
 
 
 def digest(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    decoded = decode_documents(encode_documents(docs, ranks), ranks)
+    """Encoded, decoded and digested in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    ranks = ranks or ranks_path()
+    decoded = encode_documents(docs, ranks, finish=(decoder(ranks), DECODED))
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
