@@ -44,7 +44,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 20240229, buc
     inside = Window.partitionBy("__group").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__group", group).withColumn("__inside", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
     groups = counts.groupBy("__group").agg(F.sum("__n").alias("__all"))
-    before = groups.alias("a").join(groups.alias("b"), F.col("a.__group") > F.col("b.__group"), "left").groupBy(F.col("a.__group").alias("__group")).agg(F.coalesce(F.sum("b.__all"), F.lit(0)).alias("__before"))
+    ahead = Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)  # a row for GROUP buckets
+    before = groups.select("__group", F.coalesce(F.sum("__all").over(ahead), F.lit(0)).alias("__before"))
     bases = counts.join(F.broadcast(before), "__group").select("__bucket", (F.col("__inside") + F.col("__before")).alias("__base"))
     if buckets <= 1 << 18:  # 16 bytes a bucket
         bases = F.broadcast(bases)
