@@ -30,13 +30,18 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 40, 6
 REGISTERS = BANDS * BAND_ROWS
 BATCH = 512
+#: Steps of a unit of time, and a time that does not come.
+UNIT, NEVER = float(1 << 36), np.iinfo(np.int64).max
 #: Members of a block.
 BLOCK = 64
 
 
 def signatures(docs: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
-    """Earliest times by document and register, of documents given as shingle hashes with repeats; inf for a document without any."""
-    out = np.full((len(docs), m), np.inf)
+    """Earliest times by document and register, of documents given as shingle hashes with repeats; NEVER for a document without any.
+
+    Times are whole numbers, so that sums do not depend on which documents are taken together.
+    """
+    out = np.full((len(docs), m), NEVER)
     sizes = np.array([len(d) for d in docs])
     if not sizes.sum():
         return out
@@ -53,12 +58,13 @@ def signatures(docs: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
         parts.append((mix(h[more] + np.uint64(level)), doc[more], w[more], np.full(k, float(lo)), np.full(k, float(lo))))
         level, lo = level + 1, 2 * lo
     seed, doc, w, low, width = (np.concatenate(x) for x in zip(*parts))
-    time, flat, latest = np.zeros(len(seed)), out.reshape(-1), np.full(len(docs), np.inf)
+    time, flat, latest = np.zeros(len(seed), np.int64), out.reshape(-1), np.full(len(docs), NEVER)
     while len(seed):
         k = int(min(max(30_000 // len(seed), 1), 64))
         step = seed[:, None] + np.arange(1, k + 1, dtype=np.uint64) * GOLDEN
         a, b = mix(step), mix(step ^ np.uint64(0xD6E8FEB86659FD93))
-        t = time[:, None] + np.cumsum(-np.log(((a >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53), 1) / width[:, None]
+        wait = -np.log(((a >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) * (UNIT / width[:, None])
+        t = time[:, None] + np.cumsum(wait.astype(np.int64), 1)
         place = low[:, None] + width[:, None] * ((b & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32)
         register = ((b >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         hit = (t < latest[doc][:, None]) & (place < w[:, None])

@@ -242,14 +242,19 @@ def _trimmed(segs: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for m, t1, t2, s, n, body in zip(*(b.column(c).to_pylist() for c in ("m", "t1", "t2", "s", "n", "body"))):
-                at = np.arange(0, n + WIDTH - SEED, TRIM_STEP)
-                g = mix(rolling(np.frombuffer(body, np.uint8), SEED, B2))[at].view(np.int64)
-                out.append((np.full(len(at), m), g, np.full(len(at), t1), np.full(len(at), t2), np.full(len(at), s, np.int32), at.astype(np.int32)))
+                x = np.frombuffer(body, np.uint8)
+                # at fixed distances from the string that gave the name, so that equal windows have equal ones looked at
+                anchors = np.flatnonzero(mix(rolling(x, SEED, B1)).view(np.int64) == m)
+                last = n + WIDTH - 1 - SEED
+                at = np.unique(np.concatenate([np.arange(a % TRIM_STEP, last + 1, TRIM_STEP) for a in np.unique(anchors % TRIM_STEP)]))
+                g = mix(rolling(x, SEED, B2))[at].view(np.int64)
+                out.append((np.full(len(at), m), g, np.full(len(at), t1), np.full(len(at), t2), np.full(len(at), s, np.int32), at.astype(np.int32), np.full(len(at), len(anchors) > 1)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["m", "g", "t1", "t2", "s", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["m", "g", "t1", "t2", "s", "p", "several"])
 
-    found = segs.mapInArrow(strings, "m bigint, g bigint, t1 bigint, t2 bigint, s int, p int")
-    once = found.groupBy("m", "g").agg(F.count(F.lit(1)).alias("c"), *(F.max(c).alias(c) for c in ("t1", "t2", "s", "p"))).where("c = 1")
+    found = segs.mapInArrow(strings, "m bigint, g bigint, t1 bigint, t2 bigint, s int, p int, several boolean")
+    # a segment with several such strings is looked at from all of them, and stays whole
+    once = found.groupBy("m", "g").agg(F.count(F.lit(1)).alias("c"), F.bool_or("several").alias("several"), *(F.max(c).alias(c) for c in ("t1", "t2", "s", "p"))).where("c = 1 AND NOT several")
     once = once.groupBy("t1", "t2", "s").agg(F.collect_list("p").alias("ps"))  # of one segment
 
     def cut(batches):
