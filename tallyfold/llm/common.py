@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch: whole texts travel in them, so the default of 10,000 is too many.
-ARROW_ROWS = 400
+ARROW_ROWS = 256
 #: A key that holds at least 1/HEAVY of the rows goes by broadcast; there are at most HEAVY of them.
 HEAVY = 4096
 

@@ -117,13 +117,14 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         held: dict[int, tuple] = {}
         for batch in batches:
             keep = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                if b not in held:
-                    if len(held) > 64:
-                        held.clear()
-                    held[b] = multiset(y)
-                if overlap(multiset(x), held[b]) >= similarity:
-                    keep.append((a, b))
+            for i in range(0, batch.num_rows, 32):
+                for a, b, x, y in zip(*(c.to_pylist() for c in batch.slice(i, 32).columns)):
+                    if b not in held:
+                        if len(held) > 16:
+                            held.clear()
+                        held[b] = multiset(y)
+                    if overlap(multiset(x), held[b]) >= similarity:
+                        keep.append((a, b))
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*keep)], names=["a", "b"])
 
@@ -191,9 +192,12 @@ def _similar(ask: list[tuple], held: list[tuple], similarity: float) -> list[tup
     """For rows (node, label, sketch), of each asking one and each other label the most similar held one, if similar enough."""
     arrays = [np.frombuffer(r[2], np.uint32) for r in (*ask, *held)]
     sizes = np.array([len(x) for x in arrays])
-    values, at = np.unique(np.concatenate(arrays), return_inverse=True)
-    table = np.zeros((len(arrays), len(values)), np.float32)
-    table[np.repeat(np.arange(len(arrays)), sizes), at] = 1
+    flat, n = np.concatenate(arrays), int(sizes[: len(ask)].sum())
+    shared = np.intersect1d(flat[:n], flat[n:])  # a column for each value that both sides have
+    at = np.minimum(np.searchsorted(shared, flat), max(len(shared) - 1, 0))
+    here = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+    table = np.zeros((len(arrays), len(shared)), np.float32)
+    table[np.repeat(np.arange(len(arrays)), sizes)[here], at[here]] = 1
     both = table[: len(ask)] @ table[len(ask) :].T
     hit = both >= (similarity - 1e-6) * (sizes[: len(ask), None] + sizes[None, len(ask) :] - both) - 1
     out = []

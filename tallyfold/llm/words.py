@@ -20,7 +20,7 @@ def words(text: str | None) -> list[str]:
 class WordHashes(dict):
     """Hashes of words, remembered; emptied when full."""
 
-    LIMIT = 150_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
