@@ -1,6 +1,6 @@
 """Model candidates, estimators on Spark ML, and cross-fitted probabilities.
 
-Two gradient-boosting libraries of the reference's kind are not available to Spark; both families are
+Two well-known gradient-boosting libraries are not available here; both of their families are
 three binary Spark GBTs with normalised probabilities, of different depth. Numbers of models differ from
 other libraries'; what is kept are the grids' shape and the interface.
 """
