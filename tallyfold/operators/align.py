@@ -58,8 +58,7 @@ def asof_bucket(events: DataFrame, grid: DataFrame, ts: str, at: str = "close_ut
     """
     closes = grid.select(F.to_date(at).alias("__day"), F.col(at).alias("__at"), F.col(session).alias("__session"))
     by_day = closes.groupBy("__day").agg(F.array_sort(F.collect_list(F.struct("__at", "__session"))).alias("__closes"))
-    last = closes.agg(F.max("__day")).first()[0]  # one value of the grid
-    first = closes.agg(F.min("__day")).first()[0]
+    first, last = closes.agg(F.min("__day"), F.max("__day")).first()
     events = events.withColumn("__day", F.to_date(ts))
     if last is None:
         return events.withColumn(session, F.lit(None).cast("date")).drop("__day")
