@@ -77,16 +77,15 @@ def _lows(texts: list[bytes | None]) -> list[np.ndarray]:
     return [np.fromiter({x & 0xFFFFFFFFFFFFFFFF for x in digests(t) if x is not None}, np.uint64) for t in texts]
 
 
-def twice_seen(docs: DataFrame, bits: int, text: str) -> np.ndarray:
-    """The merged twice-seen filter; parts of it travel by segment, compressed, and are merged as they arrive."""
+def twice_seen(rows: DataFrame, lows, bits: int) -> np.ndarray:
+    """The merged twice-seen filter of the 64-bit hashes that lows(batch) yields, as lists of arrays; parts of it travel by segment, compressed, and are merged as they arrive."""
     size = min(bits, SEGMENT) // 8
 
     def note(batches: Iterator[pa.RecordBatch]):
         pair = Pair(bits)
         for b in batches:
-            texts = b.column(0).cast(pa.binary())
-            for a in range(0, len(texts), 256):
-                pair.add(_lows(texts.slice(a, 256).to_pylist()))
+            for arrays in lows(b):
+                pair.add(arrays)
         for s in range(bits // 8 // size):
             once = pair.once[s * size : (s + 1) * size]
             if once.any():
@@ -103,7 +102,7 @@ def twice_seen(docs: DataFrame, bits: int, text: str) -> np.ndarray:
         for s, (_, two) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(two.tobytes(), 1)])], names=["s", "twice"])
 
-    segments = docs.select(text).mapInArrow(note, "s int, once binary, twice binary")
+    segments = rows.mapInArrow(note, "s int, once binary, twice binary")
     merged = segments.repartition(min(bits // 8 // size, 64), "s").mapInArrow(merge, "s int, twice binary")
     out = np.zeros(bits // 8, np.uint8)
     for s, two in merged.collect():  # at most MAX_BITS / 8 bytes
@@ -111,8 +110,15 @@ def twice_seen(docs: DataFrame, bits: int, text: str) -> np.ndarray:
     return out
 
 
-def _bits(total: int) -> int:
-    return min(max(MIN_BITS, 1 << int(16 * max(total, 1) // LINE_BYTES).bit_length()), MAX_BITS)
+def filter_bits(count: int) -> int:
+    """Bits of a filter for so many hashes: 16 for each, within bounds."""
+    return min(max(MIN_BITS, 1 << int(16 * max(count, 1)).bit_length()), MAX_BITS)
+
+
+def _line_lows(b: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+    texts = b.column(0).cast(pa.binary())
+    for a in range(0, len(texts), 256):
+        yield _lows(texts.slice(a, 256).to_pylist())
 
 
 def _signed(x: int) -> int:
@@ -123,8 +129,8 @@ def drop_lists(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     """__id, __h (xxhash64 of the text), __drop: digests of the lines that documents of this id and text lose."""
     spark = docs.sparkSession
     total, _ = text_bytes(spark, docs, text)
-    bits = _bits(total)
-    held = spark.sparkContext.broadcast(twice_seen(docs, bits, text))
+    bits = filter_bits(total // LINE_BYTES)
+    held = spark.sparkContext.broadcast(twice_seen(docs.select(text), _line_lows, bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]):
         twice = held.value

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ensure_columns, hot_keys, lookup, prepare, scratch_path, text_bytes, written
+from .linededup import Pair, filter_bits, probes, twice_seen
 from .words import GOLDEN, mix
 
 WIDTH, SEED = 200, 32
@@ -37,8 +38,6 @@ BUCKET_BYTES = 16 << 20
 BLOCK_BYTES = 2 << 20
 #: Segments of a name that one task takes, or the total through HOT if that is more.
 NAME_SEGMENTS, HOT = 256, 4096
-#: Distance of the strings that trimming looks at.
-TRIM_STEP = 48
 B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -235,42 +234,37 @@ def _sorted_spans(segs: DataFrame) -> DataFrame:
     return segs.mapInArrow(run, SPAN)
 
 
+def _strings(m: int, body: bytes) -> np.ndarray:
+    """Hashes of all SEED-byte strings of a segment, with its name."""
+    return mix(rolling(np.frombuffer(body, np.uint8), SEED, B2) + np.array([m], np.int64).view(np.uint64))
+
+
 def _trimmed(segs: DataFrame) -> DataFrame:
-    """What is left of segments(m, t1, t2, s, n, body), as such, without the windows that hold a string found once under their name."""
+    """What is left of segments(m, t1, t2, s, n, body), as such, without the windows that hold a string found once under their name.
 
-    def strings(batches):
-        for b in batches:
-            out = []
-            for m, t1, t2, s, n, body in zip(*(b.column(c).to_pylist() for c in ("m", "t1", "t2", "s", "n", "body"))):
-                x = np.frombuffer(body, np.uint8)
-                # at fixed distances from the string that gave the name, so that equal windows have equal ones looked at
-                anchors = np.flatnonzero(mix(rolling(x, SEED, B1)).view(np.int64) == m)
-                last = n + WIDTH - 1 - SEED
-                at = np.unique(np.concatenate([np.arange(a % TRIM_STEP, last + 1, TRIM_STEP) for a in np.unique(anchors % TRIM_STEP)]))
-                g = mix(rolling(x, SEED, B2))[at].view(np.int64)
-                out.append((np.full(len(at), m), g, np.full(len(at), t1), np.full(len(at), t2), np.full(len(at), s, np.int32), at.astype(np.int32), np.full(len(at), len(anchors) > 1)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["m", "g", "t1", "t2", "s", "p", "several"])
+    Strings found more than once are in a twice-seen Bloom filter of bounded size; a full one trims less.
+    """
 
-    found = segs.mapInArrow(strings, "m bigint, g bigint, t1 bigint, t2 bigint, s int, p int, several boolean")
-    # a segment with several such strings is looked at from all of them, and stays whole
-    once = found.groupBy("m", "g").agg(F.count(F.lit(1)).alias("c"), F.bool_or("several").alias("several"), *(F.max(c).alias(c) for c in ("t1", "t2", "s", "p"))).where("c = 1 AND NOT several")
-    once = once.groupBy("t1", "t2", "s").agg(F.collect_list("p").alias("ps"))  # of one segment
+    def lows(b):
+        for a in range(0, b.num_rows, 64):
+            yield [_strings(m, x) for m, x in zip(b.column("m").slice(a, 64).to_pylist(), b.column("body").slice(a, 64).to_pylist())]
+
+    bits = filter_bits(segs.agg(F.sum(F.col("n") + (WIDTH - SEED))).first()[0] or 0)
+    held = segs.sparkSession.sparkContext.broadcast(twice_seen(segs.select("m", "body"), lows, bits))
 
     def cut(batches):
+        twice = held.value
         for b in batches:
             out = []
-            for m, t1, t2, s, n, body, ps in zip(*(b.column(c).to_pylist() for c in ("m", "t1", "t2", "s", "n", "body", "ps"))):
-                alive = np.ones(n, bool)
-                for p in ps or ():
-                    alive[max(0, p + SEED - WIDTH) : p + 1] = False
+            for m, t1, t2, s, n, body in zip(*(b.column(c).to_pylist() for c in ("m", "t1", "t2", "s", "n", "body"))):
+                once = np.concatenate([[0], np.cumsum(~Pair.has(twice, probes(_strings(m, body), bits)))])
+                alive = once[WIDTH - SEED + 1 : WIDTH - SEED + 1 + n] == once[:n]
                 out += [(m, t1, t2, s + a, k, body[a : a + k + WIDTH - 1]) for a, k in runs(alive)]
             if out:
                 m, t1, t2, s, n, body = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(body, pa.binary())], names=["m", "t1", "t2", "s", "n", "body"])
 
-    joined = segs.join(once, ["t1", "t2", "s"], "left").select("m", "t1", "t2", "s", "n", "body", "ps")
-    return written(joined.mapInArrow(cut, "m bigint, t1 bigint, t2 bigint, s int, n int, body binary"), "trimmed")
+    return written(segs.mapInArrow(cut, "m bigint, t1 bigint, t2 bigint, s int, n int, body binary"), "trimmed")
 
 
 def _decided(segs: DataFrame, trim: bool) -> DataFrame:
@@ -285,7 +279,7 @@ def _decided(segs: DataFrame, trim: bool) -> DataFrame:
     out = _sorted_spans(cold.repartition(parts, "m").sortWithinPartitions("m", "t1", "t2", "s"))
     if hot is None:
         return out
-    rest = segs.where(hot)
+    rest = written(segs.where(hot), "hot-segments")
     if not trim:
         return out.unionByName(_window_spans(rest))
     rest = _trimmed(rest).withColumn("h1", F.xxhash64("body")).withColumn("h2", F.xxhash64(F.lit(1), "body"))
