@@ -149,6 +149,21 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return nodes
 
 
+def joined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, label: nodes(node, label), the label the smallest node of a component, after edges(a, b) have joined whole components."""
+    total, ends = edges.count(), edges
+    if not total:
+        return nodes
+    for c in ("a", "b"):
+        degrees = edges.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+        known = written(nodes.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}")).join(degrees, c), "ends")
+        ends = lookup(ends, known, [c], "n", total).drop("n")
+    links = ends.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a != b").distinct()
+    moved = components(nodes.where("node = label"), links).where("label < node").select(F.col("node").alias("label"), F.col("label").alias("least"))
+    moved = written(moved.join(nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label"), "moved")
+    return lookup(nodes, moved, ["label"], "n", nodes.count(), "left").select("node", F.coalesce("least", "label").alias("label"))
+
+
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """node, label of the texts that are similar to another text; node = xxhash64 of the text, label the smallest node of the component."""
     spark = prepare(docs.sparkSession)
@@ -170,7 +185,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     pairs = written(met.select(F.col("node").alias("a"), "b").distinct(), "pairs")
     labels = components(labels, written(verify(pairs, near, similarity), "edges"))
     more = written(_block_links(live, live_n, labels, near, similarity), "more-pairs")
-    return components(labels, written(verify(more, near, similarity), "more-edges"))
+    return joined(labels, written(verify(more, near, similarity), "more-edges"))
 
 
 def _sketches(texts: DataFrame) -> DataFrame:

@@ -276,6 +276,20 @@ def test_a_large_group_with_outliers(spark):
     assert got == brute_classes(data)
 
 
+def test_a_late_link_moves_whole_components(spark, monkeypatch):
+    texts = [" ".join([*prose(72, 80).split(), f"end{i}"]) for i in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    a, b, c, d, e = sorted(r[0] for r in docs.select(F.xxhash64("text")).collect())
+    rounds = iter([[(c, b), (e, d), (e, c)], [(b, a)]])  # the late link alone has the smallest node
+    monkeypatch.setattr(minhash, "verify", lambda *_: spark.createDataFrame(next(rounds), "a bigint, b bigint"))
+    got = {r["node"]: r["label"] for r in minhash.near_groups(docs).collect()}
+    assert got == dict.fromkeys((a, b, c, d, e), a)
+    nodes = spark.createDataFrame([(k, k - k % 3) for k in range(12)], "node bigint, label bigint")
+    late = spark.createDataFrame([(5, 7), (8, 1)], "a bigint, b bigint")
+    assert {r["node"]: r["label"] for r in minhash.joined(nodes, late).collect()} == {k: 9 if k >= 9 else 0 for k in range(12)}
+    assert minhash.joined(nodes, late.limit(0)).exceptAll(nodes).count() == 0
+
+
 # ------------------------------------------------------------ personal data
 
 
