@@ -28,7 +28,7 @@ ENDINGS = {("latin", "f"): "na", ("latin", "m"): "rt", ("cyrillic", "f"): "на"
 KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "secret": r"(?<=\b(?:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,}",
+    "secret": r"(?<=\b(?i:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,}",
     "name": r"\b(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
@@ -37,7 +37,7 @@ KINDS = {
 }
 # the first letters of e-mail addresses are anywhere, so an @ is looked for first
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-HINT = r"[0-9@]|(?:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]|\b(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}"
+HINT = r"[0-9@]|(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]|\b(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}"
 
 
 def q(s: str) -> str:

@@ -316,6 +316,14 @@ def test_surrogates(spark, messy, nothing):
     assert pii.pseudonymise(nothing).count() == 0
 
 
+def test_secrets_after_keywords_in_any_case(spark):
+    told = ['TOKEN = "ABCDEFGHIJKLMNOP"', "Password: abcdefghijkl", "API_KEY=abcdEFGHijkl", "ApiKey = 'abcdefghijkl'", "pwd=abcdefghijkl"]
+    out = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(told)), "doc_id bigint, text string")).collect()}
+    for i, t in enumerate(told):
+        secret = t.split("=")[-1].split(":")[-1].strip(" \"'")
+        assert out[i]["n_entities"] == 1 and secret not in out[i]["text"] and out[i]["text"].startswith(t.split(secret)[0])
+
+
 def test_distinct_entities_stay_distinct_and_redraws_go_by_joins(spark, monkeypatch):
     data = [(i, f"see {i % 10}.{i // 10 % 10}.{i // 100}.7 and {i % 10}.{i // 10 % 10}.{i // 100}.7") for i in range(400)]
     df = spark.createDataFrame(data, "doc_id bigint, text string")
