@@ -37,7 +37,7 @@ KINDS = {
 }
 # the first letters of e-mail addresses are anywhere, so an @ is looked for first
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-HINT = r"[0-9@]|(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]|\b(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}"
+HINT = r"[0-9@]|(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]|\b(?:AKIA|ASIA)[A-Z0-9]{16}|\b(?:" + "|".join(MALE + FEMALE) + r")\.? \p{Lu}"
 
 
 def q(s: str) -> str:
