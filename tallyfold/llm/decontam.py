@@ -6,8 +6,8 @@ scores are divided by the least score of a passage that could pass verification,
 their index, at steps of that length, so each occurrence of an item lies in one whole. Blocks are runs of
 BLOCK items, with a term's best score in each. A passage whose summed best scores stay below 1, over all
 items or in a block, has no pivot there and is left at once; WAND searches the blocks that remain.
-Retrieved items are verified: of the item's five-word shingles at least 0.8 must be in the passage, and
-of its question's and of its answer's words at least PART each.
+Retrieved items are verified: of the item's five-word shingles at least 0.8 must be in the passage, and,
+where the item marks its answer, of its question's and of its answer's words at least PART each.
 """
 
 from __future__ import annotations
@@ -58,6 +58,7 @@ class Item:
     shingles: set
     question: set
     answer: set
+    marked: bool
 
 
 class Index:
@@ -67,7 +68,7 @@ class Index:
         self.similarity, self.items, self.terms, token_lists = similarity, [], {} if terms is None else terms, []
         for i, text in items:
             w, (q, a) = words(text), split_item(text)
-            self.items.append(Item(i, shingles(w), set(words(q)), set(words(a))))
+            self.items.append(Item(i, shingles(w), set(words(q)), set(words(a)), bool(_answer.search(text))))
             token_lists.append(w)
         self.length = max(map(len, token_lists))
         df = Counter(t for w in token_lists for t in set(w))
@@ -176,7 +177,7 @@ class Pass:
                     for i, score in hits:
                         x = index.items[i]
                         row = (x.id, score, share(x.shingles, have), share(x.question, vocab), share(x.answer, vocab))
-                        if row[2] >= index.similarity - 1e-12 and min(row[3:]) >= PART and row[1:] > found[d].get(x.id, (x.id, -1.0))[1:]:
+                        if row[2] >= index.similarity - 1e-12 and (not x.marked or min(row[3:]) >= PART) and row[1:] > found[d].get(x.id, (x.id, -1.0))[1:]:
                             found[d][x.id] = row
         return [sorted(f.values()) for f in found]
 

@@ -147,6 +147,13 @@ def test_leaks_in_the_test_documents(spark, docs, texts):
     assert got == brute_leaks(texts.items(), [(r["item_id"], r["text"]) for r in bench.collect()])
 
 
+def test_the_last_sentence_has_no_veto():
+    body = " ".join(f"q{i}" for i in range(40))
+    one = decontam.Pass([[(1, f"{body}. Er."), (2, f"{body.replace('q', 'r')}\nAnswer: Er")]])
+    texts = [f"{body}. Sie.", body, f"{body}. Er.", f"{body.replace('q', 'r')} answer: Sie"]
+    assert [[r[0] for r in found] for found in one.matches(texts)] == [[1], [1], [1], []]
+
+
 def test_wand_finds_all_above_the_threshold():
     items = [(i, prose(100 + i % 7, 30 + i % 5, 60)) for i in range(40)]
     one = decontam.Pass([items])
