@@ -2,8 +2,9 @@
 
 The test items are the indexed documents and every passage of the training texts is a query. An item's
 scores are divided by the least score of a passage that could pass verification, so that one threshold,
-1, holds for all items and loses none. Passages are windows of twice the length of the longest item of
-their index, at steps of that length, so each occurrence of an item lies in one whole. Blocks are runs of
+1, holds for all items and loses none. Passages are windows of three times the length of the longest item
+of their index, at steps of that length, so an occurrence that insertions have made up to twice that long lies
+in one whole; of a longer one, parts may be missed. Blocks are runs of
 BLOCK items, with a term's best score in each. A passage whose summed best scores stay below 1, over all
 items or in a block, has no pivot there and is left at once; WAND searches the blocks that remain.
 Retrieved items are verified: of the item's five-word shingles at least 0.8 must be in the passage, and,
@@ -27,6 +28,8 @@ from .words import SHINGLE, words
 
 SIMILARITY, PART = 0.8, 0.5
 K1, B = 1.2, 0.75
+#: Lengths of the longest item in a passage.
+SPAN = 3
 #: Items of a block.
 BLOCK = 8
 #: Text bytes of the items that are broadcast at once; more items make more passes.
@@ -134,10 +137,11 @@ class Index:
         local, gain = (at - begin) // step, self.best[term]
         cell, first = base[doc] + local, begin + local * step
         n = int(cells.sum())
-        # a word counts at its first place in a window of two cells
+        # a word counts at its first place in a window of SPAN cells
         total = np.bincount(cell, gain * (before < first), n)
-        second = local > 0
-        total += np.bincount(cell[second] - 1, (gain * (before < first - step))[second], n)
+        for k in range(1, SPAN):
+            late = local >= k
+            total += np.bincount(cell[late] - k, (gain * (before < first - k * step))[late], n)
         for c in np.flatnonzero(total >= 1):
             d = int(np.searchsorted(base, c, side="right")) - 1
             yield d, int(c - base[d]) * step
@@ -168,11 +172,11 @@ class Pass:
         found: list[dict[int, tuple]] = [{} for _ in texts]
         for index in self.indexes:
             for d, s in index.passages(at, term, before, begin, sizes):
-                a, z = starts[d] + s, starts[d] + min(s + 2 * index.length, sizes[d])
+                a, z = starts[d] + s, starts[d] + min(s + SPAN * index.length, sizes[d])
                 terms = np.unique(ids[a:z])
                 hits = index.search(terms[terms > 0])
                 if hits:
-                    part = docs[d][s : s + 2 * index.length]
+                    part = docs[d][s : s + SPAN * index.length]
                     have, vocab = shingles(part), set(part)
                     for i, score in hits:
                         x = index.items[i]

@@ -154,6 +154,16 @@ def test_the_last_sentence_has_no_veto():
     assert [[r[0] for r in found] for found in one.matches(texts)] == [[1], [1], [1], []]
 
 
+def test_edited_items_are_found_at_every_offset():
+    w = [f"q{i}" for i in range(60)]
+    one = decontam.Pass([[(1, " ".join(w))]])
+    edited = [*w[:20], *("ins",) * 5, *w[20:40], *("more",) * 5, *w[40:]]
+    long = [*w[:20], *("ins",) * 30, *w[20:40], *("more",) * 30, *w[40:]]
+    for e in (edited, long):
+        texts = [" ".join([*(f"x{i}" for i in range(k)), *e, *(f"y{i}" for i in range(200))]) for k in range(190)]
+        assert [[r[0] for r in found] for found in one.matches(texts)] == [[1]] * 190
+
+
 def test_wand_finds_all_above_the_threshold():
     items = [(i, prose(100 + i % 7, 30 + i % 5, 60)) for i in range(40)]
     one = decontam.Pass([items])
