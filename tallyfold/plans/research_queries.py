@@ -99,11 +99,12 @@ slice1 AS (SELECT *, row_number() OVER ({W}) - 1 AS pos FROM slice0),
 slice AS MATERIALIZED (SELECT * FROM slice1 WHERE pos < 150)"""
 
 
-def slice_of(spark, sf, rows: int = 150):
+def slice_of(spark, sf, rows: int | None = 150):
     s = snapshot(spark, sf)
     f = X.build(s, X.Registry([x for x in X.REGISTRY.features if x.name in SCREENED]), extra={"target": X.open_close_target()})
     d = f.withColumn("z", L.vol_adjusted(F.col("target"), F.col("Volatility_20"))).where("target > -1 AND z IS NOT NULL")
-    return L.positions_in_order(d).where(F.col("pos") < rows)
+    d = L.positions_in_order(d)
+    return d if rows is None else d.where(F.col("pos") < rows)
 
 
 _LONG = "lng AS (" + " UNION ALL ".join(f"SELECT symbol, '{n}' AS feature, pos, round({n}, 9) AS x, round(z, 9) AS z FROM slice WHERE {n} IS NOT NULL" for n in SCREENED) + ")"
@@ -156,7 +157,7 @@ def correlation_pairs(spark, sf):
 
 @query("screened_features")
 def screened_features(spark, sf):
-    d = slice_of(spark, sf).where("symbol = 'BUILDING'").persist()
+    d = slice_of(spark, sf, None).where("symbol = 'BUILDING'").persist()
     kept = S.screen(d, SCREENED, _GROUP)
     d.unpersist()
     return spark.createDataFrame([(i, f, ic) for i, (f, ic) in enumerate(kept)], "rank int, feature string, ic double")

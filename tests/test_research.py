@@ -3,7 +3,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import weekdays
+from conftest import DATA, weekdays
 from pyspark.sql import functions as F
 
 from tallyfold.functions.smoothing import smooth
@@ -15,6 +15,7 @@ from tallyfold.operators import models as M
 from tallyfold.operators import screening as S
 from tallyfold.operators import text as T
 from tallyfold.operators import walkforward as V
+from tallyfold.plans import research_queries as R
 from tallyfold.sources import files
 
 
@@ -181,3 +182,11 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
     want = {r["session"]: (r["n_events"], r["total"]) for r in QUERIES["session_event_totals"](spark, DATA).where("n_events > 0").collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert all(v[1] == pytest.approx(want[k][1], abs=1e-3) for k, v in got.items())
+
+
+def test_the_screen_sees_all_rows(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(S, "screen", lambda d, *_: seen.update({r["symbol"]: r["count"] for r in d.groupBy("symbol").count().collect()}) or [])
+    R.screened_features(spark, DATA)
+    want = {r["symbol"]: r["count"] for r in R.zrows(spark, DATA).groupBy("symbol").count().collect()}
+    assert seen and min(want.values()) > 150 and all(want[k] == n for k, n in seen.items())
