@@ -60,6 +60,11 @@ def segment_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.to_bars(rows, F.col("c_mktsegment"), F.to_date("o_orderdate"), "o_totalprice", "o_orderkey")
 
 
+def symbols(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The panel's symbols (driver: one row each)."""
+    return sorted(r["symbol"] for r in segment_bars(spark, sf_dir).select("symbol").distinct().collect())
+
+
 PANEL = """
 panel AS (
   SELECT c_mktsegment AS symbol, CAST(o_orderdate AS DATE) AS session, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import calibration as K
@@ -9,13 +12,13 @@ from ..operators import features as X
 from ..operators import labels as L
 from ..operators import models as M
 from ..operators import walkforward as V
-from .base import query, rounded, snapshot
+from .base import query, rounded, snapshot, symbols
 from .execution_queries import frame
 
 FEATURES = ["log_ret", "SMA_gap_5", "Volatility_20", "intraday_ret", "close_location_value"]
 
 
-def study(spark, sf, symbol: str = "BUILDING"):
+def study(spark, sf, symbol: str):
     """One symbol's rows in order: features, target, z, carry, pos; NULL-free. A study of one series is as long as its sessions."""
     s = snapshot(spark, sf).where(F.col("symbol") == symbol)
     f = X.build(s, X.Registry([x for x in X.REGISTRY.features if x.name in FEATURES]))
@@ -28,8 +31,13 @@ def study(spark, sf, symbol: str = "BUILDING"):
     return L.positions_in_order(d)
 
 
-def split(spark, sf):
-    d = study(spark, sf).persist()
+def each(spark, sf, study_of) -> DataFrame:
+    """The rows that study_of(symbol) gives for each of the panel's symbols."""
+    return reduce(DataFrame.unionByName, map(study_of, symbols(spark, sf)))
+
+
+def split(spark, sf, symbol: str):
+    d = study(spark, sf, symbol).persist()
     n = d.count()
     cut = n * 3 // 4
     q = d.where(F.col("pos") < cut).agg(*L.thresholds()).first()
@@ -40,8 +48,11 @@ def split(spark, sf):
 def _out_of_sample(name: str, candidate: M.Candidate):
     @query(name)
     def run(spark, sf):
-        train, test, _ = split(spark, sf)
-        return rounded(M.fit(train, candidate, FEATURES).predict(test).select("symbol", "session", "label", *K.P), 9)
+        def one(symbol):
+            train, test, _ = split(spark, sf, symbol)
+            return rounded(M.fit(train, candidate, FEATURES).predict(test).select("symbol", "session", "label", *K.P), 9)
+
+        return each(spark, sf, one)
 
 
 _out_of_sample("logistic_baseline_oos", M.Candidate("logistic", (("C", 0.1),)))
@@ -54,22 +65,25 @@ _out_of_sample("gbt_shallow_oos", M.Candidate("boosted_shallow", (("trees", 5),
 def _calibrated(name: str, kind: str):
     @query(name)
     def run(spark, sf):
-        train, test, cut = split(spark, sf)
-        c = M.Candidate("logistic", (("C", 0.1),))
-        oof = M.cross_fit(train, cut, c, FEATURES).persist()
-        model = M.fit(train, c, FEATURES)
-        rows = model.predict(test).select("symbol", "session", "label", *K.P)
-        if not K.viable(oof, "label"):
-            return rounded(rows.withColumn("calibration_skipped", F.lit(True)), 9)
-        return rounded(K.calibrator(kind).fit(oof, "label").transform(rows).withColumn("calibration_skipped", F.lit(False)), 9)
+        def one(symbol):
+            train, test, cut = split(spark, sf, symbol)
+            c = M.Candidate("logistic", (("C", 0.1),))
+            oof = M.cross_fit(train, cut, c, FEATURES).persist()
+            model = M.fit(train, c, FEATURES)
+            rows = model.predict(test).select("symbol", "session", "label", *K.P)
+            if not K.viable(oof, "label"):
+                return rounded(rows.withColumn("calibration_skipped", F.lit(True)), 9)
+            return rounded(K.calibrator(kind).fit(oof, "label").transform(rows).withColumn("calibration_skipped", F.lit(False)), 9)
+
+        return each(spark, sf, one)
 
 
 _calibrated("platt_calibrated", "sigmoid")
 _calibrated("isotonic_calibrated", "isotonic")
 
 
-def _walk(spark, sf):
-    d = study(spark, sf).persist()
+def _walk(spark, sf, symbol: str):
+    d = study(spark, sf, symbol).persist()
     n = d.count()
     c = M.candidates({"logistic": {"C": [0.01, 1.0]}}, [0.0])
     initial = n * 2 // 3
@@ -78,13 +92,13 @@ def _walk(spark, sf):
 
 @query("walkforward_selection")
 def walkforward_selection(spark, sf):
-    _, log = _walk(spark, sf)
-    return spark.createDataFrame([tuple(x.values()) for x in log], "step int, chosen string, standard_error double, n_degenerate int, is_baseline boolean")
+    log = [(symbol, *x.values()) for symbol in symbols(spark, sf) for x in _walk(spark, sf, symbol)[1]]
+    return spark.createDataFrame(log, "symbol string, step int, chosen string, standard_error double, n_degenerate int, is_baseline boolean")
 
 
 @query("walkforward_predictions")
 def walkforward_predictions(spark, sf):
-    return rounded(_walk(spark, sf)[0], 9)
+    return each(spark, sf, lambda symbol: rounded(_walk(spark, sf, symbol)[0], 9))
 
 
 @query("candidate_grid", "SELECT * FROM (VALUES ('baseline', 0, 1), ('logistic', 1, 12), ('forest', 2, 4)) AS t(family, complexity_rank, n_candidates)")

@@ -15,7 +15,7 @@ from ..operators import labels as L
 from ..operators import screening as S
 from ..operators import text as T
 from ..sources import files
-from .base import BARS, SNAPSHOT, market_bars, query, rnd, rounded, snapshot, table
+from .base import BARS, SNAPSHOT, market_bars, query, rnd, rounded, snapshot, symbols, table
 from .execution_queries import _PROBS, BENCH, NET, W, bench_net, frame, probs
 from .feature_queries import EXPR, features_sql
 
@@ -157,10 +157,12 @@ def correlation_pairs(spark, sf):
 
 @query("screened_features")
 def screened_features(spark, sf):
-    d = slice_of(spark, sf, None).where("symbol = 'BUILDING'").persist()
-    kept = S.screen(d, SCREENED, _GROUP)
+    d, rows = slice_of(spark, sf, None).persist(), []
+    for symbol in symbols(spark, sf):
+        kept = S.screen(d.where(F.col("symbol") == symbol), SCREENED, _GROUP)
+        rows += [(symbol, i, f, ic) for i, (f, ic) in enumerate(kept)]
     d.unpersist()
-    return spark.createDataFrame([(i, f, ic) for i, (f, ic) in enumerate(kept)], "rank int, feature string, ic double")
+    return spark.createDataFrame(rows, "symbol string, rank int, feature string, ic double")
 
 
 @query("feature_stability", f"WITH {SLICE}, v AS (SELECT symbol, pos // 50 AS block, {', '.join(f'count({n}) AS {n}' for n in SCREENED)} FROM slice GROUP BY 1, 2) " + "SELECT feature, CAST(sum(CASE WHEN n >= 20 THEN 1 ELSE 0 END) AS BIGINT) AS n_blocks FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, {n} AS n FROM v" for n in SCREENED) + ") GROUP BY 1")
@@ -184,9 +186,13 @@ path AS (SELECT rep, i, (s0 + i - i0) % n AS idx FROM bp)"""
 
 def paired_series(spark, sf):
     """idx, x (prior-day direction), y (always-long), r of one symbol; one series has as many rows as sessions."""
-    d = bench_net(spark, sf).where("symbol = 'BUILDING' AND benchmark IN ('prior_open_close', 'always_long')")
-    w = d.groupBy("session").agg(F.max(F.when(F.col("benchmark") == "prior_open_close", F.col("excess"))).alias("x"), F.max(F.when(F.col("benchmark") == "always_long", F.col("excess"))).alias("y"), F.max("o2c").alias("r"))
-    return I.indexed(w)
+    return I.indexed(pairs(spark, sf).where("symbol = 'BUILDING'").drop("symbol"))
+
+
+def pairs(spark, sf):
+    """symbol, session, x, y, r of all symbols."""
+    d = bench_net(spark, sf).where("benchmark IN ('prior_open_close', 'always_long')")
+    return d.groupBy("symbol", "session").agg(F.max(F.when(F.col("benchmark") == "prior_open_close", F.col("excess"))).alias("x"), F.max(F.when(F.col("benchmark") == "always_long", F.col("excess"))).alias("y"), F.max("o2c").alias("r"))
 
 
 _SR = "(CASE WHEN stddev_samp({0}) > 0 THEN avg({0}) / stddev_samp({0}) * sqrt(252) END)"
@@ -236,7 +242,7 @@ def jobson_korkie_z(spark, sf):
 
 @query("jobson_korkie_p")
 def jobson_korkie_p(spark, sf):
-    return paired_series(spark, sf).agg(*I.jobson_korkie("x", "y")).select("z", I.two_sided_p("z").alias("p_value"))
+    return pairs(spark, sf).groupBy("symbol").agg(*I.jobson_korkie("x", "y")).select("symbol", "z", I.two_sided_p("z").alias("p_value"))
 
 
 @query("expected_max_sharpe")

@@ -16,6 +16,7 @@ from tallyfold.operators import screening as S
 from tallyfold.operators import text as T
 from tallyfold.operators import walkforward as V
 from tallyfold.plans import research_queries as R
+from tallyfold.plans.catalog import QUERIES
 from tallyfold.sources import files
 
 
@@ -190,3 +191,9 @@ def test_the_screen_sees_all_rows(spark, monkeypatch):
     R.screened_features(spark, DATA)
     want = {r["symbol"]: r["count"] for r in R.zrows(spark, DATA).groupBy("symbol").count().collect()}
     assert seen and min(want.values()) > 150 and all(want[k] == n for k, n in seen.items())
+
+
+@pytest.mark.parametrize("name", ["screened_features", "jobson_korkie_p", "logistic_baseline_oos"])
+def test_all_symbols_take_part(spark, name):
+    want = {r["symbol"] for r in R.zrows(spark, DATA).select("symbol").distinct().collect()}
+    assert {r["symbol"] for r in QUERIES[name](spark, DATA).collect()} == want and len(want) > 1
