@@ -2,6 +2,7 @@ import base64
 import collections
 import hashlib
 import json
+import math
 import zlib
 
 import duckdb
@@ -386,18 +387,44 @@ def test_prediction_sees_the_text_alone(docs):
 # ------------------------------------------------------------ top-k
 
 
+def brute_top(v, k=5):
+    """Rows, not ids: (query id, rank, vec_id, score), with Python's whole numbers."""
+    good = [(n, i, [math.floor(256 * c) for c in x]) for n, (i, x) in enumerate(v) if i is not None and x and all(c is not None and math.isfinite(c) for c in x)]
+    out = collections.Counter()
+    for n, q, x in good:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for m, i, y in good if m != n and len(y) == len(x))[:k]
+            out.update((q, r + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, i) in enumerate(best))
+    return out
+
+
 def test_top_k_by_brute_force(spark):
     r = np.random.default_rng(3)
-    v = [(i, r.normal(size=8).tolist()) for i in range(300)] + [(300, None), (301, [None] * 8), (302, [float("nan")] * 8), (350, [float("inf")] * 8), (400, [1.0] * 4), (401, [0.5] * 4), (None, [1.0] * 8), (7, v7 := r.normal(size=8).tolist()), (450, [])]
-    got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in topk.top_k(spark.createDataFrame(v, "vec_id bigint, embedding array<double>")).collect()}
-    good = [(i, np.floor(256 * np.array(x))) for i, x in v if i is not None and x and all(c is not None and np.isfinite(c) for c in x)]
-    for q, x in good:
-        if q % 50 == 0:
-            best = sorted(((-int(x @ y), i) for i, y in good if i != q and len(y) == len(x)))[:5]
-            assert [got[q, k + 1] for k in range(len(best))] == [(i, -s) for s, i in best] and (q, len(best) + 1) not in got
+    v = [(i, r.normal(size=8).tolist()) for i in range(300)] + [(300, None), (301, [None] * 8), (302, [float("nan")] * 8), (350, [float("inf")] * 8), (400, [1.0] * 4), (401, [0.5] * 4), (None, [1.0] * 8), (7, r.normal(size=8).tolist()), (450, [])]
+    v += [(50, r.normal(size=8).tolist()), (50, v[50][1]), (100, v[100][1]), (500, [3e6, -2e6, 1e6]), (500, [3e6, -2e6, 1e6]), (501, [-3e6, 2.5e6, 1e6 + 0.5]), (502, [1e6, 1e6, 1e6])]
+    got = collections.Counter(tuple(x) for x in topk.top_k(spark.createDataFrame(v, "vec_id bigint, embedding array<double>")).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_top(v) and sum(n for (q, *_), n in got.items() if q == 50) == 15
     assert topk.top_k(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    r = np.random.default_rng(4)
+    v = [(i, (r.normal(size=6) * 10.0 ** r.integers(0, 10, 6)).tolist()) for i in range(250)] + [(300 + i, (r.normal(size=2) * 1e14).tolist()) for i in range(60)] + [(400, [5e13, 1.0]), (401, [5e13, 2.0]), (402, [5e13, 1.5])]
+    got = collections.Counter(tuple(x) for x in topk.top_k(spark.createDataFrame(v, "vec_id bigint, embedding array<double>")).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_top(v) and max(s for *_, s in got) == (1 << 63) - 1
+    with pytest.raises(ValueError, match="components"):
+        topk.top_k(spark.createDataFrame([(0, [1e200, 1.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<double>"))
+
+
+def test_top_k_by_sql(spark, tmp_path):
+    r = np.random.default_rng(5)
+    v = [(i % 120, r.normal(size=5).tolist()) for i in range(300)]
+    spark.createDataFrame(v, "vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert collections.Counter(tuple(x) for x in topk.op9_topk(spark, str(tmp_path)).collect()) == collections.Counter(c.sql(topk.SQL).fetchall())
+
+
 # ------------------------------------------------------------ line dedup
 
 
