@@ -13,6 +13,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -25,6 +26,8 @@ from .common import ensure_columns, prepare, scratch_path, text_bytes
 
 END = 2
 PART_BYTES = 16 << 20
+#: Parts at most; of more text, parts are larger. A part's offsets are in memory, 24 bytes a document.
+MAX_PARTS = 20_000
 #: Pieces that a worker remembers; a full memory is emptied.
 CACHE = 1_000_000
 
@@ -57,7 +60,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         n = self.tok.get_vocab_size()
         self.kind = id_type(n)
         self.width = np.dtype(self.kind).itemsize
@@ -84,7 +87,7 @@ class Encoder:
             self.pieces[x] = self.pieces[x[:-1]] + self.marks[x[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _odd(t) else t.split(" ") for t in texts]
+        split = [None if _odd(t) or any(x in t for x in self.added) else t.split(" ") for t in texts]
         if len(self.pieces) > CACHE:
             self.pieces.clear()
         new = set().union(*(s[1:] for s in split if s)).difference(self.pieces)
@@ -118,8 +121,10 @@ def _put(fs: pafs.FileSystem, path: str, data: list[bytes], mark: str) -> None:
 def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, end: int = END, part_bytes: int = PART_BYTES) -> list[dict]:
     """Writes the files for docs(doc_id, text) in ascending doc_id order (nulls first; equal ids by text) to out.
 
-    Null text is empty; each document ends with the id `end`. Returns parts.json: name, number of
-    documents, ids and the base of each part. An empty table gives no parts.
+    Null text is empty; each document ends with the id `end`. Texts of any length are encoded whole, with the
+    library's own treatment of added tokens. Repeated rows are documents of their own; other columns are left
+    out. Returns parts.json: name, number of documents, ids and the base of each part. An empty table gives
+    no parts.
     """
     spark, tokenizer = prepare(docs.sparkSession), tokenizer or tokenizer_path()
     docs = ensure_columns(docs, doc_id="bigint", text="string")
@@ -135,9 +140,9 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
         ctx = TaskContext.get()
         enc, fs = encoder(tokenizer), _fs(out)[0]
         name, mark = f"part-{ctx.partitionId():05d}", str(ctx.taskAttemptId())
-        ids, valid, lengths, body = [], [], [], fs.open_output_stream(f"{root}/{name}.bin.{mark}")
+        ids, valid, lengths, body = array("q"), [], array("q"), fs.open_output_stream(f"{root}/{name}.bin.{mark}")
         for b in batches:
-            ids += b.column("doc_id").fill_null(0).to_pylist()
+            ids.extend(b.column("doc_id").fill_null(0).to_pylist())
             valid.append(np.asarray(b.column("doc_id").is_valid()).astype("u1"))
             texts = b.column("text").fill_null("").to_pylist()
             for a in range(0, len(texts), 128):
@@ -149,14 +154,14 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
             fs.delete_file(f"{root}/{name}.bin.{mark}")
             return
         fs.move(f"{root}/{name}.bin.{mark}", f"{root}/{name}.bin")
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
-        _put(fs, f"{root}/{name}.idx", [np.array([len(ids)], "<i8").tobytes(), offsets.tobytes(), np.array(ids, "<i8").tobytes(), np.concatenate(valid).tobytes()], mark)
+        offsets = np.concatenate([[0], np.cumsum(np.asarray(lengths))]).astype("<i8")
+        _put(fs, f"{root}/{name}.idx", [np.array([len(ids)], "<i8").tobytes(), offsets.tobytes(), np.asarray(ids).astype("<i8").tobytes(), np.concatenate(valid).tobytes()], mark)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([int(offsets[-1])], pa.int64())], names=["part", "docs", "ids"])
 
-    parts = max(1, -(-(total + 64 * rows) // part_bytes))
+    parts = max(1, min(-(-(total + 64 * rows) // part_bytes), MAX_PARTS))
     tie = F.xxhash64("text")  # a third of the rows may share an id
     ranged = docs.withColumn("tie", tie).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    listed = sorted(ranged.mapInArrow(write, "part string, docs bigint, ids bigint").collect())  # one row a part
+    listed = sorted(ranged.mapInArrow(write, "part string, docs bigint, ids bigint").collect())  # MAX_PARTS rows at most
     base, found = 0, []
     for part, n, ids in listed:
         found.append({"part": part, "docs": n, "ids": ids, "base": base, "type": kind})
