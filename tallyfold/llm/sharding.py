@@ -1,7 +1,7 @@
 """Sharding by a two-pass external shuffle, with DataFrame functions only.
 
-Pass 1 scatters the rows uniformly over buckets by a seeded hash; there are as many buckets as keep one
-in memory. Pass 2 takes each bucket alone, shuffles it (Spark's shuffle() is the inside-out
+Pass 1 scatters the rows uniformly over buckets, by a seeded hash of the row and its place in the input, so that equal
+rows scatter too, and writes them; there are as many buckets as keep one in memory. Pass 2 takes each bucket alone, shuffles it (Spark's shuffle() is the inside-out
 Fisher-Yates) and appends it to the output order, whose bases are prefix sums of the bucket counts.
 Shards are equal ranges of that order, so a bucket's file lies in one shard, seldom in two.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, make_room, prepare, text_bytes
+from .common import ensure_columns, make_room, prepare, text_bytes, written
 
 LAW = "rows"
 #: Text bytes of one bucket, as pass 2 holds a bucket in memory.
@@ -29,15 +29,18 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 20240229, buc
     """All rows and columns of docs, and: shard (0 to shards - 1), slot (gapless from 0 in a shard).
 
     Law `rows`: the shards' row counts are at most one apart. Null ids and texts count as values of
-    their own; repeated rows are separate rows; an empty table gives an empty one; columns named shard,
-    slot or __* are kept as <name>_in. The same seed and the same partitions give the same order.
+    their own; repeated rows are separate rows, dealt apart; texts of any length go whole; an empty table gives
+    an empty one; columns named shard, slot or __* are kept as <name>_in. The same seed and the same
+    partitions of the input give the same order.
     """
     spark = prepare(docs.sparkSession)
     docs = make_room(docs, "shard", "slot", "__bucket", "__row", "__pos", "__base", "__at", "__n")
     total, rows = text_bytes(spark, docs, text_col)
     buckets = max(1, -(-(total + 64 * rows) // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(buckets)).alias("__bucket")
-    scattered = docs.select(bucket, F.struct("*").alias("__row"))
+    # the place may differ when a task of a shuffled input runs again, so what was dealt is written before it is counted
+    place = F.monotonically_increasing_id()
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), place), F.lit(buckets)).alias("__bucket")
+    scattered = written(docs.select(bucket, F.struct("*").alias("__row")), "scattered")
 
     counts = scattered.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     group = F.floor(F.col("__bucket") / GROUP)

@@ -55,6 +55,16 @@ def test_shards_are_even_gapless_and_whole(messy, nothing, docs):
     assert a.orderBy("shard", "slot").first()["doc_id"] != 0 or a.where("shard = 0").agg(F.max("doc_id")).first()[0] > 20  # shuffled
 
 
+def test_equal_rows_scatter_over_the_buckets(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(sharding, "written", lambda df, name: seen.append(written(df, name)) or seen[-1])
+    same = spark.createDataFrame([(1, "the same row")], "doc_id bigint, text string").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(4000)))).drop("i")
+    out = sharding.shard_documents(same, shards=8, bucket_bytes=16_000).groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("z"), F.countDistinct("slot").alias("d"))
+    assert [tuple(r)[1:] for r in out.collect()] == [(500, 0, 499, 500)] * 8
+    sizes = [r["count"] for r in seen[0].groupBy("__bucket").count().collect()]
+    assert len(sizes) == 19 and max(sizes) < 2 * 4000 / 19
+
+
 def test_shards_can_be_written(spark, docs, tmp_path):
     sharding.write_shards(sharding.shard_documents(docs), str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
@@ -68,12 +78,15 @@ def test_digest_of_a_null_text(messy):
 # ------------------------------------------------------------ token files
 
 
+SPECIAL = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>y  <|endoftext|>", "say <|endoftext|", prose(11, 40) + " <|endoftext|> " + prose(12, 40)]
+
+
 def test_token_files_round_trip(spark, messy, nothing, tmp_path):
     out = str(tmp_path / "t")
+    messy = messy.unionByName(spark.createDataFrame(rows(SPECIAL, range(700, 705)), SCHEMA))
     parts = token_files.write_token_files(messy, out, part_bytes=10_000)
     got = token_files.read_token_files(spark, out).orderBy("start").collect()
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = collections.Counter()
     for r in messy.collect():
         ids = np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
@@ -88,8 +101,8 @@ def test_token_files_round_trip(spark, messy, nothing, tmp_path):
 
 
 def test_pieces_encode_as_whole_texts(texts):
-    enc, all_ = token_files.encoder(P.path("byte_bpe_50k.json")), [*texts.values(), *(t or "" for t in MESSY), "a  b\n\n c", " lead", "trail ", "don't 'tis x's ,.;", "<|endoftext|> a"]
-    want = [np.asarray(e.ids, "<u2").tobytes() for e in enc.tok.encode_batch(all_, add_special_tokens=False)]
+    enc, all_ = token_files.encoder(P.path("byte_bpe_50k.json")), [*texts.values(), *(t or "" for t in MESSY), "a  b\n\n c", " lead", "trail ", "don't 'tis x's ,.;", *SPECIAL]
+    want = [np.asarray(e.ids, "<u2").tobytes() for e in Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode_batch(all_, add_special_tokens=False)]
     assert enc.encode(all_) == want and enc.encode(all_) == want
 
 
