@@ -9,8 +9,10 @@ name meet in one task, which sorts their suffixes by two-stage sorting (directly
 smaller than their successors, induce the rest by scans of the buckets) and compares adjacent suffixes for a
 common prefix of 200 bytes. Names with very many segments would fill a task; theirs are trimmed first: a
 32-byte string that occurs once under its name rules out all windows that hold it, and what is left of the
-segments at the edges of a very common passage is mostly equal, and decided as a whole. Should a name still
-have too many, its windows are counted one by one by digests, which Spark combines before it shuffles them.
+segments at the edges of a very common passage is mostly equal, and decided as a whole. What is not gets a second
+name, the least of another hash, under which fewer meet, and goes to suffix arrays again; so up to LEVELS
+times. Should a name still have too many, its windows are counted one by one by digests, which Spark combines
+before it shuffles them.
 
 Equal texts are taken as one text with a count: all bytes of copies of 200 bytes or more repeat.
 """
@@ -38,6 +40,8 @@ BUCKET_BYTES = 16 << 20
 BLOCK_BYTES = 2 << 20
 #: Segments of a name that one task takes, or the total through HOT if that is more.
 NAME_SEGMENTS, HOT = 256, 4096
+#: Times that names with more are trimmed and split, before their windows are counted by digest.
+LEVELS = 3
 B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -267,8 +271,38 @@ def _trimmed(segs: DataFrame) -> DataFrame:
     return written(segs.mapInArrow(cut, "m bigint, t1 bigint, t2 bigint, s int, n int, body binary"), "trimmed")
 
 
-def _decided(segs: DataFrame, trim: bool) -> DataFrame:
-    """Spans of repeated starts of distinct segments(m, t1, t2, s, n, body): by suffix arrays, and for names with very many segments after trimming."""
+def _renamed(segs: DataFrame, level: int) -> DataFrame:
+    """segments(m, t1, t2, s, n, body) cut anew: windows of one name are told apart by a second one, the least of another hash of their strings."""
+
+    def run(batches):
+        salt = mix(np.array([level + 1], np.uint64))
+        for b in batches:
+            out = []
+            for m, t1, t2, s, n, body in zip(*(b.column(c).to_pylist() for c in ("m", "t1", "t2", "s", "n", "body"))):
+                again = least(mix(rolling(np.frombuffer(body, np.uint8), SEED, B1) ^ salt), WIDTH - SEED + 1)[:n]
+                name = mix(again ^ np.array([m], np.int64).view(np.uint64)).view(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])).tolist()
+                out += [(int(name[a]), t1, t2, s + a, z - a, body[a : z + WIDTH - 1]) for a, z in zip(first, [*first[1:], n])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["m", "t1", "t2", "s", "n", "body"])
+
+    return segs.mapInArrow(run, "m bigint, t1 bigint, t2 bigint, s int, n int, body binary")
+
+
+def _distinct(segs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Spans of segments(m, t1, t2, s, n, body) that are equal to another one of their name, and one segment of each content."""
+    keys = ["m", "h1", "h2"]
+    rest = written(segs.withColumn("h1", F.xxhash64("body")).withColumn("h2", F.xxhash64(F.lit(1), "body")), name)
+    same = written(rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("t1", "t2", "s", "n", "body"), F.xxhash64("t1", "t2", "s")).alias("one")), f"{name}-contents")
+    again = lookup(rest.drop("body"), same.where("c >= 2").select(*keys, "c"), keys, "c", rest.count()).select("t1", "t2", "s", "n")
+    return again, written(same.select("m", "one.*"), f"{name}-distinct")
+
+
+def _decided(segs: DataFrame, level: int = 0) -> DataFrame:
+    """Spans of repeated starts of distinct segments(m, t1, t2, s, n, body) by suffix arrays.
+
+    Names with very many segments are trimmed and given second names, LEVELS times at most.
+    """
     total = segs.count()
     if not total:
         return segs.select("t1", "t2", "s", "n")
@@ -280,13 +314,10 @@ def _decided(segs: DataFrame, trim: bool) -> DataFrame:
     if hot is None:
         return out
     rest = written(segs.where(hot), "hot-segments")
-    if not trim:
+    if level == LEVELS:
         return out.unionByName(_window_spans(rest))
-    rest = _trimmed(rest).withColumn("h1", F.xxhash64("body")).withColumn("h2", F.xxhash64(F.lit(1), "body"))
-    keys = ["m", "h1", "h2"]
-    same = written(rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("t1", "t2", "s", "n", "body"), F.xxhash64("t1", "t2", "s")).alias("one")), "trimmed-contents")
-    again = lookup(rest.drop("body"), same.where("c >= 2").select(*keys, "c"), keys, "c", rest.count()).select("t1", "t2", "s", "n")
-    return out.unionByName(again).unionByName(_decided(written(same.select("m", "one.*"), "trimmed-distinct"), False))
+    again, left = _distinct(_renamed(_trimmed(rest), level), f"trimmed-{level}")
+    return out.unionByName(again).unionByName(_decided(left, level + 1))
 
 
 def _window_spans(segs: DataFrame) -> DataFrame:
@@ -319,7 +350,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     cut = F.transform("cuts", lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"), x["n"].alias("n"), x["c"].alias("c"), F.substring(raw, x["s"] + 1, x["n"] + (WIDTH - 1)).alias("body")))
     bodies = written(texts.join(wanted.hint("shuffle_hash"), ["t1", "t2"]).select("t1", "t2", F.inline(cut)), "bodies")
     # equal segments repeat whole, and are known as `again`; their one representative is here for others to match
-    return written(whole.unionByName(again).unionByName(_decided(bodies.select("m", "t1", "t2", "s", "n", "body"), True)), "spans")
+    return written(whole.unionByName(again).unionByName(_decided(bodies.select("m", "t1", "t2", "s", "n", "body"))), "spans")
 
 
 def cut_out(body: bytes, spans: list[tuple[int, int]], keep: bool = True) -> tuple[int, int, bytes]:
@@ -356,7 +387,12 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     total, rows = text_bytes(spark, docs)
     buckets = max(1, min(-(-total // BUCKET_BYTES), 50_000))
     table = f"texts_{uuid.uuid4().hex}"
-    distinct = docs.select("t1", "t2", "text").repartition(buckets, "t1", "t2").dropDuplicates(["t1", "t2"])
+    rows_of = docs.select("t1", "t2", "text")
+    # of texts with very many copies, each task sends one
+    hot = hot_keys(copies, ["t1", "t2"], "copies", rows)
+    if hot is not None:
+        rows_of = rows_of.where(~hot).unionByName(rows_of.where(hot).dropDuplicates(["t1", "t2"]))
+    distinct = rows_of.repartition(buckets, "t1", "t2").dropDuplicates(["t1", "t2"])
     distinct.write.bucketBy(buckets, "t1", "t2").option("compression", "zstd").option("path", scratch_path(spark, "texts")).saveAsTable(table)
     texts = spark.table(table)
     spans = repeated_spans(texts)

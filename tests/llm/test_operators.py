@@ -212,9 +212,10 @@ def brute_repeats(texts, width=suffixdedup.WIDTH):
     return out
 
 
-@pytest.mark.parametrize("segments", [256, 1, 0])
-def test_repeats_are_cut_exactly(spark, messy, monkeypatch, segments):
+@pytest.mark.parametrize(("segments", "levels"), [(256, 3), (1, 3), (1, 0), (0, 1)])
+def test_repeats_are_cut_exactly(spark, messy, monkeypatch, segments, levels):
     monkeypatch.setattr(suffixdedup, "NAME_SEGMENTS", segments)
+    monkeypatch.setattr(suffixdedup, "LEVELS", levels)
     if segments < 256:
         monkeypatch.setattr(suffixdedup, "HOT", 1 << 40)
     if segments == 0:
@@ -230,6 +231,13 @@ def test_repeats_are_cut_exactly(spark, messy, monkeypatch, segments):
     assert collections.Counter(tuple(r) for r in suffixdedup.remove_repeats(both).collect()) == want
 
 
+def test_copies_of_one_text(spark):
+    texts = [prose(47, 90)] * 300 + [prose(47, 60) + prose(48, 60), prose(49, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    want = collections.Counter((i, *x) for i, x in enumerate(brute_repeats(texts)))
+    assert collections.Counter(tuple(r) for r in suffixdedup.remove_repeats(docs).collect()) == want
+
+
 def test_suffix_sort_by_brute_force():
     rng = np.random.default_rng(2)
     for letters in (1, 2, 5, 200):
