@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ensure_columns, make_room, prepare
-from .words import SHINGLE, words
+from .words import SHINGLE, hash_list, shingle_hashes, word_hashes, words
 
 SIMILARITY, PART = 0.8, 0.5
 K1, B = 1.2, 0.75
@@ -47,60 +47,91 @@ def split_item(text: str) -> tuple[str, str]:
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, text)
 
 
-def shingles(w: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
-
-
-def share(part: set, whole: set) -> float:
-    return len(part & whole) / len(part) if part else 1.0
-
-
 @dataclass
 class Item:
+    """shingles: hashes, ascending; question, answer: numbers of words, ascending."""
+
     id: int
-    shingles: set
-    question: set
-    answer: set
+    shingles: np.ndarray
+    question: np.ndarray
+    answer: np.ndarray
     marked: bool
 
 
+def covered(part: np.ndarray, whole: np.ndarray) -> float:
+    """share() of ascending numbers without repeats."""
+    return len(np.intersect1d(part, whole, assume_unique=True)) / len(part) if len(part) else 1.0
+
+
+class Postings:
+    """For each word the items that have it, ascending, and what it adds to their scores; as flat arrays, so no larger than the items."""
+
+    def __init__(self, rows: list[tuple[int, int, float]], terms: int):
+        rows.sort()
+        term, self.item, self.gain = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows])
+        self.at = np.searchsorted(term, np.arange(terms + 2))
+        # the best of each word in each block of items that has it
+        block = self.item // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.block, self.bound = block[first], (np.maximum.reduceat(self.gain, first) if len(first) else np.zeros(0)) * (1 + 1e-6)
+        self.block_at = np.searchsorted(term[first], np.arange(terms + 2))
+        self.best = np.zeros(terms + 1)
+        np.maximum.at(self.best, term, self.gain * (1 + 1e-6))
+
+    def get(self, t: int, default=()):
+        a, z = self.at[t], self.at[t + 1]
+        return list(zip(self.item[a:z].tolist(), self.gain[a:z].tolist())) or default
+
+    def within(self, t: int, lo: int, hi: int) -> tuple[list[tuple[int, float]], float]:
+        """The postings of a word in a block of items, and its bound there."""
+        a, z = self.at[t], self.at[t + 1]
+        a, z = a + np.searchsorted(self.item[a:z], [lo, hi])
+        p = list(zip(self.item[a:z].tolist(), self.gain[a:z].tolist()))
+        b = self.block_at[t]
+        return p, float(self.bound[b + np.searchsorted(self.block[b : self.block_at[t + 1]], lo // BLOCK)]) if p else 0.0
+
+    def blocks(self, terms: np.ndarray) -> np.ndarray:
+        """The blocks in which the bounds of these words sum to at least 1."""
+        a, n = self.block_at[terms], self.block_at[terms + 1] - self.block_at[terms]
+        every = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        found, of = np.unique(self.block[every], return_inverse=True)
+        return found[np.bincount(of, self.bound[every], len(found)) >= 1]
+
+
 class Index:
     """items: (id, text), each of at least five words. terms: numbers of words from 1 on, shared by the indexes of a pass."""
 
     def __init__(self, items: list[tuple[int, str]], terms: dict[str, int] | None = None, similarity: float = SIMILARITY):
         self.similarity, self.items, self.terms, token_lists = similarity, [], {} if terms is None else terms, []
+        number = lambda ws: np.array(sorted({self.terms.setdefault(t, len(self.terms) + 1) for t in ws}), np.int64)
         for i, text in items:
             w, (q, a) = words(text), split_item(text)
-            self.items.append(Item(i, shingles(w), set(words(q)), set(words(a)), bool(_answer.search(text))))
+            self.items.append(Item(i, np.unique(shingle_hashes(word_hashes(text))), number(words(q)), number(words(a)), bool(_answer.search(text))))
             token_lists.append(w)
         self.length = max(map(len, token_lists))
         df = Counter(t for w in token_lists for t in set(w))
         n, mean = len(items), sum(map(len, token_lists)) / len(items)
-        self.postings: dict[int, list[tuple[int, float]]] = {}
+        self.rows: list[tuple[int, int, float]] = []
         for i, w in enumerate(token_lists):
             norm = K1 * (1 - B + B * len(w) / mean)
             gains = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in Counter(w).items()}
             # a word that is missing costs a shingle at least, so so many of the best words may be missing
             lost = math.floor((1 - similarity) * len(self.items[i].shingles) + 1e-9)
             least = sum(sorted(gains.values())[: max(len(gains) - lost, 1)])
-            for t, g in gains.items():
-                self.postings.setdefault(self.terms.setdefault(t, len(self.terms) + 1), []).append((i, g / least * (1 + 1e-9)))
+            self.rows += [(self.terms.setdefault(t, len(self.terms) + 1), i, g / least * (1 + 1e-9)) for t, g in gains.items()]
 
     def close(self) -> None:
-        """Block bounds, once all indexes of the pass have numbered their words."""
-        self.bounds = np.zeros((len(self.terms) + 1, -(-len(self.items) // BLOCK)), np.float32)
-        for t, p in self.postings.items():
-            for i, g in p:
-                self.bounds[t, i // BLOCK] = max(self.bounds[t, i // BLOCK], np.float32(g * (1 + 1e-6)))
-        self.best = self.bounds.max(1).astype(np.float64)
+        """Postings and block bounds, once all indexes of the pass have numbered their words."""
+        self.postings = Postings(self.rows, len(self.terms))
+        self.best, self.rows = self.postings.best, []
 
     def wand(self, terms: list[int], lo: int, hi: int) -> list[tuple[int, float]]:
-        """The items in [lo, hi) that score at least 1: cursors in order of their items; the first at which the bounds sum to 1 is the pivot."""
-        out, block, cursors = [], lo // BLOCK, []
+        """The items in the block [lo, hi) that score at least 1: cursors in order of their items; the first at which the bounds sum to 1 is the pivot."""
+        out, cursors = [], []
         for t in terms:
-            p = [x for x in self.postings.get(t, ()) if lo <= x[0] < hi]
+            p, bound = self.postings.within(t, lo, hi)
             if p:
-                cursors.append([p[0][0], 0, float(self.bounds[t, block]), p])
+                cursors.append([p[0][0], 0, bound, p])
         while True:
             cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, hi
@@ -123,7 +154,7 @@ class Index:
 
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """All items that score at least 1."""
-        return [x for b in np.flatnonzero(self.bounds[terms].sum(0) >= 1).tolist() for x in self.wand(terms.tolist(), b * BLOCK, min((b + 1) * BLOCK, len(self.items)))]
+        return [x for b in self.postings.blocks(terms).tolist() for x in self.wand(terms.tolist(), b * BLOCK, min((b + 1) * BLOCK, len(self.items)))]
 
     def passages(self, at: np.ndarray, term: np.ndarray, before: np.ndarray, begin: np.ndarray, sizes: np.ndarray):
         """(document, first word) of the passages whose summed best scores reach 1.
@@ -174,13 +205,13 @@ class Pass:
             for d, s in index.passages(at, term, before, begin, sizes):
                 a, z = starts[d] + s, starts[d] + min(s + SPAN * index.length, sizes[d])
                 terms = np.unique(ids[a:z])
-                hits = index.search(terms[terms > 0])
+                terms = terms[terms > 0]
+                hits = index.search(terms)
                 if hits:
-                    part = docs[d][s : s + SPAN * index.length]
-                    have, vocab = shingles(part), set(part)
+                    have = np.unique(shingle_hashes(hash_list(docs[d][s : s + SPAN * index.length])))
                     for i, score in hits:
                         x = index.items[i]
-                        row = (x.id, score, share(x.shingles, have), share(x.question, vocab), share(x.answer, vocab))
+                        row = (x.id, score, covered(x.shingles, have), covered(x.question, terms), covered(x.answer, terms))
                         if row[2] >= index.similarity - 1e-12 and (not x.marked or min(row[3:]) >= PART) and row[1:] > found[d].get(x.id, (x.id, -1.0))[1:]:
                             found[d][x.id] = row
         return [sorted(f.values()) for f in found]
@@ -231,7 +262,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without those that hold an item."""
+    """docs without those that hold an item; nulls, repeats and clashing names as in with_matches()."""
     return with_matches(docs, benchmark, similarity).where(F.size("matches") == 0).drop("matches")
 
 

@@ -32,11 +32,14 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    w = words(text)
+def hash_list(w: list[str]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    return hash_list(words(text))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit numbers (splitmix64's finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
