@@ -17,6 +17,8 @@ similar texts that share a bucket end in one component, and no group is expanded
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -103,13 +105,8 @@ def _band_rows(docs: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough. texts: node, text. A leader b of many pairs is copied to as many tasks as it needs."""
-    fans = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 128).cast("int").alias("fan"))
-    fans = written(fans, "fans")
-    big = F.broadcast(fans.where("fan > 1").withColumnRenamed("fan", "f"))  # each has over 128 pairs
-    total = pairs.count()
-    if fans.where("fan > 1").count() * 16 > max(total, 1):
-        raise AssertionError("more leaders with many pairs than pairs allow")
-    left = pairs.join(big, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("f", F.lit(1))).cast("int")).drop("f")
+    fans = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / 128).cast("int").alias("fan")), "fans")
+    left = lookup(pairs, fans, ["b"], "n", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("fan")).cast("int")).select("a", "b", "salt")
     first = texts.join(fans, F.col("node") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.col("text").alias("text_b"))
     both = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(first, ["b", "salt"]).select("a", "b", "text_a", "text_b")
 
@@ -132,21 +129,31 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, label: nodes(node, label) after labels have spread along edges(a, b) until each component has its smallest one."""
+    """node, label: nodes(node, label) after labels have spread along edges(a, b) until each component has its smallest one.
+
+    labels are nodes. From the third round on a node that gets a smaller label hands it to its old one as well, and
+    each label is followed to its own, so rounds grow with the logarithm of a chain's length.
+    """
     sym = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to"))).distinct()
     sym = written(sym, "links")
     total = sym.count()
     if not total:
         return nodes
     degrees = written(sym.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "degrees")
-    while True:
+    for spread in count(1):
         known = nodes.join(degrees, "node")
         sent = lookup(sym, known, ["node"], "n", total).select(F.col("to").alias("node"), "label", F.lit(None).cast("bigint").alias("own"))
         nodes = written(sent.unionByName(nodes.select("node", "label", F.col("label").alias("own"))).groupBy("node").agg(F.min("label").alias("label"), F.max("own").alias("own")), "labels")
-        changed = nodes.where("label < own").count()
+        if not nodes.where("label < own").count():
+            return nodes.select("node", "label")
+        if spread >= 3:
+            handed = nodes.where("label < own").select(F.col("own").alias("node"), "label")
+            nodes = written(nodes.select("node", "label").unionByName(handed).groupBy("node").agg(F.min("label").alias("label")), "labels")
+            further = nodes.select(F.col("node").alias("label"), F.col("label").alias("next")).where("label != next")
+            uses = written(further.join(nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label"), "jumps")
+            nodes = lookup(nodes, uses, ["label"], "n", total, "left").select("node", F.coalesce("next", "label").alias("label"))
+            nodes = written(nodes, "labels")
         nodes = nodes.select("node", "label")
-        if not changed:
-            return nodes
 
 
 def joined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
