@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 from urllib.parse import urlsplit
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +35,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes see: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
+    """The folder all nodes see: spark.checkpoint.dir; where that is unset, a temporary one if all runs on this machine, else an error."""
     if at := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None):
         return at.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes see")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tallyfold-")
@@ -43,11 +47,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. What lies in a folder of this machine is removed when the driver ends; elsewhere it is the cluster's to clean."""
+    """A new path in the shared folder. What lies in a folder of this machine is removed when the driver ends; drop_scratch() removes all."""
     _made.append(at := f"{shared_dir(spark)}/tallyfold/{name}-{uuid.uuid4().hex}")
     return at
 
 
+def drop_scratch() -> int:
+    """Removes all tables that operators of this driver have written so far, on any store, and returns their number; call it when their results have been written."""
+    for at in _made:
+        fs, path = pafs.FileSystem.from_uri(at if urlsplit(at).scheme else f"file://{at}")
+        if fs.get_file_info(path).type == pafs.FileType.Directory:
+            fs.delete_dir(path)
+    n = len(_made)
+    _made.clear()
+    return n
+
+
 @atexit.register
 def _remove() -> None:
     for at in _made:

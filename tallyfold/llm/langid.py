@@ -21,6 +21,8 @@ from .common import ensure_columns, make_room, prepare
 BINS = 4096
 #: Labelled rows of one language that the models are fitted on, about; the only sample in this operator.
 SAMPLE_PER_LANG = 500
+#: Values of lang at most; there is a model for each pair of languages of a family.
+LABELS = 128
 #: Families of well-known language codes; a code that is not here is in family `other`.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
@@ -124,12 +126,19 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANG) -> Model:
-    """Learns from rows with a text that has letters, a lang and a doc_id that is not held out."""
+    """Learns from rows with a text that has letters, a lang and a doc_id that is not held out.
+
+    About `sample` rows of each language are drawn by a hash of id and text; repeated rows are drawn together.
+    More than LABELS values of lang raise a ValueError: such a column holds no languages. No usable row, or an
+    empty table: a model that knows no language.
+    """
     spark = prepare(docs.sparkSession)
     usable = ensure_columns(docs, doc_id="bigint", text="string", lang="string").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row a language
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(LABELS + 1).collect()}
     if not counts:
         return Model()
+    if len(counts) > LABELS:
+        raise ValueError(f"lang has more than {LABELS} values")
     keep = F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.2 * sample / n))))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     picked = usable.where(draw < keep[F.col("lang")]).select("text", "lang", F.xxhash64("doc_id", "text").alias("order"))
@@ -148,7 +157,9 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs and held_out, lang_pred, score.
 
     lang_pred is `und` with score 0 if the text is null or has no letter, or if nothing could be learned.
-    Predictions depend on the text alone. Other columns stay; clashing ones as <name>_in.
+    Predictions depend on the whole text alone, of any length, so repeated texts get the same one. Ties of
+    votes and margins go to the later name. Every row comes back once; an empty table gives no rows; a row
+    without a doc_id is not held out. Other columns stay; clashing ones as <name>_in.
     """
     spark = prepare(docs.sparkSession)
     model = fit(docs) if model is None else model

@@ -414,6 +414,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     schema = "t1 bigint, t2 bigint, copies bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text
     results = written(joined.select("text", "spans", "copies", "t1", "t2").mapInArrow(digest, schema), "results")
+    spark.sql(f"DROP TABLE {table}")
     return lookup(docs.select("doc_id", "t1", "t2"), results, ["t1", "t2"], "copies", rows).select("doc_id", *names[3:])
 
 
