@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,8 @@ K1, B = 1.2, 0.75
 SPAN = 3
 #: Items of a block.
 BLOCK = 8
+#: Numbers in an index's table of bounds by word and run of blocks.
+CELLS = 1 << 21
 #: Text bytes of the items that are broadcast at once; more items make more passes.
 INDEX_BYTES = 8 << 20
 MATCHES = "array<struct<item_id: bigint, score: double, overlap: double, question_overlap: double, answer_overlap: double>>"
@@ -64,38 +67,42 @@ def covered(part: np.ndarray, whole: np.ndarray) -> float:
 
 
 class Postings:
-    """For each word the items that have it, ascending, and what it adds to their scores; as flat arrays, so no larger than the items."""
+    """For each word the items that have it, ascending, and what it adds to their scores; as flat arrays, so no larger than the items.
 
-    def __init__(self, rows: list[tuple[int, int, float]], terms: int):
+    An entry is a word and a block of items that has it: its postings are first[e] to first[e + 1] - 1, bound[e] is the best of them.
+    """
+
+    def __init__(self, rows: list[tuple[int, int, float]], terms: int, items: int):
         rows.sort()
         term, self.item, self.gain = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows])
-        self.at = np.searchsorted(term, np.arange(terms + 2))
-        # the best of each word in each block of items that has it
+        self.at, self.blocks = np.searchsorted(term, np.arange(terms + 2)), -(-items // BLOCK)
         block = self.item // BLOCK
         first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
         self.block, self.bound = block[first], (np.maximum.reduceat(self.gain, first) if len(first) else np.zeros(0)) * (1 + 1e-6)
-        self.block_at = np.searchsorted(term[first], np.arange(terms + 2))
-        self.best = np.zeros(terms + 1)
-        np.maximum.at(self.best, term, self.gain * (1 + 1e-6))
+        self.first, self.entry_at = np.append(first, len(term)).astype(np.int32), np.searchsorted(term[first], np.arange(terms + 2))
+        # bounds of runs of blocks, as many as CELLS allow: most passages end there
+        columns = max(1, min(self.blocks, CELLS // (terms + 1)))
+        self.runs = np.zeros((terms + 1, columns), np.float32)
+        np.maximum.at(self.runs, (term[first], self.block * columns // self.blocks), (self.bound * (1 + 1e-6)).astype(np.float32))
+        self.best = self.runs.max(1).astype(np.float64)
 
     def get(self, t: int, default=()):
         a, z = self.at[t], self.at[t + 1]
         return list(zip(self.item[a:z].tolist(), self.gain[a:z].tolist())) or default
 
-    def within(self, t: int, lo: int, hi: int) -> tuple[list[tuple[int, float]], float]:
-        """The postings of a word in a block of items, and its bound there."""
-        a, z = self.at[t], self.at[t + 1]
-        a, z = a + np.searchsorted(self.item[a:z], [lo, hi])
-        p = list(zip(self.item[a:z].tolist(), self.gain[a:z].tolist()))
-        b = self.block_at[t]
-        return p, float(self.bound[b + np.searchsorted(self.block[b : self.block_at[t + 1]], lo // BLOCK)]) if p else 0.0
+    def entries(self, terms: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """The blocks in which the bounds of these words sum to at least 1, and the words' entries there."""
+        if (self.runs[terms].sum(0) < 1).all():
+            return []
+        a, n = self.entry_at[terms], self.entry_at[terms + 1] - self.entry_at[terms]
+        every = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        of = self.block[every]
+        return [(b, every[of == b]) for b in np.flatnonzero(np.bincount(of, self.bound[every], self.blocks) >= 1).tolist()]
 
-    def blocks(self, terms: np.ndarray) -> np.ndarray:
-        """The blocks in which the bounds of these words sum to at least 1."""
-        a, n = self.block_at[terms], self.block_at[terms + 1] - self.block_at[terms]
-        every = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        found, of = np.unique(self.block[every], return_inverse=True)
-        return found[np.bincount(of, self.bound[every], len(found)) >= 1]
+    def cursors(self, entries: np.ndarray) -> list[list]:
+        """For each entry: current item, place, bound, items, gains."""
+        spans = zip(self.first[entries].tolist(), self.first[entries + 1].tolist(), self.bound[entries].tolist())
+        return [[x[0], 0, b, x, self.gain[a:z].tolist()] for a, z, b in spans for x in [self.item[a:z].tolist()]]
 
 
 class Index:
@@ -103,7 +110,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], terms: dict[str, int] | None = None, similarity: float = SIMILARITY):
         self.similarity, self.items, self.terms, token_lists = similarity, [], {} if terms is None else terms, []
-        number = lambda ws: np.array(sorted({self.terms.setdefault(t, len(self.terms) + 1) for t in ws}), np.int64)
+        number = lambda ws: np.array(sorted({self.terms.setdefault(t, len(self.terms) + 1) for t in ws}), np.int32)
         for i, text in items:
             w, (q, a) = words(text), split_item(text)
             self.items.append(Item(i, np.unique(shingle_hashes(word_hashes(text))), number(words(q)), number(words(a)), bool(_answer.search(text))))
@@ -122,18 +129,14 @@ class Index:
 
     def close(self) -> None:
         """Postings and block bounds, once all indexes of the pass have numbered their words."""
-        self.postings = Postings(self.rows, len(self.terms))
+        self.postings = Postings(self.rows, len(self.terms), len(self.items))
         self.best, self.rows = self.postings.best, []
 
-    def wand(self, terms: list[int], lo: int, hi: int) -> list[tuple[int, float]]:
-        """The items in the block [lo, hi) that score at least 1: cursors in order of their items; the first at which the bounds sum to 1 is the pivot."""
-        out, cursors = [], []
-        for t in terms:
-            p, bound = self.postings.within(t, lo, hi)
-            if p:
-                cursors.append([p[0][0], 0, bound, p])
+    def wand(self, cursors: list[list], hi: int) -> list[tuple[int, float]]:
+        """The items of a block, all below hi, that score at least 1: cursors in order of their items; the first at which the bounds sum to 1 is the pivot."""
+        out = []
         while True:
-            cursors.sort(key=lambda c: c[0])
+            cursors.sort(key=itemgetter(0))
             bound, pivot = 0.0, hi
             for c in cursors:
                 bound += c[2]
@@ -143,18 +146,18 @@ class Index:
             if pivot >= hi:
                 return out
             if cursors[0][0] == pivot:
-                score = sum(c[3][c[1]][1] for c in cursors if c[0] == pivot)
+                score = sum(c[4][c[1]] for c in cursors if c[0] == pivot)
                 if score >= 1:
                     out.append((pivot, score))
                 pivot += 1
             for c in cursors:
                 while c[0] < pivot:
                     c[1] += 1
-                    c[0] = c[3][c[1]][0] if c[1] < len(c[3]) else hi
+                    c[0] = c[3][c[1]] if c[1] < len(c[3]) else hi
 
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """All items that score at least 1."""
-        return [x for b in self.postings.blocks(terms).tolist() for x in self.wand(terms.tolist(), b * BLOCK, min((b + 1) * BLOCK, len(self.items)))]
+        return [x for b, entries in self.postings.entries(terms) for x in self.wand(self.postings.cursors(entries), min((b + 1) * BLOCK, len(self.items)))]
 
     def passages(self, at: np.ndarray, term: np.ndarray, before: np.ndarray, begin: np.ndarray, sizes: np.ndarray):
         """(document, first word) of the passages whose summed best scores reach 1.
