@@ -11,14 +11,17 @@ def smooth(df: DataFrame, outputs: dict[str, tuple[str, float, int]], symbol: st
     """Adds each output = (input, alpha, min_periods): y1 = x1, yt = (1 - alpha) y(t-1) + alpha xt, within a symbol.
 
     Missing inputs leave the value as it was, and count for the weights of what comes after; the output is
-    NULL until min_periods values have been seen. An output may be an input of a later one.
+    NULL until min_periods values have been seen. An input is a column, an earlier output, or the difference
+    `a - b` of two, so that all outputs take one pass.
     """
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in outputs)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(session)
         for name, (source, alpha, least) in outputs.items():
-            pdf[name] = pdf[source].astype(float).ewm(alpha=alpha, min_periods=least, adjust=False).mean()
+            a, _, b = source.partition(" - ")
+            x = pdf[a].astype(float) - pdf[b].astype(float) if b else pdf[a].astype(float)
+            pdf[name] = x.ewm(alpha=alpha, min_periods=least, adjust=False).mean()
         return pdf
 
     return df.groupBy(symbol).applyInPandas(run, schema)

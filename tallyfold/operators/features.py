@@ -121,8 +121,8 @@ def build(frame: DataFrame, registry: Registry = REGISTRY, calendar: DataFrame |
         d = month_bounds(d, calendar)
     if wanted & set(REGISTRY.names("momentum")):
         d = d.withColumn("_delta", c("close") - C.lag("close")).withColumns({"_gain": C.clip(c("_delta"), lo=0.0), "_loss": -C.clip(c("_delta"), hi=0.0)})
-        d = smooth(d, {"_gain14": ("_gain", 1 / 14, 14), "_loss14": ("_loss", 1 / 14, 14), "_e12": ("close", 2 / 13, 1), "_e26": ("close", 2 / 27, 1)})
-        d = smooth(d.withColumn("_macd", c("_e12") - c("_e26")), {"_macd9": ("_macd", 2 / 10, 1)})
+        d = smooth(d, {"_gain14": ("_gain", 1 / 14, 14), "_loss14": ("_loss", 1 / 14, 14), "_e12": ("close", 2 / 13, 1), "_e26": ("close", 2 / 27, 1), "_macd9": ("_e12 - _e26", 2 / 10, 1)})
+        d = d.withColumn("_macd", c("_e12") - c("_e26"))
     first = {}
     if wanted & set(REGISTRY.names("lagged_return") + REGISTRY.names("volatility") + REGISTRY.names("volume")):
         first["_ret"] = C.log_return("close")
@@ -169,7 +169,8 @@ def look_ahead(frame: DataFrame, cut, registry: Registry = REGISTRY, calendar: D
 
 
 def complete_cases(features: DataFrame, names: list[str]) -> DataFrame:
-    return features.dropna(subset=names)
+    """The rows without a missing feature; one predicate, as the optimiser would carry a condition for each column through all that follows."""
+    return features.where(F.forall(F.array(*(F.col(f"`{n}`").isNotNull() for n in names)), lambda here: here))
 
 
 def shift_block(df: DataFrame, columns: list[str], k: int) -> DataFrame:

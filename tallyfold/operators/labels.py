@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,15 +51,16 @@ def outer_steps(n: int, initial: int, step: int, retune_every: int, rolling: int
 def step_thresholds(rows: DataFrame, initial: int, step: int) -> DataFrame:
     """symbol, step, q_lo, q_hi, n_train: thresholds of every expanding slice, rows(symbol, pos, z).
 
-    A row belongs to the slices of all steps after it; a slice is one group, and the percentile's counts of
-    values combine before the shuffle.
+    A series is one task, which reads its rows once; z is never missing.
     """
-    last = F.max("pos").over(Window.partitionBy("symbol"))
-    steps = F.floor((last - initial) / step).cast("int")
-    first = F.greatest(F.lit(0), F.floor((F.col("pos") - initial) / step).cast("int") + 1)
-    spread = rows.withColumn("__k", steps).where(F.col("__k") >= 0).withColumn("__first", first).where("__first <= __k")
-    long = spread.select("symbol", "z", F.explode(F.sequence("__first", "__k")).alias("step"))
-    return long.groupBy("symbol", "step").agg(*thresholds(), F.count(F.lit(1)).alias("n_train"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        z = pdf.sort_values("pos")["z"].to_numpy()
+        ends = range(initial, len(z), step)
+        q = [np.quantile(z[:n], [LOW, HIGH]) for n in ends]
+        return pd.DataFrame([(key[0], k, *map(float, v), n) for k, (v, n) in enumerate(zip(q, ends))], columns=["symbol", "step", "q_lo", "q_hi", "n_train"])
+
+    return rows.select("symbol", "pos", "z").groupBy("symbol").applyInPandas(run, "symbol string, step int, q_lo double, q_hi double, n_train bigint")
 
 
 def class_means(r: str, y: str) -> list[Column]:

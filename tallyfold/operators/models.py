@@ -1,8 +1,7 @@
-"""Model candidates, estimators on Spark ML, and cross-fitted probabilities.
+"""Model candidates, estimators on Spark ML for one fit over many rows, and cross-fitted probabilities.
 
-Two well-known gradient-boosting libraries are not available here; both of their families are
-three binary Spark GBTs with normalised probabilities, of different depth. Numbers of models differ from
-other libraries'; what is kept are the grids' shape and the interface.
+Here both boosted families are three binary Spark GBTs with normalised probabilities, of different depth. The
+walk-forward fits slices of one series instead, with the softmax boosting of learners.py, leaf-wise and level-wise.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from .calibration import CLASSES, P
 from .labels import time_series_split
 
-FAMILY_RANK = {"baseline": 0, "logistic": 1, "forest": 2, "boosted_shallow": 3, "boosted": 4}
+FAMILY_RANK = {"baseline": 0, "logistic": 1, "forest": 2, "boosted": 3, "boosted_shallow": 4}
 LEAST_TRAIN = 180
 
 

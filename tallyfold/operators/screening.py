@@ -1,44 +1,61 @@
-"""Feature screening inside a slice: rolling rank correlation, top of each group, correlation clusters, cap."""
+"""Feature screening: rolling rank correlation, top of each group, correlation clusters, cap.
+
+A series has as many rows as sessions, so what runs along one (windows, correlations) is one task for a series, or
+for a series and feature; learners.py has the arithmetic. walkforward.screens() screens the slices of a walk.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import core as C
+from . import learners as N
 
 WINDOW, PER_GROUP, CUT, CAP = 60, 3, 0.20, 25
 
 
 def unpivot(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     """keep, feature, x: a row for each feature that is not missing."""
-    pairs = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features))
-    return df.select(*keep, F.inline(pairs)).where("x IS NOT NULL")
+    wide = df.select(*keep, F.array(*(F.col(f).cast("double") for f in features)).alias("__x"))
+    long = wide.select(*keep, F.posexplode("__x").alias("__i", "x"))
+    return long.select(*keep, F.get(F.array(*map(F.lit, features)), F.col("__i")).alias("feature"), "x").where("x IS NOT NULL")
 
 
-def rolling_spearman(long: DataFrame, window: int = WINDOW, by: list[str] = ["symbol", "feature"]) -> DataFrame:
-    """by, pos, rho: rank correlation of x and z over the last `window` rows, ranks averaged over ties within the window.
+def rolling_spearman(long: DataFrame, window: int = WINDOW, by: tuple[str, ...] = ("symbol", "feature")) -> DataFrame:
+    """by, pos, rho: rank correlation of x and z over the last `window` rows, ranks averaged over ties within the window; a row for each whole window.
 
-    Every window becomes `window` rows of its own, keyed by (by, end), so windows are spread over all tasks.
-    NULL where a side has one value only.
+    NULL where a side has one value only. long: by, pos, x, z; each key is a series.
     """
-    numbered = long.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("pos")))
-    last = F.max("__n").over(Window.partitionBy(*by))
-    ends = numbered.withColumn("__last", last).withColumn("__end", F.explode(F.sequence(F.greatest("__n", F.lit(window)), F.least(F.col("__n") + window - 1, F.greatest("__last", F.lit(window))))))
-    ends = ends.where("__end <= __last AND __end >= __n")
-    key = [*by, "__end"]
+    kinds = {f.name: f.dataType.simpleString() for f in long.schema.fields}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        rho = N.rolling_rank_correlation(pdf["x"].to_numpy(), pdf["z"].to_numpy(), window)
+        out = pd.DataFrame({"pos": pdf["pos"].to_numpy()[window - 1 :], "rho": rho[window - 1 :]})
+        return out.assign(**dict(zip(by, key)))[[*by, "pos", "rho"]]
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", pos bigint, rho double"
+    out = long.select(*by, F.col("pos").cast("bigint").alias("pos"), "x", "z").groupBy(*by).applyInPandas(run, schema)
+    return out.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
 
-    def ranks(c: str) -> Column:
-        same = F.count(F.lit(1)).over(Window.partitionBy(*key, c))
-        return F.rank().over(Window.partitionBy(*key).orderBy(c)) + (same - 1) / 2.0
 
-    ranked = ends.select(*key, "pos", ranks("x").alias("rx"), ranks("z").alias("rz"))
-    flat = (F.min("rx") == F.max("rx")) | (F.min("rz") == F.max("rz"))
-    return ranked.groupBy(*key).agg(F.max("pos").alias("pos"), F.when(~flat, C.correlation("rx", "rz")).alias("rho")).drop("__end")
+def rolling_spearman_all(df: DataFrame, features: list[str], window: int = WINDOW) -> DataFrame:
+    """symbol, feature, pos, rho of all features of df(symbol, pos, z, features), without missing values: a series is one task, and its rows travel once."""
+    rows = df.select("symbol", "pos", "z", F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
 
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        x, z, pos = np.array(pdf["x"].tolist()).reshape(len(pdf), -1), pdf["z"].to_numpy(), pdf["pos"].to_numpy()[window - 1 :]
+        parts = [pd.DataFrame({"feature": f, "pos": pos, "rho": N.rolling_rank_correlation(c, z, window)[window - 1 :]}) for f, c in zip(features, x.T)]
+        return pd.concat(parts).assign(symbol=key[0])[["symbol", "feature", "pos", "rho"]]
 
-def information_coefficients(rho: DataFrame, by: list[str] = ["symbol", "feature"]) -> DataFrame:
+    out = rows.groupBy("symbol").applyInPandas(run, "symbol string, feature string, pos bigint, rho double")
+    return out.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
+
+
+def information_coefficients(rho: DataFrame, by: tuple[str, ...] = ("symbol", "feature")) -> DataFrame:
     """|mean rank correlation|; 0 where no window has one."""
     return rho.groupBy(*by).agg(F.coalesce(F.abs(F.avg("rho")), F.lit(0.0)).alias("ic"))
 
@@ -49,63 +66,46 @@ def varying(df: DataFrame, features: list[str]) -> list[str]:
     return [f for f in features if row[f]]
 
 
-def top_per_group(ics: DataFrame, groups: DataFrame, k: int = PER_GROUP, by: list[str] = ["symbol"]) -> DataFrame:
-    """The k highest ic of each feature group; ties by the order of registration (position)."""
+def top_per_group(ics: DataFrame, groups: dict[str, str], k: int = PER_GROUP, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The k highest ic of each feature group, with feature_group and rank_in_group; ties by the order of `groups` (feature -> group), which is metadata and part of the plan."""
+    names, of = F.array(*map(F.lit, groups)), F.array(*map(F.lit, groups.values()))
+    placed = ics.withColumn("position", F.array_position(names, F.col("feature")).cast("int")).where("position > 0")
+    placed = placed.withColumn("feature_group", F.element_at(of, F.col("position")))
     w = Window.partitionBy(*by, "feature_group").orderBy(F.desc("ic"), "position")
-    return ics.join(F.broadcast(groups), "feature").withColumn("rank_in_group", F.row_number().over(w)).where(F.col("rank_in_group") <= k)  # 81 rows of metadata
-
-
-def correlation_pairs(df: DataFrame, features: list[str], by: list[str] = ["symbol"]) -> DataFrame:
-    """by, a, b, corr for each pair of features, in one aggregate; both present."""
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    wide = df.groupBy(*by).agg(*(C.correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)))
-    return wide.select(*by, F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)))))
-
-
-def average_linkage(distance: np.ndarray, cut: float = CUT) -> list[int]:
-    """Cluster numbers: the closest two clusters, by mean distance of their members, are merged while that is at most cut."""
-    clusters = [[i] for i in range(len(distance))]
-    while len(clusters) > 1:
-        best, pair = np.inf, None
-        for i in range(len(clusters)):
-            for j in range(i + 1, len(clusters)):
-                d = distance[np.ix_(clusters[i], clusters[j])].mean()
-                if d < best:
-                    best, pair = d, (i, j)
-        if best > cut:
-            break
-        i, j = pair
-        clusters[i] += clusters.pop(j)
-    out = [0] * len(distance)
-    for k, members in enumerate(clusters):
-        for m in members:
-            out[m] = k
-    return out
-
-
-def screen(df: DataFrame, features: list[str], groups: dict[str, str], z: str = "z") -> list[tuple[str, float]]:
-    """The five steps on a slice (one symbol; symbol, pos, z and features): varying, ic, top of group, clusters, cap.
-
-    The driver sees one row of metadata a feature, never rows of the slice.
-    """
-    names = varying(df, features)
-    position = {f: i for i, f in enumerate(features)}
-    spark = df.sparkSession
-    meta = spark.createDataFrame([(f, groups[f], position[f]) for f in names], "feature string, feature_group string, position int")
-    rho = rolling_spearman(unpivot(df.where(F.col(z).isNotNull()), names, ["symbol", "pos", z]))
-    ics = information_coefficients(rho)
-    ics = meta.select("feature").join(ics, "feature", "left").select("feature", F.lit("").alias("symbol"), F.coalesce("ic", F.lit(0.0)).alias("ic"))
-    top = sorted(top_per_group(ics, meta).select("feature", "ic").collect(), key=lambda r: (-r["ic"], position[r["feature"]]))
-    kept = sorted((r["feature"] for r in top), key=position.get)
-    ic = {r["feature"]: r["ic"] for r in top}
-    m = np.eye(len(kept))
-    at = {f: i for i, f in enumerate(kept)}
-    for r in correlation_pairs(df, kept).collect() if len(kept) > 1 else []:
-        m[at[r["a"]], at[r["b"]]] = m[at[r["b"]], at[r["a"]]] = abs(r["corr"] or 0.0)
-    cluster = average_linkage(1 - m)
-    best: dict[int, str] = {}
-    for f in kept:
-        c = cluster[at[f]]
-        if c not in best or ic[f] > ic[best[c]]:
-            best[c] = f
-    return [(f, ic[f]) for f in sorted(best.values(), key=lambda f: (-ic[f], position[f]))[:CAP]]
+    return placed.withColumn("rank_in_group", F.row_number().over(w)).where(F.col("rank_in_group") <= k)
+
+
+def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
+    """symbol, a, b, corr for each pair of features of a series, over the rows that have both; NULL where a side does not vary."""
+    rows = df.select("symbol", F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["x"].tolist(), float)
+        h = (~np.isnan(x)).astype(float)
+        x = np.where(h > 0, x - np.nansum(x, 0) / np.maximum(h.sum(0), 1), 0.0)
+        n, sums, squares, both = h.T @ h, x.T @ h, (x * x).T @ h, x.T @ x
+        with np.errstate(invalid="ignore", divide="ignore"):
+            cov, var = both / n - sums * sums.T / n**2, squares / n - (sums / n) ** 2
+            # what rounding leaves of a constant is no variation
+            var = np.where(var > 1e-14 * np.maximum(squares / n, 1e-300), var, np.nan)
+            corr = cov / np.sqrt(var * var.T)
+        a, b = np.triu_indices(len(features), 1)
+        return pd.DataFrame({"symbol": key[0], "a": np.array(features)[a], "b": np.array(features)[b], "corr": corr[a, b]})
+
+    out = rows.groupBy("symbol").applyInPandas(run, "symbol string, a string, b string, corr double")
+    return out.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
+
+
+def screen(df: DataFrame, features: list[str], groups: dict[str, str], window: int = WINDOW, per_group: int = PER_GROUP, cut: float = CUT, cap: int = CAP) -> DataFrame:
+    """symbol, rank (from 1), feature, ic: the five steps on each whole series of df(symbol, pos, z, features), without missing values."""
+    rows = df.select("symbol", "pos", "z", F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
+    of = [groups[f] for f in features]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        x, z = np.array(pdf["x"].tolist()), pdf["z"].to_numpy()
+        rho = np.stack([N.rolling_rank_correlation(c, z, window) for c in x.T], 1)
+        kept, ic = N.screen(x, rho, of, per_group, cut, cap)
+        return pd.DataFrame([(key[0], r + 1, features[c], float(ic[c])) for r, c in enumerate(kept)], columns=["symbol", "rank", "feature", "ic"])
+
+    return rows.groupBy("symbol").applyInPandas(run, "symbol string, rank int, feature string, ic double")

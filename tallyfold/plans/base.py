@@ -33,6 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_held: list[DataFrame] = []
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df, computed once for the query that asks for it; what an earlier query held is let go.
+
+    A held table also ends the equalities that the optimiser keeps for each named expression: with 81 features
+    these multiply at each join and filter above them.
+    """
+    while _held:
+        _held.pop().unpersist()
+    _held.append(df.persist())
+    return df
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Doubles rounded; a negative zero becomes zero."""
     return df.select(*(((F.round(F.col(c), digits) + 0.0).alias(c)) if k == "double" else F.col(c) for c, k in df.dtypes))
@@ -92,11 +107,11 @@ MACRO_COLUMNS = ["vix", "dxy", "tnx", "oil", "dgs3mo", "dgs2", "dgs10"]
 STYLES = {"qqq_close": "AUTOMOBILE", "iwm_close": "BUILDING", "dia_close": "FURNITURE"}
 
 
-def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel's bars with macro series and three style closes, carried over gaps of up to five sessions; half-days by rule."""
+def snapshot(spark: SparkSession, sf_dir: str, market: bool = False) -> DataFrame:
+    """The panel's bars (or those of the market as a whole) with macro series and three style closes, carried over gaps of up to five sessions; half-days by rule."""
     panel = segment_bars(spark, sf_dir)
     styles = panel.groupBy("session").agg(*(F.max(F.when(F.col("symbol") == s, F.col("close"))).alias(c) for c, s in STYLES.items()))
-    joined = align.left_align(align.left_align(panel, macro(spark, sf_dir), ["session"]), styles, ["session"])
+    joined = align.left_align(align.left_align(market_bars(spark, sf_dir) if market else panel, macro(spark, sf_dir), ["session"]), styles, ["session"])
     joined = joined.withColumn("is_half_day", (F.dayofmonth("session") == 3).cast("int")).withColumn("session_minutes", F.when(F.col("is_half_day") == 1, 210).otherwise(390))
     return align.forward_fill(joined, [*MACRO_COLUMNS, *STYLES])
 
@@ -110,6 +125,8 @@ snap AS (
   FROM panel p LEFT JOIN macro USING (session) LEFT JOIN styles USING (session)
   WINDOW f AS (PARTITION BY p.symbol ORDER BY p.session ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))"""
 
+MARKET = f"{BARS}," + SNAPSHOT.replace("FROM panel p LEFT", "FROM bars p LEFT")
+
 
 def grid(spark: SparkSession, start: dt.date = dt.date(2024, 1, 1), end: dt.date = dt.date(2024, 1, 26)) -> DataFrame:
     """Sessions of January 2024, which end before the events do."""

@@ -23,8 +23,8 @@ frame AS (
   FROM snap)"""
 
 
-def frame(spark, sf):
-    d = snapshot(spark, sf)
+def frame(spark, sf, market: bool = False):
+    d = snapshot(spark, sf, market)
     ret = C.div(F.col("close"), C.lag("close"))
     return d.select(
         "symbol", "session", "open", "close", "vix", "session_minutes", ((C.div(F.col("close"), F.col("open")) - 1) / 100).alias("o2c"), ((ret - 1) / 100).alias("c2c"),
@@ -188,12 +188,12 @@ bench AS (SELECT g.*, benchmark, CAST(CASE benchmark WHEN 'cash' THEN 0 WHEN 'al
 NET = f"net AS (SELECT *, weight * o2c - 2 * {COST} / 1e4 * abs(weight) - financing * abs(weight) AS excess FROM bench)"
 
 
-def bench(spark, sf):
-    return P.long_weights(frame(spark, sf), P.open_close_weights(), ["symbol", "session", "vix", "o2c", "c2c", "rf", "financing"])
+def bench(spark, sf, market: bool = False):
+    return P.long_weights(frame(spark, sf, market), P.open_close_weights(), ["symbol", "session", "vix", "o2c", "c2c", "rf", "financing"])
 
 
-def bench_net(spark, sf):
-    d = bench(spark, sf).withColumn("excess", E.open_close_net(F.col("weight"), F.col("o2c"), F.col("financing"), COST))
+def bench_net(spark, sf, market: bool = False):
+    d = bench(spark, sf, market).withColumn("excess", E.open_close_net(F.col("weight"), F.col("o2c"), F.col("financing"), COST))
     return d.withColumn("total", F.col("excess") + F.col("rf"))
 
 

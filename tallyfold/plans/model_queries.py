@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import core as C
 from ..operators import calibration as K
 from ..operators import features as X
 from ..operators import labels as L
 from ..operators import models as M
 from ..operators import walkforward as V
-from .base import query, rounded, snapshot, symbols
+from .base import once, query, rounded, snapshot, symbols
 from .execution_queries import frame
+from .research_queries import NAMES, complete_rows
 
 FEATURES = ["log_ret", "SMA_gap_5", "Volatility_20", "intraday_ret", "close_location_value"]
 
@@ -24,8 +26,6 @@ def study(spark, sf, symbol: str):
     f = X.build(s, X.Registry([x for x in X.REGISTRY.features if x.name in FEATURES]))
     t = frame(spark, sf).where(F.col("symbol") == symbol).select("symbol", "session", F.col("o2c"), "financing")
     d = f.join(t, ["symbol", "session"])
-    from ..functions import core as C
-
     d = d.select("symbol", "session", *FEATURES, C.lag("o2c", -1).alias("target"), C.lag("financing", -1).alias("carry"))
     d = d.withColumn("z", L.vol_adjusted(F.col("target"), F.col("Volatility_20"))).dropna()
     return L.positions_in_order(d)
@@ -82,23 +82,63 @@ _calibrated("platt_calibrated", "sigmoid")
 _calibrated("isotonic_calibrated", "isotonic")
 
 
-def _walk(spark, sf, symbol: str):
-    d = study(spark, sf, symbol).persist()
-    n = d.count()
-    c = M.candidates({"logistic": {"C": [0.01, 1.0]}}, [0.0])
-    initial = n * 2 // 3
-    return V.run(d, n, FEATURES, c, initial, max(n // 8, 21), 2, inner=(2, max(n // 8, 30), 0), calibrator=None)
+# ---------------------------------------------------------------- walk-forward
+
+def walk_rows(spark, sf) -> DataFrame:
+    """All complete rows of all symbols with all features, as the walk takes them."""
+    return once(V.prepared(complete_rows(spark, sf), NAMES))
+
+
+GROUPS = [f.group for f in X.REGISTRY.features]
+#: The tables have fewer sessions than a study, so the first slice has 600; forests and boosters have fewer trees than their own 300.
+SETTINGS = V.Settings(initial=600, retune_every=12)
+GRID = {
+    "logistic": {"C": [0.01, 0.1, 1.0], "class_weight": [None, "balanced"]}, "forest": {"trees": [15], "depth": [3, 5], "leaf": [50, 20]},
+    "boosted": {"trees": [10], "leaves": [7, 15], "rate": [0.03, 0.1], "leaf": [60, 30]}, "boosted_shallow": {"trees": [10], "depth": [2, 3], "rate": [0.03, 0.1]},
+}
+CANDIDATES = M.candidates(GRID, [0.0])
+
+
+def walk_folds(spark, sf) -> tuple[DataFrame, DataFrame]:
+    rows = walk_rows(spark, sf)
+    return rows, V.fold_results(rows, GROUPS, CANDIDATES, SETTINGS)
+
+
+def walk_predictions(spark, sf) -> DataFrame:
+    rows, folds = walk_folds(spark, sf)
+    return V.predictions(rows, V.selection(V.diagnostics(folds, CANDIDATES, SETTINGS)), NAMES, GROUPS, CANDIDATES, SETTINGS)
+
+
+@query("walkforward_diagnostics")
+def walkforward_diagnostics(spark, sf):
+    return rounded(V.diagnostics(walk_folds(spark, sf)[1], CANDIDATES, SETTINGS), 9)
 
 
 @query("walkforward_selection")
 def walkforward_selection(spark, sf):
-    log = [(symbol, *x.values()) for symbol in symbols(spark, sf) for x in _walk(spark, sf, symbol)[1]]
-    return spark.createDataFrame(log, "symbol string, step int, chosen string, standard_error double, n_degenerate int, is_baseline boolean")
+    return rounded(V.selection(V.diagnostics(walk_folds(spark, sf)[1], CANDIDATES, SETTINGS)), 9)
+
+
+@query("walkforward_calibration_log")
+def walkforward_calibration_log(spark, sf):
+    return rounded(V.calibration_log(walk_folds(spark, sf)[1], CANDIDATES), 9)
 
 
 @query("walkforward_predictions")
 def walkforward_predictions(spark, sf):
-    return each(spark, sf, lambda symbol: rounded(_walk(spark, sf, symbol)[0], 9))
+    return rounded(walk_predictions(spark, sf), 9)
+
+
+@query("walkforward_reliability")
+def walkforward_reliability(spark, sf):
+    """Out of sample, before and after calibration."""
+    d = walk_predictions(spark, sf).select("label", *V.RAW, *V.CALIBRATED)
+    return rounded(K.reliability(spark, d, "label", {"raw": V.RAW, "calibrated": V.CALIBRATED}))
+
+
+@query("feature_stability")
+def feature_stability(spark, sf):
+    return V.stability(V.screens(walk_rows(spark, sf), NAMES, GROUPS, SETTINGS))
 
 
 @query("candidate_grid", "SELECT * FROM (VALUES ('baseline', 0, 1), ('logistic', 1, 12), ('forest', 2, 4)) AS t(family, complexity_rank, n_candidates)")

@@ -15,9 +15,9 @@ from ..operators import labels as L
 from ..operators import screening as S
 from ..operators import text as T
 from ..sources import files
-from .base import BARS, SNAPSHOT, market_bars, query, rnd, rounded, snapshot, symbols, table
+from .base import BARS, MARKET, SNAPSHOT, market_bars, once, query, rnd, rounded, snapshot, table
 from .execution_queries import _PROBS, BENCH, NET, W, bench_net, frame, probs
-from .feature_queries import EXPR, features_sql
+from .feature_queries import BASE, EWM_STEPS, EXPR, features_sql
 
 INIT, STEP = 200, 21
 
@@ -89,36 +89,46 @@ def outer_schedule(spark, sf):
 
 # ---------------------------------------------------------------- screening
 
-SCREENED = ["log_ret", "ret_lag_5", "SMA_gap_5", "SMA_gap_20", "Volatility_5", "Volatility_20", "intraday_ret", "high_low_range"]
+NAMES = X.REGISTRY.names()
 _GROUP = {f.name: f.group for f in X.REGISTRY.features}
-_SCREEN_EXPR = {n: EXPR[_GROUP[n]][n] for n in SCREENED}
-SLICE = f"""{features_sql(_SCREEN_EXPR)},
+#: Digits that both engines agree on; the average of price levels has fewer.
+_DIGITS = {n: 3 if n == "MACD_hist" else 7 for n in NAMES}
+_PLAIN = {n: e for g in EXPR for n, e in EXPR[g].items()}
+SLICE = f"""RECURSIVE {features_sql(_PLAIN, BASE.replace(SNAPSHOT, MARKET))}{EWM_STEPS},
+mom AS (SELECT symbol, session, CASE WHEN rn < 15 THEN NULL WHEN l > 0 THEN 100 - 100 / (1 + g / l) WHEN g > 0 THEN 100.0 END AS RSI_14, e12 - e26 - m9 AS MACD_hist FROM e),
 tgt AS (SELECT symbol, session, lead(close / open - 1) OVER ({W}) AS target FROM snap),
-slice0 AS (SELECT f.*, ln(1 + target) / (Volatility_20 + 1e-8) AS z FROM feats f JOIN tgt USING (symbol, session) WHERE target > -1 AND Volatility_20 IS NOT NULL),
-slice1 AS (SELECT *, row_number() OVER ({W}) - 1 AS pos FROM slice0),
-slice AS MATERIALIZED (SELECT * FROM slice1 WHERE pos < 150)"""
+slice0 AS (SELECT f.*, RSI_14, MACD_hist, ln(1 + target) / (Volatility_20 + 1e-8) AS z FROM feats f JOIN mom USING (symbol, session) JOIN tgt USING (symbol, session) WHERE target > -1 AND {' AND '.join(f'{n} IS NOT NULL' for n in NAMES)}),
+slice AS MATERIALIZED (SELECT symbol, session, round(z, 9) AS z, {', '.join(f'round(CAST({n} AS DOUBLE), {k}) AS {n}' for n, k in _DIGITS.items())}, row_number() OVER ({W}) - 1 AS pos FROM slice0)"""
 
 
-def slice_of(spark, sf, rows: int | None = 150):
-    s = snapshot(spark, sf)
-    f = X.build(s, X.Registry([x for x in X.REGISTRY.features if x.name in SCREENED]), extra={"target": X.open_close_target()})
+def complete_rows(spark, sf, market: bool = False):
+    """symbol, session, pos, target, carry, z and all features of the rows that have them all: of each segment, or of the market as a whole.
+
+    All of it comes from one chain of windows. A join after so many named expressions would have the optimiser carry
+    their equalities through; whoever joins these rows writes or persists them first.
+    """
+    s = snapshot(spark, sf, market).withColumn("financing", E.intraday_financing())
+    f = X.build(s, extra={"target": X.open_close_target(), "carry": F.coalesce(C.lag("financing", -1), F.lit(0.0))})
     d = f.withColumn("z", L.vol_adjusted(F.col("target"), F.col("Volatility_20"))).where("target > -1 AND z IS NOT NULL")
-    d = L.positions_in_order(d)
-    return d if rows is None else d.where(F.col("pos") < rows)
+    return L.positions_in_order(X.complete_cases(d, NAMES))
+
 
+def slice_of(spark, sf):
+    """All complete rows of the market, rounded as in the SQL."""
+    d = complete_rows(spark, sf, True)
+    return once(d.select("symbol", "session", "pos", F.round("z", 9).alias("z"), *(F.round(F.col(n).cast("double"), k).alias(n) for n, k in _DIGITS.items())))
 
-_LONG = "lng AS (" + " UNION ALL ".join(f"SELECT symbol, '{n}' AS feature, pos, round({n}, 9) AS x, round(z, 9) AS z FROM slice WHERE {n} IS NOT NULL" for n in SCREENED) + ")"
-_SPEARMAN = f"""WITH {SLICE}, {_LONG}, num AS (SELECT *, row_number() OVER (PARTITION BY symbol, feature ORDER BY pos) AS n FROM lng),
-win AS (SELECT e.symbol, e.feature, e.pos AS end_pos, w.x, w.z FROM num e JOIN num w ON w.symbol = e.symbol AND w.feature = e.feature AND w.n BETWEEN e.n - 59 AND e.n WHERE e.n >= 60),
+
+_LONG = f"lng AS MATERIALIZED (SELECT symbol, pos, z, unnest([{', '.join(repr(n) for n in NAMES)}]) AS feature, unnest([{', '.join(NAMES)}]) AS x FROM slice)"
+_SPEARMAN = f"""WITH {SLICE}, {_LONG},
+win AS (SELECT e.symbol, e.feature, e.pos AS end_pos, w.x, w.z FROM lng e JOIN lng w ON w.symbol = e.symbol AND w.feature = e.feature AND w.pos BETWEEN e.pos - 59 AND e.pos WHERE e.pos >= 59),
 rk AS (SELECT symbol, feature, end_pos, rank() OVER (PARTITION BY symbol, feature, end_pos ORDER BY x) + (count(*) OVER (PARTITION BY symbol, feature, end_pos, x) - 1) / 2.0 AS rx,
   rank() OVER (PARTITION BY symbol, feature, end_pos ORDER BY z) + (count(*) OVER (PARTITION BY symbol, feature, end_pos, z) - 1) / 2.0 AS rz FROM win),
 rho AS (SELECT symbol, feature, end_pos AS pos, CASE WHEN min(rx) < max(rx) AND min(rz) < max(rz) THEN corr(rx, rz) END AS rho FROM rk GROUP BY 1, 2, 3)"""
 
 
 def spearman(spark, sf):
-    d = slice_of(spark, sf)
-    d = d.select("symbol", "pos", F.round("z", 9).alias("z"), *(F.round(c, 9).alias(c) for c in SCREENED))
-    return S.rolling_spearman(S.unpivot(d, SCREENED, ["symbol", "pos", "z"]))
+    return S.rolling_spearman_all(slice_of(spark, sf), NAMES)
 
 
 @query("rolling_spearman", f"{_SPEARMAN} SELECT symbol, feature, pos, round(rho, 8) + 0.0 AS rho FROM rho")
@@ -134,49 +144,35 @@ def information_coefficients(spark, sf):
     return rounded(S.information_coefficients(spearman(spark, sf)))
 
 
-def _meta(spark):
-    return spark.createDataFrame([(f, _GROUP[f], i) for i, f in enumerate(SCREENED)], "feature string, feature_group string, position int")
-
+_META = "meta AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{_GROUP[f]}', {i})" for i, f in enumerate(NAMES)) + ") AS t(feature, feature_group, position))"
 
-_META = "meta AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{_GROUP[f]}', {i})" for i, f in enumerate(SCREENED)) + ") AS t(feature, feature_group, position))"
 
-
-@query("topk_per_group", f"{_IC}, {_META}, r AS (SELECT symbol, feature, feature_group, ic, row_number() OVER (PARTITION BY symbol, feature_group ORDER BY round(ic, 9) DESC, position) AS rank_in_group FROM ic JOIN meta USING (feature)) SELECT symbol, feature, feature_group, round(round(ic, 9), 8) + 0.0 AS ic, CAST(rank_in_group AS INTEGER) AS rank_in_group FROM r WHERE rank_in_group <= 1")
+@query("topk_per_group", f"{_IC}, {_META}, r AS (SELECT symbol, feature, feature_group, ic, row_number() OVER (PARTITION BY symbol, feature_group ORDER BY round(ic, 9) DESC, position) AS rank_in_group FROM ic JOIN meta USING (feature)) SELECT symbol, feature, feature_group, round(round(ic, 9), 8) + 0.0 AS ic, CAST(rank_in_group AS INTEGER) AS rank_in_group FROM r WHERE rank_in_group <= {S.PER_GROUP}")
 def topk_per_group(spark, sf):
     ics = S.information_coefficients(spearman(spark, sf)).withColumn("ic", F.round("ic", 9))
-    return rounded(S.top_per_group(ics, _meta(spark), 1).select("symbol", "feature", "feature_group", "ic", "rank_in_group"))
-
+    return rounded(S.top_per_group(ics, _GROUP).select("symbol", "feature", "feature_group", "ic", "rank_in_group"))
 
-_PAIRS = [(a, b) for i, a in enumerate(SCREENED) for b in SCREENED[i + 1 :]]
 
-
-@query("correlation_pairs", f"WITH {SLICE} " + " UNION ALL ".join(f"SELECT symbol, '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 7) + 0.0 AS corr FROM slice GROUP BY 1" for a, b in _PAIRS))
+@query(
+    "correlation_pairs",
+    f"WITH {SLICE}, {_META}, {_LONG}, n AS (SELECT l.*, position, min(x) OVER f < max(x) OVER f AS varies FROM lng l JOIN meta USING (feature) WINDOW f AS (PARTITION BY symbol, feature))"
+    " SELECT symbol, a.feature AS a, b.feature AS b, round(CASE WHEN bool_and(a.varies AND b.varies) THEN corr(a.x, b.x) END, 7) + 0.0 AS corr FROM n a JOIN n b USING (symbol, pos) WHERE a.position < b.position GROUP BY 1, 2, 3",
+)
 def correlation_pairs(spark, sf):
-    return rounded(S.correlation_pairs(slice_of(spark, sf), SCREENED), 7)
+    return rounded(S.correlation_pairs(slice_of(spark, sf), NAMES), 7)
 
 
 @query("screened_features")
 def screened_features(spark, sf):
-    d, rows = slice_of(spark, sf, None).persist(), []
-    for symbol in symbols(spark, sf):
-        kept = S.screen(d.where(F.col("symbol") == symbol), SCREENED, _GROUP)
-        rows += [(symbol, i, f, ic) for i, (f, ic) in enumerate(kept)]
-    d.unpersist()
-    return spark.createDataFrame(rows, "symbol string, rank int, feature string, ic double")
-
-
-@query("feature_stability", f"WITH {SLICE}, v AS (SELECT symbol, pos // 50 AS block, {', '.join(f'count({n}) AS {n}' for n in SCREENED)} FROM slice GROUP BY 1, 2) " + "SELECT feature, CAST(sum(CASE WHEN n >= 20 THEN 1 ELSE 0 END) AS BIGINT) AS n_blocks FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, {n} AS n FROM v" for n in SCREENED) + ") GROUP BY 1")
-def feature_stability(spark, sf):
-    d = slice_of(spark, sf).groupBy("symbol", F.floor(F.col("pos") / 50).alias("block")).agg(*(F.count(c).alias(c) for c in SCREENED))
-    long = d.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("n")) for c in SCREENED))))
-    return long.groupBy("feature").agg(F.count_if(F.col("n") >= 20).alias("n_blocks"))
+    return S.screen(complete_rows(spark, sf), NAMES, _GROUP)
 
 
 # ---------------------------------------------------------------- inference
 
-REPS, SEED = 100, 20260823
+#: A study draws 10,000 replicates; the queries draw a tenth, as their SQL computes two digests for each row and replicate.
+REPS, SEED = 1000, 20260823
 _H = "(('0x' || substr(md5('{seed}:{tag}:' || rep || ':' || i), 1, 8))::BIGINT)"
-SERIES = f"""{BENCH}, {NET}, idx AS (SELECT row_number() OVER (ORDER BY a.session) - 1 AS idx, a.excess AS x, b.excess AS y, a.o2c AS r FROM net a JOIN net b USING (symbol, session) WHERE symbol = 'BUILDING' AND a.benchmark = 'prior_open_close' AND b.benchmark = 'always_long'),
+SERIES = f"""{BENCH.replace(SNAPSHOT, MARKET)}, {NET}, idx AS (SELECT row_number() OVER (ORDER BY a.session) - 1 AS idx, a.excess AS x, b.excess AS y, a.o2c AS r FROM net a JOIN net b USING (symbol, session) WHERE a.benchmark = 'prior_open_close' AND b.benchmark = 'always_long'),
 bn AS (SELECT count(*) AS n FROM idx),
 bg AS (SELECT rep, i, n FROM bn, (SELECT unnest(range(0, {REPS})) AS rep), (SELECT unnest(range(0, (SELECT n FROM bn))) AS i)),
 bh AS (SELECT rep, i, n, i = 0 OR {_H.format(seed=SEED, tag='r')} / 4294967296.0 < 1 / 20.0 AS restart, {_H.format(seed=SEED, tag='s')} % n AS start FROM bg),
@@ -185,13 +181,13 @@ path AS (SELECT rep, i, (s0 + i - i0) % n AS idx FROM bp)"""
 
 
 def paired_series(spark, sf):
-    """idx, x (prior-day direction), y (always-long), r of one symbol; one series has as many rows as sessions."""
-    return I.indexed(pairs(spark, sf).where("symbol = 'BUILDING'").drop("symbol"))
+    """idx, x (prior-day direction), y (always-long), r of the market as a whole; one series has as many rows as sessions."""
+    return I.indexed(pairs(spark, sf, True).drop("symbol"))
 
 
-def pairs(spark, sf):
-    """symbol, session, x, y, r of all symbols."""
-    d = bench_net(spark, sf).where("benchmark IN ('prior_open_close', 'always_long')")
+def pairs(spark, sf, market: bool = False):
+    """symbol, session, x, y, r of all symbols, or of the market."""
+    d = bench_net(spark, sf, market).where("benchmark IN ('prior_open_close', 'always_long')")
     return d.groupBy("symbol", "session").agg(F.max(F.when(F.col("benchmark") == "prior_open_close", F.col("excess"))).alias("x"), F.max(F.when(F.col("benchmark") == "always_long", F.col("excess"))).alias("y"), F.max("o2c").alias("r"))
 
 
@@ -240,16 +236,36 @@ def jobson_korkie_z(spark, sf):
     return out.select((F.round("rho", 8) + 0.0).alias("rho"), (F.round("z", 6) + 0.0).alias("z"))
 
 
-@query("jobson_korkie_p")
+#: Two-sided normal p-value of z: twice the integral of the density from |z| to |z| + 12, by Simpson's rule.
+_P = "round(2 * 0.003 / 3 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(abs(z) + i * 0.003, 2) / 2))), 6) + 0.0"
+
+
+@query(
+    "jobson_korkie_p",
+    f"""WITH {BENCH}, {NET}, jp AS (SELECT symbol, a.excess AS x, b.excess AS y FROM net a JOIN net b USING (symbol, session) WHERE a.benchmark = 'prior_open_close' AND b.benchmark = 'always_long'),
+js AS (SELECT symbol, avg(x) / stddev_samp(x) AS sa, avg(y) / stddev_samp(y) AS sb, corr(x, y) AS rho, count(*) AS n FROM jp GROUP BY 1),
+jz AS (SELECT symbol, (sa - sb) / sqrt((2 - 2 * rho + 0.5 * (sa * sa + sb * sb - 2 * sa * sb * rho * rho)) / n) AS z FROM js)
+SELECT symbol, round(z, 6) + 0.0 AS z, {_P} AS p_value FROM jz""",
+)
 def jobson_korkie_p(spark, sf):
-    return pairs(spark, sf).groupBy("symbol").agg(*I.jobson_korkie("x", "y")).select("symbol", "z", I.two_sided_p("z").alias("p_value"))
+    return pairs(spark, sf).groupBy("symbol").agg(*I.jobson_korkie("x", "y")).select("symbol", (F.round("z", 6) + 0.0).alias("z"), (F.round(I.two_sided_p("z"), 6) + 0.0).alias("p_value"))
+
+
+# the normal quantile: sixty halvings of [0, 9] for the upper tail that Simpson's rule gives
+_TAIL = "0.003 / 3 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 4001), lambda i: (CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow({} + i * 0.003, 2) / 2)))"
+_MAX_SHARPE = f"""WITH RECURSIVE {BENCH}, {NET}, ms AS (SELECT symbol, benchmark, CASE WHEN stddev_samp(excess) > 0 THEN avg(excess) / stddev_samp(excess) * sqrt(252) END AS s FROM net GROUP BY 1, 2),
+mt AS (SELECT count(s) AS n, stddev_samp(s) AS sd FROM ms),
+h AS (SELECT k, q, 0::DOUBLE AS lo, 9::DOUBLE AS hi, 0 AS i FROM (SELECT 1 AS k, 1.0::DOUBLE / n AS q FROM mt UNION ALL SELECT 2, 1.0::DOUBLE / (n * exp(1)) FROM mt)
+  UNION ALL SELECT k, q, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END, i + 1 FROM (SELECT *, (lo + hi) / 2 AS mid, {_TAIL.format('(lo + hi) / 2')} > q AS up FROM h WHERE i < 60))
+SELECT n AS n_trials, round(sd, 8) + 0.0 AS sd, round(sd * ((1 - 0.5772156649015329) * (SELECT lo FROM h WHERE i = 60 AND k = 1) + 0.5772156649015329 * (SELECT lo FROM h WHERE i = 60 AND k = 2)), 6) + 0.0 AS expected_max FROM mt"""
 
 
-@query("expected_max_sharpe")
+@query("expected_max_sharpe", _MAX_SHARPE)
 def expected_max_sharpe(spark, sf):
     sharpes = bench_net(spark, sf).groupBy("symbol", "benchmark").agg(C.sharpe(F.col("excess")).alias("s")).where("s IS NOT NULL")
     row = sharpes.agg(F.count("s").alias("n"), F.stddev_samp("s").alias("sd")).first()
-    return spark.createDataFrame([(row["n"], row["sd"], I.expected_max_sharpe(row["n"], row["sd"]))], "n_trials bigint, sd double, expected_max double")
+    out = spark.createDataFrame([(row["n"], row["sd"], I.expected_max_sharpe(row["n"], row["sd"]))], "n_trials bigint, sd double, expected_max double")
+    return out.select("n_trials", (F.round("sd", 8) + 0.0).alias("sd"), (F.round("expected_max", 6) + 0.0).alias("expected_max"))
 
 
 @query("politis_white")

@@ -6,7 +6,9 @@ import hashlib
 import json
 from html.parser import HTMLParser
 from pathlib import Path
+from urllib.parse import urlsplit
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +64,24 @@ def write_manifest(path: str, **facts) -> None:
     Path(path).write_text(json.dumps(facts, indent=2, sort_keys=True, default=str) + "\n")
 
 
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or address, and the path on it."""
+    return pafs.FileSystem.from_uri(path if urlsplit(path).scheme else f"file://{Path(path).absolute()}")
+
+
+def exists(path: str) -> bool:
+    fs, at = _store(path)
+    return fs.get_file_info(at).type != pafs.FileType.NotFound
+
+
+def write_json(path: str, facts: dict) -> None:
+    """A small JSON file on any store; its folder is made."""
+    fs, at = _store(path)
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(at) as f:
+        f.write((json.dumps(facts, indent=2, sort_keys=True, default=str) + "\n").encode())
+
+
 def deep_merge(base: dict, over: dict) -> dict:
     """Dicts merge key by key; anything else of `over` replaces."""
     out = dict(base)
@@ -92,7 +112,7 @@ def file_sha256(path: str) -> str:
 
 def read_or_aggregate(spark: SparkSession, documents: str, aggregate: str, build, spine: DataFrame) -> DataFrame:
     """build(documents) where the documents are there, else the committed aggregate on the spine, zero-filled."""
-    if Path(documents).exists():
+    if exists(documents):
         return build(spark.read.parquet(documents))
     return spine.select("session").join(spark.read.parquet(aggregate), "session", "left").na.fill(0)
 

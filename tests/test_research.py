@@ -14,7 +14,6 @@ from tallyfold.operators import labels as L
 from tallyfold.operators import models as M
 from tallyfold.operators import screening as S
 from tallyfold.operators import text as T
-from tallyfold.operators import walkforward as V
 from tallyfold.plans import research_queries as R
 from tallyfold.plans.catalog import QUERIES
 from tallyfold.sources import files
@@ -55,11 +54,6 @@ def test_rolling_spearman_against_ranks(spark):
         assert got[end] == pytest.approx(np.corrcoef(ranks(x[end - 29 : end + 1]), ranks(z[end - 29 : end + 1]))[0, 1], abs=1e-12)
 
 
-def test_average_linkage():
-    d = np.array([[0, 0.1, 0.9], [0.1, 0, 0.9], [0.9, 0.9, 0]])
-    assert S.average_linkage(d) == [0, 0, 1]
-
-
 def test_smoothing_matches_the_recursion(spark):
     rows = [("A", d, v) for d, v in zip(weekdays(30), (np.arange(30.0) ** 1.5).tolist())]
     out = smooth(spark.createDataFrame(rows, "symbol string, session date, x double"), {"y": ("x", 0.3, 3)}).orderBy("session").collect()
@@ -114,12 +108,9 @@ def test_scores(spark):
     assert d.agg(K.brier_skill("label", (F.lit(1.0), F.lit(0.0), F.lit(0.0)))).first()[0] is None
 
 
-def test_selection():
-    c = M.candidates({"logistic": {"C": [0.1, 1.0]}, "forest": {"depth": [3]}}, [0.0])
-    assert [x.family for x in c] == ["baseline", "logistic", "logistic", "forest"]
-    scores = [{"candidate": x.key, "sharpe": s, "degenerate": False} for x, s in zip(c, (0.1, 0.45, 0.5, 0.6))]
-    assert V.choose(scores, c, 0.2) == c[1] and V.choose(scores, c, 0.0) == c[3]
-    assert V.choose([s | {"degenerate": True} for s in scores], c, 0.2) == c[0]
+def test_candidates():
+    c = M.candidates({"logistic": {"C": [0.1, 1.0]}, "forest": {"depth": [3]}}, [0.0, 0.5])
+    assert [(x.family, x.delta) for x in c] == [("baseline", 0.0), ("logistic", 0.5), ("logistic", 0.0), ("logistic", 0.5), ("logistic", 0.0), ("forest", 0.5), ("forest", 0.0)]
     with pytest.raises(ValueError):
         M.candidates({"nothing": {}}, [0.0])
 
@@ -185,15 +176,8 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
     assert all(v[1] == pytest.approx(want[k][1], abs=1e-3) for k, v in got.items())
 
 
-def test_the_screen_sees_all_rows(spark, monkeypatch):
-    seen = {}
-    monkeypatch.setattr(S, "screen", lambda d, *_: seen.update({r["symbol"]: r["count"] for r in d.groupBy("symbol").count().collect()}) or [])
-    R.screened_features(spark, DATA)
-    want = {r["symbol"]: r["count"] for r in R.zrows(spark, DATA).groupBy("symbol").count().collect()}
-    assert seen and min(want.values()) > 150 and all(want[k] == n for k, n in seen.items())
-
-
 @pytest.mark.parametrize("name", ["screened_features", "jobson_korkie_p", "logistic_baseline_oos"])
 def test_all_symbols_take_part(spark, name):
-    want = {r["symbol"] for r in R.zrows(spark, DATA).select("symbol").distinct().collect()}
-    assert {r["symbol"] for r in QUERIES[name](spark, DATA).collect()} == want and len(want) > 1
+    data = DATA.replace("0.001", "0.01") if name == "screened_features" else DATA  # complete rows need long series
+    want = {r["symbol"] for r in R.zrows(spark, data).select("symbol").distinct().collect()}
+    assert {r["symbol"] for r in QUERIES[name](spark, data).collect()} == want and len(want) > 1
