@@ -50,6 +50,19 @@ def interior_gaps(df: DataFrame, columns: list[str]) -> DataFrame:
     return trim_leading(df, columns).groupBy("symbol").agg(F.count_if(missing).alias("n_gaps"))
 
 
+def closed_spine(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of each symbol from its first to its last one in which no column is missing; a gap between them raises, naming symbols."""
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    w = Window.partitionBy("symbol")
+    capped = trim_leading(df, columns).withColumn("__last", F.max(F.when(whole, F.col("session"))).over(w)).where(F.col("session") <= F.col("__last")).drop("__last")
+    gaps = interior_gaps(capped, columns).where("n_gaps > 0").orderBy("symbol").limit(10).collect()
+    if gaps:
+        raise ValueError(f"gaps inside the spine: {[(r['symbol'], r['n_gaps']) for r in gaps]}")
+    return capped
+
+
 def asof_bucket(events: DataFrame, grid: DataFrame, ts: str, at: str = "close_utc", session: str = "session") -> DataFrame:
     """The first session of the grid that closes at or after the event: left-open, right-closed buckets; NULL after the last.
 

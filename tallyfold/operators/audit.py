@@ -34,6 +34,15 @@ def run_diff(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], to
     )
 
 
+def vintage_diff(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], by: Column, name: str, tolerance: float = 0.0) -> DataFrame:
+    """run_diff of two vintages for each value of `by` (of the keys) and column; rows on one side only count apart."""
+    d = F.abs(F.col("x") - F.col("y"))
+    return _pairs(a, b, keys, columns).withColumn(name, by).groupBy(name, "column_name").agg(
+        F.count_if("one_sided").alias("n_one_sided"), F.count_if(F.coalesce(d > tolerance, F.col("x").isNull() != F.col("y").isNull()) & ~F.col("one_sided")).alias("n_cells"),
+        F.coalesce(F.max(d), F.lit(0.0)).alias("max_abs"), F.coalesce(F.max(F.try_divide(d, F.abs("x"))), F.lit(0.0)).alias("max_rel"),
+    )
+
+
 def text_equal(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """One row: for each column whether all rows have equal text on both sides."""
     j = a.select(*keys, *(F.col(c).alias(f"a_{c}") for c in columns)).join(b.select(*keys, *(F.col(c).alias(f"b_{c}") for c in columns)), keys, "full")

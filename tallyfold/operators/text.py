@@ -45,16 +45,31 @@ def load_lexicon(spark, path: str, categories=CATEGORIES, sha256: str | None = N
     return out
 
 
-def _count(words) -> Column:
-    """Tokens that are in a list, with multiplicity."""
-    vocabulary = F.array(*map(F.lit, sorted(words)))
-    return F.size(F.filter("tokens", lambda t: F.array_contains(vocabulary, t))).cast("long") if words else F.lit(0).cast("long")
+#: Words of all lists up to which their table goes to every task; a longer table is joined as Spark decides.
+BROADCAST_WORDS = 200_000
+
+
+def word_table(spark, lists: dict[str, list[str]]) -> DataFrame:
+    """word and, for each list, 1 where it has the word, else 0."""
+    words = sorted({w for ws in lists.values() for w in ws})
+    held = {n: set(ws) for n, ws in lists.items()}
+    table = spark.createDataFrame([(w, *(int(w in held[n]) for n in lists)) for w in words], "word string, " + ", ".join(f"`{n}` int" for n in lists))
+    return F.broadcast(table) if len(words) <= BROADCAST_WORDS else table
 
 
 def score(docs: DataFrame, lexicon: dict[str, list[str]], topics: dict[str, tuple[str, ...]] = TOPICS, keep: list[str] = ("session",)) -> DataFrame:
-    """keep, n_tokens, a count for each category and topic_<name> for each topic; a narrow projection."""
-    scored = docs.select(*keep, tokens(F.col("text")).alias("tokens"))
-    return scored.select(*keep, F.size("tokens").cast("long").alias("n_tokens"), *(_count(lexicon[c]).alias(c) for c in lexicon), *(_count(w).alias(f"topic_{t}") for t, w in topics.items()))
+    """keep, n_tokens, a count for each category and topic_<name> for each topic.
+
+    Tokens are joined with one table of all words, whatever their number, and summed by document within the task
+    that read it, so that a row for each document is shuffled.
+    """
+    lists = {**lexicon, **{f"topic_{t}": w for t, w in topics.items()}}
+    # numbered before the words are rows of their own
+    rows = docs.select(*keep, F.monotonically_increasing_id().alias("__row"), tokens(F.col("text")).alias("__tokens"))
+    rows = rows.select(*keep, "__row", F.explode_outer("__tokens").alias("word"))
+    found = rows.join(word_table(docs.sparkSession, lists), "word", "left")
+    sums = [F.sum(F.coalesce(F.col(f"`{n}`"), F.lit(0))).cast("long").alias(n) for n in lists]
+    return found.groupBy("__row", *keep).agg(F.count("word").alias("n_tokens"), *sums).drop("__row")
 
 
 def session_features(scores: DataFrame, spine: DataFrame, lexicon, topics, prefix: str = "") -> DataFrame:

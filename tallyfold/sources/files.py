@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 from pathlib import Path
 from urllib.parse import urlsplit
 
+import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +47,8 @@ def read_rates(spark: SparkSession, path: str, columns: dict[str, str], skip: in
 
     What does not parse as a date drops the row; what does not parse as a number is NULL.
     """
-    lines = spark.read.text(path).withColumn("__n", F.monotonically_increasing_id()).where(F.col("__n") >= skip)
+    # a file of rates is small, and read as one row its lines have numbers wherever it is split
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("__n", "value")).where(F.col("__n") >= skip)
     parts = F.split("value", ",")
     rows = lines.select(F.to_date(F.try_to_timestamp(F.trim(parts[0]), F.lit("yyyy-MM-dd"))).alias(date), *(F.trim(F.get(parts, F.lit(i + 1))).try_cast("double").alias(n) for i, n in enumerate(columns.values())))
     return rows.where(F.col(date).isNotNull())
@@ -157,13 +159,65 @@ def parse_page(html: Column | str) -> Column:
     return parse(html)
 
 
+class _Select(HTMLParser):
+    """Elements of a tag whose class attribute has a word: their text, id and first link."""
+
+    def __init__(self, tag: str, word: str | None):
+        super().__init__(convert_charrefs=True)
+        self.tag, self.word, self.found, self._depth, self._now = tag, word, [], 0, None
+
+    def handle_starttag(self, tag, attrs):
+        at = dict(attrs)
+        if self._now is not None:
+            self._depth += tag == self.tag
+            if tag == "a" and at.get("href") and not self._now["href"]:
+                self._now["href"] = at["href"]
+        elif tag == self.tag and (self.word is None or self.word in (at.get("class") or "").split()):
+            self._now, self._depth = {"text": [], "id": at.get("id"), "href": at.get("href")}, 1
+
+    def handle_endtag(self, tag):
+        if self._now is not None and tag == self.tag:
+            self._depth -= 1
+            if not self._depth:
+                self._done()
+
+    def handle_data(self, data):
+        if self._now is not None:
+            self._now["text"].append(data)
+
+    def _done(self):
+        self.found.append((" ".join(" ".join(self._now["text"]).split()), self._now["id"], self._now["href"]))
+        self._now = None
+
+    def close(self):
+        super().close()
+        if self._now is not None:  # never closed: what there is
+            self._done()
+
+
+def select_elements(html: Column | str, tag: str, word: str | None = None) -> Column:
+    """Array of (text, id, href) of the outermost elements of a tag, with a word in their class if given; NULL pages have none."""
+
+    @F.pandas_udf("array<struct<text: string, id: string, href: string>>")
+    def select(pages):
+        out = []
+        for h in pages:
+            p = _Select(tag, word)
+            p.feed(h or "")
+            p.close()
+            out.append([dict(zip(("text", "id", "href"), x)) for x in p.found])
+        return pd.Series(out)
+
+    return select(html)
+
+
 def new_items(found: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Found items that are not done yet, each once."""
     return found.dropDuplicates([key]).join(done.select(key).distinct(), key, "left_anti")
 
 
 def seeded_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:
-    """n rows of each stratum by a seeded hash of their key: the same rows everywhere."""
+    """n rows of each stratum by a seeded hash of their key: the same rows everywhere. Each task passes on its own n best of a stratum (WindowGroupLimit)."""
     from pyspark.sql import Window
 
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))

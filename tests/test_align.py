@@ -3,6 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import weekdays
+
 from tallyfold.operators import align, calendar
 
 UTC = dt.timezone.utc
@@ -71,3 +73,13 @@ def test_calendar_rules(spark, grid):
     assert half == ["2024-07-03", "2024-11-29", "2024-12-24"]
     assert grid.count() == 252 and grid.where("session_minutes = 210").count() == 3
     assert calendar.easter(2024) == dt.date(2024, 3, 31) and calendar.easter(2025) == dt.date(2025, 4, 20)
+
+
+def test_closed_spine_caps_and_refuses_gaps(spark):
+    days = weekdays(6)
+    rows = [("A", d, v) for d, v in zip(days, (None, 1.0, 2.0, 3.0, None, None))]
+    out = align.closed_spine(spark.createDataFrame(rows, "symbol string, session date, x double"), ["x"]).orderBy("session").collect()
+    assert [r["x"] for r in out] == [1.0, 2.0, 3.0]
+    holed = [("A", d, v) for d, v in zip(days, (1.0, None, 2.0, 3.0, None, None))]
+    with pytest.raises(ValueError, match="A"):
+        align.closed_spine(spark.createDataFrame(holed, "symbol string, session date, x double"), ["x"])

@@ -158,6 +158,18 @@ def test_sources(spark, tmp_path):
     assert (page[0]["title"], page[0]["n_links"], page[0]["body"]) == ("T", 1, "go on") and page[1]["n_links"] == 0
 
 
+def test_elements_and_cached_aggregates(spark, tmp_path):
+    html = "<div class='post a' id='7'>one <div>in</div> <a href='/s/7'>x</a></div><div class='b'>two</div><div class='post'>open"
+    found = spark.createDataFrame([(html,), (None,)], "html string").select(files.select_elements("html", "div", "post").alias("e")).collect()
+    assert [tuple(x) for x in found[0]["e"]] == [("one in x", "7", "/s/7"), ("open", None, None)] and found[1]["e"] == []
+    spine = spark.createDataFrame([(d,) for d in weekdays(3)], "session date")
+    spark.createDataFrame([(weekdays(1)[0], 4)], "session date, n long").write.parquet(str(tmp_path / "agg"))
+    out = files.read_or_aggregate(spark, str(tmp_path / "docs"), str(tmp_path / "agg"), None, spine).orderBy("session").collect()
+    assert [r["n"] for r in out] == [4, 0, 0]
+    spark.createDataFrame([(weekdays(1)[0], "x")], "session date, text string").write.parquet(str(tmp_path / "docs"))
+    assert files.read_or_aggregate(spark, str(tmp_path / "docs"), str(tmp_path / "agg"), lambda d: d.groupBy("session").count(), spine).count() == 1
+
+
 def test_stream_gives_the_batch_rows(spark, tmp_path):
     from conftest import DATA
 
