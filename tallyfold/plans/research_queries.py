@@ -17,7 +17,7 @@ from ..operators import text as T
 from ..operators.bars import to_bars
 from ..sources import files
 from .base import BARS, MARKET, SNAPSHOT, market_bars, once, query, rnd, rounded, snapshot, table
-from .execution_queries import _PROBS, BENCH, NET, W, bench_net, frame, probs
+from .execution_queries import _PROBS, BENCH, FRAME, NET, W, bench_net, frame, probs
 from .feature_queries import BASE, EWM_STEPS, EXPR, features_sql
 
 INIT, STEP = 200, 21
@@ -269,7 +269,20 @@ def expected_max_sharpe(spark, sf):
     return out.select("n_trials", (F.round("sd", 8) + 0.0).alias("sd"), (F.round("expected_max", 6) + 0.0).alias("expected_max"))
 
 
-@query("politis_white")
+_POLITIS = f"""WITH {FRAME}, pw AS (SELECT symbol, o2c AS v, row_number() OVER ({W}) - 1 AS i FROM frame),
+ps AS (SELECT symbol, count(*) AS n, avg(v) AS mu, greatest(5, ceil(log10(count(*)))) AS kn, ceil(sqrt(count(*))) + greatest(5, ceil(log10(count(*)))) AS mmax FROM pw GROUP BY 1),
+pl AS (SELECT ps.*, CAST(least(mmax + kn, n - 1) AS BIGINT) AS last, unnest(range(0, CAST(least(mmax + kn, n - 1) AS BIGINT) + 1)) AS k FROM ps),
+pc AS (SELECT l.symbol, l.k, any_value(n) AS n, any_value(kn) AS kn, any_value(mmax) AS mmax, any_value(last) AS last, sum((a.v - mu) * (b.v - mu)) / any_value(n) AS c FROM pl l JOIN pw a ON a.symbol = l.symbol JOIN pw b ON b.symbol = l.symbol AND b.i = a.i + l.k GROUP BY 1, 2),
+pr AS (SELECT *, first_value(c) OVER (PARTITION BY symbol ORDER BY k) AS c0 FROM pc),
+pf AS (SELECT *, abs(c / c0) < 2 * sqrt(log10(n) / n) AS small FROM pr WHERE k > 0),
+pq AS (SELECT *, bool_and(small) OVER (PARTITION BY symbol ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AND k + 4 <= last AS quiet FROM pf),
+pm AS (SELECT symbol, coalesce(min(k) FILTER (quiet) - 1, max(k) FILTER (NOT small), 1) AS m, any_value(mmax) AS mmax, any_value(last) AS last, any_value(n) AS n, any_value(c0) AS c0 FROM pq GROUP BY 1),
+pt AS (SELECT *, least(2 * greatest(m, 1), mmax, last) AS top FROM pm),
+pg AS (SELECT t.symbol, any_value(t.n) AS n, 2 * sum(least(greatest(2 * (1 - q.k / top), 0), 1) * q.k * q.c) AS g, any_value(t.c0) + 2 * sum(least(greatest(2 * (1 - q.k / top), 0), 1) * q.c) AS spectrum FROM pt t JOIN pf q ON q.symbol = t.symbol AND q.k <= top GROUP BY 1)
+SELECT symbol, round(CASE WHEN spectrum = 0 THEN 1 ELSE least(greatest(pow(g * g / (spectrum * spectrum), 1.0 / 3) * pow(n, 1.0 / 3), 1), ceil(least(3 * sqrt(n), n / 3.0))) END, 6) + 0.0 AS block FROM pg"""
+
+
+@query("politis_white", _POLITIS)
 def politis_white(spark, sf):
     # one series of one symbol is as long as its sessions
     def run(pdf):
@@ -277,7 +290,7 @@ def politis_white(spark, sf):
 
         return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "block": [I.politis_white(pdf.sort_values("session")["o2c"].to_numpy())]})
 
-    return frame(spark, sf).groupBy("symbol").applyInPandas(run, "symbol string, block double")
+    return rounded(frame(spark, sf).groupBy("symbol").applyInPandas(run, "symbol string, block double"), 6)
 
 
 # ---------------------------------------------------------------- calibration
