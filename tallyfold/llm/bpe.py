@@ -116,7 +116,10 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, chunk: int = CHU
     chunks = written(
         docs.where(long).withColumn("h", F.xxhash64("text")).groupBy("doc_id", "h", "text").agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("c", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - overlap - 1) / step).cast("int"))))
-        .select("doc_id", "h", "copies", "c", F.substring("text", F.col("c") * step + 1, F.lit(chunk)).alias("text"), (F.length("text") > F.col("c") * step + chunk).alias("more")),
+        .select(
+            "doc_id", "h", "copies", "c", F.substring("text", F.col("c") * step + 1, F.lit(chunk)).alias("text"),
+            (F.length("text") > F.col("c") * step + chunk).alias("more")
+        ),
         "chunks",
     )
     keys = "doc_id bigint, h bigint, c int"
@@ -129,28 +132,51 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, chunk: int = CHU
                 found = enc.boundaries(t, 0, len(t) - CONTEXT if more else len(t))
                 heads.append([c * step + x for x in found if x < overlap] if c else [0])
                 tails.append([c * step + x for x in found if x >= step] if more else [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), b.column("c"), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=["doc_id", "h", "c", "head", "tail"])
-
-    seen = written(chunks.repartition("doc_id", "h", "c").select("doc_id", "h", "c", "text", "more").mapInArrow(edges, f"{keys}, head array<int>, tail array<int>"), "edges")
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("h"), b.column("c"), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))],
+                names=["doc_id", "h", "c", "head", "tail"]
+            )
+
+    seen = written(
+        chunks.repartition("doc_id", "h", "c").select("doc_id", "h", "c", "text", "more").mapInArrow(edges, f"{keys}, head array<int>, tail array<int>"),
+        "edges"
+    )
     left = seen.select("doc_id", "h", "c", "tail").alias("l")
     right = seen.select(F.col("doc_id").alias("rd"), F.col("h").alias("rh"), (F.col("c") - 1).alias("rc"), "head").alias("r")
-    cuts = left.join(right, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("h") == F.col("rh")) & (F.col("c") == F.col("rc"))).select("doc_id", "h", "c", F.array_min(F.array_intersect("tail", "head")).alias("cut"))
-    per_doc = cuts.groupBy("doc_id", "h").agg(F.map_from_entries(F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("c", "cut")))).alias("cuts"), F.bool_and(F.col("cut").isNotNull()).alias("stitched"))
+    cuts = left.join(
+        right, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("h") == F.col("rh")) & (F.col("c") == F.col("rc"))
+    ).select("doc_id", "h", "c", F.array_min(F.array_intersect("tail", "head")).alias("cut"))
+    per_doc = cuts.groupBy("doc_id", "h").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("cut").isNotNull(), F.struct("c", "cut")))).alias("cuts"),
+        F.bool_and(F.col("cut").isNotNull()).alias("stitched")
+    )
     begin = F.when(F.col("c") == 0, F.lit(0)).otherwise(F.col("cuts")[F.col("c") - 1] - F.col("c") * step)
     d = per_doc.select(F.col("doc_id").alias("rd"), F.col("h").alias("rh"), "cuts", "stitched")
     same = F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("h") == F.col("rh"))
-    pieces = chunks.join(d, same).where("stitched").select("doc_id", "h", "copies", "c", "text", begin.alias("begin"), (F.when(F.col("more"), F.col("cuts")[F.col("c")]) - F.col("c") * step).alias("end"))
+    pieces = chunks.join(d, same).where("stitched").select(
+        "doc_id", "h", "copies", "c", "text", begin.alias("begin"),
+        (F.when(F.col("more"), F.col("cuts")[F.col("c")]) - F.col("c") * step).alias("end")
+    )
     whole = docs.where(long).withColumn("h", F.xxhash64("text")).join(d.where(~F.col("stitched")), same).select("doc_id", "text")
 
     def encode_pieces(batches):
         enc = bpe(ranks)
         for b in batches:
-            out = [enc.encode_until(t[s:], None if e is None else e - s) for t, s, e in zip(b.column("text").to_pylist(), b.column("begin").to_pylist(), b.column("end").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), b.column("copies"), b.column("c"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "h", "copies", "c", "ids"])
+            out = [
+                enc.encode_until(t[s:], None if e is None else e - s) for t, s,
+                e in zip(b.column("text").to_pylist(), b.column("begin").to_pylist(), b.column("end").to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("h"), b.column("copies"), b.column("c"), pa.array(out, pa.list_(pa.int32()))],
+                names=["doc_id", "h", "copies", "c", "ids"]
+            )
 
     encoded = pieces.mapInArrow(encode_pieces, "doc_id bigint, h bigint, copies bigint, c int, ids array<int>")
     gathered = encoded.groupBy("doc_id", "h", "copies").agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).alias("parts"))
-    stitched = gathered.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), F.flatten(F.col("parts.ids")).alias("ids")).select("doc_id", "ids")
+    stitched = gathered.select(
+        "doc_id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
+        F.flatten(F.col("parts.ids")).alias("ids")
+    ).select("doc_id", "ids")
     if finish:
         stitched = stitched.mapInArrow(then, schema)
     return short.unionByName(stitched).unionByName(whole.mapInArrow(one, schema))
@@ -165,7 +191,13 @@ def decoder(ranks: str):
             for a in range(0, b.num_rows, STEP):
                 ids = [x or [] for x in b.column("ids").slice(a, STEP).to_pylist()]
                 shas = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(a, STEP), pa.array(map(len, ids), pa.int64()), pa.array(shas, pa.string()), pa.array([enc.decode(x) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids_sha256", "decoded"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("doc_id").slice(a, STEP), pa.array(map(len, ids), pa.int64()),
+                        pa.array(shas, pa.string()), pa.array([enc.decode(x) for x in ids], pa.binary())
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded"]
+                )
 
     return decode
 

@@ -2,5 +2,11 @@
 
 from . import bpe, decontam, langid, linededup, minhash, pii, sharding, suffixdedup, token_files, topk
 
-QUERIES = {f.__name__: f for f in (sharding.op1_sharding, token_files.op2_token_files, bpe.op3_bpe, decontam.op4_decontam, suffixdedup.op5_suffixdedup, minhash.op6_minhash, pii.op7_pii, langid.op8_langid, topk.op9_topk, linededup.op10_linededup)}
+QUERIES = {
+    f.__name__: f for f in (
+        sharding.op1_sharding, token_files.op2_token_files, bpe.op3_bpe, decontam.op4_decontam,
+        suffixdedup.op5_suffixdedup, minhash.op6_minhash, pii.op7_pii, langid.op8_langid, topk.op9_topk,
+        linededup.op10_linededup
+    )
+}
 ORACLE_SQL = {"op9_topk": topk.SQL, "op10_linededup": linededup.SQL}

@@ -53,7 +53,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def drop_scratch() -> int:
-    """Removes all tables that operators of this driver have written so far, on any store, and returns their number; call it when their results have been written."""
+    """Removes all tables that operators of this driver have written so far, on any store, and returns their number;
+    call it when their results have been written.
+    """
     for at in _made:
         fs, path = pafs.FileSystem.from_uri(at if urlsplit(at).scheme else f"file://{at}")
         if fs.get_file_info(path).type == pafs.FileType.Directory:
@@ -104,7 +106,9 @@ def text_bytes(spark: SparkSession, docs: DataFrame, text: str = "text") -> tupl
 def hot_keys(table: DataFrame, keys: list[str], n: str, total: int) -> Column | None:
     """A condition for the keys with at least total/HEAVY rows (there are at most HEAVY), as a list of their hashes; None if there are none."""
     found = table.where(F.col(n) >= max(total // HEAVY, 64)).select(F.xxhash64(*keys)).distinct().collect()
-    return F.expr(f"xxhash64({', '.join(keys)}) IN ({', '.join(f'{r[0]}L' if r[0] > -(1 << 63) else 'cast(-9223372036854775808 as bigint)' for r in found)})") if found else None
+    return F.expr(
+        f"xxhash64({', '.join(keys)}) IN ({', '.join(f'{r[0]}L' if r[0] > -(1 << 63) else 'cast(-9223372036854775808 as bigint)' for r in found)})"
+    ) if found else None
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:

@@ -133,7 +133,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANG) -> Model:
     empty table: a model that knows no language.
     """
     spark = prepare(docs.sparkSession)
-    usable = ensure_columns(docs, doc_id="bigint", text="string", lang="string").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    usable = ensure_columns(docs, doc_id="bigint", text="string", lang="string").where(
+        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")
+    )
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().limit(LABELS + 1).collect()}
     if not counts:
         return Model()
@@ -175,7 +177,10 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
     doc_id = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("bigint")
-    return docs.withColumn("__p", predict("text")).select(*docs.columns, held_out(doc_id).alias("held_out"), F.col("__p.lang_pred").alias("lang_pred"), F.col("__p.score").alias("score"))
+    return docs.withColumn("__p", predict("text")).select(
+        *docs.columns, held_out(doc_id).alias("held_out"), F.col("__p.lang_pred").alias("lang_pred"),
+        F.col("__p.score").alias("score")
+    )
 
 
 def op8_langid(spark, sf_dir: str) -> DataFrame:

@@ -78,7 +78,9 @@ def _lows(texts: list[bytes | None]) -> list[np.ndarray]:
 
 
 def twice_seen(rows: DataFrame, lows, bits: int) -> np.ndarray:
-    """The merged twice-seen filter of the 64-bit hashes that lows(batch) yields, as lists of arrays; parts of it travel by segment, compressed, and are merged as they arrive."""
+    """The merged twice-seen filter of the 64-bit hashes that lows(batch) yields, as lists of arrays; parts of it
+    travel by segment, compressed, and are merged as they arrive.
+    """
     size = min(bits, SEGMENT) // 8
 
     def note(batches: Iterator[pa.RecordBatch]):
@@ -89,7 +91,13 @@ def twice_seen(rows: DataFrame, lows, bits: int) -> np.ndarray:
         for s in range(bits // 8 // size):
             once = pair.once[s * size : (s + 1) * size]
             if once.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(once.tobytes(), 1)]), pa.array([zlib.compress(pair.twice[s * size : (s + 1) * size].tobytes(), 1)])], names=["s", "once", "twice"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([s], pa.int32()), pa.array([zlib.compress(once.tobytes(), 1)]),
+                        pa.array([zlib.compress(pair.twice[s * size : (s + 1) * size].tobytes(), 1)])
+                    ],
+                    names=["s", "once", "twice"]
+                )
 
     def merge(batches: Iterator[pa.RecordBatch]):
         held: dict[int, list[np.ndarray]] = {}
@@ -144,13 +152,18 @@ def drop_lists(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
                 high = np.fromiter((x >> 64 for x in every), np.uint64, len(every))
                 hit = Pair.has(twice, probes(low, bits)) if len(every) else np.zeros(0, bool)
                 doc = pa.array(np.repeat(np.arange(len(found)), n)[hit])
-                yield pa.RecordBatch.from_arrays([pa.array(high[hit].astype(np.int64)), pa.array(low[hit].astype(np.int64)), ids.slice(a, 256).take(doc), hs.slice(a, 256).take(doc)], names=["hi", "lo", "__id", "__h"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(high[hit].astype(np.int64)), pa.array(low[hit].astype(np.int64)), ids.slice(a, 256).take(doc), hs.slice(a, 256).take(doc)],
+                    names=["hi", "lo", "__id", "__h"]
+                )
 
     rows = docs.select(F.col(text), F.col(id_col).cast("bigint").alias("__id"), F.xxhash64(text).alias("__h"))
     found = written(rows.mapInArrow(suspects, "hi bigint, lo bigint, __id bigint, __h bigint"), "suspects")
     # a null id is larger than any other
     counted = written(found.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("keeper")).where("n >= 2"), "repeats")
-    lost = lookup(found, counted, ["hi", "lo"], "n", found.count()).where(F.col("keeper").isNotNull() & (F.col("__id").isNull() | (F.col("__id") > F.col("keeper"))))
+    lost = lookup(found, counted, ["hi", "lo"], "n", found.count()).where(
+        F.col("keeper").isNotNull() & (F.col("__id").isNull() | (F.col("__id") > F.col("keeper")))
+    )
     return written(lost.groupBy("__id", "__h").agg(F.collect_set(F.struct("hi", "lo")).alias("__drop")), "drops")
 
 
@@ -187,11 +200,17 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", kee
                     out.append(t or b"")
                     lines.append(len(all_lines))
                     dropped.append(len(all_lines) - len(kept))
-            yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=["__row", "__text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("__row"), pa.array(out, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
+                names=["__row", "__text", "n_lines", "n_dropped"]
+            )
 
     from pyspark.sql import types as T
 
-    result = joined.mapInArrow(apply, T.StructType([schema["__row"], schema["__text"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
+    result = joined.mapInArrow(
+        apply,
+        T.StructType([schema["__row"], schema["__text"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    )
     order = [F.col("__text").alias(text) if c == text else F.col(f"__row.`{c}`").alias(c) for c in (docs.columns if keep_columns else [id_col, text])]
     return result.select(*order, "n_lines", "n_dropped")
 

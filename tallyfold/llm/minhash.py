@@ -107,7 +107,9 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough. texts: node, text. A leader b of many pairs is copied to as many tasks as it needs."""
     fans = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / 128).cast("int").alias("fan")), "fans")
     left = lookup(pairs, fans, ["b"], "n", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("fan")).cast("int")).select("a", "b", "salt")
-    first = texts.join(fans, F.col("node") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.col("text").alias("text_b"))
+    first = texts.join(fans, F.col("node") == F.col("b")).select(
+        "b", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.col("text").alias("text_b")
+    )
     both = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(first, ["b", "salt"]).select("a", "b", "text_a", "text_b")
 
     def run(batches):
@@ -143,7 +145,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for spread in count(1):
         known = nodes.join(degrees, "node")
         sent = lookup(sym, known, ["node"], "n", total).select(F.col("to").alias("node"), "label", F.lit(None).cast("bigint").alias("own"))
-        nodes = written(sent.unionByName(nodes.select("node", "label", F.col("label").alias("own"))).groupBy("node").agg(F.min("label").alias("label"), F.max("own").alias("own")), "labels")
+        nodes = written(
+            sent.unionByName(
+                nodes.select("node", "label", F.col("label").alias("own"))
+            ).groupBy("node").agg(F.min("label").alias("label"), F.max("own").alias("own")),
+            "labels"
+        )
         if not nodes.where("label < own").count():
             return nodes.select("node", "label")
         if spread >= 3:
@@ -204,7 +211,9 @@ def _sketches(texts: DataFrame) -> DataFrame:
             for t in b.column("text").to_pylist():
                 h, n = multiset(t)
                 first = np.repeat(np.cumsum(n) - n, n)
-                out.append(np.unique((mix(np.repeat(h, n) + (np.arange(n.sum()) - first).astype(np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32)).tobytes())
+                out.append(
+                    np.unique((mix(np.repeat(h, n) + (np.arange(n.sum()) - first).astype(np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32)).tobytes()
+                )
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(out, pa.binary())], names=["node", "sketch"])
 
     return texts.mapInArrow(run, "node bigint, sketch binary")
@@ -235,14 +244,23 @@ def _block_links(live: DataFrame, live_n: int, labels: DataFrame, near: DataFram
     placed = live.select("key", "node").join(labels, "node")
     sizes = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
     mixed = sizes.groupBy("key").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("label", "k").alias("main")).where("n >= 3 AND most < n")
-    mixed = written(mixed.select("key", "n", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("held"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("asking")), "mixed")
+    mixed = written(
+        mixed.select(
+            "key", "n", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("held"),
+            F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("asking")
+        ),
+        "mixed"
+    )
     rows = written(lookup(placed, mixed, ["key"], "n", live_n), "mixed-rows")
     sketches = _sketches(near.join(rows.select("node").distinct(), "node", "left_semi"))
     rows = rows.join(written(sketches, "sketches"), "node")
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     held = rows.select("key", own(F.col("held")).alias("h"), all_(F.col("asking")).alias("q"), F.lit(0).alias("asks"), "node", "label", "sketch")
-    ask = rows.where("label != main").select("key", all_(F.col("held")).alias("h"), own(F.col("asking")).alias("q"), F.lit(1).alias("asks"), "node", "label", "sketch")
+    ask = rows.where("label != main").select(
+        "key", all_(F.col("held")).alias("h"), own(F.col("asking")).alias("q"), F.lit(1).alias("asks"), "node", "label",
+        "sketch"
+    )
     dealt = held.unionByName(ask).repartition("key", "h", "q").sortWithinPartitions("key", "h", "q", "asks")
 
     def run(batches):
@@ -270,8 +288,14 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     docs = docs.withColumn("__node", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
     per_text = docs.where(F.col("__node").isNotNull()).groupBy("__node").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("doc_id").cast("bigint")).alias("first"))
     per_text = written(per_text.join(labels.withColumnRenamed("node", "__node"), "__node", "left").withColumn("label", F.coalesce("label", "__node")), "texts")
-    per_class = written(per_text.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("m")).where("class_size > 1"), "classes")
-    return docs, written(lookup(per_text, per_class, ["label"], "m", per_text.count()).select("__node", "label", "n", "first", "class_id", "class_size"), "groups")
+    per_class = written(
+        per_text.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("m")).where("class_size > 1"),
+        "classes"
+    )
+    return docs, written(
+        lookup(per_text, per_class, ["label"], "m", per_text.count()).select("__node", "label", "n", "first", "class_id", "class_size"),
+        "groups"
+    )
 
 
 def with_groups(docs: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
@@ -292,7 +316,10 @@ def classify(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     docs, found = groups(ensure_columns(docs, doc_id="bigint", text="string"), similarity)
     rows = with_groups(docs.select("doc_id", "__node"), found, ["class_id", "class_size"])
     alone = F.col("__class_size").isNull()
-    return rows.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("__class_id")).alias("class_id"), F.coalesce("__class_size", F.lit(1)).cast("long").alias("class_size"))
+    return rows.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("__class_id")).alias("class_id"),
+        F.coalesce("__class_size", F.lit(1)).cast("long").alias("class_size")
+    )
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -91,7 +91,10 @@ def _name_words(v: str) -> str:
 def _who(text: str) -> str:
     """Array of (w, g): the words of the names in a text, each with the first gender that the text gives it, else n."""
     told = f"flatten(transform(regexp_extract_all({text}, {q(KINDS['name'])}, 0), v -> transform({_name_words('v')}, w -> struct(w AS w, {_gender('v')} AS g))))"
-    return let("told", told, "transform(array_distinct(transform(told, t -> t.w)), w -> struct(w AS w, coalesce(get(filter(told, t -> t.w = w AND t.g != 'n'), 0).g, 'n') AS g))")
+    return let(
+        "told", told,
+        "transform(array_distinct(transform(told, t -> t.w)), w -> struct(w AS w, coalesce(get(filter(told, t -> t.w = w AND t.g != 'n'), 0).g, 'n') AS g))"
+    )
 
 
 def _luhn(v: str) -> str:
@@ -107,8 +110,14 @@ def _mod97(v: str) -> str:
 def kind_sql(v: str, before: str) -> str:
     """The kind of a match of ANY after the text `before`; '' for numbers with wrong check digits that are no secret."""
     secret = f"IF(rlike({before}, {q(_ASKED + '$')}), 'secret', '')"
-    sound = {"card": f"{_luhn(canonical_sql(chr(39) + 'card' + chr(39), v))} % 10 = 0", "iban": let("n", canonical_sql("'iban'", v), f"{_mod97('concat(substring(n, 5), substring(n, 1, 4))')} = 1")}
-    cases = " ".join(f"WHEN rlike({v}, {q('^(?:' + p + ')$')}) THEN " + (f"IF({sound[k]}, '{k}', {secret})" if k in sound else f"'{k}'") for k, p in KINDS.items() if k != "secret")
+    sound = {
+        "card": f"{_luhn(canonical_sql(chr(39) + 'card' + chr(39), v))} % 10 = 0",
+        "iban": let("n", canonical_sql("'iban'", v), f"{_mod97('concat(substring(n, 5), substring(n, 1, 4))')} = 1")
+    }
+    cases = " ".join(
+        f"WHEN rlike({v}, {q('^(?:' + p + ')$')}) THEN " + (f"IF({sound[k]}, '{k}', {secret})" if k in sound else f"'{k}'") for k,
+        p in KINDS.items() if k != "secret"
+    )
     return f"(CASE {cases} ELSE 'secret' END)"
 
 
@@ -127,12 +136,18 @@ def marked(text: Column, pattern: Column) -> Column:
 
 def parts(text: Column) -> Column:
     """PARTS of a text: x, the piece; k, its kind ('' for plain text); u, the entities in it, as kind|canonical form."""
-    bare = F.concat(F.lit(ANY + "|" + _START + "(?:"), F.array_join(F.col("__who.w"), "|"), F.lit(")(?: (?:"), F.array_join(F.col("__who.w"), "|"), F.lit(r"))*(?!\p{L})"))
+    bare = F.concat(
+        F.lit(ANY + "|" + _START + "(?:"), F.array_join(F.col("__who.w"), "|"), F.lit(")(?: (?:"),
+        F.array_join(F.col("__who.w"), "|"), F.lit(r"))*(?!\p{L})")
+    )
     cut = F.when(F.size("__who") > 0, marked(text, bare)).otherwise(marked(text, F.lit(ANY)))
     cut = F.when(text.isNull(), F.array(F.lit(""))).when(~text.rlike(HINT), F.array(text)).otherwise(cut)
     of_text = "(size(__who) > 0 AND forall(split(x, ' '), w -> exists(__who, p -> p.w = w)))"
     units = f"CASE k WHEN '' THEN cast(array() as array<string>) WHEN 'name' THEN transform({_name_words('x')}, w -> concat('name|', coalesce(nullif({_gender('x')}, 'n'), get(filter(__who, p -> p.w = w), 0).g, 'n'), ':', w)) ELSE array(concat(k, '|', {canonical_sql('k', 'x')})) END"
-    struct = let("k", f"CASE WHEN i % 2 = 0 THEN '' WHEN {of_text} THEN 'name' ELSE {kind_sql('x', 'get(__cut, i - 1).x')} END", f"struct(x AS x, k AS k, {units} AS u)")
+    struct = let(
+        "k", f"CASE WHEN i % 2 = 0 THEN '' WHEN {of_text} THEN 'name' ELSE {kind_sql('x', 'get(__cut, i - 1).x')} END",
+        f"struct(x AS x, k AS k, {units} AS u)"
+    )
     return F.transform(cut, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), f"transform(__cut, y -> {let('x', 'y.x', let('i', 'y.i', struct))})"
 
 
@@ -186,7 +201,10 @@ def surrogate_sql(k: str, v: str, attempt: str, key: tuple[str, str]) -> str:
     body = _drawn(f"substring({v}, 1, length({v}) - 1)", "1")
     tail = f"substring_index({v}, '.', -1)"
     hexes = f"IF(rlike({v}, '^[0-9a-f]+$'), 'abcdef', 'abcdefghijklmnopqrstuvwxyz')"
-    account = let("b", f"substring({_drawn(v, '4')}, 5)", f"concat(substring({v}, 1, 2), lpad(cast(98 - {_mod97(f'concat(b, substring({v}, 1, 2), {chr(39)}00{chr(39)})')} as string), 2, '0'), b)")
+    account = let(
+        "b", f"substring({_drawn(v, '4')}, 5)",
+        f"concat(substring({v}, 1, 2), lpad(cast(98 - {_mod97(f'concat(b, substring({v}, 1, 2), {chr(39)}00{chr(39)})')} as string), 2, '0'), b)"
+    )
     made = (
         f"CASE {k} WHEN 'email' THEN concat({_extra(f'2 * {attempt}')}, {_drawn(f'substring({v}, 1, length({v}) - length({tail}))', '0')}, {tail}) "
         f"WHEN 'ip' THEN array_join(transform(split({v}, {q(chr(92) + '.')}), (o, i) -> {octet}), '.') "
@@ -204,8 +222,16 @@ def layout_sql(k: str, v: str, s: str) -> str:
     ahead = "length(regexp_replace(v, '[^A-Za-z0-9]', '')) - length(s)"
     filled = f"array_join(transform(split(v, ''), (c, i) -> IF(rlike(c, '[A-Za-z0-9]') AND {at} > {ahead}, substring(s, {at} - ({ahead}), 1), c)), '')"
     upper = "IF(rlike(v, '[A-F]'), upper(s), s)"
-    cased = "concat(substring(s, 1, length(s) - length(v)), array_join(transform(split(v, ''), (c, i) -> let_c), ''))".replace("let_c", let("d", "substring(s, length(s) - length(v) + i + 1, 1)", "IF(c >= 'A' AND c <= 'Z', upper(d), d)"))
-    return let("v", v, let("s", s, f"(CASE WHEN {k} IN ('phone', 'card', 'ssn', 'iban') THEN {filled} WHEN {k} = 'email' THEN {cased} WHEN {k} = 'ipv6' THEN {upper} ELSE s END)"))
+    cased = "concat(substring(s, 1, length(s) - length(v)), array_join(transform(split(v, ''), (c, i) -> let_c), ''))".replace(
+        "let_c", let("d", "substring(s, length(s) - length(v) + i + 1, 1)", "IF(c >= 'A' AND c <= 'Z', upper(d), d)")
+    )
+    return let(
+        "v", v,
+        let(
+            "s", s,
+            f"(CASE WHEN {k} IN ('phone', 'card', 'ssn', 'iban') THEN {filled} WHEN {k} = 'email' THEN {cased} WHEN {k} = 'ipv6' THEN {upper} ELSE s END)"
+        )
+    )
 
 
 def draw(entities: DataFrame, key: tuple[str, str]) -> tuple[DataFrame, int]:
@@ -222,7 +248,9 @@ def draw(entities: DataFrame, key: tuple[str, str]) -> tuple[DataFrame, int]:
         now = written(waiting.select("unit", "k", "canon", F.expr(surrogate_sql("k", "canon", f"{attempt}", key)).alias("s")), "drawn")
         taken = reduce(DataFrame.unionByName, [d.select("k", "s") for d in (known, *drawn)])
         met = now.groupBy("k", "s").agg(F.min("unit").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
-        lost = now.join(met, ["k", "s"]).where("unit != least").select("unit", "k", "canon").unionByName(now.join(taken, ["k", "s"], "left_semi").select("unit", "k", "canon"))
+        lost = now.join(met, ["k", "s"]).where("unit != least").select("unit", "k", "canon").unionByName(
+            now.join(taken, ["k", "s"], "left_semi").select("unit", "k", "canon")
+        )
         again = written(lost.distinct(), "redraws")
         drawn.append(now)
         if attempt:
@@ -255,7 +283,10 @@ def pseudonymise(docs: DataFrame, key: str | bytes, text: str = "text") -> DataF
     who = F.when(F.col(text).rlike(KINDS["name"]), F.expr(_who(f"`{text}`"))).otherwise(F.expr("cast(array() as array<struct<w: string, g: string>>)"))
     cut, found = parts(F.col(text))
     parsed = docs.withColumn("__who", who).withColumn("__cut", cut)
-    parsed = written(parsed.select(*(f"`{c}`" for c in columns if c != text), F.col(text).isNull().alias("__none"), F.expr(found).cast(PARTS).alias("__parts")), "parsed")
+    parsed = written(
+        parsed.select(*(f"`{c}`" for c in columns if c != text), F.col(text).isNull().alias("__none"), F.expr(found).cast(PARTS).alias("__parts")),
+        "parsed"
+    )
     units = F.array_distinct(F.flatten(F.transform("__parts", lambda p: p["u"])))
     over, n = draw(written(parsed.select(F.explode(units).alias("unit")).distinct(), "entities"), secret)
     if n <= MAP_ENTRIES:
@@ -263,10 +294,15 @@ def pseudonymise(docs: DataFrame, key: str | bytes, text: str = "text") -> DataF
         parsed = parsed.withColumn("__over", F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string, int>)"))
     else:
         parsed = _with_redraws(parsed, over, units)
-    made = lambda unit: let("t", unit, let("a", "coalesce(__over[t], 0)", let("canon", "substring(t, instr(t, '|') + 1)", surrogate_sql("p.k", "canon", "a", secret))))
+    made = lambda unit: let(
+        "t", unit,
+        let("a", "coalesce(__over[t], 0)", let("canon", "substring(t, instr(t, '|') + 1)", surrogate_sql("p.k", "canon", "a", secret)))
+    )
     name = let("n", "size(split(p.x, ' ')) - size(p.u)", f"array_join(transform(split(p.x, ' '), (w, i) -> IF(i < n, w, {made('p.u[i - n]')})), ' ')")
     one = f"CASE p.k WHEN '' THEN p.x WHEN 'name' THEN {name} ELSE {layout_sql('p.k', 'p.x', made('p.u[0]'))} END"
-    new = F.when(F.col("__none"), F.lit(None).cast("string")).when(F.size("__parts") == 1, F.col("__parts")[0]["x"]).otherwise(F.expr(f"array_join(transform(__parts, p -> {one}), '')"))
+    new = F.when(F.col("__none"), F.lit(None).cast("string")).when(F.size("__parts") == 1, F.col("__parts")[0]["x"]).otherwise(
+        F.expr(f"array_join(transform(__parts, p -> {one}), '')")
+    )
     count = F.size(F.filter("__parts", lambda p: p["k"] != "")).cast("long")
     return parsed.select(*(new.alias(text) if c == text else F.col(f"`{c}`") for c in columns), count.alias("n_entities"))
 
@@ -277,7 +313,9 @@ def _with_redraws(parsed: DataFrame, over: DataFrame, units: Column) -> DataFram
     keyed = parsed.withColumn("__h1", F.xxhash64(held_in)).withColumn("__h2", F.xxhash64(F.lit(1), held_in))
     held = written(keyed.select("__h1", "__h2", F.explode(units).alias("unit")).distinct(), "held")
     uses = written(held.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).join(over, "unit"), "uses")
-    hits = lookup(held, uses, ["unit"], "n", held.count()).groupBy("__h1", "__h2").agg(F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias("__over"))
+    hits = lookup(held, uses, ["unit"], "n", held.count()).groupBy("__h1", "__h2").agg(
+        F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias("__over")
+    )
     rows = keyed.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__many"))
     hits = written(hits.join(rows, ["__h1", "__h2"]), "redrawn")
     rows = lookup(keyed, hits, ["__h1", "__h2"], "__many", parsed.count(), "left")

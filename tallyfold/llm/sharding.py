@@ -25,7 +25,10 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long")) + 1
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 20240229, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(
+    docs: DataFrame, shards: int = 16, seed: int = 20240229, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id",
+    text_col: str = "text"
+) -> DataFrame:
     """All rows and columns of docs, and: shard (0 to shards - 1), slot (gapless from 0 in a shard).
 
     Law `rows`: the shards' row counts are at most one apart. Null ids and texts count as values of
@@ -81,4 +84,7 @@ def op1_sharding(spark, sf_dir: str) -> DataFrame:
 
 def digest(sharded: DataFrame) -> DataFrame:
     text = F.col("text")
-    return sharded.select("doc_id", text_size(text).alias("size"), F.coalesce(F.crc32(text), F.lit(0).cast("long")).alias("text_crc32"), F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return sharded.select(
+        "doc_id", text_size(text).alias("size"), F.coalesce(F.crc32(text), F.lit(0).cast("long")).alias("text_crc32"),
+        F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )

@@ -204,7 +204,14 @@ def _scan(texts: DataFrame) -> DataFrame:
                 if cols:
                     m, h, s, n, own = (np.concatenate(x) for x in zip(*cols))
                     pick = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(h.view(np.int64)), b.column("t1").slice(a, 64).take(pick), b.column("t2").slice(a, 64).take(pick), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own)], names=["m", "h", "t1", "t2", "s", "n", "own"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(m.view(np.int64)), pa.array(h.view(np.int64)),
+                            b.column("t1").slice(a, 64).take(pick), b.column("t2").slice(a, 64).take(pick),
+                            pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own)
+                        ],
+                        names=["m", "h", "t1", "t2", "s", "n", "own"]
+                    )
 
     return texts.select("text", "t1", "t2").mapInArrow(run, SEGMENT)
 
@@ -223,7 +230,10 @@ def _sorted_spans(segs: DataFrame) -> DataFrame:
                 out += [(t1, t2, s + a, k) for a, k in runs(hit)]
             if out:
                 t1, t2, s, n = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32())], names=["t1", "t2", "s", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32())],
+                    names=["t1", "t2", "s", "n"]
+                )
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("m", "t1", "t2", "s", "n", "body"))):
@@ -266,7 +276,13 @@ def _trimmed(segs: DataFrame) -> DataFrame:
                 out += [(m, t1, t2, s + a, k, body[a : a + k + WIDTH - 1]) for a, k in runs(alive)]
             if out:
                 m, t1, t2, s, n, body = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(body, pa.binary())], names=["m", "t1", "t2", "s", "n", "body"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(m, pa.int64()), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()),
+                        pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(body, pa.binary())
+                    ],
+                    names=["m", "t1", "t2", "s", "n", "body"]
+                )
 
     return written(segs.mapInArrow(cut, "m bigint, t1 bigint, t2 bigint, s int, n int, body binary"), "trimmed")
 
@@ -284,7 +300,10 @@ def _renamed(segs: DataFrame, level: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])).tolist()
                 out += [(int(name[a]), t1, t2, s + a, z - a, body[a : z + WIDTH - 1]) for a, z in zip(first, [*first[1:], n])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["m", "t1", "t2", "s", "n", "body"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+                    names=["m", "t1", "t2", "s", "n", "body"]
+                )
 
     return segs.mapInArrow(run, "m bigint, t1 bigint, t2 bigint, s int, n int, body binary")
 
@@ -293,7 +312,10 @@ def _distinct(segs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Spans of segments(m, t1, t2, s, n, body) that are equal to another one of their name, and one segment of each content."""
     keys = ["m", "h1", "h2"]
     rest = written(segs.withColumn("h1", F.xxhash64("body")).withColumn("h2", F.xxhash64(F.lit(1), "body")), name)
-    same = written(rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("t1", "t2", "s", "n", "body"), F.xxhash64("t1", "t2", "s")).alias("one")), f"{name}-contents")
+    same = written(
+        rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("t1", "t2", "s", "n", "body"), F.xxhash64("t1", "t2", "s")).alias("one")),
+        f"{name}-contents"
+    )
     again = lookup(rest.drop("body"), same.where("c >= 2").select(*keys, "c"), keys, "c", rest.count()).select("t1", "t2", "s", "n")
     return again, written(same.select("m", "one.*"), f"{name}-distinct")
 
@@ -328,7 +350,13 @@ def _window_spans(segs: DataFrame) -> DataFrame:
             for t1, t2, s, n, body in zip(*(b.column(c).to_pylist() for c in ("t1", "t2", "s", "n", "body"))):
                 x = np.frombuffer(body, np.uint8)
                 w1, w2 = mix(rolling(x, WIDTH, B1)), mix(rolling(x, WIDTH, B2) ^ GOLDEN)
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(n, t1)), pa.array(np.full(n, t2)), pa.array(np.arange(s, s + n, dtype=np.int32))], names=["w1", "w2", "t1", "t2", "s"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(np.full(n, t1)),
+                        pa.array(np.full(n, t2)), pa.array(np.arange(s, s + n, dtype=np.int32))
+                    ],
+                    names=["w1", "w2", "t1", "t2", "s"]
+                )
 
     rows = written(segs.mapInArrow(run, "w1 bigint, w2 bigint, t1 bigint, t2 bigint, s int"), "windows")
     counts = written(rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c >= 2"), "window-counts")
@@ -338,16 +366,27 @@ def _window_spans(segs: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """t1, t2, s, n: in text (t1, t2) the starts s to s + n - 1 begin repeated strings. texts: bucketed by t1, t2."""
     segs = written(_scan(texts), "segments")
-    names = segs.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.bool_or("own").alias("own")).where("c >= 2 or own")
+    names = segs.groupBy("m").agg(
+        F.count(F.lit(1)).alias("c"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.bool_or("own").alias("own")
+    ).where("c >= 2 or own")
     names = written(names.select("m", "c", (F.col("own") | (F.col("lo") < F.col("hi"))).alias("mixed")), "names")
     live = written(lookup(segs.drop("own"), names, ["m"], "c", segs.count()).drop("c"), "live")
     whole = live.where("not mixed").select("t1", "t2", "s", "n")
     mixed = live.where("mixed").drop("mixed")
-    contents = written(mixed.groupBy("m", "h").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("t1", "t2", "s", "n"), F.xxhash64("t1", "t2", "s")).alias("at")), "contents")
+    contents = written(
+        mixed.groupBy("m", "h").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("t1", "t2", "s", "n"), F.xxhash64("t1", "t2", "s")).alias("at")),
+        "contents"
+    )
     again = lookup(mixed, contents.where("c >= 2").select("m", "h", "c"), ["m", "h"], "c", mixed.count()).select("t1", "t2", "s", "n")
     wanted = contents.select("m", "c", "at.*").groupBy("t1", "t2").agg(F.collect_list(F.struct("m", "s", "n", "c")).alias("cuts"))
     raw = F.encode("text", "UTF-8")
-    cut = F.transform("cuts", lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"), x["n"].alias("n"), x["c"].alias("c"), F.substring(raw, x["s"] + 1, x["n"] + (WIDTH - 1)).alias("body")))
+    cut = F.transform(
+        "cuts",
+        lambda x: F.struct(
+            x["m"].alias("m"), x["s"].alias("s"), x["n"].alias("n"), x["c"].alias("c"),
+            F.substring(raw, x["s"] + 1, x["n"] + (WIDTH - 1)).alias("body")
+        )
+    )
     bodies = written(texts.join(wanted.hint("shuffle_hash"), ["t1", "t2"]).select("t1", "t2", F.inline(cut)), "bodies")
     # equal segments repeat whole, and are known as `again`; their one representative is here for others to match
     return written(whole.unionByName(again).unionByName(_decided(bodies.select("m", "t1", "t2", "s", "n", "body"))), "spans")
@@ -405,7 +444,10 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             body = b.column("text").cast(pa.binary())
             for a in range(0, b.num_rows, 256):
                 out = []
-                for t, spans, c in zip(body.slice(a, 256).to_pylist(), b.column("spans").slice(a, 256).to_pylist(), b.column("copies").slice(a, 256).to_pylist()):
+                for t, spans, c in zip(
+                    body.slice(a, 256).to_pylist(), b.column("spans").slice(a, 256).to_pylist(),
+                    b.column("copies").slice(a, 256).to_pylist()
+                ):
                     found = [(0, len(t) - WIDTH + 1)] if c > 1 and len(t) >= WIDTH else [(x["s"], x["n"]) for x in spans or ()]
                     removed, count, kept = cut_out(t, found)
                     out.append((len(t), removed, count, hashlib.sha256(kept).hexdigest(), kept)[: 4 + keep_text])

@@ -95,7 +95,10 @@ class Encoder:
             self._learn(new)
         piece = self.pieces.__getitem__
         firsts = iter(self.tok.encode_batch_fast([s[0] for s in split if s], add_special_tokens=False))
-        return [self._ids(t).tobytes() if s is None else np.asarray(next(firsts).ids, self.kind).tobytes() + b"".join(map(piece, s[1:])) for t, s in zip(texts, split)]
+        return [
+            self._ids(t).tobytes() if s is None else np.asarray(next(firsts).ids, self.kind).tobytes() + b"".join(map(piece, s[1:])) for t,
+            s in zip(texts, split)
+        ]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -155,8 +158,15 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str | None = None, e
             return
         fs.move(f"{root}/{name}.bin.{mark}", f"{root}/{name}.bin")
         offsets = np.concatenate([[0], np.cumsum(np.asarray(lengths))]).astype("<i8")
-        _put(fs, f"{root}/{name}.idx", [np.array([len(ids)], "<i8").tobytes(), offsets.tobytes(), np.asarray(ids).astype("<i8").tobytes(), np.concatenate(valid).tobytes()], mark)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([int(offsets[-1])], pa.int64())], names=["part", "docs", "ids"])
+        _put(
+            fs, f"{root}/{name}.idx",
+            [np.array([len(ids)], "<i8").tobytes(), offsets.tobytes(), np.asarray(ids).astype("<i8").tobytes(), np.concatenate(valid).tobytes()],
+            mark
+        )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([int(offsets[-1])], pa.int64())],
+            names=["part", "docs", "ids"]
+        )
 
     parts = max(1, min(-(-(total + 64 * rows) // part_bytes), MAX_PARTS))
     tie = F.xxhash64("text")  # a third of the rows may share an id
@@ -202,7 +212,14 @@ def read_token_files(spark, out: str) -> DataFrame:
                 for a in range(0, len(ids), 4096):
                     z = min(a + 4096, len(ids))
                     crc = [zlib.crc32(tokens[offsets[i] : offsets[i + 1]].astype("<u4").tobytes()) for i in range(a, z)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:z], pa.int64(), mask=valid[a:z] == 0), pa.array(base + offsets[a:z], pa.int64()), pa.array(offsets[a + 1 : z + 1] - offsets[a:z], pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ids[a:z], pa.int64(), mask=valid[a:z] == 0),
+                            pa.array(base + offsets[a:z], pa.int64()),
+                            pa.array(offsets[a + 1 : z + 1] - offsets[a:z], pa.int64()), pa.array(crc, pa.int64())
+                        ],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                    )
 
     table = spark.createDataFrame([(p["part"], p["base"], p["type"], i) for i, p in enumerate(parts)], "part string, base bigint, type string, i int")
     return table.repartitionByRange(min(len(parts), 10_000), "i").select("part", "base", "type").mapInArrow(read, schema)

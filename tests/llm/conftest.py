@@ -16,7 +16,11 @@ def prose(seed: int, n: int, vocabulary: int = 500) -> str:
     return " ".join(f"w{r.randrange(vocabulary)}{'.' if r.random() < 0.1 else ''}" for _ in range(n))
 
 
-MESSY = [None, "", " ", "\n\n", "!!!", "a", "a b c", prose(1, 50), prose(1, 50), prose(2, 300) + "\n" + prose(3, 12) + "\nend", prose(4, 30) + "\n" + prose(3, 12), LONG, "é ñ 漢字 Α", "x\ty  z   \r\n q"]
+MESSY = [
+    None, "", " ", "\n\n", "!!!", "a", "a b c", prose(1, 50), prose(1, 50),
+    prose(2, 300) + "\n" + prose(3, 12) + "\nend", prose(4, 30) + "\n" + prose(3, 12), LONG, "é ñ 漢字 Α",
+    "x\ty  z   \r\n q"
+]
 
 
 @pytest.fixture(scope="session")

@@ -85,9 +85,19 @@ def made(k, c, attempt, key):
         head, tail = c.rsplit(".", 1)
         return extra(2 * attempt) + drawn(head + ".") + tail
     if k == "ip":
-        return ".".join(str(at(2 * i) % 10 if not attempt and len(o) == 1 else 10 + at(2 * i) % 90 if not attempt and len(o) == 2 else 100 + (256 * at(2 * i) + at(2 * i + 1)) % 156) for i, o in enumerate(c.split(".")))
+        return ".".join(
+            str(
+                at(2 * i) % 10 if not attempt and len(o) == 1 else 10 + at(2 * i) % 90 if not attempt and len(o) == 2 else 100 + (
+                    256 * at(2 * i) + at(2 * i + 1)
+                ) % 156
+            ) for i,
+            o in enumerate(c.split("."))
+        )
     if k == "ipv6":
-        return ":".join("".join("0123456789abcdef"[at(4 * i + j) % 16] for j in range(1, (4 if attempt else len(o)) + 1)) if o else "" for i, o in enumerate(c.split(":")))
+        return ":".join(
+            "".join("0123456789abcdef"[at(4 * i + j) % 16] for j in range(1, (4 if attempt else len(o)) + 1)) if o else "" for i,
+            o in enumerate(c.split(":"))
+        )
     if k == "iban":
         assert c[:2] in COUNTRIES.split()
         body = drawn(c, 4)[4:]

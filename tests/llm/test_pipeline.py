@@ -93,11 +93,19 @@ def test_pipeline_in_plain_python(spark, tmp_path):
     edited = " ".join([*w[:40], "changed", *w[41:]])
     items = [prose(902, 30), prose(903, 60)]
     license_line = "This LINE is in many documents, as licences are.  "
-    texts = [None, "", "12 34 !!", " ".join(w), edited, " ".join(w), prose(904, 70) + " " + items[0] + " " + prose(905, 40), items[1].upper(), prose(906, 80) + " " + " ".join(items[1].split()[:30])]
+    texts = [
+        None, "", "12 34 !!", " ".join(w), edited, " ".join(w), prose(904, 70) + " " + items[0] + " " + prose(905, 40),
+        items[1].upper(), prose(906, 80) + " " + " ".join(items[1].split()[:30])
+    ]
     texts += [f"{prose(910 + i, 40)}\n{license_line}\n{prose(950 + i, 30)}" for i in range(6)]
-    texts += [license_line.lower(), license_line, "an only line", "short\nshort\nanother line that stands alone\n" + prose(990, 20), prose(991, 20) + "\n" + prose(910, 40)]
+    texts += [
+        license_line.lower(), license_line, "an only line",
+        "short\nshort\nanother line that stands alone\n" + prose(990, 20), prose(991, 20) + "\n" + prose(910, 40)
+    ]
     table = [(i, t, ("en", "de")[i % 2], "s", None if t is None else len(t)) for i, t in enumerate(texts)]
-    spark.createDataFrame(table, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(
+        table, "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    ).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = {i: t for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)}
     kept = plain_clean(plain_firsts(plain_lines(kept)), items)
