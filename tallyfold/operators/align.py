@@ -26,7 +26,14 @@ def forward_fill(df: DataFrame, columns: list[str], limit: int = 5) -> DataFrame
 def fill_coverage(df: DataFrame, columns: list[str], limit: int = 5) -> DataFrame:
     """series_name, n_native, n_missing, n_filled, n_unresolved: one row for each column and symbol."""
     filled = df.select("symbol", *(F.col(c) for c in columns), *(carried(c, limit).alias(f"{c}__f") for c in columns))
-    long = filled.select("symbol", F.inline(F.array(*(F.struct(F.lit(c).alias("series_name"), F.col(c).cast("double").alias("raw"), F.col(f"{c}__f").cast("double").alias("full")) for c in columns))))
+    long = filled.select(
+        "symbol",
+        F.inline(
+            F.array(
+                *(F.struct(F.lit(c).alias("series_name"), F.col(c).cast("double").alias("raw"), F.col(f"{c}__f").cast("double").alias("full")) for c in columns)
+            )
+        )
+    )
     return long.groupBy("symbol", "series_name").agg(
         F.count("raw").alias("n_native"), F.count_if(F.col("raw").isNull()).alias("n_missing"),
         (F.count("full") - F.count("raw")).alias("n_filled"), F.count_if(F.col("full").isNull()).alias("n_unresolved"),
@@ -56,7 +63,9 @@ def closed_spine(df: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns:
         whole = whole & F.col(c).isNotNull()
     w = Window.partitionBy("symbol")
-    capped = trim_leading(df, columns).withColumn("__last", F.max(F.when(whole, F.col("session"))).over(w)).where(F.col("session") <= F.col("__last")).drop("__last")
+    capped = trim_leading(df, columns).withColumn(
+        "__last", F.max(F.when(whole, F.col("session"))).over(w)
+    ).where(F.col("session") <= F.col("__last")).drop("__last")
     gaps = interior_gaps(capped, columns).where("n_gaps > 0").orderBy("symbol").limit(10).collect()
     if gaps:
         raise ValueError(f"gaps inside the spine: {[(r['symbol'], r['n_gaps']) for r in gaps]}")
@@ -80,7 +89,9 @@ def asof_bucket(events: DataFrame, grid: DataFrame, ts: str, at: str = "close_ut
     table = days.join(by_day, "__day", "left").withColumn("__next", F.last(F.col("__closes")[0]["__session"], ignorenulls=True).over(later))
     own = F.filter("__closes", lambda c: c["__at"] >= F.col(ts))
     before = F.lit(first).cast("date")
-    joined = events.withColumn("__key", F.greatest(F.col("__day"), before)).join(F.broadcast(table.withColumnRenamed("__day", "__key")), "__key", "left")  # one row a day of the grid
+    joined = events.withColumn("__key", F.greatest(F.col("__day"), before)).join(
+        F.broadcast(table.withColumnRenamed("__day", "__key")), "__key", "left"
+    )  # one row a day of the grid
     hit = F.coalesce(F.get(own, F.lit(0))["__session"], F.col("__next"))
     return joined.withColumn(session, F.when(F.col(ts).isNotNull(), hit)).drop("__day", "__key", "__closes", "__next")
 
@@ -95,7 +106,9 @@ def roll_forward(dates: DataFrame, grid: DataFrame, on: str, session: str = "ses
     marks = grid.select(F.col(session).alias("__s")).distinct()
     table = days.join(marks, F.col("__day") == F.col("__s"), "left").select("__day", F.last("__s", ignorenulls=True).over(w).alias(session))
     key = F.greatest(F.col(on), F.lit(bounds[0]).cast("date"))
-    return dates.withColumn("__key", key).join(F.broadcast(table.withColumnRenamed("__day", "__key")), "__key", "left").drop("__key")  # one row a day: 36,525 a century
+    return dates.withColumn("__key", key).join(
+        F.broadcast(table.withColumnRenamed("__day", "__key")), "__key", "left"
+    ).drop("__key")  # one row a day: 36,525 a century
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:

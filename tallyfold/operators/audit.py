@@ -20,16 +20,22 @@ def _pairs(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> D
     left = a.select(*keys, *(F.col(c).alias(f"a_{c}") for c in columns), F.lit(1).alias("__a"))
     right = b.select(*keys, *(F.col(c).alias(f"b_{c}") for c in columns), F.lit(1).alias("__b"))
     joined = left.join(right, keys, "full")
-    pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"a_{c}").cast("double").alias("x"), F.col(f"b_{c}").cast("double").alias("y")) for c in columns))
+    pairs = F.array(
+        *(F.struct(F.lit(c).alias("column_name"), F.col(f"a_{c}").cast("double").alias("x"), F.col(f"b_{c}").cast("double").alias("y")) for c in columns)
+    )
     return joined.select(*keys, (F.col("__a").isNull() | F.col("__b").isNull()).alias("one_sided"), F.inline(pairs))
 
 
 def run_diff(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], tolerance: float = 0.0) -> DataFrame:
-    """For each column: rows on one side only, rows with both values, rows that differ by more than the tolerance or are missing on one side, largest absolute and relative difference."""
+    """For each column: rows on one side only, rows with both values, rows that differ by more than the tolerance or
+    are missing on one side, largest absolute and relative difference.
+    """
     d = F.abs(F.col("x") - F.col("y"))
     differs = F.coalesce(d > tolerance, F.col("x").isNull() != F.col("y").isNull())
     return _pairs(a, b, keys, columns).groupBy("column_name").agg(
-        F.count_if("one_sided").alias("n_one_sided"), F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n_both"), F.count_if(differs & ~F.col("one_sided")).alias("n_different"),
+        F.count_if("one_sided").alias("n_one_sided"), F.count_if(
+            F.col("x").isNotNull() & F.col("y").isNotNull()
+        ).alias("n_both"), F.count_if(differs & ~F.col("one_sided")).alias("n_different"),
         F.coalesce(F.max(d), F.lit(0.0)).alias("max_abs"), F.coalesce(F.max(F.try_divide(d, F.abs("x"))), F.lit(0.0)).alias("max_rel"),
     )
 
@@ -38,7 +44,9 @@ def vintage_diff(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]
     """run_diff of two vintages for each value of `by` (of the keys) and column; rows on one side only count apart."""
     d = F.abs(F.col("x") - F.col("y"))
     return _pairs(a, b, keys, columns).withColumn(name, by).groupBy(name, "column_name").agg(
-        F.count_if("one_sided").alias("n_one_sided"), F.count_if(F.coalesce(d > tolerance, F.col("x").isNull() != F.col("y").isNull()) & ~F.col("one_sided")).alias("n_cells"),
+        F.count_if("one_sided").alias("n_one_sided"), F.count_if(
+            F.coalesce(d > tolerance, F.col("x").isNull() != F.col("y").isNull()) & ~F.col("one_sided")
+        ).alias("n_cells"),
         F.coalesce(F.max(d), F.lit(0.0)).alias("max_abs"), F.coalesce(F.max(F.try_divide(d, F.abs("x"))), F.lit(0.0)).alias("max_rel"),
     )
 
@@ -55,13 +63,17 @@ def expand_ids(df: DataFrame, column: str, name: str = "id") -> DataFrame:
     lo, hi = F.regexp_extract("part", r"^[A-Za-z]*(\d+)", 1), F.regexp_extract("part", r"-[A-Za-z]*(\d+)$", 1)
     prefix = F.regexp_extract("part", r"^([A-Za-z]*)", 1)
     n = lo.try_cast("int")
-    return part.where(n.isNotNull()).select(F.explode(F.transform(F.sequence(n, F.greatest(F.coalesce(hi.try_cast("int"), n), n)), lambda i: F.concat(prefix, i.cast("string")))).alias(name)).distinct()
+    return part.where(n.isNotNull()).select(
+        F.explode(F.transform(F.sequence(n, F.greatest(F.coalesce(hi.try_cast("int"), n), n)), lambda i: F.concat(prefix, i.cast("string")))).alias(name)
+    ).distinct()
 
 
 def missing_ids(expected: DataFrame, present: DataFrame, key: str) -> DataFrame:
     """side, id: ids on one side only."""
     a, b = expected.select(key).distinct(), present.select(key).distinct()
-    return a.join(b, key, "left_anti").select(F.lit("missing").alias("side"), key).unionByName(b.join(a, key, "left_anti").select(F.lit("unexpected").alias("side"), key))
+    return a.join(b, key, "left_anti").select(F.lit("missing").alias("side"), key).unionByName(
+        b.join(a, key, "left_anti").select(F.lit("unexpected").alias("side"), key)
+    )
 
 
 def text_lengths(df: DataFrame, limit: int = 200) -> DataFrame:
@@ -90,7 +102,10 @@ def append_registry(rows: DataFrame, path: str) -> None:
 
 def registry_budget(registry: DataFrame) -> DataFrame:
     """counted and excluded experiments."""
-    return registry.agg(F.count_if(F.col("counts_toward_budget") == "yes").alias("n_counted"), F.count_if(F.coalesce(F.col("counts_toward_budget"), F.lit("")) != "yes").alias("n_excluded"))
+    return registry.agg(
+        F.count_if(F.col("counts_toward_budget") == "yes").alias("n_counted"),
+        F.count_if(F.coalesce(F.col("counts_toward_budget"), F.lit("")) != "yes").alias("n_excluded")
+    )
 
 
 def natural_order(c: str) -> list[Column]:
@@ -107,7 +122,9 @@ HASH_STATES = ("unchanged", "changed", "missing", "new")
 
 def hash_states(recorded: dict[str, str], found: dict[str, str]) -> dict[str, str]:
     """The state of each file, by recorded and found digests."""
-    return {k: "new" if k not in recorded else "missing" if k not in found else "unchanged" if recorded[k] == found[k] else "changed" for k in sorted({*recorded, *found})}
+    return {
+        k: "new" if k not in recorded else "missing" if k not in found else "unchanged" if recorded[k] == found[k] else "changed" for k in sorted({*recorded, *found})
+    }
 
 
 def registry_markdown(features) -> str:

@@ -59,7 +59,11 @@ def sessions(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
     df = spark.createDataFrame(rows, "session date, half boolean")
     at = lambda t: F.to_utc_timestamp(F.to_timestamp(F.concat(F.col("session").cast("string"), F.lit(f" {t}"))), ZONE)
     df = df.withColumn("open_utc", at("09:30:00")).withColumn("close_utc", F.when(F.col("half"), at("13:00:00")).otherwise(at("16:00:00")))
-    return df.select("session", "open_utc", "close_utc", ((F.unix_timestamp("close_utc") - F.unix_timestamp("open_utc")) / 60).cast("int").alias("session_minutes"), F.col("half").cast("int").alias("is_half_day"))
+    return df.select(
+        "session", "open_utc", "close_utc",
+        ((F.unix_timestamp("close_utc") - F.unix_timestamp("open_utc")) / 60).cast("int").alias("session_minutes"),
+        F.col("half").cast("int").alias("is_half_day")
+    )
 
 
 def wall_to_utc(text: F.Column) -> F.Column:

@@ -34,9 +34,14 @@ def bin_of(p: Column) -> Column:
 
 def reliability(spark: SparkSession, df: DataFrame, y: str, families: dict[str, tuple[str, str, str]]) -> DataFrame:
     """class_label, probabilities, bin, n, mean_predicted, realised_frequency: all bins, also those of no row."""
-    parts = [F.struct(F.lit(k).alias("class_label"), F.lit(name).alias("probabilities"), F.col(c).alias("p"), (F.col(y) == k).cast("double").alias("hit")) for name, p in families.items() for c, k in zip(p, CLASSES)]
+    parts = [
+        F.struct(F.lit(k).alias("class_label"), F.lit(name).alias("probabilities"), F.col(c).alias("p"), (F.col(y) == k).cast("double").alias("hit")) for name,
+        p in families.items() for c, k in zip(p, CLASSES)
+    ]
     long = df.select(F.inline(F.array(*parts))).where("p IS NOT NULL").withColumn("bin", bin_of(F.col("p")))
-    seen = long.groupBy("class_label", "probabilities", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_predicted"), F.avg("hit").alias("realised_frequency"))
+    seen = long.groupBy("class_label", "probabilities", "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_predicted"), F.avg("hit").alias("realised_frequency")
+    )
     spine = spark.createDataFrame([(k, n, b) for k in CLASSES for n in families for b in range(10)], "class_label int, probabilities string, bin int")
     return F.broadcast(spine).join(seen, ["class_label", "probabilities", "bin"], "left").na.fill(0, ["n"])  # 30 rows a family
 
@@ -103,7 +108,10 @@ class Isotonic:
         rest = [x for x in df.columns if x not in self.p]
         for c, m in self.curves.items():
             df = m.transform(df.withColumn("x", F.col(c))).drop("x")
-        return df.select(*rest, *normalise([F.least(F.greatest(F.col(f"__{c}"), F.lit(0.0)), F.lit(1.0)) if c in self.curves else clipped(c) for c in self.p], self.p))
+        return df.select(
+            *rest,
+            *normalise([F.least(F.greatest(F.col(f"__{c}"), F.lit(0.0)), F.lit(1.0)) if c in self.curves else clipped(c) for c in self.p], self.p)
+        )
 
 
 CALIBRATORS = {"sigmoid": Sigmoid, "isotonic": Isotonic}

@@ -67,7 +67,10 @@ def close_close_net(df: DataFrame, w: str, r: str, carry: str, cost_bps: float,
     return df.withColumn(name, x * (F.col(r) - F.col(carry)) - c * turnover - borrow)
 
 
-def close_close_same_row(df: DataFrame, w: str, r: str, rf: str, cost_bps: Column | float, borrow_bps: float = BORROW_BPS, name: str = "net", by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def close_close_same_row(
+    df: DataFrame, w: str, r: str, rf: str, cost_bps: Column | float, borrow_bps: float = BORROW_BPS, name: str = "net",
+    by: tuple[str, ...] = ("symbol",)
+) -> DataFrame:
     """Same-row net of the benchmarks: days back, and no charge for closing the last position."""
     win = Window.partitionBy(*by).orderBy("session")
     c = (F.lit(cost_bps) if not isinstance(cost_bps, Column) else cost_bps) / 1e4
@@ -80,11 +83,16 @@ def close_close_same_row(df: DataFrame, w: str, r: str, rf: str, cost_bps: Colum
 def choices(edge: np.ndarray, days: np.ndarray, cost: float, borrow: float) -> np.ndarray:
     """For each row and previous position -1, 0, 1 (columns) the best next one; of equal values the smallest position."""
     w = np.array([-1.0, 0.0, 1.0])
-    value = w[None, None, :] * edge[:, None, None] - cost * np.abs(w[None, None, :] - w[None, :, None]) - borrow * (days / 365.0)[:, None, None] * np.maximum(-w, 0.0)[None, None, :]
+    value = w[None, None, :] * edge[:, None, None] - cost * np.abs(
+        w[None, None, :] - w[None, :, None]
+    ) - borrow * (days / 365.0)[:, None, None] * np.maximum(-w, 0.0)[None, None, :]
     return value.argmax(2)
 
 
-def one_step_positions(df: DataFrame, mu: str, carry: str, cost_bps: float, borrow_bps: float = BORROW_BPS, delta: float = 0.0, name: str = "position") -> DataFrame:
+def one_step_positions(
+    df: DataFrame, mu: str, carry: str, cost_bps: float, borrow_bps: float = BORROW_BPS, delta: float = 0.0,
+    name: str = "position"
+) -> DataFrame:
     """Path-dependent positions: each maximises w (mu - carry) - c|w - previous| - borrow, from a flat start.
 
     A row maps the previous position to the next; the map of every row is computed at once, and only the walk

@@ -62,12 +62,21 @@ def _registry() -> Registry:
         r.add(f"ret_lag_{k}", "lagged_return", f"ln(C[t] / C[t-{k}])", lambda k=k: C.log_return("close", k))
     for w in SMA_WINDOWS:
         r.add(f"SMA_gap_{w}", "trend", f"(C - SMA{w}) / SMA{w}", lambda w=w: C.div(c("close") - C.rolling_mean("close", w), C.rolling_mean("close", w)))
-    r.add("RSI_14", "momentum", "100 - 100 / (1 + EWM(gain, 1/14) / EWM(loss, 1/14))", lambda: F.when(c("_loss14") > 0, 100 - 100 / (1 + c("_gain14") / c("_loss14"))).when((c("_loss14") == 0) & (c("_gain14") > 0), F.lit(100.0)))
-    r.add("MACD_hist", "momentum", "(EMA12 - EMA26) - EMA9(EMA12 - EMA26)", lambda: c("_macd") - c("_macd9"), scale_free=False, notes="a difference of price levels")
+    r.add(
+        "RSI_14", "momentum", "100 - 100 / (1 + EWM(gain, 1/14) / EWM(loss, 1/14))",
+        lambda: F.when(c("_loss14") > 0, 100 - 100 / (1 + c("_gain14") / c("_loss14"))).when((c("_loss14") == 0) & (c("_gain14") > 0), F.lit(100.0))
+    )
+    r.add(
+        "MACD_hist", "momentum", "(EMA12 - EMA26) - EMA9(EMA12 - EMA26)", lambda: c("_macd") - c("_macd9"),
+        scale_free=False, notes="a difference of price levels"
+    )
     for w in VOL_WINDOWS:
         r.add(f"Volatility_{w}", "volatility", f"sd of log returns over {w}", lambda w=w: C.rolling_sd("_ret", w))
     r.add("BB_width", "bollinger", "4 sd20 / SMA20", lambda: C.div(4 * C.rolling_sd("close", 20), C.rolling_mean("close", 20)))
-    r.add("BB_percent_b", "bollinger", "(C - lower) / (upper - lower), bands at 2 sd20", lambda: C.div(c("close") - (C.rolling_mean("close", 20) - 2 * C.rolling_sd("close", 20)), 4 * C.rolling_sd("close", 20)))
+    r.add(
+        "BB_percent_b", "bollinger", "(C - lower) / (upper - lower), bands at 2 sd20",
+        lambda: C.div(c("close") - (C.rolling_mean("close", 20) - 2 * C.rolling_sd("close", 20)), 4 * C.rolling_sd("close", 20))
+    )
     r.add("VIX", "macro_change", "level", lambda: c("vix"))
     for s in ("vix", "dxy", "oil"):
         for k in MACRO_LAGS:
@@ -92,8 +101,16 @@ def _registry() -> Registry:
     r.add("is_friday", "calendar", "Friday", lambda: C.flag(F.weekday("session") == 4))
     r.add("is_month_start", "calendar", "first session of its month in the calendar", lambda: C.flag(c("session") == c("month_first")))
     r.add("is_month_end", "calendar", "last session of its month in the calendar", lambda: C.flag(c("session") == c("month_last")))
-    r.add("vix_regime_high", "regime", "VIX above its trailing 75% quantile", lambda: C.flag(c("vix") > C.rolling_quantile("vix", 0.75, REGIME_WINDOW, REGIME_LEAST)), notes="0 before 60 sessions")
-    r.add("vix_regime_low", "regime", "VIX below its trailing 25% quantile", lambda: C.flag(c("vix") < C.rolling_quantile("vix", 0.25, REGIME_WINDOW, REGIME_LEAST)), notes="0 before 60 sessions")
+    r.add(
+        "vix_regime_high", "regime", "VIX above its trailing 75% quantile",
+        lambda: C.flag(c("vix") > C.rolling_quantile("vix", 0.75, REGIME_WINDOW, REGIME_LEAST)),
+        notes="0 before 60 sessions"
+    )
+    r.add(
+        "vix_regime_low", "regime", "VIX below its trailing 25% quantile",
+        lambda: C.flag(c("vix") < C.rolling_quantile("vix", 0.25, REGIME_WINDOW, REGIME_LEAST)),
+        notes="0 before 60 sessions"
+    )
     for s in ("qqq", "iwm", "dia"):
         for k in STYLE_LAGS:
             r.add(f"{s.upper()}_ret_{k}", "cross_market", f"ln({s}[t] / {s}[t-{k}])", lambda s=s, k=k: C.log_return(f"{s}_close", k))
@@ -121,7 +138,13 @@ def build(frame: DataFrame, registry: Registry = REGISTRY, calendar: DataFrame |
         d = month_bounds(d, calendar)
     if wanted & set(REGISTRY.names("momentum")):
         d = d.withColumn("_delta", c("close") - C.lag("close")).withColumns({"_gain": C.clip(c("_delta"), lo=0.0), "_loss": -C.clip(c("_delta"), hi=0.0)})
-        d = smooth(d, {"_gain14": ("_gain", 1 / 14, 14), "_loss14": ("_loss", 1 / 14, 14), "_e12": ("close", 2 / 13, 1), "_e26": ("close", 2 / 27, 1), "_macd9": ("_e12 - _e26", 2 / 10, 1)})
+        d = smooth(
+            d,
+            {
+                "_gain14": ("_gain", 1 / 14, 14), "_loss14": ("_loss", 1 / 14, 14), "_e12": ("close", 2 / 13, 1),
+                "_e26": ("close", 2 / 27, 1), "_macd9": ("_e12 - _e26", 2 / 10, 1)
+            }
+        )
         d = d.withColumn("_macd", c("_e12") - c("_e26"))
     first = {}
     if wanted & set(REGISTRY.names("lagged_return") + REGISTRY.names("volatility") + REGISTRY.names("volume")):
@@ -158,7 +181,10 @@ def target_close_close(frame: DataFrame, name: str = "target") -> DataFrame:
 
 def as_table(spark: SparkSession, registry: Registry = REGISTRY) -> DataFrame:
     """The registry as rows, in order."""
-    return spark.createDataFrame([(i, f.name, f.group, f.formula, int(f.scale_free), f.notes) for i, f in enumerate(registry.features)], "position int, name string, feature_group string, formula string, scale_free int, notes string")
+    return spark.createDataFrame(
+        [(i, f.name, f.group, f.formula, int(f.scale_free), f.notes) for i, f in enumerate(registry.features)],
+        "position int, name string, feature_group string, formula string, scale_free int, notes string"
+    )
 
 
 def look_ahead(frame: DataFrame, cut, registry: Registry = REGISTRY, calendar: DataFrame | None = None) -> DataFrame:

@@ -21,7 +21,10 @@ BLOCK, REPLICATES, SEED = 20.0, 10_000, 20260823
 
 def uniform_hash(seed: int, tag: str) -> Column:
     """A 32-bit number from seed, tag, rep and i."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(tag), F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 8), 16, 10).cast("long")
+    return F.conv(
+        F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(tag), F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 8),
+        16, 10
+    ).cast("long")
 
 
 def index_paths(spark: SparkSession, n: int, replicates: int = REPLICATES, block: float = BLOCK, seed: int = SEED) -> DataFrame:
@@ -41,7 +44,10 @@ def draws(series: DataFrame, n: int, statistics: dict[str, Column], replicates:
 
 def interval(drawn: DataFrame, name: str, point: DataFrame | None = None) -> DataFrame:
     """lo, hi (95% percentiles), se and fraction_nonpositive of a drawn statistic, beside its point value."""
-    out = drawn.agg(F.percentile(name, F.lit(0.025)).alias("lo"), F.percentile(name, F.lit(0.975)).alias("hi"), F.stddev_samp(name).alias("se"), F.avg((F.col(name) <= 0).cast("double")).alias("fraction_nonpositive"))
+    out = drawn.agg(
+        F.percentile(name, F.lit(0.025)).alias("lo"), F.percentile(name, F.lit(0.975)).alias("hi"),
+        F.stddev_samp(name).alias("se"), F.avg((F.col(name) <= 0).cast("double")).alias("fraction_nonpositive")
+    )
     return out if point is None else point.crossJoin(out)  # one row each
 
 

@@ -43,7 +43,10 @@ def time_series_split(n: int, n_splits: int, test_size: int, gap: int = 0) -> It
 def outer_steps(n: int, initial: int, step: int, retune_every: int, rolling: int | None = None) -> list[dict]:
     """Walk-forward blocks of `step` rows, the last one as long as rows remain; retune marks where candidates are compared anew."""
     return [
-        {"step": k, "train_lo": 0 if rolling is None else max(0, s - rolling), "train_hi": s, "test_lo": s, "test_hi": min(s + step, n), "retune": int(k % retune_every == 0)}
+        {
+            "step": k, "train_lo": 0 if rolling is None else max(0, s - rolling), "train_hi": s, "test_lo": s,
+            "test_hi": min(s + step, n), "retune": int(k % retune_every == 0)
+        }
         for k, s in enumerate(range(initial, n, step))
     ]
 

@@ -173,7 +173,12 @@ class Forest:
         for _ in range(self.trees):
             drawn = np.bincount(rng.integers(0, len(x), len(x)), minlength=len(x)).astype(float)
             stats = np.hstack([hot * drawn[:, None], (drawn > 0)[:, None]])
-            self.grown.append(grow(bins, stats, np.flatnonzero(drawn), gini, share, 1 << self.depth, self.depth, self.leaf, lambda: np.sort(rng.choice(x.shape[1], k, replace=False))))
+            self.grown.append(
+                grow(
+                    bins, stats, np.flatnonzero(drawn), gini, share, 1 << self.depth, self.depth, self.leaf,
+                    lambda: np.sort(rng.choice(x.shape[1], k, replace=False))
+                )
+            )
         return self
 
     def predict(self, x):
@@ -280,7 +285,12 @@ class SigmoidCurves:
     def transform(self, p: np.ndarray) -> np.ndarray:
         if not self.curves:
             return p
-        return _scaled(np.stack([1 / (1 + np.exp(-np.clip(self.curves[c][0] * _logit(p[:, c]) + self.curves[c][1], -500, 500))) if c in self.curves else np.clip(p[:, c], 1e-9, 1 - 1e-9) for c in range(CLASSES)], 1))
+        return _scaled(
+            np.stack(
+                [1 / (1 + np.exp(-np.clip(self.curves[c][0] * _logit(p[:, c]) + self.curves[c][1], -500, 500))) if c in self.curves else np.clip(p[:, c], 1e-9, 1 - 1e-9) for c in range(CLASSES)],
+                1
+            )
+        )
 
 
 class IsotonicCurves:

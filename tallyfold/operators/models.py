@@ -86,15 +86,29 @@ def fit(df: DataFrame, candidate: Candidate, features: list[str], y: str = "labe
     if candidate.family == "logistic":
         scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(rows)
         rows = class_weight(scaler.transform(rows), y) if params.get("class_weight") == "balanced" else scaler.transform(rows).withColumn("w", F.lit(1.0))
-        m = LogisticRegression(featuresCol="scaled", labelCol="target", weightCol="w", family="multinomial", elasticNetParam=0.0, standardization=False, regParam=1.0 / (params.get("C", 1.0) * max(df.count(), 1)), maxIter=100).fit(rows)
-        return Fitted(lambda d: padded(m.transform(scaler.transform(assembler.transform(d))).withColumn("__p", vector_to_array("probability")), F.col("__p")), features)
+        m = LogisticRegression(
+            featuresCol="scaled", labelCol="target", weightCol="w", family="multinomial", elasticNetParam=0.0,
+            standardization=False, regParam=1.0 / (params.get("C", 1.0) * max(df.count(), 1)), maxIter=100
+        ).fit(rows)
+        return Fitted(
+            lambda d: padded(m.transform(scaler.transform(assembler.transform(d))).withColumn("__p", vector_to_array("probability")), F.col("__p")),
+            features
+        )
     if candidate.family == "forest":
-        m = RandomForestClassifier(featuresCol="raw", labelCol="target", numTrees=params.get("trees", 300), maxDepth=params.get("depth", 5), minInstancesPerNode=params.get("leaf", 20), featureSubsetStrategy="0.5", seed=seed).fit(rows)
+        m = RandomForestClassifier(
+            featuresCol="raw", labelCol="target", numTrees=params.get("trees", 300), maxDepth=params.get("depth", 5),
+            minInstancesPerNode=params.get("leaf", 20), featureSubsetStrategy="0.5", seed=seed
+        ).fit(rows)
         return Fitted(lambda d: padded(m.transform(assembler.transform(d)).withColumn("__p", vector_to_array("probability")), F.col("__p")), features)
     models = []
     for i in range(len(present)):
         d = rows.withColumn("one", (F.col("target") == i).cast("double"))
-        models.append(GBTClassifier(featuresCol="raw", labelCol="one", maxIter=params.get("trees", 20), maxDepth=params.get("depth", 3), stepSize=params.get("rate", 0.1), seed=seed).fit(d))
+        models.append(
+            GBTClassifier(
+                featuresCol="raw", labelCol="one", maxIter=params.get("trees", 20), maxDepth=params.get("depth", 3),
+                stepSize=params.get("rate", 0.1), seed=seed
+            ).fit(d)
+        )
 
     def predict(d: DataFrame) -> DataFrame:
         d = assembler.transform(d)

@@ -83,7 +83,10 @@ def decomposition(w: Column, r: Column, financing: Column, cost_bps: float) -> l
     """Strategy less always-long: timing (w - 1) r, cost saving 2c (1 - |w|), financing saving f (1 - |w|); an exact identity."""
     idle = 1.0 - F.abs(w)
     timing, saving, fin = F.avg((w - 1.0) * r) * DAYS, F.avg(2.0 * cost_bps / 1e4 * idle) * DAYS, F.avg(financing * idle) * DAYS
-    return [timing.alias("ann_gross_timing"), saving.alias("ann_cost_saving"), fin.alias("ann_financing_saving"), (timing + saving + fin).alias("ann_net_excess_vs_always_long")]
+    return [
+        timing.alias("ann_gross_timing"), saving.alias("ann_cost_saving"), fin.alias("ann_financing_saving"),
+        (timing + saving + fin).alias("ann_net_excess_vs_always_long")
+    ]
 
 
 def vol_matched(df: DataFrame, x: str, target: str, by: list[str]) -> Column:
@@ -102,9 +105,14 @@ def tercile(x: str, by: list[str]) -> Column:
 
 def regime_table(df: DataFrame, by: list[str], buckets: dict[str, Column], net: str = "net", weight: str = "weight") -> DataFrame:
     """by, dimension, bucket and participation, annual mean, Sharpe: all dimensions in one pass."""
-    rows = df.select(*by, net, weight, F.inline(F.array(*(F.struct(F.lit(k).alias("dimension"), b.cast("string").alias("bucket")) for k, b in buckets.items()))))
+    rows = df.select(
+        *by, net, weight,
+        F.inline(F.array(*(F.struct(F.lit(k).alias("dimension"), b.cast("string").alias("bucket")) for k, b in buckets.items())))
+    )
     return rows.where("bucket IS NOT NULL").groupBy(*by, "dimension", "bucket").agg(
-        F.count(F.lit(1)).alias("sessions"), F.avg((F.col(weight) != 0).cast("double")).alias("participation_rate"), (F.avg(net) * DAYS).alias("ann_mean"), C.sharpe(F.col(net)).alias("sharpe")
+        F.count(F.lit(1)).alias("sessions"), F.avg(
+            (F.col(weight) != 0).cast("double")
+        ).alias("participation_rate"), (F.avg(net) * DAYS).alias("ann_mean"), C.sharpe(F.col(net)).alias("sharpe")
     )
 
 

@@ -67,7 +67,9 @@ def varying(df: DataFrame, features: list[str]) -> list[str]:
 
 
 def top_per_group(ics: DataFrame, groups: dict[str, str], k: int = PER_GROUP, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """The k highest ic of each feature group, with feature_group and rank_in_group; ties by the order of `groups` (feature -> group), which is metadata and part of the plan."""
+    """The k highest ic of each feature group, with feature_group and rank_in_group; ties by the order of `groups`
+    (feature -> group), which is metadata and part of the plan.
+    """
     names, of = F.array(*map(F.lit, groups)), F.array(*map(F.lit, groups.values()))
     placed = ics.withColumn("position", F.array_position(names, F.col("feature")).cast("int")).where("position > 0")
     placed = placed.withColumn("feature_group", F.element_at(of, F.col("position")))
@@ -96,7 +98,10 @@ def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
     return out.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
 
 
-def screen(df: DataFrame, features: list[str], groups: dict[str, str], window: int = WINDOW, per_group: int = PER_GROUP, cut: float = CUT, cap: int = CAP) -> DataFrame:
+def screen(
+    df: DataFrame, features: list[str], groups: dict[str, str], window: int = WINDOW, per_group: int = PER_GROUP,
+    cut: float = CUT, cap: int = CAP
+) -> DataFrame:
     """symbol, rank (from 1), feature, ic: the five steps on each whole series of df(symbol, pos, z, features), without missing values."""
     rows = df.select("symbol", "pos", "z", F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
     of = [groups[f] for f in features]

@@ -38,7 +38,9 @@ def load_lexicon(spark, path: str, categories=CATEGORIES, sha256: str | None = N
     df = spark.read.csv(path, header=True)
     at = {c.lower(): c for c in df.columns}
     flags = F.array(*(F.struct(F.lit(c).alias("category"), F.coalesce(F.col(at[c]).try_cast("int"), F.lit(0)).alias("year")) for c in categories))
-    rows = df.select(F.lower(F.trim(at["word"])).alias("word"), F.inline(flags)).where("year != 0 AND word IS NOT NULL").select("category", "word").distinct().collect()
+    rows = df.select(
+        F.lower(F.trim(at["word"])).alias("word"), F.inline(flags)
+    ).where("year != 0 AND word IS NOT NULL").select("category", "word").distinct().collect()
     out: dict[str, list[str]] = {c: [] for c in categories}
     for r in sorted(rows, key=lambda r: r["word"]):
         out[r["category"]].append(r["word"])
@@ -80,8 +82,14 @@ def session_features(scores: DataFrame, spine: DataFrame, lexicon, topics, prefi
     rate = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("n_tokens")), F.lit(0.0))
     pos, neg = F.col("positive").cast("double"), F.col("negative").cast("double")
     tone = F.coalesce(F.try_divide(pos - neg, pos + neg), F.lit(0.0))
-    out = [F.col("doc_count").cast("double").alias("doc_count"), F.col("n_tokens").cast("double").alias("token_count"), tone.alias("tone"), *(rate(c).alias(f"{c}_rate") for c in names)]
-    return dense.select("session", *out).select("session", *(F.col(c).alias(f"{prefix}{c}") for c in ["doc_count", "token_count", "tone", *(f"{c}_rate" for c in names)]))
+    out = [
+        F.col("doc_count").cast("double").alias("doc_count"), F.col("n_tokens").cast("double").alias("token_count"),
+        tone.alias("tone"), *(rate(c).alias(f"{c}_rate") for c in names)
+    ]
+    return dense.select("session", *out).select(
+        "session",
+        *(F.col(c).alias(f"{prefix}{c}") for c in ["doc_count", "token_count", "tone", *(f"{c}_rate" for c in names)])
+    )
 
 
 def with_empty_counts(features: DataFrame, docs: DataFrame, name: str) -> DataFrame:

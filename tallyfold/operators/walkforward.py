@@ -53,7 +53,9 @@ class Settings:
 
 
 def prepared(df: DataFrame, features: list[str], window: int = WINDOW) -> DataFrame:
-    """df(symbol, session, pos, target, z, carry, features) with the features as x and their rolling rank correlations as rho; rows with a missing value raise no error but must not be there."""
+    """df(symbol, session, pos, target, z, carry, features) with the features as x and their rolling rank correlations
+    as rho; rows with a missing value raise no error but must not be there.
+    """
     rows = df.select("symbol", "session", "pos", "target", "z", "carry", F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -62,7 +64,10 @@ def prepared(df: DataFrame, features: list[str], window: int = WINDOW) -> DataFr
         rho = np.stack([N.rolling_rank_correlation(c, z, window) for c in x.T], 1)
         return pdf.assign(rho=list(rho))
 
-    return rows.select("symbol", "session", "pos", "target", "z", "carry", "x").groupBy("symbol").applyInPandas(run, "symbol string, session date, pos bigint, target double, z double, carry double, x array<double>, rho array<double>")
+    return rows.select("symbol", "session", "pos", "target", "z", "carry", "x").groupBy("symbol").applyInPandas(
+        run,
+        "symbol string, session date, pos bigint, target double, z double, carry double, x array<double>, rho array<double>"
+    )
 
 
 def schedule(rows: DataFrame, s: Settings) -> DataFrame:
@@ -74,7 +79,10 @@ def schedule(rows: DataFrame, s: Settings) -> DataFrame:
     steps = n.select("symbol", "n", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("step"))
     hi = (F.lit(s.initial) + F.col("step") * s.step).cast("long")
     lo = F.lit(0).cast("long") if s.rolling is None else F.greatest(F.lit(0), hi - s.rolling).cast("long")
-    return steps.select("symbol", "step", lo.alias("train_lo"), hi.alias("train_hi"), F.least(hi + s.step, F.col("n")).alias("test_hi"), (F.col("step") - F.col("step") % s.retune_every).alias("retune"))
+    return steps.select(
+        "symbol", "step", lo.alias("train_lo"), hi.alias("train_hi"), F.least(hi + s.step, F.col("n")).alias("test_hi"),
+        (F.col("step") - F.col("step") % s.retune_every).alias("retune")
+    )
 
 
 def inner_folds(steps: DataFrame, s: Settings) -> DataFrame:
@@ -88,7 +96,9 @@ def inner_folds(steps: DataFrame, s: Settings) -> DataFrame:
 
 def sliced(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """rows copied to each of the ranges (symbol, ..., train_lo, train_hi, test_lo, test_hi) that has them, and whether they are `train` rows."""
-    d = rows.join(ranges, "symbol").where((F.col("pos") >= F.col("train_lo")) & ((F.col("pos") < F.col("train_hi")) | (F.col("pos") >= F.col("test_lo")) & (F.col("pos") < F.col("test_hi"))))
+    d = rows.join(ranges, "symbol").where(
+        (F.col("pos") >= F.col("train_lo")) & ((F.col("pos") < F.col("train_hi")) | (F.col("pos") >= F.col("test_lo")) & (F.col("pos") < F.col("test_hi")))
+    )
     return d.withColumn("train", F.col("pos") < F.col("train_hi")).drop("train_lo", "train_hi", "test_lo", "test_hi")
 
 
@@ -144,7 +154,10 @@ class Slice:
             return {}
         before, after = N.brier(self.oof, self.oof_y), N.brier(self.curves.transform(self.oof) if self.curves else self.oof, self.oof_y)
         base = N.brier(np.tile(self.rates, (len(self.oof_y), 1)), self.oof_y)
-        return {"n_oof": len(self.oof_y), "calibration_skipped": self.curves is None, "brier_before": before, "brier_after_in_sample": after, "brier_skill": 1 - before / base if base else None} | dict(zip(("rate_short", "rate_flat", "rate_long"), self.rates.tolist()))
+        return {
+            "n_oof": len(self.oof_y), "calibration_skipped": self.curves is None, "brier_before": before,
+            "brier_after_in_sample": after, "brier_skill": 1 - before / base if base else None
+        } | dict(zip(("rate_short", "rate_flat", "rate_long"), self.rates.tolist()))
 
 
 FOLD = "symbol string, step int, fold int, model int, part string, session date, target double, carry double, mu double, n_oof int, calibration_skipped boolean, brier_before double, brier_after_in_sample double, brier_skill double, rate_short double, rate_flat double, rate_long double"
@@ -182,7 +195,10 @@ def fold_results(rows: DataFrame, groups: list[str], candidates: list[M.Candidat
 def table_of(spark, candidates: list[M.Candidate]) -> DataFrame:
     """candidate (number), model, id, family, params, delta and the ranks; one row a candidate."""
     fitted = {c: k for k, c in enumerate(configurations(candidates))}
-    rows = [(i, fitted[c.family, c.params], c.key, c.family, repr(dict(c.params)), float(c.delta), c.complexity_rank, c.within_rank) for i, c in enumerate(candidates)]
+    rows = [
+        (i, fitted[c.family, c.params], c.key, c.family, repr(dict(c.params)), float(c.delta), c.complexity_rank, c.within_rank) for i,
+        c in enumerate(candidates)
+    ]
     return spark.createDataFrame(rows, "candidate int, model int, id string, family string, params string, delta double, complexity_rank int, within_rank int")
 
 
@@ -219,7 +235,9 @@ def diagnostics(folds: DataFrame, candidates: list[M.Candidate], s: Settings) ->
     degenerate: fewer than LEAST_ACTIVE active positions, or no ratio.
     """
     names = table_of(folds.sparkSession, checked(candidates, s))
-    long = folds.where("part != 'log'").select("symbol", "step", "fold", "model", "part", "session", "target", "carry", "mu").join(names.select("model", "candidate", "delta"), "model")
+    long = folds.where("part != 'log'").select(
+        "symbol", "step", "fold", "model", "part", "session", "target", "carry", "mu"
+    ).join(names.select("model", "candidate", "delta"), "model")
     long = long.withColumn("series", F.when(F.col("part") == "train", F.col("fold")).otherwise(-1))
     key = ["symbol", "step", "candidate", "series"]
     long = netted(positioned(long, key, s), key, s)
@@ -233,11 +251,16 @@ def diagnostics(folds: DataFrame, candidates: list[M.Candidate], s: Settings) ->
         sound = active >= LEAST_ACTIVE and score == score
         se = N.bootstrap_error(net, s.replicates, s.block, s.seed + int(key[1]) + 101) if sound else None
         turnover = float(np.abs(np.diff(w)).sum() / len(w) * C.TRADING_DAYS) if len(w) else 0.0
-        return pd.DataFrame([(*key, score if score == score else None, active, turnover, float(np.mean(inside)) if inside else None, se)], columns=[c.split()[0] for c in SCORE.split(", ")])
+        return pd.DataFrame(
+            [(*key, score if score == score else None, active, turnover, float(np.mean(inside)) if inside else None, se)],
+            columns=[c.split()[0] for c in SCORE.split(", ")]
+        )
 
     scored = long.select(*key, "session", "position", "net").groupBy("symbol", "step", "candidate").applyInPandas(run, SCORE)
     scored = scored.withColumns({c: C.no_nan(F.col(c)) for c in ("score", "in_sample_score", "standard_error")})
-    scored = scored.withColumn("train_minus_oos_score", F.col("in_sample_score") - F.col("score")).withColumn("degenerate", (F.col("active_positions") < LEAST_ACTIVE) | F.col("score").isNull())
+    scored = scored.withColumn("train_minus_oos_score", F.col("in_sample_score") - F.col("score")).withColumn(
+        "degenerate", (F.col("active_positions") < LEAST_ACTIVE) | F.col("score").isNull()
+    )
     return scored.join(names.drop("model"), "candidate")
 
 
@@ -251,20 +274,37 @@ def selection(scored: DataFrame) -> DataFrame:
     best = F.max(F.when(live, F.struct("score", (-F.col("candidate")).alias("first"), "standard_error", "id"))).over(of)
     d = scored.withColumn("best", best).withColumn("eligible", live & (F.col("score") >= F.col("best.score") - F.coalesce("best.standard_error", F.lit(0.0))))
     # without any live one, the first of all
-    order = of.orderBy(F.desc("eligible"), *(F.when(F.col("eligible"), F.col(c)) for c in ("complexity_rank", "within_rank")), F.when(F.col("eligible"), -F.col("delta")), "candidate")
+    order = of.orderBy(
+        F.desc("eligible"), *(F.when(F.col("eligible"), F.col(c)) for c in ("complexity_rank", "within_rank")),
+        F.when(F.col("eligible"), -F.col("delta")), "candidate"
+    )
     d = d.withColumns({"eligible": F.coalesce("eligible", F.lit(False))})
-    d = d.withColumns({"n_candidates": F.count(F.lit(1)).over(of), "n_eligible": F.sum(F.col("eligible").cast("int")).over(of), "n_degenerate": F.sum(F.col("degenerate").cast("int")).over(of), "__first": F.row_number().over(order)})
+    d = d.withColumns(
+        {
+            "n_candidates": F.count(F.lit(1)).over(of), "n_eligible": F.sum(F.col("eligible").cast("int")).over(of),
+            "n_degenerate": F.sum(F.col("degenerate").cast("int")).over(of), "__first": F.row_number().over(order)
+        }
+    )
     d = d.where("__first = 1")
     reason = F.when(F.col("n_eligible") > 0, "one-standard-error rule").otherwise("all candidates degenerate")
-    return d.select("symbol", "step", "candidate", F.col("id").alias("chosen_id"), F.col("score").alias("chosen_score"), (F.col("family") == "baseline").alias("baseline_selected"), "n_candidates", "n_eligible", "n_degenerate", F.col("best.id").alias("best_id"), F.col("best.score").alias("best_score"), F.col("best.standard_error").alias("se_best"), reason.alias("reason"))
+    return d.select(
+        "symbol", "step", "candidate", F.col("id").alias("chosen_id"), F.col("score").alias("chosen_score"),
+        (F.col("family") == "baseline").alias("baseline_selected"), "n_candidates", "n_eligible", "n_degenerate",
+        F.col("best.id").alias("best_id"), F.col("best.score").alias("best_score"),
+        F.col("best.standard_error").alias("se_best"), reason.alias("reason")
+    )
 
 
 RAW, CALIBRATED = ("raw_short", "raw_flat", "raw_long"), ("p_short", "p_flat", "p_long")
-OUT = "symbol string, step int, session date, candidate int, target double, carry double, label int, " + ", ".join(f"{c} double" for c in (*RAW, *CALIBRATED)) + ", mu double, calibration_skipped boolean, features array<string>"
+OUT = "symbol string, step int, session date, candidate int, target double, carry double, label int, " + ", ".join(
+    f"{c} double" for c in (*RAW, *CALIBRATED)
+) + ", mu double, calibration_skipped boolean, features array<string>"
 
 
 def predictions(rows: DataFrame, chosen: DataFrame, features: list[str], groups: list[str], candidates: list[M.Candidate], s: Settings) -> DataFrame:
-    """Out-of-sample rows of all steps: the step's candidate, refitted on the whole training slice; label by the slice's thresholds, raw and calibrated probabilities, expected return, position, net, the screened features."""
+    """Out-of-sample rows of all steps: the step's candidate, refitted on the whole training slice; label by the
+    slice's thresholds, raw and calibrated probabilities, expected return, position, net, the screened features.
+    """
     names = table_of(rows.sparkSession, checked(candidates, s)).select("candidate", F.col("id").alias("model"), "delta")
     steps = schedule(rows, s).join(chosen.select("symbol", F.col("step").alias("retune"), "candidate"), ["symbol", "retune"])
     ranges = steps.select("symbol", "step", "candidate", "train_lo", "train_hi", F.col("train_hi").alias("test_lo"), "test_hi")
@@ -276,7 +316,9 @@ def predictions(rows: DataFrame, chosen: DataFrame, features: list[str], groups:
         if not one.chosen:
             return pd.DataFrame(columns=columns)
         raw, p, mu = one.fit(c.family, dict(c.params)).predict(np.array(test["x"].tolist()))
-        out = test[["symbol", "step", "session", "candidate", "target", "carry"]].assign(label=one.label(test["z"].to_numpy()) - 1, mu=mu, calibration_skipped=one.curves is None)
+        out = test[["symbol", "step", "session", "candidate", "target", "carry"]].assign(
+            label=one.label(test["z"].to_numpy()) - 1, mu=mu, calibration_skipped=one.curves is None
+        )
         for k in range(N.CLASSES):
             out[RAW[k]], out[CALIBRATED[k]] = raw[:, k], p[:, k]
         return out.assign(features=[[features[i] for i in one.chosen]] * len(out))[columns]
@@ -292,9 +334,14 @@ def screens(rows: DataFrame, features: list[str], groups: list[str], s: Settings
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         one = Slice(pdf.sort_values("pos"), groups, s, s.seed)
-        return pd.DataFrame([(*key, r + 1, features[c], float(one.ic[c])) for r, c in enumerate(one.chosen)], columns=["symbol", "step", "rank", "feature", "ic"])
+        return pd.DataFrame(
+            [(*key, r + 1, features[c], float(one.ic[c])) for r, c in enumerate(one.chosen)],
+            columns=["symbol", "step", "rank", "feature", "ic"]
+        )
 
-    return spread(sliced(rows, ranges), "symbol", "step").groupBy("symbol", "step").applyInPandas(run, "symbol string, step int, rank int, feature string, ic double")
+    return spread(sliced(rows, ranges), "symbol", "step").groupBy("symbol", "step").applyInPandas(
+        run, "symbol string, step int, rank int, feature string, ic double"
+    )
 
 
 def stability(kept: DataFrame) -> DataFrame:
@@ -329,7 +376,9 @@ def run(rows: DataFrame, features: list[str], groups: list[str], candidates: lis
 
 
 def configured(config: dict, registry) -> tuple[list[str], list[M.Candidate], Settings]:
-    """Features, candidates and settings of a configuration: settings (fields of Settings), models (grids), only, deltas, exclude_groups, mode (`smoke`: three steps, the last two retuned together)."""
+    """Features, candidates and settings of a configuration: settings (fields of Settings), models (grids), only,
+    deltas, exclude_groups, mode (`smoke`: three steps, the last two retuned together).
+    """
     known = registry.without(config.get("exclude_groups") or [])
     values = {k: tuple(v) if isinstance(v, list) else v for k, v in (config.get("settings") or {}).items()}
     if config.get("mode") == "smoke":

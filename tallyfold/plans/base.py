@@ -108,11 +108,15 @@ STYLES = {"qqq_close": "AUTOMOBILE", "iwm_close": "BUILDING", "dia_close": "FURN
 
 
 def snapshot(spark: SparkSession, sf_dir: str, market: bool = False) -> DataFrame:
-    """The panel's bars (or those of the market as a whole) with macro series and three style closes, carried over gaps of up to five sessions; half-days by rule."""
+    """The panel's bars (or those of the market as a whole) with macro series and three style closes, carried over gaps
+    of up to five sessions; half-days by rule.
+    """
     panel = segment_bars(spark, sf_dir)
     styles = panel.groupBy("session").agg(*(F.max(F.when(F.col("symbol") == s, F.col("close"))).alias(c) for c, s in STYLES.items()))
     joined = align.left_align(align.left_align(market_bars(spark, sf_dir) if market else panel, macro(spark, sf_dir), ["session"]), styles, ["session"])
-    joined = joined.withColumn("is_half_day", (F.dayofmonth("session") == 3).cast("int")).withColumn("session_minutes", F.when(F.col("is_half_day") == 1, 210).otherwise(390))
+    joined = joined.withColumn("is_half_day", (F.dayofmonth("session") == 3).cast("int")).withColumn(
+        "session_minutes", F.when(F.col("is_half_day") == 1, 210).otherwise(390)
+    )
     return align.forward_fill(joined, [*MACRO_COLUMNS, *STYLES])
 
 

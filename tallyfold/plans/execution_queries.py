@@ -27,8 +27,12 @@ def frame(spark, sf, market: bool = False):
     d = snapshot(spark, sf, market)
     ret = C.div(F.col("close"), C.lag("close"))
     return d.select(
-        "symbol", "session", "open", "close", "vix", "session_minutes", ((C.div(F.col("close"), F.col("open")) - 1) / 100).alias("o2c"), ((ret - 1) / 100).alias("c2c"),
-        F.log(C.div(F.col("close"), F.col("open"))).alias("r_o2c"), F.log(ret).alias("r_c2c"), E.cash_accrual().alias("rf"), E.intraday_financing().alias("financing"),
+        "symbol", "session", "open", "close", "vix", "session_minutes", (
+            (C.div(F.col("close"), F.col("open")) - 1) / 100
+        ).alias("o2c"), ((ret - 1) / 100).alias("c2c"),
+        F.log(
+            C.div(F.col("close"), F.col("open"))
+        ).alias("r_o2c"), F.log(ret).alias("r_c2c"), E.cash_accrual().alias("rf"), E.intraday_financing().alias("financing"),
     )
 
 
@@ -45,7 +49,11 @@ decide AS (
 def decide(spark, sf):
     d = frame(spark, sf)
     mu = 0.2 * F.coalesce(C.lag("o2c"), F.lit(0.0)) - 0.1 * F.coalesce(C.lag("c2c", 2), F.lit(0.0))
-    d = d.select("*", mu.alias("mu"), C.lag("o2c", -1).alias("next_o2c"), C.lag("c2c", -1).alias("next_c2c"), C.lag("financing", -1).alias("next_financing"), F.coalesce(C.lag("rf", -1), F.lit(0.0)).alias("next_rf"), E.days_ahead().cast("double").alias("days"))
+    d = d.select(
+        "*", mu.alias("mu"), C.lag("o2c", -1).alias("next_o2c"), C.lag("c2c", -1).alias("next_c2c"),
+        C.lag("financing", -1).alias("next_financing"), F.coalesce(C.lag("rf", -1), F.lit(0.0)).alias("next_rf"),
+        E.days_ahead().cast("double").alias("days")
+    )
     d = d.where("next_o2c IS NOT NULL").withColumn("band", E.no_trade_band(COST, F.col("next_financing")))
     return d.withColumn("position", E.threshold_positions(F.col("mu"), F.col("band")))
 
@@ -65,7 +73,10 @@ def no_trade_band_positions(spark, sf):
     return rounded(decide(spark, sf).select("symbol", "session", "mu", "band", "position"), 9)
 
 
-@query("o2c_net", f"WITH {DECIDE} SELECT symbol, session, round(position * next_o2c - 2 * {COST} / 1e4 * abs(position) - next_financing * abs(position), 9) + 0.0 AS net FROM decide")
+@query(
+    "o2c_net",
+    f"WITH {DECIDE} SELECT symbol, session, round(position * next_o2c - 2 * {COST} / 1e4 * abs(position) - next_financing * abs(position), 9) + 0.0 AS net FROM decide"
+)
 def o2c_net(spark, sf):
     d = decide(spark, sf)
     return rounded(d.select("symbol", "session", E.open_close_net(F.col("position"), F.col("next_o2c"), F.col("next_financing"), COST).alias("net")), 9)
@@ -109,7 +120,10 @@ def probs(spark, sf):
     return d.withColumns({"p_short": F.col("es") / total, "p_flat": 1 / total, "p_long": F.col("el") / total})
 
 
-@query("rule_argmax", f"WITH {_PROBS} SELECT symbol, session, CAST(CASE WHEN p_short >= p_flat AND p_short >= p_long THEN -1 WHEN p_flat >= p_long THEN 0 ELSE 1 END AS DOUBLE) AS position FROM probs")
+@query(
+    "rule_argmax",
+    f"WITH {_PROBS} SELECT symbol, session, CAST(CASE WHEN p_short >= p_flat AND p_short >= p_long THEN -1 WHEN p_flat >= p_long THEN 0 ELSE 1 END AS DOUBLE) AS position FROM probs"
+)
 def rule_argmax(spark, sf):
     return rounded(probs(spark, sf).select("symbol", "session", E.argmax_positions(F.col("p_short"), F.col("p_flat"), F.col("p_long")).alias("position")))
 
@@ -142,7 +156,10 @@ def rule_vol_target(spark, sf):
 _DELTAS = "(VALUES (0.0::DOUBLE), (0.25), (0.5), (1.0))"
 
 
-@query("rule_delta_margin", f"WITH {DECIDE} SELECT symbol, delta, count(*) AS n, CAST(sum(CASE WHEN mu > (1 + delta) * band OR mu < -(1 + delta) * band THEN 1 ELSE 0 END) AS BIGINT) AS n_active FROM decide, {_DELTAS} AS t(delta) GROUP BY 1, 2")
+@query(
+    "rule_delta_margin",
+    f"WITH {DECIDE} SELECT symbol, delta, count(*) AS n, CAST(sum(CASE WHEN mu > (1 + delta) * band OR mu < -(1 + delta) * band THEN 1 ELSE 0 END) AS BIGINT) AS n_active FROM decide, {_DELTAS} AS t(delta) GROUP BY 1, 2"
+)
 def rule_delta_margin(spark, sf):
     deltas = F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 1.0))))
     d = decide(spark, sf).select("symbol", "mu", "next_financing", deltas.alias("delta"))
@@ -164,7 +181,9 @@ def rule_reoptimised_cost(spark, sf):
     d = decide(spark, sf).select("symbol", "mu", "next_o2c", "next_financing", F.explode(F.array(*map(F.lit, COSTS))).alias("cost_bps"))
     d = d.withColumn("w", E.threshold_positions(F.col("mu"), E.no_trade_band(F.col("cost_bps"), F.col("next_financing"))))
     d = d.withColumn("net", E.open_close_net(F.col("w"), F.col("next_o2c"), F.col("next_financing"), F.col("cost_bps")))
-    return rounded(d.groupBy("symbol", "cost_bps").agg(F.count(F.lit(1)).alias("n"), (F.avg("net") * 252).alias("ann_mean"), F.avg(F.abs("w")).alias("participation")))
+    return rounded(
+        d.groupBy("symbol", "cost_bps").agg(F.count(F.lit(1)).alias("n"), (F.avg("net") * 252).alias("ann_mean"), F.avg(F.abs("w")).alias("participation"))
+    )
 
 
 @query(
@@ -176,7 +195,14 @@ SELECT symbol, session, position, round(position * next_o2c, 9) + 0.0 AS gross,
 def trade_ledger(spark, sf):
     w, f = F.col("position"), F.col("next_financing")
     d = decide(spark, sf).where("position != 0")
-    return rounded(d.select("symbol", "session", "position", (w * F.col("next_o2c")).alias("gross"), (2 * COST / 1e4 * F.abs(w)).alias("execution_cost"), (f * F.abs(w)).alias("financing_cost"), E.open_close_net(w, F.col("next_o2c"), f, COST).alias("net")), 9)
+    return rounded(
+        d.select(
+            "symbol", "session", "position", (w * F.col("next_o2c")).alias("gross"),
+            (2 * COST / 1e4 * F.abs(w)).alias("execution_cost"), (f * F.abs(w)).alias("financing_cost"),
+            E.open_close_net(w, F.col("next_o2c"), f, COST).alias("net")
+        ),
+        9
+    )
 
 
 # benchmark rows, one for each session and benchmark
@@ -211,10 +237,16 @@ a AS (SELECT symbol, benchmark, count(*) AS sessions, round(count(*) / 252.0, 2)
   min(drawdown) AS max_drawdown, arg_max(equity, session) AS terminal_wealth, avg(CASE WHEN weight <> 0 THEN 1.0 ELSE 0.0 END) AS participation_rate, avg(weight) AS avg_net_exposure, avg(abs(weight)) AS avg_gross_exposure,
   avg(coalesce(turn, 0)) * 252 AS turnover_per_year, avg(CASE WHEN sign(weight) = sign(o2c) THEN 1.0 ELSE 0.0 END) FILTER (weight <> 0) AS hit_rate_active FROM dd GROUP BY 1, 2),
 perf AS (SELECT *, CASE WHEN terminal_wealth > 0 THEN pow(terminal_wealth, 252.0 / sessions) - 1 END AS cagr_total FROM a)"""
-METRICS = ("ann_mean_excess", "ann_mean_total", "ann_vol_excess", "sharpe_excess", "sortino_excess", "max_drawdown", "participation_rate", "avg_net_exposure", "avg_gross_exposure", "turnover_per_year", "hit_rate_active", "cagr_total")
+METRICS = (
+    "ann_mean_excess", "ann_mean_total", "ann_vol_excess", "sharpe_excess", "sortino_excess", "max_drawdown",
+    "participation_rate", "avg_net_exposure", "avg_gross_exposure", "turnover_per_year", "hit_rate_active", "cagr_total"
+)
 
 
-@query("performance_metrics", f"WITH {BENCH}, {NET}, {PERF} SELECT symbol, benchmark, sessions, CAST(years AS DOUBLE) AS years, {rnd(*METRICS, digits=6)}, round(terminal_wealth, 3) + 0.0 AS terminal_wealth, round(CASE WHEN max_drawdown < 0 THEN cagr_total / abs(max_drawdown) END, 6) + 0.0 AS calmar FROM perf")
+@query(
+    "performance_metrics",
+    f"WITH {BENCH}, {NET}, {PERF} SELECT symbol, benchmark, sessions, CAST(years AS DOUBLE) AS years, {rnd(*METRICS, digits=6)}, round(terminal_wealth, 3) + 0.0 AS terminal_wealth, round(CASE WHEN max_drawdown < 0 THEN cagr_total / abs(max_drawdown) END, 6) + 0.0 AS calmar FROM perf"
+)
 def performance_metrics(spark, sf):
     return rounded(P.performance(bench_net(spark, sf), ["symbol", "benchmark"], gross="o2c").withColumn("terminal_wealth", F.round("terminal_wealth", 3)), 6)
 
@@ -226,7 +258,13 @@ def performance_metrics(spark, sf):
 def benchmark_net_performance(spark, sf):
     """The flagship: cost-adjusted performance of prior-day direction against always-long."""
     d = bench_net(spark, sf).where(F.col("benchmark").isin("always_long", "prior_open_close"))
-    return rounded(P.performance(d, ["symbol", "benchmark"]).select("symbol", "benchmark", "sessions", "ann_mean_excess", "sharpe_excess", "max_drawdown", "participation_rate", F.round("terminal_wealth", 3).alias("terminal_wealth")), 6)
+    return rounded(
+        P.performance(d, ["symbol", "benchmark"]).select(
+            "symbol", "benchmark", "sessions", "ann_mean_excess", "sharpe_excess", "max_drawdown", "participation_rate",
+            F.round("terminal_wealth", 3).alias("terminal_wealth")
+        ),
+        6
+    )
 
 
 @query(
@@ -243,22 +281,40 @@ SELECT part, spec, CASE WHEN spec = 'close_to_close' AND benchmark = 'always_lon
 def benchmark_grid(spark, sf):
     d = frame(spark, sf)
     keep = ["symbol", "session", "o2c", "c2c", "rf", "financing"]
-    parts = F.inline(F.array(F.struct(F.lit("full").alias("part"), F.lit("1900-01-01").cast("date").alias("lo")), F.struct(F.lit("late").alias("part"), F.lit("1997-01-01").cast("date").alias("lo"))))
+    parts = F.inline(
+        F.array(
+            F.struct(F.lit("full").alias("part"), F.lit("1900-01-01").cast("date").alias("lo")),
+            F.struct(F.lit("late").alias("part"), F.lit("1997-01-01").cast("date").alias("lo"))
+        )
+    )
     costs = F.explode(F.array(*map(F.lit, COSTS))).alias("cost_bps")
     o = P.long_weights(d, P.open_close_weights(), keep).select("*", parts).where("session >= lo").select("*", costs)
-    o = o.withColumn("excess", E.open_close_net(F.col("weight"), F.col("o2c"), F.col("financing"), F.col("cost_bps"))).withColumn("spec", F.lit("open_to_close"))
+    o = o.withColumn(
+        "excess", E.open_close_net(F.col("weight"), F.col("o2c"), F.col("financing"), F.col("cost_bps"))
+    ).withColumn("spec", F.lit("open_to_close"))
     k = P.long_weights(d, P.close_close_weights(), keep).select("*", parts).where("session >= lo").select("*", costs).na.fill(0.0, ["c2c"])
-    k = E.close_close_same_row(k, "weight", "c2c", "rf", F.col("cost_bps"), name="excess", by=("part", "cost_bps", "benchmark", "symbol")).withColumn("spec", F.lit("close_to_close"))
+    k = E.close_close_same_row(
+        k, "weight", "c2c", "rf", F.col("cost_bps"), name="excess", by=("part", "cost_bps", "benchmark", "symbol")
+    ).withColumn("spec", F.lit("close_to_close"))
     names = ["part", "spec", "benchmark", "symbol", "cost_bps"]
     u = o.select(*names, "excess").unionByName(k.select(*names, "excess"))
     sd = F.stddev_samp("excess")
-    out = u.groupBy(*names).agg(F.count(F.lit(1)).alias("sessions"), F.round(F.avg("excess") * 252, 8).alias("ann_mean"), F.round(F.when(sd > 1e-15, F.avg("excess") / F.when(sd > 1e-15, sd) * F.sqrt(F.lit(252.0))), 6).alias("sharpe"))
+    out = u.groupBy(*names).agg(
+        F.count(F.lit(1)).alias("sessions"), F.round(F.avg("excess") * 252, 8).alias("ann_mean"),
+        F.round(F.when(sd > 1e-15, F.avg("excess") / F.when(sd > 1e-15, sd) * F.sqrt(F.lit(252.0))), 6).alias("sharpe")
+    )
     return rounded(out)
 
 
-@query("breakeven", f"WITH {BENCH} SELECT symbol, benchmark, round((avg(weight * o2c) - avg(financing * abs(weight))) / nullif(2 * avg(abs(weight)), 0) * 1e4, 6) + 0.0 AS breakeven_bps FROM bench GROUP BY 1, 2")
+@query(
+    "breakeven",
+    f"WITH {BENCH} SELECT symbol, benchmark, round((avg(weight * o2c) - avg(financing * abs(weight))) / nullif(2 * avg(abs(weight)), 0) * 1e4, 6) + 0.0 AS breakeven_bps FROM bench GROUP BY 1, 2"
+)
 def breakeven(spark, sf):
-    return rounded(bench(spark, sf).groupBy("symbol", "benchmark").agg(P.breakeven_bps(F.col("weight"), F.col("o2c"), F.col("financing")).alias("breakeven_bps")), 6)
+    return rounded(
+        bench(spark, sf).groupBy("symbol", "benchmark").agg(P.breakeven_bps(F.col("weight"), F.col("o2c"), F.col("financing")).alias("breakeven_bps")),
+        6
+    )
 
 
 @query(
@@ -279,19 +335,29 @@ SELECT symbol, dimension, bucket, count(*) AS sessions, round(avg(CASE WHEN posi
   round(CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) * sqrt(252) END, 6) + 0.0 AS sharpe FROM l WHERE bucket IS NOT NULL GROUP BY 1, 2, 3""",
 )
 def regime_performance(spark, sf):
-    d = decide(spark, sf).withColumn("net", E.open_close_net(F.col("position"), F.col("next_o2c"), F.col("next_financing"), COST)).withColumn("tercile", P.tercile("vix", ["symbol"]))
+    d = decide(spark, sf).withColumn(
+        "net", E.open_close_net(F.col("position"), F.col("next_o2c"), F.col("next_financing"), COST)
+    ).withColumn("tercile", P.tercile("vix", ["symbol"]))
     out = P.regime_table(d, ["symbol"], {"year": F.year("session"), "vix_tercile": F.col("tercile")}, weight="position")
     return rounded(out.withColumn("sharpe", F.round("sharpe", 6)))
 
 
-@query("cost_sensitivity", f"WITH {DECIDE}, n AS (SELECT symbol, cost, position * next_o2c - 2 * cost / 1e4 * abs(position) - next_financing * abs(position) AS net FROM decide, {_COSTS} AS t(cost)) SELECT symbol, cost AS cost_bps, round(avg(net) * 252, 8) + 0.0 AS ann_mean, round(CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) * sqrt(252) END, 6) + 0.0 AS sharpe FROM n GROUP BY 1, 2")
+@query(
+    "cost_sensitivity",
+    f"WITH {DECIDE}, n AS (SELECT symbol, cost, position * next_o2c - 2 * cost / 1e4 * abs(position) - next_financing * abs(position) AS net FROM decide, {_COSTS} AS t(cost)) SELECT symbol, cost AS cost_bps, round(avg(net) * 252, 8) + 0.0 AS ann_mean, round(CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) * sqrt(252) END, 6) + 0.0 AS sharpe FROM n GROUP BY 1, 2"
+)
 def cost_sensitivity(spark, sf):
     d = decide(spark, sf).select("symbol", "position", "next_o2c", "next_financing", F.explode(F.array(*map(F.lit, COSTS))).alias("cost_bps"))
     net = E.open_close_net(F.col("position"), F.col("next_o2c"), F.col("next_financing"), F.col("cost_bps"))
-    return rounded(d.withColumn("net", net).groupBy("symbol", "cost_bps").agg((F.avg("net") * 252).alias("ann_mean"), F.round(C.sharpe(F.col("net")), 6).alias("sharpe")))
+    return rounded(
+        d.withColumn("net", net).groupBy("symbol", "cost_bps").agg((F.avg("net") * 252).alias("ann_mean"), F.round(C.sharpe(F.col("net")), 6).alias("sharpe"))
+    )
 
 
-@query("vol_matched", f"WITH {FRAME} SELECT symbol, session, round(CASE WHEN stddev_samp(c2c) OVER (PARTITION BY symbol) > 0 THEN c2c * stddev_samp(o2c) OVER (PARTITION BY symbol) / stddev_samp(c2c) OVER (PARTITION BY symbol) ELSE c2c END, 9) + 0.0 AS matched FROM frame")
+@query(
+    "vol_matched",
+    f"WITH {FRAME} SELECT symbol, session, round(CASE WHEN stddev_samp(c2c) OVER (PARTITION BY symbol) > 0 THEN c2c * stddev_samp(o2c) OVER (PARTITION BY symbol) / stddev_samp(c2c) OVER (PARTITION BY symbol) ELSE c2c END, 9) + 0.0 AS matched FROM frame"
+)
 def vol_matched(spark, sf):
     d = frame(spark, sf)
     return rounded(d.select("symbol", "session", P.vol_matched(d, "c2c", "o2c", ["symbol"]).alias("matched")), 9)
@@ -306,10 +372,18 @@ def paired_scores(spark, sf):
     d = bench_net(spark, sf)
     base = d.where("benchmark = 'always_long'").select("symbol", "session", F.col("excess").alias("base"))
     other = d.where("benchmark != 'always_long'").select("symbol", "session", "benchmark", "excess", "weight")
-    return rounded(other.join(base, ["symbol", "session"]).groupBy("symbol", "benchmark").agg(F.count(F.lit(1)).alias("n_shared"), (F.avg(F.col("excess") - F.col("base")) * 252).alias("ann_difference"), F.countDistinct("weight").alias("n_weights")))
+    return rounded(
+        other.join(base, ["symbol", "session"]).groupBy("symbol", "benchmark").agg(
+            F.count(F.lit(1)).alias("n_shared"), (F.avg(F.col("excess") - F.col("base")) * 252).alias("ann_difference"),
+            F.countDistinct("weight").alias("n_weights")
+        )
+    )
 
 
-@query("argmax_benchmark", f"WITH {BENCH}, {NET}, a AS (SELECT symbol, benchmark, avg(excess) AS m FROM net GROUP BY 1, 2) SELECT symbol, benchmark, round(m, 10) + 0.0 AS mean_excess FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(m, 12) DESC, benchmark) AS rn FROM a) WHERE rn = 1")
+@query(
+    "argmax_benchmark",
+    f"WITH {BENCH}, {NET}, a AS (SELECT symbol, benchmark, avg(excess) AS m FROM net GROUP BY 1, 2) SELECT symbol, benchmark, round(m, 10) + 0.0 AS mean_excess FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(m, 12) DESC, benchmark) AS rn FROM a) WHERE rn = 1"
+)
 def argmax_benchmark(spark, sf):
     a = bench_net(spark, sf).groupBy("symbol", "benchmark").agg(F.avg("excess").alias("m"))
     w = Window.partitionBy("symbol").orderBy(F.desc(F.round("m", 12)), "benchmark")

@@ -45,9 +45,14 @@ EXPR: dict[str, dict[str, str]] = {
     "volatility": {f"Volatility_{w}": full("stddev_samp({})", "_ret", w) for w in X.VOL_WINDOWS},
     "bollinger": {
         "BB_width": ratio(f"4 * ({full('stddev_samp({})', 'close', 20)})", full("avg({})", "close", 20)),
-        "BB_percent_b": ratio(f"close - (({full('avg({})', 'close', 20)}) - 2 * ({full('stddev_samp({})', 'close', 20)}))", f"4 * ({full('stddev_samp({})', 'close', 20)})"),
+        "BB_percent_b": ratio(
+            f"close - (({full('avg({})', 'close', 20)}) - 2 * ({full('stddev_samp({})', 'close', 20)}))",
+            f"4 * ({full('stddev_samp({})', 'close', 20)})"
+        ),
     },
-    "macro_change": {"VIX": "vix"} | {f"{s.upper()}_ret_{k}": log_ret(s, k) for s in ("vix", "dxy", "oil") for k in X.MACRO_LAGS} | {f"TNX_change_{k}": f"tnx - lag(tnx, {k}) OVER ({W})" for k in X.MACRO_LAGS},
+    "macro_change": {"VIX": "vix"} | {
+        f"{s.upper()}_ret_{k}": log_ret(s, k) for s in ("vix", "dxy", "oil") for k in X.MACRO_LAGS
+    } | {f"TNX_change_{k}": f"tnx - lag(tnx, {k}) OVER ({W})" for k in X.MACRO_LAGS},
     "macro_zscore": {f"{s.upper()}_z_{w}": z(s, w) for s in ("vix", "dxy", "tnx", "oil") for w in X.Z_WINDOWS},
     "yield_curve": {"YC_2Y10Y_change_1": f"_spread - lag(_spread) OVER ({W})"} | {f"YC_2Y10Y_z_{w}": z("_spread", w) for w in X.Z_WINDOWS},
     "intraday": {
@@ -120,9 +125,15 @@ def features_momentum(spark, sf):
     return out.select("symbol", "session", (F.round("RSI_14", 6) + 0.0).alias("RSI_14"), (F.round("MACD_hist", 4) + 0.0).alias("MACD_hist"))
 
 
-@query("ewm_rsi", f"{_EWM} SELECT symbol, session, round(CASE WHEN rn >= 15 THEN g END, 5) + 0.0 AS avg_gain, round(CASE WHEN rn >= 15 THEN l END, 5) + 0.0 AS avg_loss FROM e")
+@query(
+    "ewm_rsi",
+    f"{_EWM} SELECT symbol, session, round(CASE WHEN rn >= 15 THEN g END, 5) + 0.0 AS avg_gain, round(CASE WHEN rn >= 15 THEN l END, 5) + 0.0 AS avg_loss FROM e"
+)
 def ewm_rsi(spark, sf):
-    d = snapshot(spark, sf).select("symbol", "session", (F.col("close") - C.lag("close")).alias("delta")).select("symbol", "session", C.clip(F.col("delta"), lo=0.0).alias("gain"), (-C.clip(F.col("delta"), hi=0.0)).alias("loss"))
+    d = snapshot(spark, sf).select("symbol", "session", (F.col("close") - C.lag("close")).alias("delta")).select(
+        "symbol", "session", C.clip(F.col("delta"), lo=0.0).alias("gain"),
+        (-C.clip(F.col("delta"), hi=0.0)).alias("loss")
+    )
     return rounded(smooth(d, {"avg_gain": ("gain", 1 / 14, 14), "avg_loss": ("loss", 1 / 14, 14)}).select("symbol", "session", "avg_gain", "avg_loss"), 5)
 
 
@@ -130,7 +141,10 @@ _NAMES = [n for g in EXPR for n in EXPR[g]]
 _ALL = {n: e for g in EXPR for n, e in EXPR[g].items()}
 
 
-@query("feature_complete_case", f"WITH {features_sql(_ALL)} SELECT symbol, count(*) AS n_complete, min(session) AS first_session, max(session) AS last_session FROM feats WHERE {' AND '.join(f'{n} IS NOT NULL' for n in _NAMES)} GROUP BY 1")
+@query(
+    "feature_complete_case",
+    f"WITH {features_sql(_ALL)} SELECT symbol, count(*) AS n_complete, min(session) AS first_session, max(session) AS last_session FROM feats WHERE {' AND '.join(f'{n} IS NOT NULL' for n in _NAMES)} GROUP BY 1"
+)
 def feature_complete_case(spark, sf):
     registry = X.REGISTRY.without(["momentum"])
     done = X.complete_cases(X.build(snapshot(spark, sf), registry), registry.names())
@@ -159,7 +173,10 @@ def feature_registry(spark, sf):
     return X.as_table(spark).select("position", "name", "feature_group", "scale_free", F.when(family, F.col("formula")).otherwise("").alias("family_formula"))
 
 
-@query("feature_group_counts", "SELECT * FROM (VALUES " + ", ".join(f"('{g}', {len(X.REGISTRY.names(g))})" for g in X.REGISTRY.groups) + ") AS t(feature_group, n_features)")
+@query(
+    "feature_group_counts",
+    "SELECT * FROM (VALUES " + ", ".join(f"('{g}', {len(X.REGISTRY.names(g))})" for g in X.REGISTRY.groups) + ") AS t(feature_group, n_features)"
+)
 def feature_group_counts(spark, sf):
     return X.as_table(spark).groupBy("feature_group").agg(F.count(F.lit(1)).cast("int").alias("n_features"))
 
@@ -173,9 +190,17 @@ def ablation_group_exclusion(spark, sf):
     return X.complete_cases(X.build(snapshot(spark, sf), r), r.names()).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_complete"))
 
 
-@query("rolling_quantile_regime", f"WITH {SNAPSHOT} SELECT symbol, session, round({full('quantile_cont({}, 0.75)', 'vix', 252, 60)}, 8) + 0.0 AS q75, round({full('quantile_cont({}, 0.25)', 'vix', 252, 60)}, 8) + 0.0 AS q25 FROM snap")
+@query(
+    "rolling_quantile_regime",
+    f"WITH {SNAPSHOT} SELECT symbol, session, round({full('quantile_cont({}, 0.75)', 'vix', 252, 60)}, 8) + 0.0 AS q75, round({full('quantile_cont({}, 0.25)', 'vix', 252, 60)}, 8) + 0.0 AS q25 FROM snap"
+)
 def rolling_quantile_regime(spark, sf):
-    return rounded(snapshot(spark, sf).select("symbol", "session", C.rolling_quantile("vix", 0.75, 252, 60).alias("q75"), C.rolling_quantile("vix", 0.25, 252, 60).alias("q25")))
+    return rounded(
+        snapshot(spark, sf).select(
+            "symbol", "session", C.rolling_quantile("vix", 0.75, 252, 60).alias("q75"),
+            C.rolling_quantile("vix", 0.25, 252, 60).alias("q25")
+        )
+    )
 
 
 _RET = f"{BARS}, r AS (SELECT *, close / lag(close) OVER ({W}) - 1 AS ret FROM bars)"
@@ -185,7 +210,10 @@ def returns(spark, sf):
     return market_bars(spark, sf).withColumn("ret", C.div(F.col("close"), C.lag("close")) - 1)
 
 
-@query("expanding_quantile", f"WITH {_RET}, a AS (SELECT symbol, session, abs(lag(ret) OVER ({W})) AS x FROM r) SELECT symbol, session, round(CASE WHEN count(x) OVER ({W} ROWS UNBOUNDED PRECEDING) >= 60 THEN quantile_cont(x, 0.7) OVER ({W} ROWS UNBOUNDED PRECEDING) END, 8) + 0.0 AS threshold FROM a")
+@query(
+    "expanding_quantile",
+    f"WITH {_RET}, a AS (SELECT symbol, session, abs(lag(ret) OVER ({W})) AS x FROM r) SELECT symbol, session, round(CASE WHEN count(x) OVER ({W} ROWS UNBOUNDED PRECEDING) >= 60 THEN quantile_cont(x, 0.7) OVER ({W} ROWS UNBOUNDED PRECEDING) END, 8) + 0.0 AS threshold FROM a"
+)
 def expanding_quantile(spark, sf):
     a = returns(spark, sf).select("symbol", "session", F.abs(C.lag("ret")).alias("x"))
     return rounded(a.select("symbol", "session", C.expanding_quantile(F.col("x"), 0.7, 60).alias("threshold")))
@@ -203,7 +231,10 @@ def drawdown_curve(spark, sf):
     return rounded(e.withColumn("drawdown", F.col("equity") / F.max("equity").over(w) - 1), 6)
 
 
-@query("turnover", f"WITH {_RET}, s AS (SELECT symbol, session, CAST(coalesce(sign(ret), 0) AS DOUBLE) AS weight FROM r) SELECT symbol, session, weight, abs(weight - coalesce(lag(weight) OVER ({W}), 0)) AS turnover FROM s")
+@query(
+    "turnover",
+    f"WITH {_RET}, s AS (SELECT symbol, session, CAST(coalesce(sign(ret), 0) AS DOUBLE) AS weight FROM r) SELECT symbol, session, weight, abs(weight - coalesce(lag(weight) OVER ({W}), 0)) AS turnover FROM s"
+)
 def turnover(spark, sf):
     s = returns(spark, sf).select("symbol", "session", F.coalesce(F.signum("ret"), F.lit(0.0)).alias("weight"))
     return rounded(s.withColumn("turnover", F.abs(F.col("weight") - F.coalesce(C.lag("weight"), F.lit(0.0)))))
@@ -214,7 +245,10 @@ def rolling_sum_momentum(spark, sf):
     return rounded(returns(spark, sf).select("symbol", "session", C.rolling(F.sum, "ret", 5).alias("sum_5")))
 
 
-@query("placebo_shift", f"WITH {_RET} SELECT symbol, session, round(lag(ret, 5) OVER ({W}), 8) + 0.0 AS late, round(lead(ret, 5) OVER ({W}), 8) + 0.0 AS early FROM r")
+@query(
+    "placebo_shift",
+    f"WITH {_RET} SELECT symbol, session, round(lag(ret, 5) OVER ({W}), 8) + 0.0 AS late, round(lead(ret, 5) OVER ({W}), 8) + 0.0 AS early FROM r"
+)
 def placebo_shift(spark, sf):
     r = returns(spark, sf).select("symbol", "session", F.col("ret").alias("late"), F.col("ret").alias("early"))
     return rounded(X.shift_block(X.shift_block(r, ["late"], 5), ["early"], -5))

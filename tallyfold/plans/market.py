@@ -66,7 +66,14 @@ def bucket_audit_counts(spark, sf):
     b = align.asof_bucket(table(spark, sf, "events").select("event_id", "ts"), grid(spark), "ts")
     rolled = F.col("session") > F.to_date("ts")
     before = F.date_format(F.from_utc_timestamp("ts", calendar.ZONE), "HH:mm") < "09:30"
-    return rounded(b.agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("session").isNull()).alias("n_after_last"), F.count_if(rolled).alias("n_rolled"), F.count_if(F.col("session") == F.to_date("ts")).alias("n_same_day"), F.count_if(before).alias("n_before_open"), F.avg(F.coalesce(rolled, F.lit(False)).cast("double")).alias("rolled_share")))
+    return rounded(
+        b.agg(
+            F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("session").isNull()).alias("n_after_last"),
+            F.count_if(rolled).alias("n_rolled"), F.count_if(F.col("session") == F.to_date("ts")).alias("n_same_day"),
+            F.count_if(before).alias("n_before_open"),
+            F.avg(F.coalesce(rolled, F.lit(False)).cast("double")).alias("rolled_share")
+        )
+    )
 
 
 @query(
@@ -78,13 +85,22 @@ def session_event_totals(spark, sf):
     g = grid(spark)
     b = align.asof_bucket(table(spark, sf, "events").select("event_id", "ts", "value"), g, "ts").where(F.col("session").isNotNull())
     totals = b.groupBy("session").agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total"))
-    return rounded(g.select("session").join(totals, "session", "left").select("session", F.coalesce("n_events", F.lit(0)).alias("n_events"), F.coalesce("total", F.lit(0.0)).alias("total")), 4)
+    return rounded(
+        g.select("session").join(totals, "session", "left").select(
+            "session", F.coalesce("n_events", F.lit(0)).alias("n_events"),
+            F.coalesce("total", F.lit(0.0)).alias("total")
+        ),
+        4
+    )
 
 
 _WEEKDAYS = f"WITH {BARS}, w AS (SELECT DISTINCT session AS s FROM bars WHERE isodow(session) < 6)"
 
 
-@query("date_rollforward", f"{_WEEKDAYS} SELECT o_orderkey, CAST(o_orderdate AS DATE) AS order_date, w.s AS session FROM orders ASOF LEFT JOIN w ON CAST(o_orderdate AS DATE) <= w.s")
+@query(
+    "date_rollforward",
+    f"{_WEEKDAYS} SELECT o_orderkey, CAST(o_orderdate AS DATE) AS order_date, w.s AS session FROM orders ASOF LEFT JOIN w ON CAST(o_orderdate AS DATE) <= w.s"
+)
 def date_rollforward(spark, sf):
     days = market_bars(spark, sf).where(F.weekday("session") < 5).select("session").distinct()
     orders = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("order_date"))
@@ -100,7 +116,10 @@ SELECT symbol, min(session) AS first_session, count(*) AS n_rows, count(*) FILTE
 def trim_leading_incomplete(spark, sf):
     rows = snapshot(spark, sf).select("symbol", "session", "vix", C.lag("close", 20).alias("lagged"))
     kept = align.trim_leading(rows, ["vix", "lagged"])
-    return kept.groupBy("symbol").agg(F.min("session").alias("first_session"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("vix").isNull() | F.col("lagged").isNull()).alias("n_gaps"))
+    return kept.groupBy("symbol").agg(
+        F.min("session").alias("first_session"), F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("vix").isNull() | F.col("lagged").isNull()).alias("n_gaps")
+    )
 
 
 @query(
@@ -110,10 +129,16 @@ def trim_leading_incomplete(spark, sf):
 )
 def session_gap_days(spark, sf):
     w = C.series()
-    return market_bars(spark, sf).select("symbol", "session", F.datediff("session", F.lag("session").over(w)).alias("days_back"), F.coalesce(F.datediff(F.lead("session").over(w), "session"), F.lit(1)).alias("days_ahead"))
+    return market_bars(spark, sf).select(
+        "symbol", "session", F.datediff("session", F.lag("session").over(w)).alias("days_back"),
+        F.coalesce(F.datediff(F.lead("session").over(w), "session"), F.lit(1)).alias("days_ahead")
+    )
 
 
-@query("dedup_first_kept", "SELECT doc_id, md5(text) AS text_md5, n_copies FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY text) AS n_copies FROM documents) WHERE rn = 1")
+@query(
+    "dedup_first_kept",
+    "SELECT doc_id, md5(text) AS text_md5, n_copies FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY text) AS n_copies FROM documents) WHERE rn = 1"
+)
 def dedup_first_kept(spark, sf):
     # min and count combine before the shuffle, so a text with very many copies is no hot key
     docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("text_md5"))
@@ -138,7 +163,10 @@ def wall_time_to_utc(spark, sf):
     return rows.select("event_id", F.date_format(calendar.wall_to_utc(F.col("raw")), "yyyy-MM-dd HH:mm").alias("utc"))
 
 
-@query("wall_label_counts", "SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 8) AS share FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'EDT' WHEN 1 THEN 'EST' END AS label FROM events) GROUP BY 1")
+@query(
+    "wall_label_counts",
+    "SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 8) AS share FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'EDT' WHEN 1 THEN 'EST' END AS label FROM events) GROUP BY 1"
+)
 def wall_label_counts(spark, sf):
     label = F.when(F.col("event_id") % 3 == 0, "EDT").when(F.col("event_id") % 3 == 1, "EST")
     counts = table(spark, sf, "events").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -165,16 +193,27 @@ def month_boundaries(spark, sf):
     from ..operators.features import month_bounds
 
     m = month_bounds(market_bars(spark, sf))
-    return m.select("symbol", "session", C.flag(F.col("session") == F.col("month_first")).alias("is_month_start"), C.flag(F.col("session") == F.col("month_last")).alias("is_month_end"))
+    return m.select(
+        "symbol", "session", C.flag(F.col("session") == F.col("month_first")).alias("is_month_start"),
+        C.flag(F.col("session") == F.col("month_last")).alias("is_month_end")
+    )
 
 
-@query("anti_semi_sessions", f"WITH {BARS},{MACRO} SELECT session, 'bars_only' AS side FROM bars WHERE session NOT IN (SELECT session FROM macro) UNION ALL SELECT session, 'macro_only' FROM macro WHERE session NOT IN (SELECT session FROM bars)")
+@query(
+    "anti_semi_sessions",
+    f"WITH {BARS},{MACRO} SELECT session, 'bars_only' AS side FROM bars WHERE session NOT IN (SELECT session FROM macro) UNION ALL SELECT session, 'macro_only' FROM macro WHERE session NOT IN (SELECT session FROM bars)"
+)
 def anti_semi_sessions(spark, sf):
     b, m = market_bars(spark, sf).select("session"), macro(spark, sf).select("session")
-    return b.join(m, "session", "left_anti").withColumn("side", F.lit("bars_only")).unionByName(m.join(b, "session", "left_anti").withColumn("side", F.lit("macro_only")))
+    return b.join(m, "session", "left_anti").withColumn("side", F.lit("bars_only")).unionByName(
+        m.join(b, "session", "left_anti").withColumn("side", F.lit("macro_only"))
+    )
 
 
-@query("overlap_window", f"WITH {BARS},{MACRO} SELECT greatest(a.lo, b.lo) AS start_session, least(a.hi, b.hi) AS end_session FROM (SELECT min(session) AS lo, max(session) AS hi FROM bars) a, (SELECT min(session) AS lo, max(session) AS hi FROM macro) b")
+@query(
+    "overlap_window",
+    f"WITH {BARS},{MACRO} SELECT greatest(a.lo, b.lo) AS start_session, least(a.hi, b.hi) AS end_session FROM (SELECT min(session) AS lo, max(session) AS hi FROM bars) a, (SELECT min(session) AS lo, max(session) AS hi FROM macro) b"
+)
 def overlap_window(spark, sf):
     both = [d.agg(F.min("session").alias(f"lo{i}"), F.max("session").alias(f"hi{i}")) for i, d in enumerate((market_bars(spark, sf), macro(spark, sf)))]
     return both[0].crossJoin(both[1]).select(F.greatest("lo0", "lo1").alias("start_session"), F.least("hi0", "hi1").alias("end_session"))  # one row each

@@ -94,7 +94,9 @@ GROUPS = [f.group for f in X.REGISTRY.features]
 SETTINGS = V.Settings(initial=600, retune_every=12)
 GRID = {
     "logistic": {"C": [0.01, 0.1, 1.0], "class_weight": [None, "balanced"]}, "forest": {"trees": [15], "depth": [3, 5], "leaf": [50, 20]},
-    "boosted": {"trees": [10], "leaves": [7, 15], "rate": [0.03, 0.1], "leaf": [60, 30]}, "boosted_shallow": {"trees": [10], "depth": [2, 3], "rate": [0.03, 0.1]},
+    "boosted": {
+        "trees": [10], "leaves": [7, 15], "rate": [0.03, 0.1], "leaf": [60, 30]
+    }, "boosted_shallow": {"trees": [10], "depth": [2, 3], "rate": [0.03, 0.1]},
 }
 CANDIDATES = M.candidates(GRID, [0.0])
 

@@ -37,7 +37,10 @@ def zrows(spark, sf):
     return L.positions_in_order(d.select("symbol", "session", "target", "z"))
 
 
-@query("vol_adjusted_labels", f"WITH {ZROWS}, q AS (SELECT symbol, quantile_cont(z, 0.25) AS q_lo, quantile_cont(z, 0.75) AS q_hi FROM zpos WHERE pos < {INIT} GROUP BY 1) SELECT symbol, session, round(z, 6) + 0.0 AS z, CASE WHEN z >= q_hi THEN 1 WHEN z <= q_lo THEN -1 ELSE 0 END AS label FROM zpos JOIN q USING (symbol)")
+@query(
+    "vol_adjusted_labels",
+    f"WITH {ZROWS}, q AS (SELECT symbol, quantile_cont(z, 0.25) AS q_lo, quantile_cont(z, 0.75) AS q_hi FROM zpos WHERE pos < {INIT} GROUP BY 1) SELECT symbol, session, round(z, 6) + 0.0 AS z, CASE WHEN z >= q_hi THEN 1 WHEN z <= q_lo THEN -1 ELSE 0 END AS label FROM zpos JOIN q USING (symbol)"
+)
 def vol_adjusted_labels(spark, sf):
     d = zrows(spark, sf)
     q = d.where(F.col("pos") < INIT).groupBy("symbol").agg(*L.thresholds())
@@ -53,7 +56,10 @@ def walkforward_thresholds(spark, sf):
     return rounded(L.step_thresholds(zrows(spark, sf), INIT, STEP).select("symbol", "step", "q_lo", "q_hi", "n_train"), 6)
 
 
-@query("walkforward_base_rates", f"WITH {ZROWS}, {STEPS}, l AS (SELECT p.symbol, CASE WHEN z >= q_hi THEN 1 WHEN z <= q_lo THEN -1 ELSE 0 END AS label FROM zpos p JOIN thr t ON t.symbol = p.symbol AND t.step = (p.pos - {INIT}) // {STEP} WHERE p.pos >= {INIT}) SELECT symbol, label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY symbol), 8) AS share FROM l GROUP BY 1, 2")
+@query(
+    "walkforward_base_rates",
+    f"WITH {ZROWS}, {STEPS}, l AS (SELECT p.symbol, CASE WHEN z >= q_hi THEN 1 WHEN z <= q_lo THEN -1 ELSE 0 END AS label FROM zpos p JOIN thr t ON t.symbol = p.symbol AND t.step = (p.pos - {INIT}) // {STEP} WHERE p.pos >= {INIT}) SELECT symbol, label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY symbol), 8) AS share FROM l GROUP BY 1, 2"
+)
 def walkforward_base_rates(spark, sf):
     d = zrows(spark, sf)
     t = L.step_thresholds(d, INIT, STEP)
@@ -62,11 +68,17 @@ def walkforward_base_rates(spark, sf):
     return rounded(counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("symbol"))))
 
 
-@query("class_conditional_means", f"WITH {ZROWS}, q AS (SELECT symbol, quantile_cont(z, 0.25) AS q_lo, quantile_cont(z, 0.75) AS q_hi FROM zpos GROUP BY 1), l AS (SELECT symbol, target, CASE WHEN z >= q_hi THEN 1 WHEN z <= q_lo THEN -1 ELSE 0 END AS label FROM zpos JOIN q USING (symbol)) SELECT symbol, {', '.join(f'round(coalesce(avg(target) FILTER (label = {k}), 0), 6) + 0.0 AS {n}' for k, n in ((-1, 'mean_short'), (0, 'mean_flat'), (1, 'mean_long')))} FROM l GROUP BY 1")
+@query(
+    "class_conditional_means",
+    f"WITH {ZROWS}, q AS (SELECT symbol, quantile_cont(z, 0.25) AS q_lo, quantile_cont(z, 0.75) AS q_hi FROM zpos GROUP BY 1), l AS (SELECT symbol, target, CASE WHEN z >= q_hi THEN 1 WHEN z <= q_lo THEN -1 ELSE 0 END AS label FROM zpos JOIN q USING (symbol)) SELECT symbol, {', '.join(f'round(coalesce(avg(target) FILTER (label = {k}), 0), 6) + 0.0 AS {n}' for k, n in ((-1, 'mean_short'), (0, 'mean_flat'), (1, 'mean_long')))} FROM l GROUP BY 1"
+)
 def class_conditional_means(spark, sf):
     d = zrows(spark, sf)
     q = d.groupBy("symbol").agg(*L.thresholds())
-    return rounded(d.join(q, "symbol").withColumn("label", L.label(F.col("z"), F.col("q_lo"), F.col("q_hi"))).groupBy("symbol").agg(*L.class_means("target", "label")), 6)
+    return rounded(
+        d.join(q, "symbol").withColumn("label", L.label(F.col("z"), F.col("q_lo"), F.col("q_hi"))).groupBy("symbol").agg(*L.class_means("target", "label")),
+        6
+    )
 
 
 @query("expected_return", f"WITH {_PROBS} SELECT symbol, session, round(p_short * -0.01 + p_flat * 0.001 + p_long * 0.012, 9) + 0.0 AS mu_hat FROM probs")
@@ -75,14 +87,20 @@ def expected_return(spark, sf):
     return rounded(p.select("symbol", "session", L.expected_return(K.P, ("m_short", "m_flat", "m_long")).alias("mu_hat")), 9)
 
 
-@query("fold_geometry", f"WITH {BARS}, n AS (SELECT count(*) AS n FROM bars), f AS (SELECT unnest(range(0, 5)) AS fold) SELECT CAST(fold AS INTEGER) AS fold, CAST(0 AS BIGINT) AS train_lo, n - 500 + 100 * fold - 1 AS train_hi, n - 500 + 100 * fold AS test_lo, n - 400 + 100 * fold AS test_hi FROM f, n")
+@query(
+    "fold_geometry",
+    f"WITH {BARS}, n AS (SELECT count(*) AS n FROM bars), f AS (SELECT unnest(range(0, 5)) AS fold) SELECT CAST(fold AS INTEGER) AS fold, CAST(0 AS BIGINT) AS train_lo, n - 500 + 100 * fold - 1 AS train_hi, n - 500 + 100 * fold AS test_lo, n - 400 + 100 * fold AS test_hi FROM f, n"
+)
 def fold_geometry(spark, sf):
     n = market_bars(spark, sf).count()
     rows = [(i, *f) for i, f in enumerate(L.time_series_split(n, 5, 100, gap=1))] if n > 501 else []
     return spark.createDataFrame(rows, "fold int, train_lo bigint, train_hi bigint, test_lo bigint, test_hi bigint")
 
 
-@query("outer_schedule", f"WITH {BARS}, n AS (SELECT count(*) AS n FROM bars), s AS (SELECT unnest(range(0, greatest(0, CAST(ceil((n - 1000) / 21.0) AS BIGINT)))) AS step, n FROM n) SELECT CAST(step AS INTEGER) AS step, CAST(0 AS BIGINT) AS train_lo, 1000 + 21 * step AS train_hi, 1000 + 21 * step AS test_lo, least(1021 + 21 * step, n) AS test_hi, CAST(CASE WHEN step % 12 = 0 THEN 1 ELSE 0 END AS INTEGER) AS retune FROM s")
+@query(
+    "outer_schedule",
+    f"WITH {BARS}, n AS (SELECT count(*) AS n FROM bars), s AS (SELECT unnest(range(0, greatest(0, CAST(ceil((n - 1000) / 21.0) AS BIGINT)))) AS step, n FROM n) SELECT CAST(step AS INTEGER) AS step, CAST(0 AS BIGINT) AS train_lo, 1000 + 21 * step AS train_hi, 1000 + 21 * step AS test_lo, least(1021 + 21 * step, n) AS test_hi, CAST(CASE WHEN step % 12 = 0 THEN 1 ELSE 0 END AS INTEGER) AS retune FROM s"
+)
 def outer_schedule(spark, sf):
     rows = [tuple(s.values()) for s in L.outer_steps(market_bars(spark, sf).count(), 1000, 21, 12)]
     return spark.createDataFrame(rows, "step int, train_lo bigint, train_hi bigint, test_lo bigint, test_hi bigint, retune int")
@@ -148,7 +166,10 @@ def information_coefficients(spark, sf):
 _META = "meta AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{_GROUP[f]}', {i})" for i, f in enumerate(NAMES)) + ") AS t(feature, feature_group, position))"
 
 
-@query("topk_per_group", f"{_IC}, {_META}, r AS (SELECT symbol, feature, feature_group, ic, row_number() OVER (PARTITION BY symbol, feature_group ORDER BY round(ic, 9) DESC, position) AS rank_in_group FROM ic JOIN meta USING (feature)) SELECT symbol, feature, feature_group, round(round(ic, 9), 8) + 0.0 AS ic, CAST(rank_in_group AS INTEGER) AS rank_in_group FROM r WHERE rank_in_group <= {S.PER_GROUP}")
+@query(
+    "topk_per_group",
+    f"{_IC}, {_META}, r AS (SELECT symbol, feature, feature_group, ic, row_number() OVER (PARTITION BY symbol, feature_group ORDER BY round(ic, 9) DESC, position) AS rank_in_group FROM ic JOIN meta USING (feature)) SELECT symbol, feature, feature_group, round(round(ic, 9), 8) + 0.0 AS ic, CAST(rank_in_group AS INTEGER) AS rank_in_group FROM r WHERE rank_in_group <= {S.PER_GROUP}"
+)
 def topk_per_group(spark, sf):
     ics = S.information_coefficients(spearman(spark, sf)).withColumn("ic", F.round("ic", 9))
     return rounded(S.top_per_group(ics, _GROUP).select("symbol", "feature", "feature_group", "ic", "rank_in_group"))
@@ -189,7 +210,10 @@ def paired_series(spark, sf):
 def pairs(spark, sf, market: bool = False):
     """symbol, session, x, y, r of all symbols, or of the market."""
     d = bench_net(spark, sf, market).where("benchmark IN ('prior_open_close', 'always_long')")
-    return d.groupBy("symbol", "session").agg(F.max(F.when(F.col("benchmark") == "prior_open_close", F.col("excess"))).alias("x"), F.max(F.when(F.col("benchmark") == "always_long", F.col("excess"))).alias("y"), F.max("o2c").alias("r"))
+    return d.groupBy("symbol", "session").agg(
+        F.max(F.when(F.col("benchmark") == "prior_open_close", F.col("excess"))).alias("x"),
+        F.max(F.when(F.col("benchmark") == "always_long", F.col("excess"))).alias("y"), F.max("o2c").alias("r")
+    )
 
 
 _SR = "(CASE WHEN stddev_samp({0}) > 0 THEN avg({0}) / stddev_samp({0}) * sqrt(252) END)"
@@ -222,7 +246,10 @@ def bootstrap_slope(spark, sf):
     return _boot(spark, sf, I.slope("x", "r"))
 
 
-@query("ols_slope", f"WITH {BENCH}, {NET} SELECT symbol, benchmark, round(CASE WHEN var_samp(o2c) > 0 THEN covar_samp(excess, o2c) / var_samp(o2c) END, 8) + 0.0 AS slope FROM net GROUP BY 1, 2")
+@query(
+    "ols_slope",
+    f"WITH {BENCH}, {NET} SELECT symbol, benchmark, round(CASE WHEN var_samp(o2c) > 0 THEN covar_samp(excess, o2c) / var_samp(o2c) END, 8) + 0.0 AS slope FROM net GROUP BY 1, 2"
+)
 def ols_slope(spark, sf):
     return rounded(bench_net(spark, sf).groupBy("symbol", "benchmark").agg(I.slope("excess", "o2c").alias("slope")))
 
@@ -249,7 +276,9 @@ jz AS (SELECT symbol, (sa - sb) / sqrt((2 - 2 * rho + 0.5 * (sa * sa + sb * sb -
 SELECT symbol, round(z, 6) + 0.0 AS z, {_P} AS p_value FROM jz""",
 )
 def jobson_korkie_p(spark, sf):
-    return pairs(spark, sf).groupBy("symbol").agg(*I.jobson_korkie("x", "y")).select("symbol", (F.round("z", 6) + 0.0).alias("z"), (F.round(I.two_sided_p("z"), 6) + 0.0).alias("p_value"))
+    return pairs(spark, sf).groupBy("symbol").agg(*I.jobson_korkie("x", "y")).select(
+        "symbol", (F.round("z", 6) + 0.0).alias("z"), (F.round(I.two_sided_p("z"), 6) + 0.0).alias("p_value")
+    )
 
 
 # the normal quantile: sixty halvings of [0, 9] for the upper tail that Simpson's rule gives
@@ -333,12 +362,18 @@ def reliability_curve(spark, sf):
     return rounded(K.reliability(spark, labelled(spark, sf), "label", {"raw": K.P}))
 
 
-@query("majority_baseline", f"WITH {_LAB} SELECT symbol, {', '.join(f'round(avg(CASE WHEN label = {k} THEN 1.0 ELSE 0.0 END), 8) + 0.0 AS rate_{n}' for k, n in zip(K.CLASSES, ('short', 'flat', 'long')))} FROM lp GROUP BY 1")
+@query(
+    "majority_baseline",
+    f"WITH {_LAB} SELECT symbol, {', '.join(f'round(avg(CASE WHEN label = {k} THEN 1.0 ELSE 0.0 END), 8) + 0.0 AS rate_{n}' for k, n in zip(K.CLASSES, ('short', 'flat', 'long')))} FROM lp GROUP BY 1"
+)
 def majority_baseline(spark, sf):
     return rounded(labelled(spark, sf).groupBy("symbol").agg(*K.base_rates("label")))
 
 
-@query("binary_label_rates", "SELECT quality, toxic, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2")
+@query(
+    "binary_label_rates",
+    "SELECT quality, toxic, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2"
+)
 def binary_label_rates(spark, sf):
     j = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
     return rounded(j.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("mean_chars")), 6)
@@ -347,10 +382,16 @@ def binary_label_rates(spark, sf):
 # ---------------------------------------------------------------- text
 
 #: Stand-ins for the licensed word list, and for two topics beside the library's own, from words that the test documents have.
-LEXICON = {"negative": ["not", "but"], "positive": ["the", "la"], "uncertainty": ["of", "de"], "litigious": ["and", "und"], "strong_modal": ["is"], "weak_modal": ["was"], "constraining": ["to"]}
+LEXICON = {
+    "negative": ["not", "but"], "positive": ["the", "la"], "uncertainty": ["of", "de"], "litigious": ["and", "und"],
+    "strong_modal": ["is"], "weak_modal": ["was"], "constraining": ["to"]
+}
 TOPIC_WORDS = {"first": ("in", "en"), "second": ("on", "que")} | T.TOPICS
 _IN = lambda ws: ", ".join(f"'{w}'" for w in sorted(ws))
-_COUNTS = ", ".join(f"CAST(len(list_filter(tokens, lambda t: t IN ({_IN(ws)}))) AS BIGINT) AS {c}" for c, ws in [*LEXICON.items(), *((f"topic_{t}", w) for t, w in TOPIC_WORDS.items())])
+_COUNTS = ", ".join(
+    f"CAST(len(list_filter(tokens, lambda t: t IN ({_IN(ws)}))) AS BIGINT) AS {c}" for c,
+    ws in [*LEXICON.items(), *((f"topic_{t}", w) for t, w in TOPIC_WORDS.items())]
+)
 SCORES = f"""tok AS (SELECT doc_id, CAST(DATE '2024-01-02' + CAST(doc_id % 40 AS INTEGER) AS DATE) AS session, text, regexp_extract_all(lower(text), '([a-z'']+)', 1) AS tokens FROM documents),
 scores AS (SELECT doc_id, session, CAST(len(tokens) AS BIGINT) AS n_tokens, {_COUNTS} FROM tok WHERE length(text) >= 50)"""
 
@@ -358,10 +399,16 @@ scores AS (SELECT doc_id, session, CAST(len(tokens) AS BIGINT) AS n_tokens, {_CO
 def sessioned(spark, sf):
     """Documents dealt over 40 days; short ones count as empty."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.date_add(F.lit("2024-01-02").cast("date"), (F.col("doc_id") % 40).cast("int")).alias("session"), F.when(F.length("text") >= 50, F.col("text")).otherwise("").alias("text"))
+    return d.select(
+        "doc_id", F.date_add(F.lit("2024-01-02").cast("date"), (F.col("doc_id") % 40).cast("int")).alias("session"),
+        F.when(F.length("text") >= 50, F.col("text")).otherwise("").alias("text")
+    )
 
 
-@query("tokenise_counts", f"WITH {SCORES} SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, CAST(len(list_distinct(tokens)) AS BIGINT) AS n_distinct FROM tok")
+@query(
+    "tokenise_counts",
+    f"WITH {SCORES} SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, CAST(len(list_distinct(tokens)) AS BIGINT) AS n_distinct FROM tok"
+)
 def tokenise_counts(spark, sf):
     t = table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
@@ -380,7 +427,9 @@ _RATES = [*LEXICON, *(f"topic_{t}" for t in TOPIC_WORDS)]
 _DAYS = "days AS (SELECT CAST(unnest(range(DATE '2024-01-01', DATE '2024-02-15', INTERVAL 1 DAY)) AS DATE) AS session)"
 _TEXTF = f"""{SCORES}, {_DAYS}, sums AS (SELECT session, count(*) AS doc_count, sum(n_tokens) AS n_tokens, {', '.join(f'sum({c}) AS {c}' for c in _RATES)} FROM scores GROUP BY 1),
 emp AS (SELECT session, count(*) AS n_empty FROM tok WHERE length(text) < 50 GROUP BY 1)"""
-_CELLS = "CAST(coalesce(doc_count, 0) AS DOUBLE) AS docs_doc_count, CAST(coalesce(n_tokens, 0) AS DOUBLE) AS docs_token_count, round(coalesce(CAST(positive - negative AS DOUBLE) / nullif(positive + negative, 0), 0), 8) + 0.0 AS docs_tone, " + ", ".join(f"round(coalesce(CAST({c} AS DOUBLE) / nullif(n_tokens, 0), 0), 8) + 0.0 AS docs_{c}_rate" for c in _RATES)
+_CELLS = "CAST(coalesce(doc_count, 0) AS DOUBLE) AS docs_doc_count, CAST(coalesce(n_tokens, 0) AS DOUBLE) AS docs_token_count, round(coalesce(CAST(positive - negative AS DOUBLE) / nullif(positive + negative, 0), 0), 8) + 0.0 AS docs_tone, " + ", ".join(
+    f"round(coalesce(CAST({c} AS DOUBLE) / nullif(n_tokens, 0), 0), 8) + 0.0 AS docs_{c}_rate" for c in _RATES
+)
 
 
 def session_text(spark, sf):
@@ -388,12 +437,18 @@ def session_text(spark, sf):
     return T.session_features(doc_scores(spark, sf), spine, LEXICON, TOPIC_WORDS, "docs_")
 
 
-@query("session_text_features", f"WITH {_TEXTF} SELECT session, {_CELLS}, CAST(coalesce(n_empty, 0) AS DOUBLE) AS empty_count FROM days LEFT JOIN sums USING (session) LEFT JOIN emp USING (session)")
+@query(
+    "session_text_features",
+    f"WITH {_TEXTF} SELECT session, {_CELLS}, CAST(coalesce(n_empty, 0) AS DOUBLE) AS empty_count FROM days LEFT JOIN sums USING (session) LEFT JOIN emp USING (session)"
+)
 def session_text_features(spark, sf):
     return rounded(T.with_empty_counts(session_text(spark, sf), sessioned(spark, sf), "empty_count"))
 
 
-@query("topic_rates", f"WITH {SCORES} SELECT session, {', '.join(f'round(CAST(sum(topic_{t}) AS DOUBLE) / nullif(sum(n_tokens), 0), 8) + 0.0 AS {t}_rate' for t in TOPIC_WORDS)} FROM scores GROUP BY 1")
+@query(
+    "topic_rates",
+    f"WITH {SCORES} SELECT session, {', '.join(f'round(CAST(sum(topic_{t}) AS DOUBLE) / nullif(sum(n_tokens), 0), 8) + 0.0 AS {t}_rate' for t in TOPIC_WORDS)} FROM scores GROUP BY 1"
+)
 def topic_rates(spark, sf):
     s = doc_scores(spark, sf)
     return rounded(s.groupBy("session").agg(*(F.try_divide(F.sum(f"topic_{t}").cast("double"), F.sum("n_tokens")).alias(f"{t}_rate") for t in TOPIC_WORDS)))
@@ -407,25 +462,41 @@ def topic_registry(spark, sf):
 @query("page_fields")
 def page_fields(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "url", files.parse_page("html").alias("p"))
-    return p.select("page_id", F.regexp_extract("url", r"^(?:https?://)?([^/]+)", 1).alias("host"), F.col("p.title").alias("title"), F.col("p.n_links").alias("n_links"), F.length("p.body").alias("body_chars"))
+    return p.select(
+        "page_id", F.regexp_extract("url", r"^(?:https?://)?([^/]+)", 1).alias("host"), F.col("p.title").alias("title"),
+        F.col("p.n_links").alias("n_links"), F.length("p.body").alias("body_chars")
+    )
 
 
-@query("discovery_frontier", "SELECT regexp_extract(url, '^(?:https?://)?([^/]+)', 1) AS host, count(DISTINCT url) AS n_new FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) GROUP BY 1")
+@query(
+    "discovery_frontier",
+    "SELECT regexp_extract(url, '^(?:https?://)?([^/]+)', 1) AS host, count(DISTINCT url) AS n_new FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) GROUP BY 1"
+)
 def discovery_frontier(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "url")
     new = files.new_items(p, p.where("page_id % 3 = 0"), "url")
     return new.groupBy(F.regexp_extract("url", r"^(?:https?://)?([^/]+)", 1).alias("host")).agg(F.count(F.lit(1)).alias("n_new"))
 
 
-@query("seeded_stratified_sample", "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS rn FROM documents) WHERE rn <= 25")
+@query(
+    "seeded_stratified_sample",
+    "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS rn FROM documents) WHERE rn <= 25"
+)
 def seeded_stratified_sample(spark, sf):
     return files.seeded_sample(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 25, 7)
 
 
-@query("empty_row_diagnosis", "SELECT source, count(*) AS n, CAST(count(*) FILTER (length(text) < 50) AS BIGINT) AS n_empty, round(avg(CASE WHEN length(text) < 50 THEN 1.0 ELSE 0.0 END), 8) AS empty_share FROM documents GROUP BY 1")
+@query(
+    "empty_row_diagnosis",
+    "SELECT source, count(*) AS n, CAST(count(*) FILTER (length(text) < 50) AS BIGINT) AS n_empty, round(avg(CASE WHEN length(text) < 50 THEN 1.0 ELSE 0.0 END), 8) AS empty_share FROM documents GROUP BY 1"
+)
 def empty_row_diagnosis(spark, sf):
     e = F.length("text") < 50
-    return rounded(table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(e).alias("n_empty"), F.avg(e.cast("double")).alias("empty_share")))
+    return rounded(
+        table(spark, sf, "documents").groupBy("source").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(e).alias("n_empty"), F.avg(e.cast("double")).alias("empty_share")
+        )
+    )
 
 
 # ---------------------------------------------------------------- audit
@@ -469,7 +540,10 @@ def vintage_diff(spark, sf):
     return rounded(out.withColumn("max_abs", F.round("max_abs", 6)))
 
 
-@query("row_digests", "SELECT o_orderkey, sha256(coalesce(CAST(o_orderkey AS VARCHAR), 'NULL') || '|' || coalesce(CAST(o_custkey AS VARCHAR), 'NULL') || '|' || coalesce(o_orderstatus, 'NULL')) AS digest FROM orders")
+@query(
+    "row_digests",
+    "SELECT o_orderkey, sha256(coalesce(CAST(o_orderkey AS VARCHAR), 'NULL') || '|' || coalesce(CAST(o_custkey AS VARCHAR), 'NULL') || '|' || coalesce(o_orderstatus, 'NULL')) AS digest FROM orders"
+)
 def row_digests(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", files.row_digest("o_orderkey", "o_custkey", "o_orderstatus").alias("digest"))
 
@@ -479,10 +553,18 @@ _REG = "reg AS (SELECT 'E' || CAST(n_nationkey + 1 AS VARCHAR) AS experiment_id,
 
 def registry(spark, sf):
     n = table(spark, sf, "nation")
-    return A.as_registry(n.select(F.concat(F.lit("E"), (F.col("n_nationkey") + 1).cast("string")).alias("experiment_id"), F.when(F.col("n_nationkey") % 3 == 0, "no").otherwise("yes").alias("counts_toward_budget")))
+    return A.as_registry(
+        n.select(
+            F.concat(F.lit("E"), (F.col("n_nationkey") + 1).cast("string")).alias("experiment_id"),
+            F.when(F.col("n_nationkey") % 3 == 0, "no").otherwise("yes").alias("counts_toward_budget")
+        )
+    )
 
 
-@query("registry_budget", f"WITH {_REG} SELECT count(*) FILTER (counts_toward_budget = 'yes') AS n_counted, count(*) FILTER (counts_toward_budget <> 'yes') AS n_excluded FROM reg")
+@query(
+    "registry_budget",
+    f"WITH {_REG} SELECT count(*) FILTER (counts_toward_budget = 'yes') AS n_counted, count(*) FILTER (counts_toward_budget <> 'yes') AS n_excluded FROM reg"
+)
 def registry_budget(spark, sf):
     return A.registry_budget(registry(spark, sf))
 
@@ -492,28 +574,45 @@ def range_expand_ids(spark, sf):
     return A.expand_ids(spark.createDataFrame([("E1-E4, E9",), ("E13-E24",)], "ids string"), "ids")
 
 
-@query("registry_contract", f"WITH {_REG}, x AS (SELECT 'E' || CAST(i AS VARCHAR) AS id FROM (SELECT unnest(range(1, 31)) AS i)) SELECT 'missing' AS side, id FROM x WHERE id NOT IN (SELECT experiment_id FROM reg) UNION ALL SELECT 'unexpected', experiment_id FROM reg WHERE experiment_id NOT IN (SELECT id FROM x)")
+@query(
+    "registry_contract",
+    f"WITH {_REG}, x AS (SELECT 'E' || CAST(i AS VARCHAR) AS id FROM (SELECT unnest(range(1, 31)) AS i)) SELECT 'missing' AS side, id FROM x WHERE id NOT IN (SELECT experiment_id FROM reg) UNION ALL SELECT 'unexpected', experiment_id FROM reg WHERE experiment_id NOT IN (SELECT id FROM x)"
+)
 def registry_contract(spark, sf):
     want = A.expand_ids(spark.createDataFrame([("E1-E30",)], "ids string"), "ids")
     return A.missing_ids(want, registry(spark, sf).select(F.col("experiment_id").alias("id")), "id")
 
 
-@query("registry_natural_order", f"WITH {_REG} SELECT experiment_id, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(experiment_id, '(\\d+)', 1) AS INTEGER)) AS INTEGER) AS position FROM reg")
+@query(
+    "registry_natural_order",
+    f"WITH {_REG} SELECT experiment_id, CAST(row_number() OVER (ORDER BY CAST(regexp_extract(experiment_id, '(\\d+)', 1) AS INTEGER)) AS INTEGER) AS position FROM reg"
+)
 def registry_natural_order(spark, sf):
-    return registry(spark, sf).select("experiment_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*A.natural_order("experiment_id"))).alias("position"))
+    return registry(spark, sf).select(
+        "experiment_id",
+        F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*A.natural_order("experiment_id"))).alias("position")
+    )
 
 
-@query("governance_max_text", "SELECT 'text' AS column_name, max(length(text)) AS max_length, count(*) FILTER (length(text) > 200) AS n_over FROM documents UNION ALL SELECT 'lang', max(length(lang)), count(*) FILTER (length(lang) > 200) FROM documents UNION ALL SELECT 'source', max(length(source)), count(*) FILTER (length(source) > 200) FROM documents")
+@query(
+    "governance_max_text",
+    "SELECT 'text' AS column_name, max(length(text)) AS max_length, count(*) FILTER (length(text) > 200) AS n_over FROM documents UNION ALL SELECT 'lang', max(length(lang)), count(*) FILTER (length(lang) > 200) FROM documents UNION ALL SELECT 'source', max(length(source)), count(*) FILTER (length(source) > 200) FROM documents"
+)
 def governance_max_text(spark, sf):
     return A.text_lengths(table(spark, sf, "documents").select("text", "lang", "source"))
 
 
 @query("event_json_fields", "SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'k' AS BIGINT)) AS BIGINT) AS sum_k FROM events GROUP BY 1")
 def event_json_fields(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("sum_k"))
+    return table(spark, sf, "events").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("sum_k")
+    )
 
 
-@query("financing_reconstruction", f"WITH {SNAPSHOT}, f AS (SELECT symbol, session, coalesce(lag(dgs3mo) OVER ({W}) / 100 * session_minutes / (365.0 * 24 * 60), 0) AS a, coalesce(lag(round(dgs3mo, 2)) OVER ({W}) / 100 * session_minutes / (365.0 * 24 * 60), 0) AS b FROM snap) SELECT symbol, count(*) AS n_both, CAST(count(*) FILTER (abs(a - b) <= 1e-12) AS BIGINT) AS n_identical, round(max(abs(a - b)), 10) + 0.0 AS max_abs FROM f GROUP BY 1")
+@query(
+    "financing_reconstruction",
+    f"WITH {SNAPSHOT}, f AS (SELECT symbol, session, coalesce(lag(dgs3mo) OVER ({W}) / 100 * session_minutes / (365.0 * 24 * 60), 0) AS a, coalesce(lag(round(dgs3mo, 2)) OVER ({W}) / 100 * session_minutes / (365.0 * 24 * 60), 0) AS b FROM snap) SELECT symbol, count(*) AS n_both, CAST(count(*) FILTER (abs(a - b) <= 1e-12) AS BIGINT) AS n_identical, round(max(abs(a - b)), 10) + 0.0 AS max_abs FROM f GROUP BY 1"
+)
 def financing_reconstruction(spark, sf):
     s = snapshot(spark, sf)
     f = s.select("symbol", "session", "dgs3mo", "session_minutes", F.round("dgs3mo", 2).alias("other"))

@@ -50,7 +50,10 @@ def read_rates(spark: SparkSession, path: str, columns: dict[str, str], skip: in
     # a file of rates is small, and read as one row its lines have numbers wherever it is split
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("__n", "value")).where(F.col("__n") >= skip)
     parts = F.split("value", ",")
-    rows = lines.select(F.to_date(F.try_to_timestamp(F.trim(parts[0]), F.lit("yyyy-MM-dd"))).alias(date), *(F.trim(F.get(parts, F.lit(i + 1))).try_cast("double").alias(n) for i, n in enumerate(columns.values())))
+    rows = lines.select(
+        F.to_date(F.try_to_timestamp(F.trim(parts[0]), F.lit("yyyy-MM-dd"))).alias(date),
+        *(F.trim(F.get(parts, F.lit(i + 1))).try_cast("double").alias(n) for i, n in enumerate(columns.values()))
+    )
     return rows.where(F.col(date).isNotNull())
 
 
@@ -242,7 +245,9 @@ def synthetic_snapshot(spark: SparkSession, n: int = 600, seed: int = 7) -> Data
     rate = 2 + 2 * np.sin(np.arange(n) / 180)
     series = {
         "open": open_, "high": np.maximum(open_, close) * (1 + spread[0]), "low": np.minimum(open_, close) * (1 - spread[1]), "close": close,
-        "vix": 15 * np.exp(rng.normal(0, 0.2, n)), "dxy": 95 + np.cumsum(rng.normal(0, 0.2, n)), "tnx": rate + 0.5, "oil": 60 * np.exp(np.cumsum(rng.normal(0, 0.01, n))),
+        "vix": 15 * np.exp(rng.normal(0, 0.2, n)), "dxy": 95 + np.cumsum(rng.normal(0, 0.2, n)), "tnx": rate + 0.5, "oil": 60 * np.exp(
+            np.cumsum(rng.normal(0, 0.01, n))
+        ),
         "qqq_close": close * np.exp(rng.normal(0, 0.01, n)), "iwm_close": close * np.exp(rng.normal(0, 0.01, n)), "dia_close": close * np.exp(rng.normal(0, 0.01, n)),
         "dgs3mo": rate, "dtb3": rate * 0.98, "dgs2": rate + 0.2, "dgs10": rate + 0.7,
     }
@@ -252,7 +257,10 @@ def synthetic_snapshot(spark: SparkSession, n: int = 600, seed: int = 7) -> Data
     rows = []
     for i, day in enumerate(days):
         half = day.month == 12 and day.day == 24
-        row = {k: float(v[i]) for k, v in series.items()} | {"symbol": "SYN", "session": day, "volume": int(volume[i]), "session_minutes": 210 if half else 390, "is_half_day": int(half)}
+        row = {k: float(v[i]) for k, v in series.items()} | {
+            "symbol": "SYN", "session": day, "volume": int(volume[i]), "session_minutes": 210 if half else 390,
+            "is_half_day": int(half)
+        }
         if i in (n // 3, n // 3 + 20):
             row |= dict.fromkeys(("dgs3mo", "dtb3", "dgs2", "dgs10"))
         rows.append(tuple(row[c] for c in SNAPSHOT.fieldNames()))

@@ -11,7 +11,10 @@ def bucket_table(grid: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy(F.lit(1)).orderBy("close_utc")  # the grid: 252 rows a year
-    return grid.select("session", F.col("close_utc").alias("until"), F.coalesce(F.lag("close_utc").over(w), F.lit("1900-01-01").cast("timestamp")).alias("after"))
+    return grid.select(
+        "session", F.col("close_utc").alias("until"),
+        F.coalesce(F.lag("close_utc").over(w), F.lit("1900-01-01").cast("timestamp")).alias("after")
+    )
 
 
 def bucket_stream(events: DataFrame, grid: DataFrame, ts: str = "ts") -> DataFrame:

@@ -18,8 +18,12 @@ def grid(spark):
 @pytest.mark.parametrize(
     ("wall", "session"),
     [
-        ("March 11, 2024, 04:00 PM", "2024-03-11"), ("March 11, 2024, 04:01 PM", "2024-03-12"), ("March 16, 2024, 10:00 AM", "2024-03-18"), ("March 29, 2024, 10:00 AM", "2024-04-01"),
-        ("July 04, 2024, 09:00 AM", "2024-07-05"), ("July 03, 2024, 02:00 PM", "2024-07-05"), ("July 03, 2024, 01:00 PM", "2024-07-03"), ("March 08, 2024, 04:00 PM", "2024-03-08"), ("March 08, 2024, 04:01 PM", "2024-03-11"),
+        (
+            "March 11, 2024, 04:00 PM", "2024-03-11"
+        ), ("March 11, 2024, 04:01 PM", "2024-03-12"), ("March 16, 2024, 10:00 AM", "2024-03-18"), ("March 29, 2024, 10:00 AM", "2024-04-01"),
+        ("July 04, 2024, 09:00 AM", "2024-07-05"), ("July 03, 2024, 02:00 PM", "2024-07-05"), ("July 03, 2024, 01:00 PM", "2024-07-03"), (
+            "March 08, 2024, 04:00 PM", "2024-03-08"
+        ), ("March 08, 2024, 04:01 PM", "2024-03-11"),
     ],
 )
 def test_buckets_at_their_bounds(spark, grid, wall, session):
@@ -34,7 +38,10 @@ def test_after_the_last_close_and_before_the_first(spark, grid):
 
 
 def test_a_label_beats_the_rule(spark):
-    rows = spark.createDataFrame([("Saturday, July 13, 2024, 03:09 pm EDT",), ("July 13, 2024, 03:09 PM",), ("January 13, 2024, 03:09 PM EST",), ("nonsense",)], "raw string")
+    rows = spark.createDataFrame(
+        [("Saturday, July 13, 2024, 03:09 pm EDT",), ("July 13, 2024, 03:09 PM",), ("January 13, 2024, 03:09 PM EST",), ("nonsense",)],
+        "raw string"
+    )
     got = [r[0] for r in rows.select(F.date_format(calendar.wall_to_utc(F.col("raw")), "HH:mm")).collect()]
     assert got == ["19:09", "19:09", "20:09", None]
 

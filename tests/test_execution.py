@@ -63,7 +63,11 @@ def test_specs():
 
 def test_identities(spark):
     d = frame(spark, w=[1, -1, 0, 1, -1, 0, 1], r=[0.01, 0.02, -0.01, 0.03, -0.02, 0.01, -0.01], f=[1e-4] * 7)
-    row = d.agg(*P.decomposition(F.col("w"), F.col("r"), F.col("f"), 2.0), F.avg(E.open_close_net(F.col("w"), F.col("r"), F.col("f"), 2.0) - E.open_close_net(F.lit(1.0), F.col("r"), F.col("f"), 2.0)).alias("gap"), P.breakeven_bps(F.col("w"), F.col("r"), F.col("f")).alias("c")).first()
+    row = d.agg(
+        *P.decomposition(F.col("w"), F.col("r"), F.col("f"), 2.0),
+        F.avg(E.open_close_net(F.col("w"), F.col("r"), F.col("f"), 2.0) - E.open_close_net(F.lit(1.0), F.col("r"), F.col("f"), 2.0)).alias("gap"),
+        P.breakeven_bps(F.col("w"), F.col("r"), F.col("f")).alias("c")
+    ).first()
     assert row["ann_net_excess_vs_always_long"] == pytest.approx(252 * row["gap"])
     assert d.agg(F.avg(E.open_close_net(F.col("w"), F.col("r"), F.col("f"), row["c"]))).first()[0] == pytest.approx(0, abs=1e-12)
 

@@ -34,7 +34,9 @@ def test_only_the_past_is_seen(snap):
 
 def test_scale_free_features_stay_and_others_move(snap, built):
     prices = ["open", "high", "low", "close", "qqq_close", "iwm_close", "dia_close"]
-    scaled = X.build(snap.select(*((F.col(c) * 1.37).alias(c) if c in prices else F.col(c) for c in snap.columns))).orderBy("session").toPandas().set_index("session")
+    scaled = X.build(
+        snap.select(*((F.col(c) * 1.37).alias(c) if c in prices else F.col(c) for c in snap.columns))
+    ).orderBy("session").toPandas().set_index("session")
     for f in X.REGISTRY.features:
         a, b = built[f.name].astype(float), scaled[f.name].astype(float)
         close = ((a - b).abs() <= 1e-9 * a.abs() + 1e-9) | (a.isna() & b.isna())
@@ -58,7 +60,9 @@ def test_flags_and_warm_up(built):
 
 
 def test_intraday_return_is_the_target_a_session_before(snap):
-    both = X.build(snap, X.Registry([f for f in X.REGISTRY.features if f.name == "intraday_ret"])).join(X.target_open_close(snap), ["symbol", "session"]).orderBy("session").toPandas()
+    both = X.build(
+        snap, X.Registry([f for f in X.REGISTRY.features if f.name == "intraday_ret"])
+    ).join(X.target_open_close(snap), ["symbol", "session"]).orderBy("session").toPandas()
     import numpy as np
 
     assert np.allclose(np.exp(both["intraday_ret"].iloc[1:]) - 1, both["target"].iloc[:-1])

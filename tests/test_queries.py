@@ -5,7 +5,10 @@ from conftest import DATA
 from tallyfold.plans.catalog import FLAGSHIP, ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
-SLOW = {"walkforward_selection", "walkforward_predictions", "feature_prefix_invariance", "platt_calibrated", "isotonic_calibrated", "gbt_oos", "gbt_shallow_oos", "forest_oos", "logistic_balanced_oos"}
+SLOW = {
+    "walkforward_selection", "walkforward_predictions", "feature_prefix_invariance", "platt_calibrated",
+    "isotonic_calibrated", "gbt_oos", "gbt_shallow_oos", "forest_oos", "logistic_balanced_oos"
+}
 
 
 @pytest.fixture(scope="module")

@@ -43,7 +43,10 @@ def test_thresholds_of_a_step_ignore_later_rows(spark):
 def test_rolling_spearman_against_ranks(spark):
     rng = np.random.default_rng(3)
     x, z = rng.integers(0, 5, 100).astype(float), rng.normal(size=100)
-    long = spark.createDataFrame([("A", "f", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, z))], "symbol string, feature string, pos bigint, x double, z double")
+    long = spark.createDataFrame(
+        [("A", "f", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, z))],
+        "symbol string, feature string, pos bigint, x double, z double"
+    )
     got = {r["pos"]: r["rho"] for r in S.rolling_spearman(long, 30).collect()}
 
     def ranks(v):
@@ -66,7 +69,10 @@ def test_smoothing_matches_the_recursion(spark):
 def test_paired_bootstrap_is_tighter(spark):
     rng = np.random.default_rng(1)
     common = rng.normal(size=300)
-    d = spark.createDataFrame([(i, float(c), float(c + e)) for i, (c, e) in enumerate(zip(common, rng.normal(scale=0.1, size=300)))], "idx bigint, x double, y double")
+    d = spark.createDataFrame(
+        [(i, float(c), float(c + e)) for i, (c, e) in enumerate(zip(common, rng.normal(scale=0.1, size=300)))],
+        "idx bigint, x double, y double"
+    )
     r = I.draws(d, 300, {"d": F.avg("x") - F.avg("y"), "x": F.avg("x")}, 60)
     assert I.interval(r, "d").first()["se"] < I.interval(r, "x").first()["se"]
     paths = I.index_paths(spark, 50, 20)
@@ -87,7 +93,10 @@ def probabilities(spark, n=400):
     rng = np.random.default_rng(5)
     p = rng.dirichlet([1, 1, 1], n)
     y = [int(rng.choice([-1, 0, 1], p=q)) for q in p]
-    return spark.createDataFrame([(i, *map(float, q), c) for i, (q, c) in enumerate(zip(p, y))], "id int, p_short double, p_flat double, p_long double, label int")
+    return spark.createDataFrame(
+        [(i, *map(float, q), c) for i, (q, c) in enumerate(zip(p, y))],
+        "id int, p_short double, p_flat double, p_long double, label int"
+    )
 
 
 @pytest.mark.parametrize("kind", ["sigmoid", "isotonic"])
@@ -110,7 +119,10 @@ def test_scores(spark):
 
 def test_candidates():
     c = M.candidates({"logistic": {"C": [0.1, 1.0]}, "forest": {"depth": [3]}}, [0.0, 0.5])
-    assert [(x.family, x.delta) for x in c] == [("baseline", 0.0), ("logistic", 0.5), ("logistic", 0.0), ("logistic", 0.5), ("logistic", 0.0), ("forest", 0.5), ("forest", 0.0)]
+    assert [(x.family, x.delta) for x in c] == [
+        ("baseline", 0.0), ("logistic", 0.5), ("logistic", 0.0), ("logistic", 0.5), ("logistic", 0.0), ("forest", 0.5),
+        ("forest", 0.0)
+    ]
     with pytest.raises(ValueError):
         M.candidates({"nothing": {}}, [0.0])
 
@@ -154,7 +166,9 @@ def test_sources(spark, tmp_path):
     (tmp_path / "rates.csv").write_text("a\nb\nc\nd\ne\n2024-01-02,5.1,ND\nbad,1,2\n")
     rows = files.read_rates(spark, str(tmp_path / "rates.csv"), {"x": "tcm3m", "y": "tcm2y"}).collect()
     assert len(rows) == 1 and rows[0]["tcm3m"] == 5.1 and rows[0]["tcm2y"] is None
-    page = spark.createDataFrame([("<title>T</title><a href='/x'>go</a><script>no</script> on",), (None,)], "html string").select(files.parse_page("html").alias("p")).select("p.*").collect()
+    page = spark.createDataFrame(
+        [("<title>T</title><a href='/x'>go</a><script>no</script> on",), (None,)], "html string"
+    ).select(files.parse_page("html").alias("p")).select("p.*").collect()
     assert (page[0]["title"], page[0]["n_links"], page[0]["body"]) == ("T", 1, "go on") and page[1]["n_links"] == 0
 
 

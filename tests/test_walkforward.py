@@ -13,7 +13,10 @@ from tallyfold.operators import walkforward as V
 
 FEATURES = ["a", "a2", "b", "c", "still"]
 GROUPS = ["g1", "g1", "g1", "g2", "g2"]
-SETTINGS = V.Settings(initial=300, step=20, retune_every=3, folds=(2, 50, 1), nested=(3, 60, 1, 40), least_calibration=(100, 10), replicates=200, per_group=2, window=30)
+SETTINGS = V.Settings(
+    initial=300, step=20, retune_every=3, folds=(2, 50, 1), nested=(3, 60, 1, 40), least_calibration=(100, 10),
+    replicates=200, per_group=2, window=30
+)
 CANDIDATES = M.candidates({"logistic": {"C": [0.1, 1.0]}, "forest": {"trees": [5], "depth": [2]}}, [0.0, 0.5])
 
 
@@ -22,7 +25,10 @@ def series(symbol, n, seed):
     x = rng.normal(size=(n, 4))
     x[:, 1] = x[:, 0] + 0.05 * x[:, 1]
     target = 0.01 * x[:, 0] + 0.004 * rng.normal(size=n)
-    return [(symbol, dt.date(2000, 1, 3) + dt.timedelta(i), i, float(t), float(np.log1p(t) / 0.01), 1e-5, *map(float, v), 1.0) for i, (t, v) in enumerate(zip(target, x))]
+    return [
+        (symbol, dt.date(2000, 1, 3) + dt.timedelta(i), i, float(t), float(np.log1p(t) / 0.01), 1e-5, *map(float, v), 1.0) for i,
+        (t, v) in enumerate(zip(target, x))
+    ]
 
 
 SCHEMA = "symbol string, session date, pos bigint, target double, z double, carry double, " + ", ".join(f"{f} double" for f in FEATURES)
@@ -60,14 +66,18 @@ def test_tables_of_a_walk(walk):
     log = out["selection_log"].collect()
     assert all(r["n_candidates"] == len(CANDIDATES) and r["chosen_score"] >= r["best_score"] - r["se_best"] and not r["baseline_selected"] for r in log)
     p = out["oos_predictions"].collect()
-    assert len(p) == 95 + 40 and all(abs(r["p_short"] + r["p_flat"] + r["p_long"] - 1) < 1e-9 and abs(r["raw_short"] + r["raw_flat"] + r["raw_long"] - 1) < 1e-9 for r in p)
+    assert len(p) == 95 + 40 and all(
+        abs(r["p_short"] + r["p_flat"] + r["p_long"] - 1) < 1e-9 and abs(r["raw_short"] + r["raw_flat"] + r["raw_long"] - 1) < 1e-9 for r in p
+    )
     assert any(abs(r["p_long"] - r["raw_long"]) > 1e-3 for r in p) and not any(r["calibration_skipped"] for r in p)
     assert all(len(set(r["features"]) & {"a", "a2"}) == 1 and "still" not in r["features"] for r in p)  # twins are one cluster, what does not vary goes
     assert np.mean([r["label"] * r["mu"] > 0 for r in p if r["label"]]) > 0.9
     stable = {(r["symbol"], r["feature"]): r["steps_selected"] for r in out["feature_stability"].collect()}
     assert [stable.get((s, "a"), 0) + stable.get((s, "a2"), 0) for s in "AB"] == [5, 2]
     cal = out["calibration_diagnostics"].collect()
-    assert len(cal) == 3 * 2 * 3 and {r["family"] for r in cal} == {"logistic", "forest"} and all(r["n_oof"] in (120, 180) and r["brier_skill"] > 0 for r in cal)
+    assert len(cal) == 3 * 2 * 3 and {r["family"] for r in cal} == {"logistic", "forest"} and all(
+        r["n_oof"] in (120, 180) and r["brier_skill"] > 0 for r in cal
+    )
 
 
 def test_stability_needs_no_model(walk):
@@ -78,7 +88,9 @@ def test_stability_needs_no_model(walk):
 
 def test_later_rows_change_nothing(spark, raw, walk):
     rows, out = walk
-    cut = raw.where("symbol = 'A' AND pos < 340").withColumn("target", F.when(F.col("pos") >= 320, -F.col("target")).otherwise(F.col("target"))).withColumn("z", F.when(F.col("pos") >= 320, -F.col("z")).otherwise(F.col("z")))
+    cut = raw.where("symbol = 'A' AND pos < 340").withColumn(
+        "target", F.when(F.col("pos") >= 320, -F.col("target")).otherwise(F.col("target"))
+    ).withColumn("z", F.when(F.col("pos") >= 320, -F.col("z")).otherwise(F.col("z")))
     chosen = out["selection_log"]
     again = V.predictions(V.prepared(cut, FEATURES, SETTINGS.window), chosen, FEATURES, GROUPS, CANDIDATES, SETTINGS).where("step = 0")
     columns = ["session", *V.RAW, *V.CALIBRATED, "mu", "position"]
@@ -100,8 +112,13 @@ def test_a_slice_too_small_is_not_calibrated(walk):
 def test_the_choice(spark):
     c = M.candidates({"logistic": {"C": [0.1]}, "forest": {"depth": [3]}}, [0.0, 0.5])
     names = V.table_of(spark, c)
-    rows = [("near", k, s, 0.2, False) for k, s in enumerate((0.1, 0.45, 0.45, 0.6, 0.5))] + [("far", k, s, 0.01, False) for k, s in enumerate((0.1, 0.45, 0.45, 0.6, 0.6))] + [("none", k, 0.3, None, True) for k in range(5)]
-    d = spark.createDataFrame([(g, 0, k, s, e, x) for g, k, s, e, x in rows], "symbol string, step int, candidate int, score double, standard_error double, degenerate boolean").join(names, "candidate")
+    rows = [
+        ("near", k, s, 0.2, False) for k, s in enumerate((0.1, 0.45, 0.45, 0.6, 0.5))
+    ] + [("far", k, s, 0.01, False) for k, s in enumerate((0.1, 0.45, 0.45, 0.6, 0.6))] + [("none", k, 0.3, None, True) for k in range(5)]
+    d = spark.createDataFrame(
+        [(g, 0, k, s, e, x) for g, k, s, e, x in rows],
+        "symbol string, step int, candidate int, score double, standard_error double, degenerate boolean"
+    ).join(names, "candidate")
     got = {r["symbol"]: r for r in V.selection(d).collect()}
     assert c[got["near"]["candidate"]] == M.Candidate("logistic", (("C", 0.1),), 0.5)  # of equal ones the larger margin
     assert c[got["far"]["candidate"]].family == "forest" and c[got["far"]["candidate"]].delta == 0.5 and got["far"]["n_eligible"] == 2
@@ -110,7 +127,10 @@ def test_the_choice(spark):
 
 def test_batch_skips_and_goes_on(spark, raw, tmp_path):
     registry = X.Registry([X.Feature(f, g, "", lambda: None) for f, g in zip(FEATURES, GROUPS)])
-    base = {"settings": {"initial": 300, "step": 20, "retune_every": 6, "folds": [2, 50, 1], "replicates": 50, "window": 30, "calibrator": None}, "models": {"logistic": {"C": [0.1]}}}
+    base = {
+        "settings": {"initial": 300, "step": 20, "retune_every": 6, "folds": [2, 50, 1], "replicates": 50, "window": 30, "calibrator": None},
+        "models": {"logistic": {"C": [0.1]}}
+    }
     overlays = {"plain": {}, "smoke": {"mode": "smoke"}, "rolling": {"settings": {"rolling": 250}}, "bad": {"exclude_groups": ["nothing"]}}
     rows_of = lambda features, s: V.prepared(raw, features, s.window).persist()
     told = V.run_batch(rows_of, registry, base, overlays, str(tmp_path))
@@ -128,7 +148,10 @@ def test_learners():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 5))
     y = np.where(x[:, 0] + 0.3 * x[:, 1] > 0.5, 2, np.where(x[:, 0] < -0.5, 0, 1))
-    for e, least in ((N.Logistic(1.0), 0.85), (N.Logistic(1.0, True), 0.8), (N.Forest(30, 5, 5), 0.85), (N.Boosted(40, 0.1, leaves=7, leaf=10), 0.9), (N.Boosted(40, 0.1, depth=3, leaf=1), 0.9)):
+    for e, least in (
+        (N.Logistic(1.0), 0.85), (N.Logistic(1.0, True), 0.8), (N.Forest(30, 5, 5), 0.85),
+        (N.Boosted(40, 0.1, leaves=7, leaf=10), 0.9), (N.Boosted(40, 0.1, depth=3, leaf=1), 0.9)
+    ):
         p = e.fit(x[:400], y[:400], np.random.default_rng(1)).predict(x[400:])
         assert np.allclose(p.sum(1), 1) and (p.argmax(1) == y[400:]).mean() > least
         two = e.fit(x[:400], np.where(y[:400] == 1, 0, y[:400]), np.random.default_rng(1)).predict(x[400:])
