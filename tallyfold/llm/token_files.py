@@ -32,6 +32,8 @@ MAX_PARTS = 20_000
 CACHE = 1_000_000
 
 
+#: Marks that are no part of a word before them; an apostrophe may be.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _odd = re.compile(r" (?:\s|$)").search
 
 
@@ -66,39 +68,67 @@ class Encoder:
         self.width = np.dtype(self.kind).itemsize
         # in this alphabet a character stands for a byte
         self.bytes_of = np.array([len(self.tok.id_to_token(i) or "") for i in range(n)])
-        self.pieces: dict[str, bytes] = {}
-        self.marks = {c: self._ids(c).tobytes() for c in ".,;:!?"}
+        self.pieces: dict[str, bytes] = {}  # after a space
+        self.heads: dict[str, bytes] = {}  # after a line break
+        self.tails: dict[str, bytes] = {}  # after a letter
+        self.line_break = self._ids("\n").tobytes()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, new: set[str]) -> None:
-        # letters and a mark are the pre-token of the letters and that of the mark
-        marked = [x for x in new if x[-1] in self.marks and x[:-1].isalpha()]
-        plain = list(new.difference(marked).union(x[:-1] for x in marked).difference(self.pieces))
-        ids = self._ids(" " + " ".join(plain)) if plain else np.zeros(0, self.kind)
-        ends = np.cumsum(np.fromiter((len(x.encode()) + 1 for x in plain), np.int64, len(plain)))
+    def _learn_after(self, space: str, new: list[str], known: dict[str, bytes], skip: int) -> None:
+        """Ids of the new words after a space, encoded as one text; of each, `skip` ids of the space itself are left out."""
+        if not new:
+            return
+        ids = self._ids(space + space.join(new))
+        ends = np.cumsum(np.fromiter((len(x.encode()) + 1 for x in new), np.int64, len(new)))
         at = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.width
         raw, a = ids.tobytes(), 0
-        for x, z in zip(plain, at.tolist()):
-            self.pieces[x] = raw[a:z]
+        for x, z in zip(new, at.tolist()):
+            known[x] = raw[a + skip * self.width : z]
             a = z
-        for x in marked:
-            self.pieces[x] = self.pieces[x[:-1]] + self.marks[x[-1]]
+
+    def _learn(self, new: set[str]) -> None:
+        """Pieces are joined from what is a pre-token of its own: words, marks after letters, and both sides of a line break."""
+        broken = {}
+        for x in new:
+            if "\n" in x:
+                a, _, b = x.partition("\n")
+                if a and b and "\n" not in b and not a[-1].isspace() and not b[0].isspace():
+                    broken[x] = a, b
+        need = new.difference(broken).union(a for a, _ in broken.values()).difference(self.pieces)
+        stems = {x: stem for x in need if x[-1] in MARKS and (stem := x.rstrip(MARKS)).isalpha()}
+        self._learn_after(" ", list(need.difference(stems).union(stems.values()).difference(self.pieces)), self.pieces, 0)
+        for x, stem in stems.items():
+            if (tail := x[len(stem) :]) not in self.tails:
+                self.tails[tail] = self._ids(tail).tobytes()
+            self.pieces[x] = self.pieces[stem] + self.tails[tail]
+        self._learn_after("\n", list({b for _, b in broken.values()}.difference(self.heads)), self.heads, 1)
+        for x, (a, b) in broken.items():
+            self.pieces[x] = self.pieces[a] + self.line_break + self.heads[b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if _odd(t) or any(x in t for x in self.added) else t.split(" ") for t in texts]
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) + len(self.heads) + len(self.tails) > CACHE:
             self.pieces.clear()
+            self.heads.clear()
+            self.tails.clear()
         new = set().union(*(s[1:] for s in split if s)).difference(self.pieces)
         if new:
             self._learn(new)
+        # a text begins like a line, if it begins and its first piece ends with no white space
+        first = {s[0] for s in split if s}.difference(self.heads)
+        odd = {x for x in first if "\n" in x or x[:1].isspace() or x[-1:].isspace()}
+        self._learn_after("\n", [x for x in first.difference(odd) if x], self.heads, 1)
+        own = {x: self._ids(x).tobytes() for x in odd} | {"": b""}
         piece = self.pieces.__getitem__
-        firsts = iter(self.tok.encode_batch_fast([s[0] for s in split if s], add_special_tokens=False))
-        return [
-            self._ids(t).tobytes() if s is None else np.asarray(next(firsts).ids, self.kind).tobytes() + b"".join(map(piece, s[1:])) for t,
-            s in zip(texts, split)
-        ]
+        out = []
+        for t, s in zip(texts, split):
+            if s is None:
+                out.append(self._ids(t).tobytes())
+            else:
+                out.append((own[s[0]] if s[0] in own else self.heads[s[0]]) + b"".join(map(piece, s[1:])))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
