@@ -84,9 +84,9 @@ _calibrated("isotonic_calibrated", "isotonic")
 
 # ---------------------------------------------------------------- walk-forward
 
-def walk_rows(spark, sf) -> DataFrame:
-    """All complete rows of all symbols with all features, as the walk takes them."""
-    return once(V.prepared(complete_rows(spark, sf), NAMES))
+def walk_rows(spark, sf, market: bool = False) -> DataFrame:
+    """All complete rows of all symbols (or of the market as a whole) with all features, as the walk takes them."""
+    return once(V.prepared(complete_rows(spark, sf, market), NAMES))
 
 
 GROUPS = [f.group for f in X.REGISTRY.features]
@@ -101,13 +101,13 @@ GRID = {
 CANDIDATES = M.candidates(GRID, [0.0])
 
 
-def walk_folds(spark, sf) -> tuple[DataFrame, DataFrame]:
-    rows = walk_rows(spark, sf)
+def walk_folds(spark, sf, market: bool = False) -> tuple[DataFrame, DataFrame]:
+    rows = walk_rows(spark, sf, market)
     return rows, V.fold_results(rows, GROUPS, CANDIDATES, SETTINGS)
 
 
-def walk_predictions(spark, sf) -> DataFrame:
-    rows, folds = walk_folds(spark, sf)
+def walk_predictions(spark, sf, market: bool = False) -> DataFrame:
+    rows, folds = walk_folds(spark, sf, market)
     return V.predictions(rows, V.selection(V.diagnostics(folds, CANDIDATES, SETTINGS)), NAMES, GROUPS, CANDIDATES, SETTINGS)
 
 
