@@ -64,11 +64,6 @@ def rolling_quantile(x, q: float, n: int, least: int) -> Column:
     return rolling(lambda v: F.percentile(v, F.lit(q)), x, n, least)
 
 
-def expanding_quantile(x: Column, q: float, least: int) -> Column:
-    w = series().rowsBetween(Window.unboundedPreceding, 0)
-    return F.when(F.count(x).over(w) >= least, F.percentile(x, F.lit(q)).over(w))
-
-
 def flag(cond: Column) -> Column:
     """1 or 0; a missing condition is 0."""
     return F.coalesce(cond, F.lit(False)).cast("int")

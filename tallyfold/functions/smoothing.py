@@ -25,3 +25,21 @@ def smooth(df: DataFrame, outputs: dict[str, tuple[str, float, int]], symbol: st
         return pdf
 
     return df.groupBy(symbol).applyInPandas(run, schema)
+
+
+def expanding_quantiles(
+    df: DataFrame, outputs: dict[str, tuple[str, float, int]], symbol: str = "symbol", session: str = "session"
+) -> DataFrame:
+    """Adds each output = (input, q, least): the interpolated q-quantile of all values up to a row, NULL below `least` of them.
+
+    A window over an unbounded frame would sort all earlier rows again at each row; here a series keeps them in order.
+    """
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in outputs)])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(session)
+        for name, (source, q, least) in outputs.items():
+            pdf[name] = pdf[source].astype(float).expanding(min_periods=least).quantile(q)
+        return pdf
+
+    return df.groupBy(symbol).applyInPandas(run, schema)

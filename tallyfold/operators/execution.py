@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import core as C
+from ..functions.smoothing import expanding_quantiles
 
 BORROW_BPS = 30.0
 
@@ -120,10 +121,15 @@ def argmax_positions(p_short: Column, p_flat: Column, p_long: Column) -> Column:
     return F.when((p_short >= p_flat) & (p_short >= p_long), -1.0).when(p_flat >= p_long, 0.0).otherwise(1.0)
 
 
-def expanding_quantile_positions(mu: str, q: float, least: int = 60) -> Column:
-    """Positions where |mu| exceeds the q-quantile of all earlier |mu|; 0 while that is not defined. `mu_lagged_abs` holds |mu| one row late."""
-    h = C.expanding_quantile(F.col("mu_lagged_abs"), q, least)
-    return F.coalesce(F.when(F.abs(F.col(mu)) > h, F.signum(mu)), F.lit(0.0))
+def expanding_quantile_positions(df: DataFrame, mu: str, q: float, least: int = 60, name: str = "position") -> DataFrame:
+    """Positions where |mu| exceeds the q-quantile of all earlier |mu|; 0 while that is not defined.
+
+    The interpolated quantile is compared with a margin for its last digits.
+    """
+    late = df.withColumn("__late", F.abs(C.lag(mu)))
+    high = expanding_quantiles(late, {"__high": ("__late", q, least)})
+    active = F.when(F.abs(F.col(mu)) > C.no_nan(F.col("__high")) + 1e-12, F.signum(mu))
+    return high.withColumn(name, F.coalesce(active, F.lit(0.0))).drop("__late", "__high")
 
 
 def vol_target_weight(position: Column, vol: Column, target: float, cap: float = 1.0) -> Column:

@@ -135,10 +135,8 @@ h AS (SELECT *, CASE WHEN count(x) OVER ({W} ROWS UNBOUNDED PRECEDING) >= 60 THE
 SELECT symbol, session, CAST(coalesce(CASE WHEN abs(mu) > q + 1e-12 THEN sign(mu) END, 0) AS DOUBLE) AS position FROM h""",
 )
 def rule_expanding_quantile(spark, sf):
-    d = decide(spark, sf).select("symbol", "session", "mu", F.abs(C.lag("mu")).alias("mu_lagged_abs"))
-    # the interpolated quantile is compared with a margin for its last digits
-    q = C.expanding_quantile(F.col("mu_lagged_abs"), 0.7, 60)
-    return rounded(d.select("symbol", "session", F.coalesce(F.when(F.abs("mu") > q + 1e-12, F.signum("mu")), F.lit(0.0)).alias("position")))
+    d = decide(spark, sf).select("symbol", "session", "mu")
+    return rounded(E.expanding_quantile_positions(d, "mu", 0.7).select("symbol", "session", "position"))
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import core as C
-from ..functions.smoothing import smooth
+from ..functions.smoothing import expanding_quantiles, smooth
 from ..operators import features as X
 from .base import BARS, SNAPSHOT, market_bars, query, rnd, rounded, snapshot
 
@@ -216,7 +216,8 @@ def returns(spark, sf):
 )
 def expanding_quantile(spark, sf):
     a = returns(spark, sf).select("symbol", "session", F.abs(C.lag("ret")).alias("x"))
-    return rounded(a.select("symbol", "session", C.expanding_quantile(F.col("x"), 0.7, 60).alias("threshold")))
+    out = expanding_quantiles(a, {"threshold": ("x", 0.7, 60)})
+    return rounded(out.select("symbol", "session", C.no_nan(F.col("threshold")).alias("threshold")))
 
 
 @query(
