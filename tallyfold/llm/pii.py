@@ -7,7 +7,9 @@ codes and top-level domains stay.
 
 Names are known by a form of address before them, and then wherever their words recur in the same text. Each
 word is an entity of its own, with the gender of its form of address, or else the first that the text gives it: so
-`Mrs. Anna Kern`, `Frau Kern` and `Anna` agree, and forms of address stay. The canonical form of an e-mail address is in lower case, of a card, account or
+`Mrs. Anna Kern`, `Frau Kern` and `Anna` agree; forms of address and particles (`de`, `von`) stay. A word may have inner
+capitals, hyphens and apostrophes, and stands as a whole; a word in capitals is the same name. A name that is a common
+word (COMMON) does not recur at the start of a sentence. The canonical form of an e-mail address is in lower case, of a card, account or
 social security number without separators, of a phone number its last ten digits.
 
 Coreference holds because the HMAC sees the canonical entity alone. Distinctness is checked over the whole corpus:
@@ -38,12 +40,19 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "го
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "Господин")
 NEUTRAL = ("Mx", "Dr", "Prof", "Dear")
 NO_NAMES = ("Sir", "Madam", "Customer", "Team", "Hiring", "President", "Chairman", "Speaker", "Minister", "Friend", "All")
+PARTICLES = ("de", "del", "della", "den", "der", "di", "da", "do", "dos", "du", "la", "le", "van", "von", "zu", "zur", "ten", "ter", "al", "bin", "el", "y")
+#: Names that are common words as well; at the start of a sentence they are taken for these.
+COMMON = (
+    "April", "Art", "August", "Bill", "Black", "Brown", "Chance", "Chase", "Christian", "Dean", "Faith", "Frank", "Grace", "Grant", "Green", "Hope", "Joy", "June",
+    "King", "Long", "Love", "Mark", "May", "Miles", "Page", "Pat", "Penny", "Price", "Rich", "Rob", "Rose", "Rush", "Short", "Sue", "Summer", "Welch", "White", "Will", "Wood", "Young",
+)
 CONSONANTS = {"latin": "bdfgklmnprstvzhj", "cyrillic": "бдфгклмнпрствзхж"}
 VOWELS = {"latin": "aeio", "cyrillic": "аеио"}
 ENDINGS = {("latin", "f"): "na", ("latin", "m"): "rt", ("latin", "n"): "l", ("cyrillic", "f"): "на", ("cyrillic", "m"): "рт", ("cyrillic", "n"): "л"}
 
 _TITLE = r"(?:" + "|".join(FEMALE + MALE + NEUTRAL[:-1]) + r")\.?"
-_WORD = r"(?!(?:" + "|".join(NO_NAMES) + r")(?!\p{L}))\p{Lu}\p{Ll}+"
+_PARTICLE = r"(?:" + "|".join(PARTICLES) + ")"
+_WORD = rf"(?:{_PARTICLE} ){{0,3}}(?!(?:" + "|".join(NO_NAMES) + r")(?!\p{L}))\p{Lu}['’]?\p{L}++(?:['’\-]\p{L}++){0,3}+"
 #: Countries of account numbers.
 COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK"
 
@@ -51,7 +60,7 @@ _START = r"(?<![\p{L}\p{N}])"
 _ASKED = r"\b(?i:password|passwd|pwd|token|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?"
 _HEX = "[0-9A-Fa-f]{1,4}"
 KINDS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}\.){1,16}[A-Za-z]{2,24}",
     "key": _START + r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": rf"(?<={_ASKED})[A-Za-z0-9+/_\-]{{8,}}",
     "name": _START + rf"(?:{_TITLE} (?:{_TITLE} )?{_WORD}(?: {_WORD})?|Dear {_WORD} {_WORD})",
@@ -62,8 +71,10 @@ KINDS = {
     "card": r"(?<![\d\-])(?:(?:\d{4}[ \-]?){3}\d{4}|\d{4}[ \-]?\d{6}[ \-]?\d{5}|\d{13,19})(?!\d)",
     "phone": r"(?<![\d])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)|\+\d{7,15}(?!\d)",
 }
+#: Not at the start of a sentence.
+_INSIDE = r"(?<![.!?:;\n]\s)(?<![\n])(?<!\A)"
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-HINT = rf"[0-9@]|(?i:password|passwd|pwd|token|secret|api_?key)\s{{0,3}}[=:]|{_START}(?:AKIA|ASIA)[A-Z0-9]{{16}}|{_START}(?:{_TITLE}|Dear) \p{{Lu}}|(?:[A-Fa-f]{{1,4}}::?){{2}}"
+HINT = rf"[0-9@]|(?i:password|passwd|pwd|token|secret|api_?key)\s{{0,3}}[=:]|{_START}(?:AKIA|ASIA)[A-Z0-9]{{16}}|{_START}(?:{_TITLE}|Dear) (?:{_PARTICLE} )?\p{{Lu}}|(?:[A-Fa-f]{{1,4}}::?){{2}}"
 PARTS = "array<struct<x: string, k: string, u: array<string>>>"
 
 
@@ -84,8 +95,18 @@ def _gender(v: str) -> str:
     return f"CASE WHEN rlike({v}, {told(FEMALE)}) THEN 'f' WHEN rlike({v}, {told(MALE)}) THEN 'm' ELSE 'n' END"
 
 
+def _kept(w: str) -> str:
+    """Whether a word of a name stays: a form of address or a particle."""
+    return f"rlike({w}, {q('^(?:' + _TITLE + '|Dear|' + _PARTICLE + ')$')})"
+
+
 def _name_words(v: str) -> str:
-    return f"filter(split({v}, ' '), w -> NOT rlike(w, {q('^(?:' + _TITLE + '|Dear)$')}))"
+    return f"filter(split({v}, ' '), w -> NOT {_kept('w')})"
+
+
+def _one_case(w: str) -> str:
+    """A name in capitals is the name."""
+    return f"IF({w} = upper({w}), initcap({w}), {w})"
 
 
 def _who(text: str) -> str:
@@ -135,15 +156,16 @@ def marked(text: Column, pattern: Column) -> Column:
 
 
 def parts(text: Column) -> Column:
-    """PARTS of a text: x, the piece; k, its kind ('' for plain text); u, the entities in it, as kind|canonical form."""
-    bare = F.concat(
-        F.lit(ANY + "|" + _START + "(?:"), F.array_join(F.col("__who.w"), "|"), F.lit(")(?: (?:"),
-        F.array_join(F.col("__who.w"), "|"), F.lit(r"))*(?!\p{L})")
-    )
+    """PARTS of a text: x, the piece; k, its kind ('' for plain text); u, the entities in it, as
+    kind|canonical form; of a name, for each word of it, '' for those that stay.
+    """
+    # a bounded run of names: a longer one goes on in the next match
+    word = F.array_join(F.transform("__who.w", lambda w: F.when(w.isin(*COMMON), F.concat(F.lit(_INSIDE), w)).otherwise(w)), "|")
+    bare = F.concat(F.lit(ANY + "|" + _START + "(?:"), word, F.lit(")(?: (?:"), word, F.lit(r")){0,7}(?!['’\-]?\p{L})"))
     cut = F.when(F.size("__who") > 0, marked(text, bare)).otherwise(marked(text, F.lit(ANY)))
     cut = F.when(text.isNull(), F.array(F.lit(""))).when(~text.rlike(HINT), F.array(text)).otherwise(cut)
-    of_text = "(size(__who) > 0 AND forall(split(x, ' '), w -> exists(__who, p -> p.w = w)))"
-    units = f"CASE k WHEN '' THEN cast(array() as array<string>) WHEN 'name' THEN transform({_name_words('x')}, w -> concat('name|', coalesce(nullif({_gender('x')}, 'n'), get(filter(__who, p -> p.w = w), 0).g, 'n'), ':', w)) ELSE array(concat(k, '|', {canonical_sql('k', 'x')})) END"
+    of_text = "(size(__who) > 0 AND forall(split(x, ' '), w -> exists(__who, p -> p.w = w)))"  # no form of address
+    units = f"CASE k WHEN '' THEN cast(array() as array<string>) WHEN 'name' THEN transform(split(x, ' '), w -> IF({_kept('w')}, '', concat('name|', coalesce(nullif({_gender('x')}, 'n'), get(filter(__who, p -> p.w = w), 0).g, 'n'), ':', {_one_case('w')}))) ELSE array(concat(k, '|', {canonical_sql('k', 'x')})) END"
     struct = let(
         "k", f"CASE WHEN i % 2 = 0 THEN '' WHEN {of_text} THEN 'name' ELSE {kind_sql('x', 'get(__cut, i - 1).x')} END",
         f"struct(x AS x, k AS k, {units} AS u)"
@@ -211,7 +233,7 @@ def surrogate_sql(k: str, v: str, attempt: str, key: tuple[str, str]) -> str:
         f"WHEN 'ipv6' THEN array_join(transform(split({v}, ':'), (o, i) -> IF(o = '', '', {group})), ':') WHEN 'iban' THEN {account} "
         f"WHEN 'card' THEN {let('b', body, f'concat(b, cast(pmod(-{_luhn(f"concat(b, 0)")}, 10) as string))')} "
         f"WHEN 'key' THEN {_drawn(v, '4')} WHEN 'name' THEN {_name(v, attempt)} "
-        f"WHEN 'secret' THEN concat({_drawn(v, '0', hexes)}, {_extra(attempt)}) ELSE {_drawn(v, '0')} END"
+        f"WHEN 'secret' THEN concat({let('ls', hexes, _drawn(v, '0', 'ls'))}, {_extra(attempt)}) ELSE {_drawn(v, '0')} END"
     )
     return let("hex", stream, made)
 
@@ -287,7 +309,7 @@ def pseudonymise(docs: DataFrame, key: str | bytes, text: str = "text") -> DataF
         parsed.select(*(f"`{c}`" for c in columns if c != text), F.col(text).isNull().alias("__none"), F.expr(found).cast(PARTS).alias("__parts")),
         "parsed"
     )
-    units = F.array_distinct(F.flatten(F.transform("__parts", lambda p: p["u"])))
+    units = F.array_distinct(F.filter(F.flatten(F.transform("__parts", lambda p: p["u"])), lambda u: u != ""))
     over, n = draw(written(parsed.select(F.explode(units).alias("unit")).distinct(), "entities"), secret)
     if n <= MAP_ENTRIES:
         pairs = [x for r in over.collect() for x in (F.lit(r["unit"]), F.lit(r["attempt"]))]  # MAP_ENTRIES at most
@@ -298,7 +320,8 @@ def pseudonymise(docs: DataFrame, key: str | bytes, text: str = "text") -> DataF
         "t", unit,
         let("a", "coalesce(__over[t], 0)", let("canon", "substring(t, instr(t, '|') + 1)", surrogate_sql("p.k", "canon", "a", secret)))
     )
-    name = let("n", "size(split(p.x, ' ')) - size(p.u)", f"array_join(transform(split(p.x, ' '), (w, i) -> IF(i < n, w, {made('p.u[i - n]')})), ' ')")
+    cased = let("s", made("p.u[i]"), "IF(w = upper(w), upper(s), s)")
+    name = f"array_join(transform(split(p.x, ' '), (w, i) -> IF(p.u[i] = '', w, {cased})), ' ')"
     one = f"CASE p.k WHEN '' THEN p.x WHEN 'name' THEN {name} ELSE {layout_sql('p.k', 'p.x', made('p.u[0]'))} END"
     new = F.when(F.col("__none"), F.lit(None).cast("string")).when(F.size("__parts") == 1, F.col("__parts")[0]["x"]).otherwise(
         F.expr(f"array_join(transform(__parts, p -> {one}), '')")

@@ -5,7 +5,7 @@ import hmac
 
 import regex
 
-from tallyfold.llm.pii import COUNTRIES, ENDINGS, FEMALE, KINDS, MALE, NEUTRAL, ROUNDS
+from tallyfold.llm.pii import COMMON, COUNTRIES, ENDINGS, FEMALE, KINDS, MALE, NEUTRAL, PARTICLES, ROUNDS
 
 TITLE = regex.compile("(?:" + "|".join((*FEMALE, *MALE, *NEUTRAL)) + r")\.?")
 ASKED = regex.compile(r"\b(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?$")
@@ -38,16 +38,24 @@ def canonical(k, x):
     return {"phone": digits[-10:], "card": digits, "ssn": digits, "iban": x.replace(" ", ""), "email": x.lower(), "ipv6": x.lower()}.get(k, x)
 
 
+def stays(word):
+    return word in PARTICLES or TITLE.fullmatch(word)
+
+
+def one_case(word):
+    return word[0] + word[1:].lower() if word == word.upper() else word
+
+
 def parse(text):
     """[(piece, kind, units)]"""
     who = {}
     for m in regex.finditer(KINDS["name"], text):
-        words, g = [w for w in m.group().split(" ") if not TITLE.fullmatch(w)], gender(m.group())
+        words, g = [w for w in m.group().split(" ") if not stays(w)], gender(m.group())
         for w in words:
             if who.get(w, "n") == "n":
                 who[w] = g
-    known = "|".join(who)
-    pattern = "|".join(f"(?:{p})" for p in KINDS.values()) + (rf"|(?<![\p{{L}}\p{{N}}])(?:{known})(?: (?:{known}))*(?!\p{{L}})" if who else "")
+    known = "|".join(r"(?<![.!?:;\n]\s)(?<![\n])(?<!\A)" + w if w in COMMON else w for w in who)
+    pattern = "|".join(f"(?:{p})" for p in KINDS.values()) + (rf"|(?<![\p{{L}}\p{{N}}])(?:{known})(?: (?:{known})){{0,7}}(?!['’\-]?\p{{L}})" if who else "")
     out, last = [], 0
     for m in regex.finditer(pattern, text):
         x, before = m.group(), text[last : m.start()]
@@ -56,7 +64,7 @@ def parse(text):
         k = "name" if who and all(w in who for w in words) else kind_of(x, before)
         if k == "name":
             g = gender(x)
-            units = [("name", (g if g != "n" else who.get(w, "n")) + ":" + w) for w in words if not TITLE.fullmatch(w)]
+            units = ["" if stays(w) else ("name", (g if g != "n" else who.get(w, "n")) + ":" + one_case(w)) for w in words]
         else:
             units = [(k, canonical(k, x))] if k else []
         out.append((x, k, units))
@@ -134,7 +142,7 @@ def pseudonymise(texts, key):
     """[(text, number of entities)]"""
     key = hashlib.sha512(b"surrogates\0" + key.encode()).digest()
     parsed = [None if t is None else parse(t) for t in texts]
-    waiting = {u for p in parsed if p for _, _, us in p for u in us}
+    waiting = {u for p in parsed if p for _, _, us in p for u in us if u}
     taken = {(k, c[2:] if k == "name" else c) for k, c in waiting}
     final, attempt = {}, 0
     while waiting:
@@ -156,8 +164,7 @@ def pseudonymise(texts, key):
         text = ""
         for x, k, us in p:
             if k == "name":
-                words = x.split(" ")
-                text += " ".join([*words[: len(words) - len(us)], *(final[u] for u in us)])
+                text += " ".join(w if not u else final[u].upper() if w == w.upper() else final[u] for w, u in zip(x.split(" "), us))
             else:
                 text += laid_out(k, x, final[us[0]]) if k else x
         out.append((text, sum(1 for _, k, _ in p if k)))

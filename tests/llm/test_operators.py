@@ -427,6 +427,30 @@ def test_surrogates_by_a_second_implementation(spark, texts):
     assert "4111111111111112, card" in out[len(TOLD) + 4] and "token=4111111111111112" not in out[len(TOLD) + 4]
 
 
+def test_names_are_whole(spark):
+    told = [
+        "Mr. McDonald met Mr O'Brien, Mr. Jean-Luc Picard and Mme de Gaulle; McDonald, Picard and O'Brien left.", "Herr Müller and Frau MÜLLER, Frau Anna von der Heide",
+        "Mr. Will Hope left. Will you? I hope Will will, and Hope too. Hope\nWill", "Ms Al-Sayed, Mr d'Arcy, Frau X, Mr. President, Dr Kern-Kernel: Kern",
+    ]
+    a, b, c, d = both_ways(spark, told)
+    assert not any(x in a for x in ("Donald", "Brien", "Luc", "Picard", "Gaulle")) and "Mme de " in a
+    assert "MÜLLER" not in b and b.split()[4].rstrip(",").isupper() and " von der " in b and "Heide" not in b
+    assert ". Will you? I hope " in c and "I hope Will" not in c and "and Hope" not in c and c.endswith("Hope\nWill")
+    assert "Sayed" not in d and "d'Arcy" in d and "Frau X" in d and "Mr. President" in d and d.endswith(": Kern")
+
+
+def test_long_texts_of_one_pattern_pass(spark):
+    n = 1 << 20
+    whole = lambda unit: unit * (n // len(unit))
+    told = [
+        "x@a" + "." * n, whole("a."), "x@" + whole("a."), "Mr Xyz " + whole("Xyz "), whole("7"), whole("7 "), whole("ab:"), whole("abcd::"), whole("Mr "), whole("Mr Ab-"), whole("password="),
+        "token=" + whole("a"), whole("a@b."), whole("x@"), whole("12.3."), whole("AKIA"), whole("DE89 3704 "),
+    ]
+    df = spark.createDataFrame(list(enumerate(told)), "doc_id bigint, text string").repartition(4)
+    out = {r["doc_id"]: r["n"] for r in pii.pseudonymise(df, KEY).select("doc_id", F.length("text").alias("n")).collect()}
+    assert len(out) == len(told) and all(n > 1 << 19 for n in out.values())
+
+
 def test_dense_kinds_end_with_distinct_surrogates(spark):
     names = ["Mr " + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[i // 400] + "".join("abcdefghijklmnopqrst"[(i // 20**k) % 20] for k in range(2)) for i in range(10_000)]
     names = [x for x in names if x.split()[1] not in ("All", "Mme", "Mrs", "Sir", "Sra")]  # no names
