@@ -9,13 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import core as C
+from ..functions.scan import scan
 from ..functions.smoothing import expanding_quantiles
 
 BORROW_BPS = 30.0
@@ -81,13 +79,11 @@ def close_close_same_row(
     return df.withColumn(name, x * (F.col(r) - F.col(rf)) - c * F.abs(x - F.coalesce(F.lag(x).over(win), F.lit(0.0))) - borrow)
 
 
-def choices(edge: np.ndarray, days: np.ndarray, cost: float, borrow: float) -> np.ndarray:
-    """For each row and previous position -1, 0, 1 (columns) the best next one; of equal values the smallest position."""
-    w = np.array([-1.0, 0.0, 1.0])
-    value = w[None, None, :] * edge[:, None, None] - cost * np.abs(
-        w[None, None, :] - w[None, :, None]
-    ) - borrow * (days / 365.0)[:, None, None] * np.maximum(-w, 0.0)[None, None, :]
-    return value.argmax(2)
+def best_next(edge: Column, days: Column, cost: float, borrow: float, previous: int) -> Column:
+    """The next position -1, 0 or 1 of highest value after `previous`; of equal values the smallest. -1 where the edge is missing."""
+    value = {w: w * edge - cost * abs(w - previous) - borrow * (days / 365.0) * max(-w, 0) for w in (-1, 0, 1)}
+    short = (value[-1] >= value[0]) & (value[-1] >= value[1])
+    return F.when(edge.isNull() | F.isnan(edge) | short, -1).when(value[0] >= value[1], 0).otherwise(1)
 
 
 def one_step_positions(
@@ -96,24 +92,17 @@ def one_step_positions(
 ) -> DataFrame:
     """Path-dependent positions: each maximises w (mu - carry) - c|w - previous| - borrow, from a flat start.
 
-    A row maps the previous position to the next; the map of every row is computed at once, and only the walk
-    along a symbol's rows is sequential. A margin (delta) is not allowed.
+    A row maps the previous position to the next (short, flat, long: what follows each); maps compose, so the positions
+    are a scan along the series. A margin (delta) is not allowed.
     """
     if delta:
         raise ValueError("this rule takes no safety margin")
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-    days = df.withColumn("__days", days_ahead().cast("double"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("session")
-        table = choices((pdf[mu] - pdf[carry]).to_numpy(float), pdf["__days"].to_numpy(float), cost_bps / 1e4, borrow_bps / 1e4)
-        out, at = np.empty(len(pdf)), 1
-        for i, row in enumerate(table.tolist()):
-            at = row[at]
-            out[i] = at - 1
-        return pdf.drop(columns="__days").assign(**{name: out})
-
-    return days.groupBy("symbol").applyInPandas(run, schema)
+    edge, days = F.col(mu) - F.col(carry), days_ahead().cast("double")
+    after = [best_next(edge, F.col("__days"), cost_bps / 1e4, borrow_bps / 1e4, p).alias(k) for p, k in ((-1, "short"), (0, "flat"), (1, "long"))]
+    rows = df.withColumns({"__days": days, "__at": F.row_number().over(C.series()).cast("bigint") - 1}).withColumn("m", F.struct(*after)).drop("__days")
+    pick = lambda m, s: f"CASE {s} WHEN -1 THEN {m}.short WHEN 0 THEN {m}.flat ELSE {m}.long END"
+    compose = lambda f, g: "struct(" + ", ".join(f"{pick(g, f'{f}.{k}')} AS {k}" for k in ("short", "flat", "long")) + ")"
+    return scan(rows, ["symbol"], "__at", "0", compose, pick, name).drop("__at").withColumn(name, F.col(name).cast("double"))
 
 
 def argmax_positions(p_short: Column, p_flat: Column, p_long: Column) -> Column:
