@@ -15,31 +15,92 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import core as C
+from ..functions.scan import running_sums
 
 BLOCK, REPLICATES, SEED = 20.0, 10_000, 20260823
 
 
+def _digest(seed: int, tag: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(tag), F.col("rep").cast("string"), F.col("i").cast("string")))
+
+
 def uniform_hash(seed: int, tag: str) -> Column:
     """A 32-bit number from seed, tag, rep and i."""
-    return F.conv(
-        F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(tag), F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 8),
-        16, 10
-    ).cast("long")
+    return F.conv(F.substring(_digest(seed, tag), 1, 8), 16, 10).cast("long")
 
 
-def index_paths(spark: SparkSession, n: int, replicates: int = REPLICATES, block: float = BLOCK, seed: int = SEED) -> DataFrame:
-    """rep, i, idx: stationary bootstrap; a path restarts at a uniform place with probability 1/block, else goes on to the next row, round the end."""
-    grid = spark.range(replicates * n).select(F.expr(f"id div {n}").alias("rep"), (F.col("id") % n).alias("i"))
-    restart = (F.col("i") == 0) | (uniform_hash(seed, "r") / float(1 << 32) < 1.0 / block)
-    w = Window.partitionBy("rep").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    g = grid.select("rep", "i", F.when(restart, uniform_hash(seed, "s") % n).alias("start"), F.when(restart, F.col("i")).alias("at"))
-    return g.select("rep", "i", ((F.last("start", ignorenulls=True).over(w) + F.col("i") - F.last("at", ignorenulls=True).over(w)) % n).alias("idx"))
+def chance(seed: int, tag: str, p: float) -> Column:
+    """Whether the number is below p of 2^32, told from the digest's digits."""
+    return F.lit(True) if p >= 1 else _digest(seed, tag) < f"{math.ceil(p * (1 << 32)):08x}"
 
 
-def draws(series: DataFrame, n: int, statistics: dict[str, Column], replicates: int, block: float = BLOCK, seed: int = SEED) -> DataFrame:
-    """rep and the statistics of each replicate; series has a row for each idx from 0 to n - 1."""
-    paths = index_paths(series.sparkSession, n, replicates, block, seed)
-    return paths.join(series, "idx").groupBy("rep").agg(*(s.alias(k) for k, s in statistics.items()))
+def segments(spark: SparkSession, n: int, replicates: int = REPLICATES, block: float = BLOCK, seed: int = SEED) -> DataFrame:
+    """rep, at, start, length: the stationary bootstrap as segments of consecutive rows, round the end of the series.
+
+    Place i of a path starts a segment with probability 1/block, at a uniform row; a path has n places.
+    """
+    grid = spark.range(replicates * n).select(F.expr(f"id div {n}").alias("rep"), (F.col("id") % n).alias("i"))
+    begun = grid.where((F.col("i") == 0) | chance(seed, "r", 1.0 / block))
+    until = F.coalesce(F.lead("i").over(Window.partitionBy("rep").orderBy("i")), F.lit(n))
+    return begun.select("rep", F.col("i").alias("at"), (uniform_hash(seed, "s") % n).alias("start"), (until - F.col("i")).alias("length"))
+
+
+def moments(*names: str) -> dict[str, Column]:
+    """Columns whose sums over any rows give the statistics of the named series; with two names, of their common rows as well."""
+    out: dict[str, Column] = {}
+    for x in names:
+        out |= {f"n_{x}": F.col(x).isNotNull().cast("double"), f"s_{x}": F.col(x), f"q_{x}": F.col(x) * F.col(x)}
+    if len(names) == 2:
+        y, x = names
+        both = F.col(y).isNotNull() & F.col(x).isNotNull()
+        masked = {"n": F.lit(1.0), "y": F.col(y), "x": F.col(x), "xy": F.col(y) * F.col(x), "xx": F.col(x) * F.col(x)}
+        out |= {f"{k}_{y}_{x}": F.when(both, v) for k, v in masked.items()}
+    return out
+
+
+def _mean_sd(x: str) -> tuple[Column, Column]:
+    n, s, q = F.col(f"n_{x}"), F.col(f"s_{x}"), F.col(f"q_{x}")
+    spread = q - s * C.div(s, n)
+    # what rounding leaves of a constant is no variation
+    return C.div(s, n), F.sqrt(F.when((n > 1) & (spread > 1e-12 * q), C.div(spread, n - 1)))
+
+
+def moment_sharpe(x: str) -> Column:
+    """Annualised mean over deviation, of the sums of moments(x)."""
+    mean, sd = _mean_sd(x)
+    return C.div(mean, sd) * F.sqrt(F.lit(float(C.TRADING_DAYS)))
+
+
+def moment_mean(x: str, scale: float = 1.0) -> Column:
+    return scale * C.div(F.col(f"s_{x}"), F.col(f"n_{x}"))
+
+
+def moment_slope(y: str, x: str) -> Column:
+    """Least-squares slope, of the sums of moments(y, x)."""
+    of = lambda k: F.col(f"{k}_{y}_{x}")
+    below = of("xx") - of("x") * C.div(of("x"), of("n"))
+    return C.div(of("xy") - of("x") * C.div(of("y"), of("n")), F.when(below > 1e-12 * of("xx"), below))
+
+
+def draws(
+    series: DataFrame, n: int, sums: dict[str, Column], statistics: dict[str, Column], replicates: int = REPLICATES, block: float = BLOCK,
+    seed: int = SEED
+) -> DataFrame:
+    """rep and the statistics (of the sums) of each replicate; series has a row for each idx from 0 to n - 1.
+
+    A segment's sums are the difference of two running sums, and one that passes the end is two segments; so a replicate
+    costs as many rows as it has segment ends, not as many as it has places. All statistics of a replicate share its path.
+    """
+    rows = series.select("idx", *(v.alias(k) for k, v in sums.items()))
+    upto = running_sums(rows, [], "idx", list(sums)).withColumn("idx", F.col("idx") + 1)
+    end = F.col("start") + F.col("length")
+    ends = F.array(
+        F.struct(F.col("start").alias("idx"), F.lit(-1.0).alias("sign")), F.struct(F.least(end, F.lit(n)).alias("idx"), F.lit(1.0).alias("sign")),
+        F.struct(F.greatest(end - n, F.lit(0)).alias("idx"), F.lit(1.0).alias("sign"))
+    )
+    cuts = segments(series.sparkSession, n, replicates, block, seed).select("rep", F.explode(ends).alias("e")).select("rep", "e.idx", "e.sign").where("idx > 0")
+    whole = cuts.join(upto, "idx").groupBy("rep").agg(*(F.sum(F.col("sign") * F.col(k)).alias(k) for k in sums))
+    return whole.select("rep", *(v.alias(k) for k, v in statistics.items()))
 
 
 def interval(drawn: DataFrame, name: str, point: DataFrame | None = None) -> DataFrame:

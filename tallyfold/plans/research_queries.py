@@ -186,18 +186,17 @@ def correlation_pairs(spark, sf):
 
 @query("screened_features")
 def screened_features(spark, sf):
-    return S.screen(complete_rows(spark, sf), NAMES, _GROUP)
+    return S.screen(once(complete_rows(spark, sf)), NAMES, _GROUP)
 
 
 # ---------------------------------------------------------------- inference
 
-#: A study draws 10,000 replicates; the queries draw a tenth, as their SQL computes two digests for each row and replicate.
-REPS, SEED = 1000, 20260823
+REPS, SEED = I.REPLICATES, I.SEED
 _H = "(('0x' || substr(md5('{seed}:{tag}:' || rep || ':' || i), 1, 8))::BIGINT)"
 SERIES = f"""{BENCH.replace(SNAPSHOT, MARKET)}, {NET}, idx AS (SELECT row_number() OVER (ORDER BY a.session) - 1 AS idx, a.excess AS x, b.excess AS y, a.o2c AS r FROM net a JOIN net b USING (symbol, session) WHERE a.benchmark = 'prior_open_close' AND b.benchmark = 'always_long'),
 bn AS (SELECT count(*) AS n FROM idx),
 bg AS (SELECT rep, i, n FROM bn, (SELECT unnest(range(0, {REPS})) AS rep), (SELECT unnest(range(0, (SELECT n FROM bn))) AS i)),
-bh AS (SELECT rep, i, n, i = 0 OR {_H.format(seed=SEED, tag='r')} / 4294967296.0 < 1 / 20.0 AS restart, {_H.format(seed=SEED, tag='s')} % n AS start FROM bg),
+bh AS (SELECT rep, i, n, restart, CASE WHEN restart THEN {_H.format(seed=SEED, tag='s')} % n END AS start FROM (SELECT *, i = 0 OR {_H.format(seed=SEED, tag='r')} / 4294967296.0 < 1 / 20.0 AS restart FROM bg)),
 bp AS (SELECT rep, i, n, last_value(CASE WHEN restart THEN start END IGNORE NULLS) OVER z AS s0, last_value(CASE WHEN restart THEN i END IGNORE NULLS) OVER z AS i0 FROM bh WINDOW z AS (PARTITION BY rep ORDER BY i ROWS UNBOUNDED PRECEDING)),
 path AS (SELECT rep, i, (s0 + i - i0) % n AS idx FROM bp)"""
 
@@ -220,11 +219,10 @@ _SR = "(CASE WHEN stddev_samp({0}) > 0 THEN avg({0}) / stddev_samp({0}) * sqrt(2
 _CI = "round(point, 6) + 0.0 AS point, round(quantile_cont(s, 0.025), 6) + 0.0 AS lo, round(quantile_cont(s, 0.975), 6) + 0.0 AS hi, round(stddev_samp(s), 6) + 0.0 AS se, round(avg(CASE WHEN s <= 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS fraction_nonpositive"
 
 
-def _boot(spark, sf, statistic):
-    d = paired_series(spark, sf)
-    n = d.count()
-    drawn = I.draws(d, n, {"s": statistic}, REPS, seed=SEED)
-    return rounded(I.interval(drawn, "s", d.agg(statistic.alias("point"))), 6)
+def _boot(spark, sf, sums, statistic, point):
+    d = once(paired_series(spark, sf))
+    drawn = I.draws(d, d.count(), sums, {"s": statistic}, REPS, seed=SEED)
+    return rounded(I.interval(drawn, "s", d.agg(point.alias("point"))), 6)
 
 
 def _boot_sql(stat: str) -> str:
@@ -233,17 +231,17 @@ def _boot_sql(stat: str) -> str:
 
 @query("bootstrap_sharpe_ci", _boot_sql(_SR.format("x")))
 def bootstrap_sharpe_ci(spark, sf):
-    return _boot(spark, sf, C.sharpe(F.col("x")))
+    return _boot(spark, sf, I.moments("x"), I.moment_sharpe("x"), C.sharpe(F.col("x")))
 
 
 @query("bootstrap_paired_diff", _boot_sql(f"{_SR.format('x')} - {_SR.format('y')}"))
 def bootstrap_paired_diff(spark, sf):
-    return _boot(spark, sf, C.sharpe(F.col("x")) - C.sharpe(F.col("y")))
+    return _boot(spark, sf, I.moments("x", "y"), I.moment_sharpe("x") - I.moment_sharpe("y"), C.sharpe(F.col("x")) - C.sharpe(F.col("y")))
 
 
 @query("bootstrap_slope", _boot_sql("regr_slope(x, r)"))
 def bootstrap_slope(spark, sf):
-    return _boot(spark, sf, I.slope("x", "r"))
+    return _boot(spark, sf, I.moments("x", "r"), I.moment_slope("x", "r"), I.slope("x", "r"))
 
 
 @query(

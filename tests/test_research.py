@@ -2,10 +2,12 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import DATA, weekdays
 from pyspark.sql import functions as F
 
+from tallyfold.functions import scan
 from tallyfold.functions.smoothing import smooth
 from tallyfold.operators import audit as A
 from tallyfold.operators import calibration as K
@@ -57,6 +59,38 @@ def test_rolling_spearman_against_ranks(spark):
         assert got[end] == pytest.approx(np.corrcoef(ranks(x[end - 29 : end + 1]), ranks(z[end - 29 : end + 1]))[0, 1], abs=1e-12)
 
 
+def test_ranges_of_a_series(spark):
+    rng = np.random.default_rng(8)
+    series = {("A", "f"): 100, ("A", "g"): 29, ("B", "f"): 61}
+    data = {k: (rng.integers(0, 4, n).astype(float), rng.normal(size=n)) for k, n in series.items()}
+    data["B", "g"] = (np.ones(70), rng.normal(size=70))
+    rows = [(*k, i, float(a), float(b)) for k, (x, z) in data.items() for i, (a, b) in enumerate(zip(x, z))]
+    long = spark.createDataFrame(rows, "symbol string, feature string, pos bigint, x double, z double").repartition(6)
+    for block in (1, 7, 64, 1000):
+        got = {(r["symbol"], r["feature"], r["pos"]): r["rho"] for r in S.rolling_spearman(long, 30, block=block).collect()}
+        assert len(got) == 71 + 32 + 41
+        for (s, f), (x, z) in data.items():
+            want = pd.Series([pd.Series(x[e - 29 : e + 1]).rank().corr(pd.Series(z[e - 29 : e + 1]).rank()) for e in range(29, len(x))])
+            for e, v in zip(range(29, len(x)), want):
+                assert (got[s, f, e] is None) == (v != v) and (v != v or got[s, f, e] == pytest.approx(v, abs=1e-12))
+
+
+def test_co_moments_merge(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 4)) * [1, 1e-3, 5, 0] + [1e6, 0, -3, 7]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 2] += 0.5 * np.nan_to_num(x[:, 1]) * 1e3
+    rows = [("A" if i % 3 else "B", *(None if v != v else float(v) for v in r)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol string, a double, b double, c double, d double").repartition(5)
+    got = {(r["symbol"], r["a"], r["b"]): r["corr"] for r in S.correlation_pairs(df, list("abcd")).collect()}
+    assert len(got) == 12
+    for s in "AB":
+        want = pd.DataFrame([r[1:] for r in rows if r[0] == s], columns=list("abcd"), dtype=float).corr()
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            assert got[s, "abcd"[i], "abcd"[j]] == pytest.approx(want.iloc[i, j], abs=1e-7)
+        assert got[s, "a", "d"] is None
+
+
 def test_smoothing_matches_the_recursion(spark):
     rows = [("A", d, v) for d, v in zip(weekdays(30), (np.arange(30.0) ** 1.5).tolist())]
     out = smooth(spark.createDataFrame(rows, "symbol string, session date, x double"), {"y": ("x", 0.3, 3)}).orderBy("session").collect()
@@ -73,10 +107,62 @@ def test_paired_bootstrap_is_tighter(spark):
         [(i, float(c), float(c + e)) for i, (c, e) in enumerate(zip(common, rng.normal(scale=0.1, size=300)))],
         "idx bigint, x double, y double"
     )
-    r = I.draws(d, 300, {"d": F.avg("x") - F.avg("y"), "x": F.avg("x")}, 60)
+    mean = {"d": I.moment_mean("x") - I.moment_mean("y"), "x": I.moment_mean("x")}
+    r = I.draws(d, 300, I.moments("x", "y"), mean, 60)
     assert I.interval(r, "d").first()["se"] < I.interval(r, "x").first()["se"]
-    paths = I.index_paths(spark, 50, 20)
-    assert paths.count() == 1000 and paths.where("idx < 0 OR idx >= 50").count() == 0
+    parts = I.segments(spark, 50, 20)
+    assert parts.agg(F.sum("length")).first()[0] == 1000 and parts.where("start < 0 OR start >= 50 OR length < 1").count() == 0
+
+
+def test_replicates_by_their_places(spark):
+    rng = np.random.default_rng(2)
+    n, reps = 300, 25
+    x, y = rng.normal(size=n), rng.normal(size=n)
+    x[7] = np.nan
+    d = spark.createDataFrame([(i, None if a != a else float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "idx bigint, x double, y double")
+    stats = {"sharpe": I.moment_sharpe("y"), "slope": I.moment_slope("x", "y"), "mean": I.moment_mean("x", 252.0)}
+    got = {r["rep"]: r for r in I.draws(d, n, I.moments("x", "y"), stats, reps, 8.0).collect()}
+    places = {}
+    for r in I.segments(spark, n, reps, 8.0).orderBy("rep", "at").collect():
+        places.setdefault(r["rep"], []).extend((r["start"] + k) % n for k in range(r["length"]))
+    assert sorted(got) == sorted(places) == list(range(reps))
+    for rep, at in places.items():
+        assert len(at) == n
+        a, b = x[at], y[at]
+        known = ~np.isnan(a)
+        assert got[rep]["sharpe"] == pytest.approx(b.mean() / b.std(ddof=1) * np.sqrt(252))
+        assert got[rep]["mean"] == pytest.approx(252 * a[known].mean())
+        assert got[rep]["slope"] == pytest.approx(np.cov(a[known], b[known])[0, 1] / b[known].var(ddof=1))
+
+
+@pytest.mark.parametrize("levels", [0, 1, 2])
+def test_scans_of_blocks(spark, monkeypatch, levels):
+    monkeypatch.setattr(scan, "BLOCK", 4)
+    rng = np.random.default_rng(4)
+    maps = {s: rng.integers(0, 3, (n, 3)) for s, n in (("a", 1), ("b", 50), ("c", 33))}
+    rows = [(s, i, "x", tuple(map(int, m))) for s, ms in maps.items() for i, m in enumerate(ms)]
+    df = spark.createDataFrame(rows, "k string, at bigint, other string, m struct<u: int, v: int, w: int>").repartition(5)
+    pick = lambda m, s: f"CASE {s} WHEN 0 THEN {m}.u WHEN 1 THEN {m}.v ELSE {m}.w END"
+    compose = lambda f, g: "struct(" + ", ".join(f"{pick(g, f'{f}.{k}')} AS {k}" for k in "uvw") + ")"
+    got = {(r["k"], r["at"]): r["state"] for r in scan.scan(df, ["k"], "at", "1", compose, pick, levels=levels).collect()}
+    for s, ms in maps.items():
+        state = 1
+        for i, m in enumerate(ms):
+            state = int(m[state])
+            assert got[s, i] == state
+    assert len(got) == 84
+
+
+def test_smoothing_of_gaps_and_of_means(spark, monkeypatch):
+    monkeypatch.setattr(scan, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    x = pd.Series(np.where(rng.random(90) < 0.3, np.nan, rng.normal(size=90)))
+    rows = [("A", d, None if v != v else float(v)) for d, v in zip(weekdays(90), x)]
+    out = smooth(spark.createDataFrame(rows, "symbol string, session date, x double"), {"a": ("x", 0.3, 1), "b": ("x", 0.1, 5), "c": ("a - b", 0.5, 2)})
+    got = out.orderBy("session").toPandas()
+    a, b = (x.ewm(alpha=q, min_periods=k, adjust=False).mean() for q, k in ((0.3, 1), (0.1, 5)))
+    for name, want in (("a", a), ("b", b), ("c", (a - b).ewm(alpha=0.5, min_periods=2, adjust=False).mean())):
+        assert np.allclose(got[name].to_numpy(float), want.to_numpy(float), equal_nan=True), name
 
 
 def test_parametric_helpers():
