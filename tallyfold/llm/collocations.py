@@ -37,9 +37,10 @@ TOP = 2000
 #: Drop a phrase that at least COVERED percent of the time is part of one longer candidate.
 COVERED = 80
 SCALE = 2_000_000
-#: Bytes of text of a bundle, and tokens for each range of keys.
-BUNDLE_BYTES = 16 << 20
+#: Bytes of text of a bundle, tokens for each range of keys, keys that a task gathers from its bundles where no reply is due.
+BUNDLE_BYTES = 32 << 20
 RANGE_TOKENS = 2 << 20
+GATHER_KEYS = 4 << 20
 #: Texts are cut into words in steps of about this many bytes.
 STEP_BYTES = 1 << 20
 NO_LANG = "und"
@@ -256,8 +257,16 @@ def long_runs(ids: DataFrame, replies: DataFrame, bases: DataFrame, parts: int)
     lists = replies.join(bases, "part").groupBy("src").agg(F.collect_list(F.struct("base", "keys", "ranks")).alias("replies"))
 
     def code(batches):
+        held: dict[str, list[np.ndarray]] = {"3": [], "4": []}
+
+        def flush():
+            for kind, keys in held.items():
+                if keys:
+                    yield from _run_rows(kind, 0, np.concatenate(keys), parts)
+                    keys.clear()
+
         for b in batches:
-            for src, blob, found in zip(*(b.column(c) for c in ("src", "ids", "replies"))):
+            for blob, found in zip(b.column("ids"), b.column("replies")):
                 ids, found = unpack(blob.as_py(), np.uint32), found.as_py()
                 keys = np.concatenate([unpack(x["keys"], np.uint64) for x in found])
                 numbers = np.concatenate([unpack(x["ranks"], np.uint32).astype(np.int64) + x["base"] + 1 for x in found]).astype(np.uint32)
@@ -266,10 +275,13 @@ def long_runs(ids: DataFrame, replies: DataFrame, bases: DataFrame, parts: int)
                 own = ids[:-1].astype(np.uint64) << _PAIR | ids[1:].astype(np.uint64)
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 pairs = np.where(keys[at] == own, numbers[at], np.uint32(0))
-                yield from _run_rows("3", src.as_py(), neighbours(pairs), parts)
-                a, b_, c = pairs[:-2], pairs[1:-1], pairs[2:]
-                whole = (a > 0) & (b_ > 0) & (c > 0)
-                yield from _run_rows("4", src.as_py(), a[whole].astype(np.uint64) << _PAIR | c[whole].astype(np.uint64), parts)
+                held["3"].append(neighbours(pairs))
+                first, third = pairs[:-2], pairs[2:]
+                whole = (first > 0) & (pairs[1:-1] > 0) & (third > 0)
+                held["4"].append(first[whole].astype(np.uint64) << _PAIR | third[whole].astype(np.uint64))
+                if sum(len(k) for keys in held.values() for k in keys) >= GATHER_KEYS:
+                    yield from flush()
+        yield from flush()
 
     return ids.select("src", F.col("keys").alias("ids")).join(lists, "src").mapInArrow(code, _RUNS)
 
