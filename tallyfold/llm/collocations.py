@@ -31,7 +31,6 @@ from .common import ensure_columns, prepare, written
 from .words import mix
 
 MIN_COUNT = 30
-MAX_WORDS = 4
 #: The best phrases of each language that are reported.
 TOP = 2000
 #: Drop a phrase that at least COVERED percent of the time is part of one longer candidate.
@@ -122,10 +121,10 @@ def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def dictionary(bundles: DataFrame) -> DataFrame:
-    """lang, word, a (occurrences), id: the words with at least MIN_COUNT occurrences in their language, numbered from 1, written."""
+def dictionary(bundles: DataFrame, least: int) -> DataFrame:
+    """lang, word, a (occurrences), id: the words with at least `least` occurrences in their language, numbered from 1, written."""
     words = bundles.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("lang", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    frequent = words.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= MIN_COUNT)
+    frequent = words.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     return written(numbered(written(frequent.withColumn("part", F.spark_partition_id()).withColumn("rank", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "frequent")), "dictionary")
 
 
@@ -205,9 +204,9 @@ class Range:
         self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
         self.new, self.size = [], 0
 
-    def frequent(self) -> tuple[np.ndarray, np.ndarray]:
+    def frequent(self, least: int) -> tuple[np.ndarray, np.ndarray]:
         self.merge()
-        keep = self.counts >= MIN_COUNT
+        keep = self.counts >= least
         return self.keys[keep], self.counts[keep]
 
 
@@ -217,8 +216,8 @@ _GRAMS_ARROW = pa.schema(
 )
 
 
-def count_runs(runs: DataFrame, parts: int, replies: bool) -> DataFrame:
-    """Rows for each key that reaches MIN_COUNT: kind of its runs, part, rank in it, both halves x, y and its count a.
+def count_runs(runs: DataFrame, parts: int, replies: bool, least: int) -> DataFrame:
+    """Rows for each key that reaches `least`: kind of its runs, part, rank in it, both halves x, y and its count a.
 
     With replies also rows of kind `reply`: to each bundle, its keys that do, with their ranks. A range's runs are in
     one task, and each task has one range.
@@ -234,7 +233,7 @@ def count_runs(runs: DataFrame, parts: int, replies: bool) -> DataFrame:
                     sent.append((row["part"], row["src"], row["kind"], row["keys"]))
         known = {}
         for (kind, part), r in ranges.items():
-            keys, counts = known[kind, part] = r.frequent()
+            keys, counts = known[kind, part] = r.frequent(least)
             r.keys = r.counts = None
             for a in range(0, len(keys), 65_536):
                 k, n = keys[a : a + 65_536], min(65_536, len(keys) - a)
@@ -286,27 +285,27 @@ def long_runs(ids: DataFrame, replies: DataFrame, bases: DataFrame, parts: int)
     return ids.select("src", F.col("keys").alias("ids")).join(lists, "src").mapInArrow(code, _RUNS)
 
 
-def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables: (lang, word, a, id) of frequent words; (g, a) of frequent phrases of 1 to MAX_WORDS words, g their
+def count_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = MIN_COUNT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: (lang, word, a, id) of frequent words; (g, a) of frequent phrases of 1 to 4 words, g their
     ids; (lang, n) of all words. Texts of any length, also without a break, are taken whole; a null text is an empty one.
     """
     spark = prepare(docs.sparkSession)
     wanted = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     bundles = written(wanted.mapInArrow(tokenise, _TOKENS), "bundles")
     totals = written(bundles.groupBy("lang").agg(F.sum("tokens").alias("n")), "totals")
-    found = dictionary(bundles)
+    found = dictionary(bundles, least)
     tokens = totals.agg(F.sum("n")).first()[0] or 0
     parts = 1 << max(int(spark.conf.get("spark.sql.shuffle.partitions")) - 1, tokens // RANGE_TOKENS).bit_length()
     if (found.agg(F.max("id")).first()[0] or 0) >= 1 << 32:
         raise ValueError("more than 2^32 frequent words")
     coded = pair_runs(bundles, found.select("lang", "word", "id"), parts)
-    counted = written(count_runs(coded.where("kind = '2'"), parts, True), "pair_counts")
+    counted = written(count_runs(coded.where("kind = '2'"), parts, True, least), "pair_counts")
     pairs = written(numbered(counted.where("kind = '2'").select("part", "rank", "x", "y", "a")), "pair_ids")
     if (pairs.agg(F.max("id")).first()[0] or 0) >= 1 << 32:
         raise ValueError("more than 2^32 frequent pairs")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     bases = counted.where("kind = '2'").groupBy("part").agg((F.max("rank") + 1).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    longer = written(count_runs(long_runs(coded.where("kind = 'ids'"), counted.where("kind = 'reply'").select("part", "src", "keys", "ranks"), bases, parts), parts, False), "long_counts")
+    longer = written(count_runs(long_runs(coded.where("kind = 'ids'"), counted.where("kind = 'reply'").select("part", "src", "keys", "ranks"), bases, parts), parts, False, least), "long_counts")
     first, last = (pairs.select(F.col("id").alias(k), F.col("x").alias(f"{k}1"), F.col("y").alias(f"{k}2")) for k in "xy")
     whole = longer.select("kind", "x", "y", "a").join(first, "x").join(last, "y")
     g = F.when(F.col("kind") == "3", F.array("x1", "x2", "y2")).otherwise(F.array("x1", "x2", "y1", "y2"))
@@ -332,13 +331,14 @@ def scored(grams: DataFrame) -> DataFrame:
     return best.join(covered, "g", "left").where(kept).select("g", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: each language's best phrases of 2 to MAX_WORDS words.
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP, least: int = MIN_COUNT) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: each language's best phrases of 2 to 4 words that occur at least
+    `least` times.
 
     A null language is NO_LANG, a null or empty text has no words; repeated rows count each. Ties of score and a are
     broken by the phrase. Other columns are not looked at. An empty table gives an empty one.
     """
-    found, grams, totals = count_phrases(docs, text, lang)
+    found, grams, totals = count_phrases(docs, text, lang, least)
     words = found.select("id", "lang", "word")
     of_lang = scored(grams).withColumn("id", F.col("g")[0]).join(words.select("id", "lang"), "id").drop("id")
     # rank() leaves all ties in, so words are looked up for no more than what can be reported
