@@ -1,11 +1,9 @@
-"""Exponential means, as scans of affine maps, and expanding quantiles."""
+"""Exponential means, as scans of affine maps."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .scan import scan
 
@@ -53,21 +51,3 @@ def _smooth_all(d: DataFrame, outputs: dict[str, tuple[str, float, int]], symbol
     out = scan(d.withColumn("m", F.struct(*parts)), [symbol], "__at", start, compose, apply, "__state")
     made = [F.when(F.col(f"__state.n{i}") >= max(least, 1), F.col(f"__state.y{i}")).alias(name) for i, (name, (_, _, least)) in enumerate(outputs.items())]
     return out.select(*(F.col(f"`{c}`") for c in columns), *made)
-
-
-def expanding_quantiles(
-    df: DataFrame, outputs: dict[str, tuple[str, float, int]], symbol: str = "symbol", session: str = "session"
-) -> DataFrame:
-    """Adds each output = (input, q, least): the interpolated q-quantile of all values up to a row, NULL below `least` of them.
-
-    A window over an unbounded frame would sort all earlier rows again at each row; here a series keeps them in order.
-    """
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in outputs)])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(session)
-        for name, (source, q, least) in outputs.items():
-            pdf[name] = pdf[source].astype(float).expanding(min_periods=least).quantile(q)
-        return pdf
-
-    return df.groupBy(symbol).applyInPandas(run, schema)

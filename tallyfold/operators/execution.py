@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import core as C
 from ..functions.scan import scan
-from ..functions.smoothing import expanding_quantiles
+from ..functions.quantiles import expanding_quantiles
 
 BORROW_BPS = 30.0
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,29 +116,43 @@ def indexed(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return df.withColumn("idx", F.row_number().over(Window.partitionBy(*(by or [])).orderBy("session")).cast("long") - 1)
 
 
-def politis_white(x: np.ndarray) -> float:
-    """Block length for the stationary bootstrap by the flat-top lag window, with the published correction."""
-    x = np.asarray(x, float)
-    n = len(x)
-    if n < 8 or not np.var(x):
-        return 1.0
-    d = x - x.mean()
-    k_n, m_max = max(5, math.ceil(math.log10(n))), math.ceil(math.sqrt(n)) + max(5, math.ceil(math.log10(n)))
-    cov = np.array([(d[: n - k] * d[k:]).sum() / n for k in range(min(m_max + k_n, n - 1) + 1)])
-    small = np.abs(cov[1:] / cov[0]) < 2 * math.sqrt(math.log10(n) / n)
-    m = next((i for i in range(len(small) - k_n + 1) if small[i : i + k_n].all()), None)
-    if m is None:
-        big = np.flatnonzero(~small)
-        m = int(big[-1]) + 1 if len(big) else 1
-    top = min(2 * max(m, 1), m_max, len(cov) - 1)
-    k = np.arange(1, top + 1)
-    window = np.clip(2 * (1 - k / top), 0, 1)
-    g = 2 * (window * k * cov[1 : top + 1]).sum()
-    spectrum = cov[0] + 2 * (window * cov[1 : top + 1]).sum()
-    if spectrum == 0:
-        return 1.0
-    best = (2 * g * g / (2 * spectrum * spectrum)) ** (1 / 3) * n ** (1 / 3)
-    return float(min(max(best, 1.0), math.ceil(min(3 * math.sqrt(n), n / 3))))
+def autocovariances(series: DataFrame, x: str, by: list[str], lags: int, session: str = "session") -> DataFrame:
+    """by, n, lag, cov: the sum of (x_i - mean)(x_(i + lag) - mean) over n, for each lag from 0 to `lags` that the series has.
+
+    A row has its lagged values as an array; all lags of all series are one aggregate, which tasks sum up before the shuffle.
+    Rows where x is NULL take no part.
+    """
+    w = Window.partitionBy(*by)
+    d = series.select(*by, session, F.col(x).cast("double").alias("__x")).where("__x IS NOT NULL")
+    d = d.select(*by, session, (F.col("__x") - F.avg("__x").over(w)).alias("__d"), F.count(F.lit(1)).over(w).alias("n"))
+    back = F.collect_list("__d").over(w.orderBy(session).rowsBetween(-lags, 0))
+    pairs = d.select(*by, "n", "__d", back.alias("__back")).select(*by, "n", "__d", F.posexplode(F.reverse("__back")).alias("lag", "__e"))
+    return pairs.groupBy(*by, "n", "lag").agg((F.sum(F.col("__d") * F.col("__e")) / F.col("n")).alias("cov"))
+
+
+def block_lengths(series: DataFrame, x: str, by: list[str], session: str = "session") -> DataFrame:
+    """by, block: block length for the stationary bootstrap by the flat-top lag window, with the published correction.
+
+    1 for fewer than 8 values and for a constant. The longest series (one number, read by the driver) says how many lags a row keeps.
+    """
+    longest = series.groupBy(*by).agg(F.count(x).alias("n")).agg(F.max("n")).first()[0] or 0
+    run = max(5, math.ceil(math.log10(max(longest, 1))))
+    cov = autocovariances(series, x, by, math.ceil(math.sqrt(longest)) + 2 * run, session)
+    one = cov.groupBy(*by, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "cov"))), lambda c: c["cov"]).alias("all"))
+    one = one.withColumn("run", F.greatest(F.lit(5), F.ceil(F.log10("n")).cast("int")))
+    one = one.withColumn("most", F.ceil(F.sqrt("n")).cast("int") + F.col("run"))
+    one = one.withColumn("c", F.expr("slice(all, 1, least(most + run, n - 1) + 1)"))
+    one = one.withColumn("small", F.expr("transform(slice(c, 2, size(c)), v -> abs(v) < 2 * sqrt(log10(n) / n) * c[0])"))
+    quiet = "filter(sequence(0, size(small) - run), i -> forall(slice(small, i + 1, run), v -> v))"
+    large = "filter(sequence(1, size(small)), i -> NOT small[i - 1])"
+    known = (F.col("n") >= 8) & (F.try_element_at("c", F.lit(1)) > 0)
+    one = one.withColumn("m", F.when(known, F.expr(f"coalesce(get({quiet}, 0), array_max({large}), 1)")))
+    one = one.withColumn("top", F.expr("least(2 * greatest(m, 1), most, size(c) - 1)"))
+    weighted = "aggregate(sequence(1, top), 0D, (s, k) -> s + least(greatest(2 * (1 - k / top), 0), 1) * {} c[k])"
+    one = one.withColumns({"g": F.when(known, 2 * F.expr(weighted.format("k *"))), "s": F.when(known, F.expr("c[0]") + 2 * F.expr(weighted.format("")))})
+    best = F.expr("power(g * g / nullif(s * s, 0), 1D / 3) * power(n, 1D / 3)")
+    bounded = F.least(F.greatest(best, F.lit(1.0)), F.expr("ceil(least(3 * sqrt(n), n / 3))").cast("double"))
+    return one.select(*by, F.when(F.col("s") != 0, bounded).otherwise(1.0).alias("block"))
 
 
 def jobson_korkie(a: str, b: str) -> list[Column]:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import prefix_quantiles
+
 LOW, HIGH, TINY = 0.25, 0.75, 1e-8
 
 
@@ -52,18 +52,13 @@ def outer_steps(n: int, initial: int, step: int, retune_every: int, rolling: int
 
 
 def step_thresholds(rows: DataFrame, initial: int, step: int) -> DataFrame:
-    """symbol, step, q_lo, q_hi, n_train: thresholds of every expanding slice, rows(symbol, pos, z).
-
-    A series is one task, which reads its rows once; z is never missing.
-    """
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        z = pdf.sort_values("pos")["z"].to_numpy()
-        ends = range(initial, len(z), step)
-        q = [np.quantile(z[:n], [LOW, HIGH]) for n in ends]
-        return pd.DataFrame([(key[0], k, *map(float, v), n) for k, (v, n) in enumerate(zip(q, ends))], columns=["symbol", "step", "q_lo", "q_hi", "n_train"])
-
-    return rows.select("symbol", "pos", "z").groupBy("symbol").applyInPandas(run, "symbol string, step int, q_lo double, q_hi double, n_train bigint")
+    """symbol, step, q_lo, q_hi, n_train: thresholds of every expanding slice, rows(symbol, pos, z); z is never missing."""
+    end = (F.col("n") >= initial) & (F.col("n") < F.col("__all")) & ((F.col("n") - initial) % step == 0)
+    found = prefix_quantiles(rows, ["symbol"], "pos", "z", [LOW, HIGH], end)
+    of = lambda q: F.max(F.when(F.col("q") == q, F.col("value")))
+    return found.groupBy("symbol", "n").agg(of(LOW).alias("q_lo"), of(HIGH).alias("q_hi")).select(
+        "symbol", ((F.col("n") - initial) / step).cast("int").alias("step"), "q_lo", "q_hi", F.col("n").alias("n_train")
+    )
 
 
 def class_means(r: str, y: str) -> list[Column]:

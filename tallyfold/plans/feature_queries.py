@@ -8,7 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import core as C
-from ..functions.smoothing import expanding_quantiles, smooth
+from ..functions.quantiles import expanding_quantiles
+from ..functions.smoothing import smooth
 from ..operators import features as X
 from .base import BARS, SNAPSHOT, market_bars, query, rnd, rounded, snapshot
 

@@ -311,13 +311,7 @@ SELECT symbol, round(CASE WHEN spectrum = 0 THEN 1 ELSE least(greatest(pow(g * g
 
 @query("politis_white", _POLITIS)
 def politis_white(spark, sf):
-    # one series of one symbol is as long as its sessions
-    def run(pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "block": [I.politis_white(pdf.sort_values("session")["o2c"].to_numpy())]})
-
-    return rounded(frame(spark, sf).groupBy("symbol").applyInPandas(run, "symbol string, block double"), 6)
+    return rounded(I.block_lengths(frame(spark, sf), "o2c", ["symbol"]), 6)
 
 
 # ---------------------------------------------------------------- calibration

@@ -8,6 +8,7 @@ from conftest import DATA, weekdays
 from pyspark.sql import functions as F
 
 from tallyfold.functions import scan
+from tallyfold.functions.quantiles import expanding_quantiles
 from tallyfold.functions.smoothing import smooth
 from tallyfold.operators import audit as A
 from tallyfold.operators import calibration as K
@@ -167,12 +168,71 @@ def test_smoothing_of_gaps_and_of_means(spark, monkeypatch):
 
 def test_parametric_helpers():
     assert I.expected_max_sharpe(1, 0.1) == 0 and 0.2 < I.expected_max_sharpe(100, 0.1) < 0.3
-    assert I.politis_white(np.ones(50)) == 1.0
-    x = np.random.default_rng(0).normal(size=500)
-    ar = np.zeros(500)
-    for i in range(1, 500):
-        ar[i] = 0.8 * ar[i - 1] + x[i]
-    assert I.politis_white(ar) > I.politis_white(x)
+
+
+def plain_block_length(x):
+    x = np.asarray(x, float)
+    n = len(x)
+    if n < 8 or not np.var(x):
+        return 1.0
+    d = x - x.mean()
+    k_n, m_max = max(5, math.ceil(math.log10(n))), math.ceil(math.sqrt(n)) + max(5, math.ceil(math.log10(n)))
+    cov = np.array([(d[: n - k] * d[k:]).sum() / n for k in range(min(m_max + k_n, n - 1) + 1)])
+    small = np.abs(cov[1:] / cov[0]) < 2 * math.sqrt(math.log10(n) / n)
+    m = next((i for i in range(len(small) - k_n + 1) if small[i : i + k_n].all()), None)
+    if m is None:
+        big = np.flatnonzero(~small)
+        m = int(big[-1]) + 1 if len(big) else 1
+    top = min(2 * max(m, 1), m_max, len(cov) - 1)
+    k = np.arange(1, top + 1)
+    window = np.clip(2 * (1 - k / top), 0, 1)
+    g = 2 * (window * k * cov[1 : top + 1]).sum()
+    spectrum = cov[0] + 2 * (window * cov[1 : top + 1]).sum()
+    if spectrum == 0:
+        return 1.0
+    best = (2 * g * g / (2 * spectrum * spectrum)) ** (1 / 3) * n ** (1 / 3)
+    return float(min(max(best, 1.0), math.ceil(min(3 * math.sqrt(n), n / 3))))
+
+
+def test_block_lengths_of_many_series(spark):
+    rng = np.random.default_rng(0)
+    kinds = {"one": np.ones(50), "short": rng.normal(size=7), "white": rng.normal(size=500), "eight": rng.normal(size=8), "ar": np.zeros(500), "slow": np.zeros(2000)}
+    for name, k in (("ar", 0.8), ("slow", 0.97)):
+        for i in range(1, len(kinds[name])):
+            kinds[name][i] = k * kinds[name][i - 1] + rng.normal()
+    rows = [(s, i, float(v)) for s, x in kinds.items() for i, v in enumerate(x)] + [("white", 1000, None), ("none", 0, None)]
+    d = spark.createDataFrame(rows, "symbol string, session int, x double")
+    got = {r["symbol"]: r["block"] for r in I.block_lengths(d, "x", ["symbol"]).collect()}
+    want = {s: plain_block_length(x) for s, x in kinds.items()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-9 * want[s] for s in want), (got, want)
+    assert got["one"] == got["short"] == 1.0 and got["ar"] > got["white"]
+    assert I.block_lengths(d.limit(0), "x", ["symbol"]).count() == 0
+
+
+def test_expanding_quantiles_over_many_blocks(spark):
+    rng = np.random.default_rng(3)
+    long = np.concatenate([rng.normal(size=900), np.sort(rng.normal(size=700)), -np.sort(rng.normal(size=700)), np.repeat(0.25, 300)])
+    kinds = {"long": long, "ties": rng.integers(0, 4, 700).astype(float), "one": np.array([2.0]), "gone": np.array([np.nan] * 3)}
+    kinds["long"][rng.random(len(long)) < 0.1] = np.nan
+    rows = [(s, i, None if v != v and i % 2 else float(v)) for s, x in kinds.items() for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "symbol string, session int, x double").repartition(7)
+    spec = {"low": ("x", 0.0, 1), "some": ("x", 0.3, 60), "most": ("x", 0.97, 5), "high": ("x", 1.0, 1)}
+    got = expanding_quantiles(d, spec).toPandas().sort_values("session")
+    assert len(got) == len(rows)
+    for s, x in kinds.items():
+        own = got[got["symbol"] == s]
+        for name, (_, q, least) in spec.items():
+            want = pd.Series(x).expanding(min_periods=least).quantile(q).to_numpy()
+            assert np.allclose(own[name].to_numpy(float), want, rtol=0, atol=1e-12, equal_nan=True), (s, name)
+    assert expanding_quantiles(d.limit(0), spec).count() == 0
+
+
+def test_step_thresholds_of_long_series(spark):
+    z = {"a": np.random.default_rng(1).normal(size=1500), "b": np.random.default_rng(2).normal(size=210), "c": np.zeros(150)}
+    d = spark.createDataFrame([(s, i, float(v)) for s, x in z.items() for i, v in enumerate(x)], "symbol string, pos long, z double")
+    got = {(r["symbol"], r["step"]): (r["q_lo"], r["q_hi"], r["n_train"]) for r in L.step_thresholds(d, 200, 21).collect()}
+    want = {(s, k): (*np.quantile(x[:n], [0.25, 0.75]), n) for s, x in z.items() for k, n in enumerate(range(200, len(x), 21))}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
 
 
 def probabilities(spark, n=400):
