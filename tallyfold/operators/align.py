@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.core import series
 
+#: rows of a table that may be sent to all executors
+SMALL = 100_000
+
+
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """The table, to be broadcast if it has no more rows than SMALL; else Spark chooses."""
+    return F.broadcast(table) if rows <= SMALL else table
+
 
 def left_align(spine: DataFrame, source: DataFrame, on: list[str]) -> DataFrame:
     """All rows of the spine with the source's columns where it has the same key."""
@@ -76,11 +84,12 @@ def asof_bucket(events: DataFrame, grid: DataFrame, ts: str, at: str = "close_ut
     """The first session of the grid that closes at or after the event: left-open, right-closed buckets; NULL after the last.
 
     A table with a row for each day of the grid's span has the day's closes and the first session after that
-    day. Events look their day up in it, so they are not shuffled, sorted or compared with other days.
+    day. Events look their day up in it, so they are not shuffled, sorted or compared with other days, unless the grid
+    has more than SMALL days and closes.
     """
     closes = grid.select(F.to_date(at).alias("__day"), F.col(at).alias("__at"), F.col(session).alias("__session"))
     by_day = closes.groupBy("__day").agg(F.array_sort(F.collect_list(F.struct("__at", "__session"))).alias("__closes"))
-    first, last = closes.agg(F.min("__day"), F.max("__day")).first()
+    first, last, size = closes.agg(F.min("__day"), F.max("__day"), F.count(F.lit(1))).first()
     events = events.withColumn("__day", F.to_date(ts))
     if last is None:
         return events.withColumn(session, F.lit(None).cast("date")).drop("__day")
@@ -90,12 +99,37 @@ def asof_bucket(events: DataFrame, grid: DataFrame, ts: str, at: str = "close_ut
     own = F.filter("__closes", lambda c: c["__at"] >= F.col(ts))
     before = F.lit(first).cast("date")
     joined = events.withColumn("__key", F.greatest(F.col("__day"), before)).join(
-        F.broadcast(table.withColumnRenamed("__day", "__key")), "__key", "left"
+        small(table.withColumnRenamed("__day", "__key"), (last - first).days + size), "__key", "left"
     )  # one row a day of the grid
     hit = F.coalesce(F.get(own, F.lit(0))["__session"], F.col("__next"))
     return joined.withColumn(session, F.when(F.col(ts).isNotNull(), hit)).drop("__day", "__key", "__closes", "__next")
 
 
+def asof_by(
+    events: DataFrame, grid: DataFrame, ts: str, by: list[str], at: str = "close_utc", session: str = "session", unit: str = "day"
+) -> DataFrame:
+    """As asof_bucket with a grid for each key (by): the first session of the event's key that closes at or after the event.
+
+    Time is cut into cells of one unit. The closes of a cell are an array, and the first one after a cell is carried back over the
+    cells of its key; so events are never sorted, and a key's events meet only its cells, in a join by (key, cell) that Spark
+    may split where one is hot. Of closes at one instant the smallest session counts. NULL after the last close, for
+    events without a time, and for keys that the grid does not have.
+    """
+    when, key = F.date_trunc(unit, F.col(ts)), [*by, "__cell"]
+    closes = grid.where(F.col(at).isNotNull()).select(
+        *by, F.date_trunc(unit, F.col(at)).alias("__cell"), F.struct(F.col(at).alias("__at"), F.col(session).alias("__session")).alias("__close")
+    )
+    of_cell = closes.groupBy(*key).agg(F.array_sort(F.collect_list("__close")).alias("__closes"))
+    met = events.select(*by, when.alias("__cell")).where("__cell IS NOT NULL").distinct().join(of_cell.select(*key, F.lit(1).alias("__own")), key, "left_anti")
+    cells = of_cell.unionByName(met, allowMissingColumns=True)
+    later = Window.partitionBy(*by).orderBy(F.desc("__cell")).rowsBetween(Window.unboundedPreceding, -1)
+    table = cells.withColumn("__next", F.last(F.get("__closes", F.lit(0))["__session"], ignorenulls=True).over(later))
+    joined = events.withColumn("__cell", when).join(table, key, "left")
+    own = F.filter("__closes", lambda c: c["__at"] >= F.col(ts))
+    found = joined.withColumn("__found", F.coalesce(F.get(own, F.lit(0))["__session"], F.col("__next")))
+    return found.select(*(F.col(c) for c in events.columns if c != session), F.col("__found").alias(session))
+
+
 def roll_forward(dates: DataFrame, grid: DataFrame, on: str, session: str = "session") -> DataFrame:
     """The first session at or after a date, NULL after the last. The table of days is as long as the grid's span."""
     bounds = grid.agg(F.min(session), F.max(session)).first()
@@ -107,7 +141,7 @@ def roll_forward(dates: DataFrame, grid: DataFrame, on: str, session: str = "ses
     table = days.join(marks, F.col("__day") == F.col("__s"), "left").select("__day", F.last("__s", ignorenulls=True).over(w).alias(session))
     key = F.greatest(F.col(on), F.lit(bounds[0]).cast("date"))
     return dates.withColumn("__key", key).join(
-        F.broadcast(table.withColumnRenamed("__day", "__key")), "__key", "left"
+        small(table.withColumnRenamed("__day", "__key"), (bounds[1] - bounds[0]).days + 1), "__key", "left"
     ).drop("__key")  # one row a day: 36,525 a century
 
 

@@ -83,23 +83,23 @@ def moment_slope(y: str, x: str) -> Column:
 
 def draws(
     series: DataFrame, n: int, sums: dict[str, Column], statistics: dict[str, Column], replicates: int = REPLICATES, block: float = BLOCK,
-    seed: int = SEED
+    seed: int = SEED, by: list[str] = []
 ) -> DataFrame:
-    """rep and the statistics (of the sums) of each replicate; series has a row for each idx from 0 to n - 1.
+    """by, rep and the statistics (of the sums) of each replicate; a series (by) has a row for each idx from 0 to n - 1.
 
     A segment's sums are the difference of two running sums, and one that passes the end is two segments; so a replicate
-    costs as many rows as it has segment ends, not as many as it has places. All statistics of a replicate share its path.
+    costs as many rows as it has segment ends, not as many as it has places. All statistics of a replicate, and all series, share its path.
     """
-    rows = series.select("idx", *(v.alias(k) for k, v in sums.items()))
-    upto = running_sums(rows, [], "idx", list(sums)).withColumn("idx", F.col("idx") + 1)
+    rows = series.select(*by, "idx", *(v.alias(k) for k, v in sums.items()))
+    upto = running_sums(rows, by, "idx", list(sums)).withColumn("idx", F.col("idx") + 1)
     end = F.col("start") + F.col("length")
     ends = F.array(
         F.struct(F.col("start").alias("idx"), F.lit(-1.0).alias("sign")), F.struct(F.least(end, F.lit(n)).alias("idx"), F.lit(1.0).alias("sign")),
         F.struct(F.greatest(end - n, F.lit(0)).alias("idx"), F.lit(1.0).alias("sign"))
     )
     cuts = segments(series.sparkSession, n, replicates, block, seed).select("rep", F.explode(ends).alias("e")).select("rep", "e.idx", "e.sign").where("idx > 0")
-    whole = cuts.join(upto, "idx").groupBy("rep").agg(*(F.sum(F.col("sign") * F.col(k)).alias(k) for k in sums))
-    return whole.select("rep", *(v.alias(k) for k, v in statistics.items()))
+    whole = cuts.join(upto, "idx").groupBy(*by, "rep").agg(*(F.sum(F.col("sign") * F.col(k)).alias(k) for k in sums))
+    return whole.select(*by, "rep", *(v.alias(k) for k, v in statistics.items()))
 
 
 def interval(drawn: DataFrame, name: str, point: DataFrame | None = None) -> DataFrame:

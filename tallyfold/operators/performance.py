@@ -114,10 +114,3 @@ def regime_table(df: DataFrame, by: list[str], buckets: dict[str, Column], net:
             (F.col(weight) != 0).cast("double")
         ).alias("participation_rate"), (F.avg(net) * DAYS).alias("ann_mean"), C.sharpe(F.col(net)).alias("sharpe")
     )
-
-
-def verdict(participation: float, against_benchmark_low: float, against_cash_low: float) -> str:
-    """Driver scalars: both lower bounds must exceed 0; a strategy that never trades is named as such."""
-    if participation == 0:
-        return "no position taken"
-    return "supported" if against_benchmark_low > 0 and against_cash_low > 0 else "not supported"

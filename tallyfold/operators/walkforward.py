@@ -11,11 +11,13 @@ carry, x (features) and rho (their rolling rank correlations with z), see `prepa
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import core as C
@@ -386,28 +388,39 @@ def configured(config: dict, registry) -> tuple[list[str], list[M.Candidate], Se
     return known.names(), M.candidates(config.get("models") or {}, config.get("deltas") or [0.0], config.get("only")), Settings(**values)
 
 
-def run_batch(rows_of, registry, base: dict, overlays: dict[str, dict], path: str) -> dict[str, str]:
+def run_batch(rows_of, registry, base: dict, overlays: dict[str, dict], path: str, workers: int = 1) -> dict[str, str]:
     """A run for each overlay over the base configuration, below path/<name>; rows_of(features, settings) gives its rows.
 
-    A run whose marker is there is skipped, and one that fails is noted and does not stop the others. Returns `done`,
-    `skipped` or the error for each name.
+    As many overlays as there are workers run side by side, each a driver thread with its own job group and scheduler pool
+    (with `spark.scheduler.mode` FAIR the pools share the executors evenly). A run whose marker is there is skipped, and one
+    that fails is noted and does not stop the others; path/batch.json is written after each. Returns `done`, `skipped` or
+    the error for each name.
     """
     from ..sources import files
 
-    told: dict[str, str] = {}
-    for name, overlay in overlays.items():
+    spark = SparkSession.active()
+    context = spark.sparkContext
+
+    def one(name: str) -> str:
         marker = f"{path}/{name}/run_manifest.json"
-        if files.exists(marker):
-            told[name] = "skipped"
-            continue
         try:
-            config = files.deep_merge(base, overlay)
+            context.setJobGroup(f"overlay {name}", f"walk of overlay {name}", interruptOnCancel=True)
+            context.setLocalProperty("spark.scheduler.pool", name)
+            if files.exists(marker):
+                return "skipped"
+            config = files.deep_merge(base, overlays[name])
             features, candidates, s = configured(config, registry)
             groups = {f.name: f.group for f in registry.features}
             run(rows_of(features, s), features, [groups[f] for f in features], candidates, s, f"{path}/{name}")
             files.write_json(marker, {"name": name, "config": config, "n_candidates": len(candidates), "n_features": len(features)})
-            told[name] = "done"
+            return "done"
         except Exception as e:  # noqa: BLE001  (one overlay's failure is its own)
-            told[name] = f"{type(e).__name__}: {e}"
-    files.write_json(f"{path}/batch.json", told)
-    return told
+            return f"{type(e).__name__}: {e}"
+
+    told: dict[str, str] = {}
+    with ThreadPoolExecutor(max(workers, 1)) as pool:
+        waiting = {pool.submit(inheritable_thread_target(spark)(one), name): name for name in overlays}
+        for finished in as_completed(waiting):
+            told[waiting[finished]] = finished.result()
+            files.write_json(f"{path}/batch.json", {name: told[name] for name in overlays if name in told})
+    return {name: told[name] for name in overlays}

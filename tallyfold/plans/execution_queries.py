@@ -46,8 +46,8 @@ decide AS (
   FROM m WHERE next_o2c IS NOT NULL)"""
 
 
-def decide(spark, sf):
-    d = frame(spark, sf)
+def decide(spark, sf, market: bool = False):
+    d = frame(spark, sf, market)
     mu = 0.2 * F.coalesce(C.lag("o2c"), F.lit(0.0)) - 0.1 * F.coalesce(C.lag("c2c", 2), F.lit(0.0))
     d = d.select(
         "*", mu.alias("mu"), C.lag("o2c", -1).alias("next_o2c"), C.lag("c2c", -1).alias("next_c2c"),

@@ -217,3 +217,17 @@ def anti_semi_sessions(spark, sf):
 def overlap_window(spark, sf):
     both = [d.agg(F.min("session").alias(f"lo{i}"), F.max("session").alias(f"hi{i}")) for i, d in enumerate((market_bars(spark, sf), macro(spark, sf)))]
     return both[0].crossJoin(both[1]).select(F.greatest("lo0", "lo1").alias("start_session"), F.least("hi0", "hi1").alias("end_session"))  # one row each
+
+
+@query(
+    "asof_next_order",
+    """WITH g AS (SELECT o_custkey, o_orderdate AS at, min(o_orderkey) AS next_order FROM orders GROUP BY 1, 2),
+e AS (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 90 DAY AS ts FROM orders)
+SELECT e.o_orderkey, e.o_custkey, g.next_order FROM e ASOF LEFT JOIN g ON e.o_custkey = g.o_custkey AND e.ts <= g.at""",
+)
+def asof_next_order(spark, sf):
+    """A grid for each customer: the first order 90 days or more after each one."""
+    orders = table(spark, sf, "orders")
+    events = orders.select("o_orderkey", "o_custkey", (F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS")).alias("ts"))
+    grid_ = orders.select("o_custkey", "o_orderdate", F.col("o_orderkey").alias("next_order"))
+    return align.asof_by(events, grid_, "ts", ["o_custkey"], "o_orderdate", "next_order", "month").drop("ts")

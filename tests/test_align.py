@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +91,24 @@ def test_closed_spine_caps_and_refuses_gaps(spark):
     holed = [("A", d, v) for d, v in zip(days, (1.0, None, 2.0, 3.0, None, None))]
     with pytest.raises(ValueError, match="A"):
         align.closed_spine(spark.createDataFrame(holed, "symbol string, session date, x double"), ["x"])
+
+
+def test_asof_with_a_grid_for_each_key(spark):
+    """One key has most events, another grid has no closes in most days; against a plain search, for two units of time."""
+    rng = random.Random(7)
+    start = dt.datetime(2024, 1, 1, tzinfo=UTC)
+    moment = lambda: start + dt.timedelta(minutes=rng.randrange(60 * 24 * 40))
+    keys = [f"k{i}" for i in range(60)]
+    grids = [(k, moment(), n) for k in keys[:-1] for n in range(rng.randrange(1, 30))] + [("k0", None, 99), ("k1", start, 5), ("k1", start, 4)]
+    events = [(i, rng.choice(keys) if i % 3 else "k0", moment()) for i in range(1500)] + [(2000, "k0", None), (2001, None, start), (2002, "k1", start)]
+    g = spark.createDataFrame(grids, "key string, at timestamp, session int")
+    e = spark.createDataFrame(events, "id int, key string, ts timestamp").withColumn("session", F.lit("clash"))
+    want = {}
+    for i, k, t in events:
+        ahead = sorted((a, n) for x, a, n in grids if x == k and a is not None and t is not None and a >= t)
+        want[i] = ahead[0][1] if ahead else None
+    for unit in ("day", "month"):
+        got = align.asof_by(e, g, "ts", ["key"], "at", "session", unit)
+        assert got.columns == ["id", "key", "ts", "session"] and {r["id"]: r["session"] for r in got.collect()} == want
+    assert align.asof_by(e.limit(0), g, "ts", ["key"], "at").count() == 0
+    assert {r["session"] for r in align.asof_by(e, g.limit(0), "ts", ["key"], "at").collect()} == {None}

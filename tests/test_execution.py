@@ -76,7 +76,3 @@ def test_performance_of_cash_has_no_sharpe(spark):
     d = frame(spark, excess=[0] * 5, total=[0.001] * 5, weight=[0] * 5)
     row = P.performance(d, ["symbol"]).first()
     assert row["sharpe_excess"] is None and row["calmar"] is None and row["participation_rate"] == 0 and row["terminal_wealth"] == pytest.approx(1.001**5)
-
-
-def test_verdict():
-    assert P.verdict(0, 1, 1) == "no position taken" and P.verdict(0.5, 0.1, 0.1) == "supported" and P.verdict(0.5, -0.1, 0.1) == "not supported"

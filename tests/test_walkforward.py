@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import threading
 
 import numpy as np
 import pytest
@@ -133,7 +134,7 @@ def test_batch_skips_and_goes_on(spark, raw, tmp_path):
     }
     overlays = {"plain": {}, "smoke": {"mode": "smoke"}, "rolling": {"settings": {"rolling": 250}}, "bad": {"exclude_groups": ["nothing"]}}
     rows_of = lambda features, s: V.prepared(raw, features, s.window).persist()
-    told = V.run_batch(rows_of, registry, base, overlays, str(tmp_path))
+    told = V.run_batch(rows_of, registry, base, overlays, str(tmp_path), workers=2)
     assert told["plain"] == told["smoke"] == told["rolling"] == "done" and told["bad"].startswith("ValueError")
     assert json.loads((tmp_path / "rolling" / "run_manifest.json").read_text())["config"]["settings"]["rolling"] == 250
     assert spark.read.parquet(str(tmp_path / "smoke" / "oos_predictions")).select("step").distinct().count() == 3
@@ -141,6 +142,23 @@ def test_batch_skips_and_goes_on(spark, raw, tmp_path):
     assert again == {"plain": "skipped"}
 
 
+def test_overlays_run_side_by_side(spark, raw, tmp_path, monkeypatch):
+    """Two overlays wait for each other inside their runs, which only ends if both run at one time; the third fails alone."""
+    registry = X.Registry([X.Feature(f, g, "", lambda: None) for f, g in zip(FEATURES, GROUPS)])
+    both, pools = threading.Barrier(2, timeout=120), {}
+
+    def run(rows, features, groups, candidates, s, path):
+        both.wait()
+        pools[path.rsplit("/", 1)[1]] = (spark.sparkContext.getLocalProperty("spark.scheduler.pool"), rows.count())
+
+    monkeypatch.setattr(V, "run", run)
+    base = {"models": {"logistic": {"C": [0.1]}}}
+    told = V.run_batch(lambda f, s: raw, registry, base, {"bad": {"exclude_groups": ["nothing"]}, "a": {}, "b": {}}, str(tmp_path), workers=2)
+    assert told["a"] == told["b"] == "done" and told["bad"].startswith("ValueError") and list(told) == ["bad", "a", "b"]
+    assert pools == {"a": ("a", raw.count()), "b": ("b", raw.count())}
+    assert json.loads((tmp_path / "batch.json").read_text()) == told and V.run_batch(None, registry, base, {}, str(tmp_path / "none")) == {}
+
+
 # ---------------------------------------------------------------- on arrays
 
 
