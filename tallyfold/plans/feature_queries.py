@@ -158,30 +158,6 @@ def feature_prefix_invariance(spark, sf):
     return X.look_ahead(snapshot(spark, sf), dt.date(1998, 1, 1), X.REGISTRY.without(["calendar"]))
 
 
-_NAME = "split_part(r, '|', 2)"
-_LINES = ", ".join("'" + "|".join((str(i), f.name, f.group)) + "'" for i, f in enumerate(X.REGISTRY.features))
-
-
-@query(
-    "feature_registry",
-    # positions, names and groups as they are registered; the formulas of a few families spelled out again
-    f"""SELECT CAST(split_part(r, '|', 1) AS INTEGER) AS position, {_NAME} AS name, split_part(r, '|', 3) AS feature_group, CAST({_NAME} <> 'MACD_hist' AS INTEGER) AS scale_free,
-  CASE WHEN {_NAME} LIKE 'ret_lag_%' THEN 'ln(C[t] / C[t-' || split_part({_NAME}, '_', 3) || '])' WHEN {_NAME} LIKE 'Volatility_%' THEN 'sd of log returns over ' || split_part({_NAME}, '_', 2)
-    WHEN {_NAME} LIKE 'TNX_change_%' THEN 'tnx[t] - tnx[t-' || split_part({_NAME}, '_', 3) || ']' ELSE '' END AS family_formula FROM (SELECT unnest([{_LINES}]) AS r)""",
-)
-def feature_registry(spark, sf):
-    family = F.col("name").rlike("^(ret_lag|Volatility|TNX_change)_")
-    return X.as_table(spark).select("position", "name", "feature_group", "scale_free", F.when(family, F.col("formula")).otherwise("").alias("family_formula"))
-
-
-@query(
-    "feature_group_counts",
-    "SELECT * FROM (VALUES " + ", ".join(f"('{g}', {len(X.REGISTRY.names(g))})" for g in X.REGISTRY.groups) + ") AS t(feature_group, n_features)"
-)
-def feature_group_counts(spark, sf):
-    return X.as_table(spark).groupBy("feature_group").agg(F.count(F.lit(1)).cast("int").alias("n_features"))
-
-
 @query(
     "ablation_group_exclusion",
     f"WITH {features_sql({n: e for g in ('trend', 'volatility', 'volume') for n, e in EXPR[g].items()})} SELECT symbol, count(*) AS n_complete FROM feats WHERE {' AND '.join(f'{n} IS NOT NULL' for g in ('trend', 'volatility', 'volume') for n in EXPR[g])} GROUP BY 1",

@@ -175,13 +175,17 @@ def wall_label_counts(spark, sf):
 
 @query(
     "session_minutes_flags",
-    """SELECT CAST(d AS DATE) AS session, CASE WHEN d IN (DATE '2024-07-03', DATE '2024-11-29', DATE '2024-12-24') THEN 210 ELSE 390 END AS session_minutes,
-  CASE WHEN d IN (DATE '2024-07-03', DATE '2024-11-29', DATE '2024-12-24') THEN 1 ELSE 0 END AS is_half_day
-FROM (SELECT unnest(range(DATE '2024-01-01', DATE '2025-01-01', INTERVAL 1 DAY)) AS d)
+    """WITH n AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n_events FROM events GROUP BY 1)
+SELECT CAST(d AS DATE) AS session, CASE WHEN d IN (DATE '2024-07-03', DATE '2024-11-29', DATE '2024-12-24') THEN 210 ELSE 390 END AS session_minutes,
+  CASE WHEN d IN (DATE '2024-07-03', DATE '2024-11-29', DATE '2024-12-24') THEN 1 ELSE 0 END AS is_half_day, coalesce(n_events, 0) AS n_events
+FROM (SELECT CAST(unnest(range(DATE '2024-01-01', DATE '2025-01-01', INTERVAL 1 DAY)) AS DATE) AS d) LEFT JOIN n USING (d)
 WHERE isodow(d) < 6 AND d NOT IN (DATE '2024-01-01', DATE '2024-01-15', DATE '2024-02-19', DATE '2024-03-29', DATE '2024-05-27', DATE '2024-06-19', DATE '2024-07-04', DATE '2024-09-02', DATE '2024-11-28', DATE '2024-12-25')""",
 )
 def session_minutes_flags(spark, sf):
-    return calendar.sessions(spark, dt.date(2024, 1, 1), dt.date(2024, 12, 31)).select("session", "session_minutes", "is_half_day")
+    """Sessions of the events' year, their minutes, and the events of each."""
+    n = table(spark, sf, "events").groupBy(F.to_date("ts").alias("session")).agg(F.count(F.lit(1)).alias("n_events"))
+    days = calendar.sessions(spark, dt.date(2024, 1, 1), dt.date(2024, 12, 31)).select("session", "session_minutes", "is_half_day")
+    return days.join(n, "session", "left").na.fill(0, ["n_events"])
 
 
 @query(

@@ -13,9 +13,9 @@ from ..operators import features as X
 from ..operators import labels as L
 from ..operators import models as M
 from ..operators import walkforward as V
-from .base import once, query, rounded, snapshot, symbols
+from .base import PANEL, once, query, rounded, segment_bars, snapshot, symbols
 from .execution_queries import frame
-from .research_queries import NAMES, complete_rows
+from .research_queries import INIT, NAMES, STEP, complete_rows
 
 FEATURES = ["log_ret", "SMA_gap_5", "Volatility_20", "intraday_ret", "close_location_value"]
 
@@ -143,8 +143,17 @@ def feature_stability(spark, sf):
     return V.stability(V.screens(walk_rows(spark, sf), NAMES, GROUPS, SETTINGS))
 
 
-@query("candidate_grid", "SELECT * FROM (VALUES ('baseline', 0, 1), ('logistic', 1, 12), ('forest', 2, 4)) AS t(family, complexity_rank, n_candidates)")
+@query(
+    "candidate_grid",
+    f"""WITH {PANEL}, n AS (SELECT symbol, count(*) AS n_rows FROM panel GROUP BY 1)
+SELECT symbol, family, complexity_rank, n_candidates, n_rows, n_candidates * greatest(0, CAST(ceil((n_rows - {INIT}) / {STEP}.0) AS BIGINT)) AS n_fits
+FROM n, (VALUES ('baseline', 0, 1), ('logistic', 1, 12), ('forest', 2, 4)) AS t(family, complexity_rank, n_candidates)""",
+)
 def candidate_grid(spark, sf):
+    """What a walk over the panel fits: candidates of each family, simplest first, times the steps of each symbol."""
     c = M.candidates({"logistic": {"C": [0.01, 0.1, 1.0], "class_weight": [None, "balanced"]}, "forest": {"depth": [3, 5], "leaf": [20]}}, [0.0, 0.5])
-    rows = spark.createDataFrame([(x.family, x.complexity_rank) for x in c], "family string, complexity_rank int")
-    return rows.groupBy("family", "complexity_rank").agg(F.count(F.lit(1)).cast("int").alias("n_candidates"))
+    grid = spark.createDataFrame([(x.family, x.complexity_rank) for x in c], "family string, complexity_rank int")
+    grid = grid.groupBy("family", "complexity_rank").agg(F.count(F.lit(1)).cast("int").alias("n_candidates"))
+    steps = F.greatest(F.lit(0).cast("bigint"), F.ceil((F.col("n_rows") - INIT) / STEP))
+    rows = segment_bars(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.crossJoin(F.broadcast(grid)).withColumn("n_fits", F.col("n_candidates") * steps)  # three rows a symbol

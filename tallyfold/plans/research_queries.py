@@ -166,6 +166,48 @@ def information_coefficients(spark, sf):
 _META = "meta AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{_GROUP[f]}', {i})" for i, f in enumerate(NAMES)) + ") AS t(feature, feature_group, position))"
 
 
+_NAME = "split_part(r, '|', 2)"
+_LINES = ", ".join("'" + "|".join((str(i), f.name, f.group)) + "'" for i, f in enumerate(X.REGISTRY.features))
+_HELD = f"WITH {SLICE}, {_LONG}, held AS (SELECT symbol, feature, count(*) AS n_rows, CAST(min(x) < max(x) AS INTEGER) AS varies FROM lng GROUP BY 1, 2)"
+
+
+def long_slice(spark, sf):
+    """symbol, feature, x of all complete rows of the market."""
+    cells = F.inline(F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).alias("x")) for n in NAMES)))
+    return slice_of(spark, sf).select("symbol", cells)
+
+
+@query(
+    "feature_registry",
+    # positions, names and groups as they are registered; the formulas of a few families spelled out again
+    f"""{_HELD} SELECT CAST(split_part(r, '|', 1) AS INTEGER) AS position, {_NAME} AS name, split_part(r, '|', 3) AS feature_group, CAST({_NAME} <> 'MACD_hist' AS INTEGER) AS scale_free,
+  CASE WHEN {_NAME} LIKE 'ret_lag_%' THEN 'ln(C[t] / C[t-' || split_part({_NAME}, '_', 3) || '])' WHEN {_NAME} LIKE 'Volatility_%' THEN 'sd of log returns over ' || split_part({_NAME}, '_', 2)
+    WHEN {_NAME} LIKE 'TNX_change_%' THEN 'tnx[t] - tnx[t-' || split_part({_NAME}, '_', 3) || ']' ELSE '' END AS family_formula,
+  coalesce(n_rows, 0) AS n_rows, coalesce(varies, 0) AS varies FROM (SELECT unnest([{_LINES}]) AS r) LEFT JOIN held ON feature = {_NAME}""",
+)
+def feature_registry(spark, sf):
+    """The registry beside what the market's complete rows hold of each feature; one that does not vary is of no use to a screen."""
+    family = F.col("name").rlike("^(ret_lag|Volatility|TNX_change)_")
+    known = X.as_table(spark).select("position", "name", "feature_group", "scale_free", F.when(family, F.col("formula")).otherwise("").alias("family_formula"))
+    x = long_slice(spark, sf)
+    held = x.groupBy("feature").agg(F.count(F.lit(1)).alias("n_rows")).join(S.varying(x).select("feature", F.lit(1).alias("varies")), "feature", "left")
+    return known.join(held.withColumnRenamed("feature", "name"), "name", "left").na.fill(0, ["n_rows", "varies"])
+
+
+@query(
+    "feature_group_counts",
+    f"{_HELD}, {_META} SELECT symbol, feature_group, count(*) AS n_features, CAST(sum(varies) AS BIGINT) AS n_varying FROM held JOIN meta USING (feature) GROUP BY 1, 2"
+)
+def feature_group_counts(spark, sf):
+    """Features of each group, and those left when the ones without variance are dropped."""
+    x = long_slice(spark, sf)
+    left = S.varying(x).withColumn("varies", F.lit(1))
+    groups = X.as_table(spark).select(F.col("name").alias("feature"), "feature_group")
+    return x.select("symbol", "feature").distinct().join(left, ["symbol", "feature"], "left").join(groups, "feature").groupBy("symbol", "feature_group").agg(
+        F.count(F.lit(1)).alias("n_features"), F.count("varies").alias("n_varying")
+    )
+
+
 @query(
     "topk_per_group",
     f"{_IC}, {_META}, r AS (SELECT symbol, feature, feature_group, ic, row_number() OVER (PARTITION BY symbol, feature_group ORDER BY round(ic, 9) DESC, position) AS rank_in_group FROM ic JOIN meta USING (feature)) SELECT symbol, feature, feature_group, round(round(ic, 9), 8) + 0.0 AS ic, CAST(rank_in_group AS INTEGER) AS rank_in_group FROM r WHERE rank_in_group <= {S.PER_GROUP}"
@@ -446,9 +488,21 @@ def topic_rates(spark, sf):
     return rounded(s.groupBy("session").agg(*(F.try_divide(F.sum(f"topic_{t}").cast("double"), F.sum("n_tokens")).alias(f"{t}_rate") for t in TOPIC_WORDS)))
 
 
-@query("topic_registry", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {len(w)})" for t, w in T.TOPICS.items()) + ") AS t(topic, n_words)")
+_TOPIC_WORDS = ", ".join(f"('{t}', '{w}')" for t, ws in T.TOPICS.items() for w in sorted(set(ws)))
+
+
+@query(
+    "topic_registry",
+    f"""WITH tw AS (SELECT * FROM (VALUES {_TOPIC_WORDS}) AS t(topic, word)), tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '([a-z'']+)', 1)) AS word FROM documents)
+SELECT topic, count(DISTINCT tw.word) AS n_words, count(tk.word) AS n_tokens, count(DISTINCT doc_id) AS n_documents FROM tw LEFT JOIN tk USING (word) GROUP BY 1""",
+)
 def topic_registry(spark, sf):
-    return spark.createDataFrame([(t, len(w)) for t, w in T.TOPICS.items()], "topic string, n_words int")
+    """The topics' lists beside what the documents hold of them."""
+    scored = T.score(table(spark, sf, "documents"), {}, T.TOPICS, ["doc_id"])
+    cells = F.inline(F.array(*(F.struct(F.lit(t).alias("topic"), F.col(f"topic_{t}").alias("k")) for t in T.TOPICS)))
+    held = scored.select("doc_id", cells).groupBy("topic").agg(F.sum("k").alias("n_tokens"), F.count_if(F.col("k") > 0).alias("n_documents"))
+    known = spark.createDataFrame([(t, len(set(w))) for t, w in T.TOPICS.items()], "topic string, n_words long")
+    return known.join(held, "topic", "left").na.fill(0)
 
 
 @query("page_fields")
@@ -561,9 +615,16 @@ def registry_budget(spark, sf):
     return A.registry_budget(registry(spark, sf))
 
 
-@query("range_expand_ids", "SELECT 'E' || CAST(i AS VARCHAR) AS id FROM (SELECT unnest(range(1, 5)) AS i UNION SELECT 9 UNION SELECT unnest(range(13, 25)))")
+@query(
+    "range_expand_ids",
+    """WITH b AS (SELECT c_nationkey, min(c_custkey) AS lo, max(c_custkey) AS hi FROM customer GROUP BY 1)
+SELECT 'C' || CAST(i AS VARCHAR) AS id FROM (SELECT unnest(range(lo, lo + 4)) AS i FROM b UNION SELECT hi FROM b)""",
+)
 def range_expand_ids(spark, sf):
-    return A.expand_ids(spark.createDataFrame([("E1-E4, E9",), ("E13-E24",)], "ids string"), "ids")
+    """Lists such as `C3-C6, C140`, one a nation: its first customer with the three ids after it, and its last."""
+    lo, hi = F.min("c_custkey"), F.max("c_custkey")
+    lists = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.format_string("C%d-C%d, C%d", lo, lo + 3, hi).alias("ids"))
+    return A.expand_ids(lists, "ids")
 
 
 @query(
