@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions import core as C
 from ..operators import execution as E
 from ..operators import inference as I
 from ..operators import runs as R
@@ -66,12 +67,13 @@ pt AS (SELECT run, count(*) AS n_shared, CASE WHEN count(*) > {least} THEN {_DIF
 dr AS (SELECT run, rep, {_DIFF} AS s FROM path JOIN shared USING (n, idx) GROUP BY 1, 2),
 ci AS (SELECT run, quantile_cont(s, 0.025) AS diff_lo, quantile_cont(s, 0.975) AS diff_hi FROM dr GROUP BY 1)
 SELECT CAST(row_number() OVER (ORDER BY run <> '{base}', CAST(regexp_extract(run, '[0-9]+') AS INTEGER), run) AS INTEGER) AS place, run, spec, {extra} oos_sessions, n_active, models_selected, n_shared,
-  {rnd('ann_mean_excess', 'sharpe', 'participation', 'sharpe_vs_always_long', 'diff', 'diff_lo', 'diff_hi', digits=6)}, round(terminal_wealth, 3) + 0.0 AS terminal_wealth
+  {rnd('ann_mean_excess', 'sharpe', 'participation', 'sharpe_vs_always_long', 'diff', 'diff_lo', 'diff_hi', digits=6)}, round(CASE WHEN terminal_wealth > 0 THEN ln(terminal_wealth) END, 6) + 0.0 AS log_wealth
 FROM sc LEFT JOIN pt USING (run) LEFT JOIN ci USING (run)"""
 
 
 def _shown(table):
-    return rounded(table.withColumn("terminal_wealth", F.round("terminal_wealth", 3)), 6)
+    """Wealth as its logarithm: that of the leakage control has more digits than a double."""
+    return rounded(table.withColumn("log_wealth", C.log(F.col("terminal_wealth"))).drop("terminal_wealth"), 6)
 
 
 @query("exploratory_table", _comparison_sql(RUNS, "P1", R.LEAST_SHARED))
@@ -104,7 +106,7 @@ runs AS (SELECT run, 'open_to_close' AS spec, session, run AS model, weight, wei
 
 
 def arms(spark, sf):
-    past = F.coalesce(F.lag("mu").over(E.C.series()), F.lit(0.0))
+    past = F.coalesce(F.lag("mu").over(C.series()), F.lit(0.0))
     d = decide(spark, sf, True).withColumn("past", past)
     mus = {"N0": F.col("mu"), "N1": F.col("mu") + 0.5 * F.col("past"), "N1m": F.col("mu") + 0.01 * F.col("next_o2c")}
     one = [F.struct(F.lit(k).alias("run"), E.threshold_positions(m, F.col("band")).alias("weight")) for k, m in mus.items()]
