@@ -1,7 +1,7 @@
 """Feature screening: rolling rank correlation, top of each group, correlation clusters, cap.
 
 Rank correlations run over ranges of a series, correlations are mergeable co-moments; only the few features of a series
-that are left meet for the clustering. walkforward.screens() screens the slices of a walk.
+that are left meet for the clustering. slices.screens() screens the slices of a walk.
 """
 
 from __future__ import annotations
@@ -159,15 +159,15 @@ def average_linkage(distance: np.ndarray, cut: float) -> list[int]:
     return [of[i] for i in range(len(distance))]
 
 
-def one_of_each_cluster(kept: DataFrame, pairs: DataFrame, cut: float = CUT) -> DataFrame:
-    """kept(symbol, feature, ic, position) without those that cluster, by 1 - |corr|, with one of higher ic.
+def one_of_each_cluster(kept: DataFrame, pairs: DataFrame, cut: float = CUT, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """kept(by, feature, ic, position) without those that cluster, by 1 - |corr|, with one of higher ic.
 
     What comes together is a series' kept features, PER_GROUP a group, and their pairs.
     """
-    both = kept.select("symbol", F.col("feature").alias("a"), F.col("position").alias("i")).join(pairs, ["symbol", "a"])
-    both = both.join(kept.select("symbol", F.col("feature").alias("b"), F.col("position").alias("j")), ["symbol", "b"])
-    edges = both.groupBy("symbol").agg(F.collect_list(F.struct("i", "j", F.coalesce(F.abs("corr"), F.lit(0.0)).alias("r"))).alias("pairs"))
-    nodes = kept.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct((-F.col("ic")).alias("order"), "position", "feature", "ic"))).alias("nodes"))
+    both = kept.select(*by, F.col("feature").alias("a"), F.col("position").alias("i")).join(pairs, [*by, "a"])
+    both = both.join(kept.select(*by, F.col("feature").alias("b"), F.col("position").alias("j")), [*by, "b"])
+    edges = both.groupBy(*by).agg(F.collect_list(F.struct("i", "j", F.coalesce(F.abs("corr"), F.lit(0.0)).alias("r"))).alias("pairs"))
+    nodes = kept.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("ic")).alias("order"), "position", "feature", "ic"))).alias("nodes"))
 
     @F.pandas_udf("array<int>")
     def clusters(nodes: pd.Series, pairs: pd.Series) -> pd.Series:
@@ -182,9 +182,9 @@ def one_of_each_cluster(kept: DataFrame, pairs: DataFrame, cut: float = CUT) ->
 
         return pd.Series([of(n, p) for n, p in zip(nodes, pairs)])
 
-    placed = nodes.join(edges, "symbol", "left").withColumn("of", clusters("nodes", "pairs"))
+    placed = nodes.join(edges, list(by), "left").withColumn("of", clusters("nodes", "pairs"))
     best = "filter(nodes, (n, k) -> array_position(of, of[k]) = k + 1)"
-    return placed.select("symbol", F.explode(F.expr(best)).alias("n")).select("symbol", "n.feature", "n.ic", "n.position")
+    return placed.select(*by, F.explode(F.expr(best)).alias("n")).select(*by, "n.feature", "n.ic", "n.position")
 
 
 def screen(

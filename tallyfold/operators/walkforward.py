@@ -24,6 +24,8 @@ from ..functions import core as C
 from . import labels as L
 from . import learners as N
 from . import models as M
+from . import screening as S
+from . import slices
 from .execution import get_spec
 from .screening import CAP, CUT, PER_GROUP, WINDOW
 
@@ -59,17 +61,9 @@ def prepared(df: DataFrame, features: list[str], window: int = WINDOW) -> DataFr
     as rho; rows with a missing value raise no error but must not be there.
     """
     rows = df.select("symbol", "session", "pos", "target", "z", "carry", F.array(*(F.col(f).cast("double") for f in features)).alias("x"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        x, z = np.array(pdf["x"].tolist()), pdf["z"].to_numpy()
-        rho = np.stack([N.rolling_rank_correlation(c, z, window) for c in x.T], 1)
-        return pdf.assign(rho=list(rho))
-
-    return rows.select("symbol", "session", "pos", "target", "z", "carry", "x").groupBy("symbol").applyInPandas(
-        run,
-        "symbol string, session date, pos bigint, target double, z double, carry double, x array<double>, rho array<double>"
-    )
+    long = rows.select("symbol", "pos", "z", F.posexplode("x").alias("i", "x"))
+    rho = S.rolling_spearman(long, window, ("symbol", "i")).groupBy("symbol", "pos").agg(F.array_sort(F.collect_list(F.struct("i", "rho"))).alias("__r"))
+    return rows.join(rho.select("symbol", "pos", F.col("__r.rho").alias("rho")), ["symbol", "pos"], "left").select(*rows.columns, "rho")
 
 
 def schedule(rows: DataFrame, s: Settings) -> DataFrame:
@@ -96,12 +90,16 @@ def inner_folds(steps: DataFrame, s: Settings) -> DataFrame:
     return tuned.select("symbol", "step", "fold", "train_lo", (start - gap).alias("train_hi"), start.alias("test_lo"), (start + size).alias("test_hi"))
 
 
-def sliced(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """rows copied to each of the ranges (symbol, ..., train_lo, train_hi, test_lo, test_hi) that has them, and whether they are `train` rows."""
-    d = rows.join(ranges, "symbol").where(
+def sliced(rows: DataFrame, ranges: DataFrame, kept: DataFrame) -> DataFrame:
+    """rows copied to each of the ranges (symbol, ..., train_lo, train_hi, test_lo, test_hi) that has them, with the features that its screen
+    kept(symbol, ..., rank, position) in the order of rank, their positions as `chosen`, and whether they are `train` rows.
+    """
+    key = [c for c in slices.key_of(ranges) if c in kept.columns]
+    chosen = kept.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "position"))).alias("__c")).select(*key, F.col("__c.position").alias("chosen"))
+    d = rows.drop("rho").join(ranges.join(chosen, key), "symbol").where(
         (F.col("pos") >= F.col("train_lo")) & ((F.col("pos") < F.col("train_hi")) | (F.col("pos") >= F.col("test_lo")) & (F.col("pos") < F.col("test_hi")))
     )
-    return d.withColumn("train", F.col("pos") < F.col("train_hi")).drop("train_lo", "train_hi", "test_lo", "test_hi")
+    return d.withColumn("train", F.col("pos") < F.col("train_hi")).withColumn("x", F.expr("transform(chosen, p -> x[p - 1])")).drop(*slices.RANGE)
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
@@ -110,17 +108,14 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
 
 
 class Slice:
-    """What is learned from one training slice alone: thresholds, labels, screened features, class means; then a model and its calibrator for each candidate."""
+    """What is learned from one training slice and its screened features: thresholds, labels, class means; then a model and its calibrator for each candidate."""
 
-    def __init__(self, train: pd.DataFrame, groups: list[str], s: Settings, seed: int):
+    def __init__(self, train: pd.DataFrame, s: Settings, seed: int):
         self.s, self.seed = s, seed
-        x, z, r = np.array(train["x"].tolist()), train["z"].to_numpy(), train["target"].to_numpy()
+        z, r = train["z"].to_numpy(), train["target"].to_numpy()
         self.q = np.quantile(z, [L.LOW, L.HIGH])
         self.y = self.label(z)
-        rho = np.array(train["rho"].tolist(), float)
-        rho[: s.window - 1] = np.nan  # their windows begin before the slice
-        self.chosen, self.ic = N.screen(x, rho, groups, s.per_group, s.cut, s.cap)
-        self.x, self.means = x[:, self.chosen], np.array([r[self.y == c].mean() if (self.y == c).any() else 0.0 for c in range(N.CLASSES)])
+        self.x, self.means = np.array(train["x"].tolist()), np.array([r[self.y == c].mean() if (self.y == c).any() else 0.0 for c in range(N.CLASSES)])
         self.rates = np.bincount(self.y, minlength=N.CLASSES) / max(len(z), 1)
 
     def label(self, z: np.ndarray) -> np.ndarray:
@@ -146,7 +141,7 @@ class Slice:
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Raw and calibrated probabilities and the expected return."""
-        raw = self.model.predict(x[:, self.chosen])
+        raw = self.model.predict(x)
         p = self.curves.transform(raw) if self.curves else raw
         return raw, p, p @ self.means
 
@@ -171,7 +166,7 @@ def configurations(candidates: list[M.Candidate]) -> list[tuple[str, tuple]]:
     return list(dict.fromkeys((c.family, c.params) for c in candidates))
 
 
-def fold_results(rows: DataFrame, groups: list[str], candidates: list[M.Candidate], s: Settings) -> DataFrame:
+def fold_results(rows: DataFrame, features: list[str], groups: list[str], candidates: list[M.Candidate], s: Settings) -> DataFrame:
     """FOLD: of each symbol, retuning step, inner fold and fitted model the expected returns of its `train` and `test` rows, and a `log` row of its calibration.
 
     A slice in which no feature varies has none.
@@ -181,16 +176,18 @@ def fold_results(rows: DataFrame, groups: list[str], candidates: list[M.Candidat
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         train, x, out = pdf[pdf["train"]], np.array(pdf["x"].tolist()), []
-        one = Slice(train, groups, s, s.seed + int(key[1]))
-        for k, (family, params) in enumerate(fitted if one.chosen else []):
+        one = Slice(train, s, s.seed + int(key[1]))
+        for k, (family, params) in enumerate(fitted):
             _, _, mu = one.fit(family, dict(params)).predict(x)
             part = np.where(pdf["train"], "train", "test")
             out.append(pdf[["symbol", "step", "fold", "session", "target", "carry"]].assign(model=k, part=part, mu=mu))
             if log := one.log():
                 out.append(pd.DataFrame([{"symbol": key[0], "step": key[1], "fold": key[2], "model": k, "part": "log"} | log]))
-        return pd.concat(out).reindex(columns=COLUMNS) if out else pd.DataFrame(columns=COLUMNS)
+        return pd.concat(out).reindex(columns=COLUMNS)
 
-    data = sliced(rows, inner_folds(schedule(rows, s), s)).select("symbol", "step", "fold", "session", "pos", "target", "carry", "z", "x", "rho", "train")
+    ranges = inner_folds(schedule(rows, s), s)
+    kept = slices.screens(rows, ranges, features, groups, s.window, s.per_group, s.cut, s.cap)
+    data = sliced(rows, ranges, kept).select("symbol", "step", "fold", "session", "pos", "target", "carry", "z", "x", "train")
     return spread(data, "symbol", "step", "fold").groupBy("symbol", "step", "fold").applyInPandas(run, FOLD)
 
 
@@ -314,36 +311,25 @@ def predictions(rows: DataFrame, chosen: DataFrame, features: list[str], groups:
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, c = pdf.sort_values("pos"), candidates[int(pdf["candidate"].iloc[0])]
-        one, test = Slice(pdf[pdf["train"]], groups, s, s.seed + int(key[1])), pdf[~pdf["train"]]
-        if not one.chosen:
-            return pd.DataFrame(columns=columns)
+        one, test = Slice(pdf[pdf["train"]], s, s.seed + int(key[1])), pdf[~pdf["train"]]
         raw, p, mu = one.fit(c.family, dict(c.params)).predict(np.array(test["x"].tolist()))
         out = test[["symbol", "step", "session", "candidate", "target", "carry"]].assign(
             label=one.label(test["z"].to_numpy()) - 1, mu=mu, calibration_skipped=one.curves is None
         )
         for k in range(N.CLASSES):
             out[RAW[k]], out[CALIBRATED[k]] = raw[:, k], p[:, k]
-        return out.assign(features=[[features[i] for i in one.chosen]] * len(out))[columns]
+        return out.assign(features=[[features[p - 1] for p in pdf["chosen"].iloc[0]]] * len(out))[columns]
 
-    data = sliced(rows, ranges).select("symbol", "step", "candidate", "session", "pos", "target", "carry", "z", "x", "rho", "train")
+    kept = screens(rows, features, groups, s)
+    data = sliced(rows, ranges, kept).select("symbol", "step", "candidate", "session", "pos", "target", "carry", "z", "x", "chosen", "train")
     out = spread(data, "symbol", "step").groupBy("symbol", "step").applyInPandas(run, OUT).join(names, "candidate")
     return netted(positioned(out, ["symbol", "step"], s), ["symbol"], s).drop("candidate")
 
 
 def screens(rows: DataFrame, features: list[str], groups: list[str], s: Settings) -> DataFrame:
-    """symbol, step, rank (from 1), feature, ic: what each step's training slice keeps; no model is fitted."""
-    ranges = schedule(rows, s).select("symbol", "step", "train_lo", "train_hi", F.col("train_hi").alias("test_lo"), F.col("train_hi").alias("test_hi"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        one = Slice(pdf.sort_values("pos"), groups, s, s.seed)
-        return pd.DataFrame(
-            [(*key, r + 1, features[c], float(one.ic[c])) for r, c in enumerate(one.chosen)],
-            columns=["symbol", "step", "rank", "feature", "ic"]
-        )
-
-    return spread(sliced(rows, ranges), "symbol", "step").groupBy("symbol", "step").applyInPandas(
-        run, "symbol string, step int, rank int, feature string, ic double"
-    )
+    """symbol, step, rank (from 1), feature, position, ic: what each step's training slice keeps; no model is fitted."""
+    ranges = schedule(rows, s).select("symbol", "step", "train_lo", "train_hi")
+    return slices.screens(rows, ranges, features, groups, s.window, s.per_group, s.cut, s.cap)
 
 
 def stability(kept: DataFrame) -> DataFrame:
@@ -368,7 +354,7 @@ def run(rows: DataFrame, features: list[str], groups: list[str], candidates: lis
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    out = {"folds": kept("folds", fold_results(rows, groups, checked(candidates, s), s))}
+    out = {"folds": kept("folds", fold_results(rows, features, groups, checked(candidates, s), s))}
     out["candidate_diagnostics"] = kept("candidate_diagnostics", diagnostics(out["folds"], candidates, s))
     out["selection_log"] = kept("selection_log", selection(out["candidate_diagnostics"]))
     out["calibration_diagnostics"] = kept("calibration_diagnostics", calibration_log(out["folds"], candidates))

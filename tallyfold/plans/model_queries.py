@@ -103,7 +103,7 @@ CANDIDATES = M.candidates(GRID, [0.0])
 
 def walk_folds(spark, sf, market: bool = False) -> tuple[DataFrame, DataFrame]:
     rows = walk_rows(spark, sf, market)
-    return rows, V.fold_results(rows, GROUPS, CANDIDATES, SETTINGS)
+    return rows, V.fold_results(rows, NAMES, GROUPS, CANDIDATES, SETTINGS)
 
 
 def walk_predictions(spark, sf, market: bool = False) -> DataFrame:

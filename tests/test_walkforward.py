@@ -3,6 +3,7 @@ import json
 import threading
 
 import numpy as np
+import plain_screen as P
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from tallyfold.operators import features as X
 from tallyfold.operators import learners as N
 from tallyfold.operators import models as M
 from tallyfold.operators import screening as S
+from tallyfold.operators import slices
 from tallyfold.operators import walkforward as V
 
 FEATURES = ["a", "a2", "b", "c", "still"]
@@ -87,6 +89,25 @@ def test_stability_needs_no_model(walk):
     assert got.exceptAll(out["feature_stability"].select(*got.columns)).count() == 0
 
 
+def test_screens_of_slices_are_those_of_each_alone(spark, walk):
+    """Against the screen on arrays: expanding, rolling and overlapping slices, one shorter than a window, one of a still feature's first change."""
+    rows, _ = walk
+    ranges = spark.createDataFrame(
+        [("A", k, lo, hi) for k, (lo, hi) in enumerate([(0, 300), (0, 320), (17, 80), (100, 395), (50, 71), (0, 1), (200, 233)])] + [("B", 0, 5, 340)],
+        "symbol string, slice int, train_lo bigint, train_hi bigint"
+    )
+    got = {}
+    for r in slices.screens(rows, ranges, FEATURES, GROUPS, SETTINGS.window, 2, SETTINGS.cut, SETTINGS.cap).orderBy("rank").collect():
+        got.setdefault((r["symbol"], r["slice"]), []).append((FEATURES.index(r["feature"]), r["ic"]))
+    for r in ranges.collect():
+        d = rows.where(f"symbol = '{r['symbol']}' AND pos >= {r['train_lo']} AND pos < {r['train_hi']}").orderBy("pos").toPandas()
+        x = np.array(d["x"].tolist())
+        rho = np.array([v if v is not None else [np.nan] * len(FEATURES) for v in d["rho"]], float)
+        rho[: SETTINGS.window - 1] = np.nan
+        chosen, ic = P.screen(x, rho, GROUPS, 2, SETTINGS.cut, SETTINGS.cap)
+        assert got.get((r["symbol"], r["slice"]), []) == [(c, pytest.approx(ic[c], abs=1e-12)) for c in chosen]
+
+
 def test_later_rows_change_nothing(spark, raw, walk):
     rows, out = walk
     cut = raw.where("symbol = 'A' AND pos < 340").withColumn(
@@ -101,10 +122,10 @@ def test_later_rows_change_nothing(spark, raw, walk):
 def test_a_slice_too_small_is_not_calibrated(walk):
     rows, _ = walk
     pdf = rows.where("symbol = 'B'").toPandas()
-    assert V.Slice(pdf, GROUPS, SETTINGS, 1).fit("logistic", {}).curves is not None
-    few = V.Slice(pdf, GROUPS, V.Settings(nested=(3, 60, 1, 40), least_calibration=(200, 10), window=30), 1).fit("logistic", {})
+    assert V.Slice(pdf, SETTINGS, 1).fit("logistic", {}).curves is not None
+    few = V.Slice(pdf, V.Settings(nested=(3, 60, 1, 40), least_calibration=(200, 10), window=30), 1).fit("logistic", {})
     assert few.curves is None and few.log()["calibration_skipped"] and few.log()["n_oof"] == 180
-    each = V.Slice(pdf, GROUPS, V.Settings(nested=(3, 60, 1, 40), least_calibration=(100, 90), window=30), 1).fit("logistic", {})
+    each = V.Slice(pdf, V.Settings(nested=(3, 60, 1, 40), least_calibration=(100, 90), window=30), 1).fit("logistic", {})
     assert each.curves is None
     with pytest.raises(ValueError):
         V.checked(CANDIDATES, V.Settings(spec="close_to_close"))
@@ -206,11 +227,11 @@ def test_ranks_and_rolling_correlations():
     rng = np.random.default_rng(4)
     x, z = rng.integers(0, 4, 90).astype(float), rng.normal(size=90)
     brute = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
-    got = N.rolling_rank_correlation(x, z, 20, chunk=7)
+    got = P.rolling_rank_correlation(x, z, 20, chunk=7)
     assert np.isnan(got[:19]).all()
     for end in range(19, 90):
         assert got[end] == pytest.approx(np.corrcoef(brute(x[end - 19 : end + 1]), brute(z[end - 19 : end + 1]))[0, 1], abs=1e-12)
-    assert np.isnan(N.rolling_rank_correlation(np.ones(40), z[:40], 20)).all() and len(N.rolling_rank_correlation(x[:5], z[:5], 20)) == 5
+    assert np.isnan(P.rolling_rank_correlation(np.ones(40), z[:40], 20)).all() and len(P.rolling_rank_correlation(x[:5], z[:5], 20)) == 5
 
 
 def brute_linkage(d, cut):
@@ -229,15 +250,15 @@ def test_linkage():
         d = rng.random((n, n))
         d = (d + d.T) / 2
         np.fill_diagonal(d, 0)
-        of = N.average_linkage(d, 0.4)
+        of = P.average_linkage(d, 0.4)
         assert {frozenset(np.flatnonzero(np.array(of) == k).tolist()) for k in set(of)} == brute_linkage(d, 0.4)
-    assert N.average_linkage(np.zeros((0, 0)), 0.2) == []
+    assert P.average_linkage(np.zeros((0, 0)), 0.2) == []
 
 
 def test_screen_of_a_series(spark, raw):
     got = S.screen(raw.where("symbol = 'A'"), FEATURES, dict(zip(FEATURES, GROUPS)), window=30, per_group=2).orderBy("rank").collect()
     rows = raw.where("symbol = 'A'").orderBy("pos").toPandas()
-    ic = {f: abs(np.nanmean(N.rolling_rank_correlation(rows[f].to_numpy(), rows["z"].to_numpy(), 30))) for f in FEATURES[:4]}
+    ic = {f: abs(np.nanmean(P.rolling_rank_correlation(rows[f].to_numpy(), rows["z"].to_numpy(), 30))) for f in FEATURES[:4]}
     first, second = sorted(["a", "a2"], key=lambda f: -ic[f])
     # the two best of g1 are twins, of which the better one stays; g2 has one that varies
     assert [r["feature"] for r in got] == [first, "c"] and got[0]["ic"] == pytest.approx(ic[first])
