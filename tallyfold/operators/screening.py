@@ -149,14 +149,17 @@ def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
 
 def average_linkage(distance: np.ndarray, cut: float) -> list[int]:
     """Cluster numbers: the closest two clusters, by mean distance of their members, are merged while that is at most cut."""
-    clusters = [[i] for i in range(len(distance))]
-    while len(clusters) > 1:
-        best, i, j = min((distance[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j)
-        if best > cut:
-            break
-        clusters[i] += clusters.pop(j)
-    of = {c: k for k, members in enumerate(clusters) for c in members}
-    return [of[i] for i in range(len(distance))]
+    n = len(distance)
+    d, size, of = distance.astype(float).copy(), np.ones(n), np.arange(n)
+    np.fill_diagonal(d, np.inf)
+    while n and np.isfinite(best := d.min()) and best <= cut:
+        i, j = sorted(divmod(int(d.argmin()), n))
+        d[i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[:, i] = d[i]
+        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+        size[i] += size[j]
+        of[of == j] = i
+    return np.unique(of, return_inverse=True)[1].tolist() if n else []
 
 
 def one_of_each_cluster(kept: DataFrame, pairs: DataFrame, cut: float = CUT, by: tuple[str, ...] = ("symbol",)) -> DataFrame:

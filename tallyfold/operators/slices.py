@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core as C
+from ..functions.lineage import cut
 from . import screening as S
 
 RANGE = ("train_lo", "train_hi", "test_lo", "test_hi")
@@ -38,15 +39,13 @@ def upto(rows: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
 def between(running: DataFrame, slices: DataFrame, by: list[str], sums: dict[str, tuple[str, str]]) -> DataFrame:
     """The columns of slices, by, and each of sums = {name: (first, end)}: its sum over the rows from column `first` of a slice up to its `end`.
 
-    Both are ends that the pieces of `running` were cut at.
+    Both are ends that the pieces of `running` were cut at, 0 or within the series.
     """
-    out = None
-    for name, (first, end) in sums.items():
-        side = lambda at, alias: running.select("symbol", *by, F.col("until").alias(at), F.col(name).alias(alias))  # noqa: B023, E731
-        found = slices.join(side(end, name), ["symbol", end]).join(side(first, "__less"), ["symbol", *by, first], "left")
-        found = found.select(*slices.columns, *by, (F.col(name) - F.coalesce("__less", F.lit(0.0))).alias(name))
-        out = found if out is None else out.join(found, [*slices.columns, *by])
-    return out
+    columns = list(dict.fromkeys(c for pair in sums.values() for c in pair))
+    sign = lambda c, name: F.lit(float((c == sums[name][1]) - (c == sums[name][0]))).alias(f"__{name}")
+    marks = slices.select(*slices.columns, F.explode(F.array(*(F.struct(F.col(c).alias("until"), *(sign(c, k) for k in sums)) for c in columns))).alias("__m"))
+    met = marks.select(*slices.columns, "__m.*").join(running, ["symbol", "until"])
+    return met.groupBy(*slices.columns, *by).agg(*(F.sum(F.col(f"__{k}") * F.col(k)).alias(k) for k in sums))
 
 
 def coefficients(rows: DataFrame, ranges: DataFrame, window: int) -> DataFrame:
@@ -56,11 +55,11 @@ def coefficients(rows: DataFrame, ranges: DataFrame, window: int) -> DataFrame:
     slices = ranges.select(*key, "train_lo", "train_hi", F.least(F.col("train_lo") + 1, hi).alias("__second"), F.least(F.col("train_lo") + (window - 1), hi).alias("__whole"))
     ends = slices.select("symbol", F.explode(F.array("train_hi", "__second", "__whole")).alias("at"))
     prior = F.lag("x").over(Window.partitionBy("symbol").orderBy("pos"))
-    cut = pieces(rows.select("symbol", "pos", "x", "rho", prior.alias("prior")), ends)
+    placed = pieces(rows.select("symbol", "pos", "x", "rho", prior.alias("prior")), ends)
     each = F.arrays_zip(F.col("x"), F.coalesce("rho", F.array().cast("array<double>")).alias("rho"), F.coalesce("prior", "x").alias("prior"))
-    long = cut.select("symbol", "until", F.posexplode(each).alias("i", "v")).select("symbol", "until", "i", "v.x", "v.rho", "v.prior")
+    long = placed.select("symbol", "until", F.posexplode(each).alias("i", "v")).select("symbol", "until", "i", "v.x", "v.rho", "v.prior")
     # a feature varies in a slice if one of its rows after the first differs from the row before it
-    running = upto(long, ["i"], {"changes": (F.col("x") != F.col("prior")).cast("double"), "windows": F.col("rho").isNotNull().cast("double"), "total": F.col("rho")}).persist()
+    running = upto(long, ["i"], {"changes": (F.col("x") != F.col("prior")).cast("double"), "windows": F.col("rho").isNotNull().cast("double"), "total": F.col("rho")})
     found = between(running, slices, ["i"], {"changes": ("__second", "train_hi"), "windows": ("__whole", "train_hi"), "total": ("__whole", "train_hi")})
     return found.where("changes > 0").select(*key, "i", F.abs(F.coalesce(C.div(F.col("total"), F.col("windows")), F.lit(0.0))).alias("ic"))
 
@@ -75,8 +74,8 @@ def correlations(rows: DataFrame, ranges: DataFrame, kept: DataFrame) -> DataFra
     ends = slices.select("symbol", F.explode(F.array("train_lo", "train_hi")).alias("at"))
     need = kept.groupBy("symbol").agg(F.array_sort(F.collect_set("position")).alias("need"))
     first = rows.where("pos = 0").select("symbol", F.col("x").alias("origin"))
-    cut = pieces(rows.select("symbol", "pos", "x"), ends).join(need, "symbol").join(first, "symbol")
-    v = cut.select("symbol", "until", F.expr("concat(array(1D), transform(need, p -> x[p - 1] - origin[p - 1]))").alias("v"))
+    rows = pieces(rows.select("symbol", "pos", "x"), ends).join(need, "symbol").join(first, "symbol")
+    v = rows.select("symbol", "until", F.expr("concat(array(1D), transform(need, p -> x[p - 1] - origin[p - 1]))").alias("v"))
     products = F.expr("flatten(transform(v, (a, i) -> transform(slice(v, i + 1, size(v)), b -> a * b)))")
     running = upto(v.select("symbol", "until", F.posexplode(products).alias("k", "s")), ["k"], {"s": F.col("s")})
     sums = between(running, slices, ["k"], {"s": ("train_lo", "train_hi")})
@@ -97,7 +96,7 @@ def correlations(rows: DataFrame, ranges: DataFrame, kept: DataFrame) -> DataFra
 
 def screens(
     rows: DataFrame, ranges: DataFrame, features: list[str], groups: list[str], window: int = S.WINDOW, per_group: int = S.PER_GROUP,
-    cut: float = S.CUT, cap: int = S.CAP
+    apart: float = S.CUT, cap: int = S.CAP
 ) -> DataFrame:
     """key, rank (from 1), feature, position (from 1), ic: the five steps of screening.screen() on each slice of ranges(key, train_lo, train_hi).
 
@@ -105,7 +104,7 @@ def screens(
     """
     key = key_of(ranges)
     ics = coefficients(rows, ranges, window).select(*key, F.get(F.array(*map(F.lit, features)), F.col("i")).alias("feature"), "ic")
-    kept = S.top_per_group(ics, dict(zip(features, groups)), per_group, tuple(key)).select(*key, "feature", "position", "ic").persist()
-    left = S.one_of_each_cluster(kept, correlations(rows, ranges, kept), cut, tuple(key))
+    kept = cut(S.top_per_group(ics, dict(zip(features, groups)), per_group, tuple(key)).select(*key, "feature", "position", "ic"))
+    left = S.one_of_each_cluster(kept, correlations(rows, ranges, kept), apart, tuple(key))
     order = Window.partitionBy(*key).orderBy(F.desc("ic"), "position")
     return left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap).select(*key, "rank", "feature", "position", "ic")

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import core as C
+from ..functions.lineage import cut
 from ..operators import calibration as K
 from ..operators import features as X
 from ..operators import labels as L
 from ..operators import models as M
 from ..operators import walkforward as V
-from .base import PANEL, once, query, rounded, segment_bars, snapshot, symbols
+from .base import PANEL, query, rounded, segment_bars, snapshot, symbols
 from .execution_queries import frame
 from .research_queries import INIT, NAMES, STEP, complete_rows
 
@@ -86,7 +87,7 @@ _calibrated("isotonic_calibrated", "isotonic")
 
 def walk_rows(spark, sf, market: bool = False) -> DataFrame:
     """All complete rows of all symbols (or of the market as a whole) with all features, as the walk takes them."""
-    return once(V.prepared(complete_rows(spark, sf, market), NAMES))
+    return cut(V.prepared(cut(complete_rows(spark, sf, market)), NAMES))
 
 
 GROUPS = [f.group for f in X.REGISTRY.features]

@@ -2,6 +2,8 @@
 
 import numpy as np
 
+from tallyfold.operators.screening import average_linkage
+
 
 def ranks(windows: np.ndarray) -> np.ndarray:
     """Ranks from 1 within each row, averaged over ties."""
@@ -29,21 +31,6 @@ def rolling_rank_correlation(x: np.ndarray, z: np.ndarray, window: int, chunk: i
     return out
 
 
-def average_linkage(distance: np.ndarray, cut: float) -> list[int]:
-    """Cluster numbers: the closest two clusters, by mean distance of their members, are merged while that is at most cut."""
-    n = len(distance)
-    d, size, of = distance.astype(float).copy(), np.ones(n), np.arange(n)
-    np.fill_diagonal(d, np.inf)
-    while n and np.isfinite(best := d.min()) and best <= cut:
-        i, j = sorted(divmod(int(d.argmin()), n))
-        d[i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[:, i] = d[i]
-        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
-        size[i] += size[j]
-        of[of == j] = i
-    return np.unique(of, return_inverse=True)[1].tolist() if n else []
-
-
 def screen(x: np.ndarray, rho: np.ndarray, groups: list[str], per_group: int, cut: float, cap: int) -> tuple[list[int], np.ndarray]:
     """Columns that pass the five steps, best first, and all coefficients: those that vary, |mean rank correlation|, the best of each group, one of each cluster of correlated ones, at most cap.
 

@@ -250,9 +250,9 @@ def test_linkage():
         d = rng.random((n, n))
         d = (d + d.T) / 2
         np.fill_diagonal(d, 0)
-        of = P.average_linkage(d, 0.4)
+        of = S.average_linkage(d, 0.4)
         assert {frozenset(np.flatnonzero(np.array(of) == k).tolist()) for k in set(of)} == brute_linkage(d, 0.4)
-    assert P.average_linkage(np.zeros((0, 0)), 0.2) == []
+    assert S.average_linkage(np.zeros((0, 0)), 0.2) == []
 
 
 def test_screen_of_a_series(spark, raw):
