@@ -35,6 +35,8 @@ SPAN = 3
 BLOCK = 8
 #: Numbers in an index's table of bounds by word and run of blocks.
 CELLS = 1 << 21
+#: Numbers of that table that are summed at once.
+GATHERED = 1 << 20
 #: Text bytes of the items that are broadcast at once; more items make more passes.
 INDEX_BYTES = 8 << 20
 MATCHES = "array<struct<item_id: bigint, score: double, overlap: double, question_overlap: double, answer_overlap: double>>"
@@ -92,13 +94,24 @@ class Postings:
 
     def entries(self, terms: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """The blocks in which the bounds of these words sum to at least 1, and the words' entries there."""
-        if (self.runs[terms].sum(0) < 1).all():
+        if (self.runs[terms].sum(0, dtype=np.float64) < 1).all():
             return []
         a, n = self.entry_at[terms], self.entry_at[terms + 1] - self.entry_at[terms]
         every = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
         of = self.block[every]
         return [(b, every[of == b]) for b in np.flatnonzero(np.bincount(of, self.bound[every], self.blocks) >= 1).tolist()]
 
+    def reach(self, terms: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of passages with the words terms[first[k]:first[k + 1]], the places of those whose bounds sum to at least 1 in a run of blocks."""
+        per, found = max(1, GATHERED // self.runs.shape[1]), []
+        a = 0
+        while a < len(first) - 1:
+            z = max(a + 1, int(np.searchsorted(first, first[a] + per, side="right")) - 1)
+            sums = np.add.reduceat(self.runs[terms[first[a] : first[z]]], first[a:z] - first[a], axis=0, dtype=np.float64)
+            found.append(a + np.flatnonzero((sums >= 1).any(1)))
+            a = z
+        return np.concatenate([np.zeros(0, np.int64), *found])
+
     def cursors(self, entries: np.ndarray) -> list[list]:
         """For each entry: current item, place, bound, items, gains."""
         spans = zip(self.first[entries].tolist(), self.first[entries + 1].tolist(), self.bound[entries].tolist())
@@ -160,25 +173,34 @@ class Index:
         return [x for b, entries in self.postings.entries(terms) for x in self.wand(self.postings.cursors(entries), min((b + 1) * BLOCK, len(self.items)))]
 
     def passages(self, at: np.ndarray, term: np.ndarray, before: np.ndarray, begin: np.ndarray, sizes: np.ndarray):
-        """(document, first word) of the passages whose summed best scores reach 1.
+        """(document, first word, numbers of the items' words) of the passages whose summed best scores reach 1, over all items and in a run of blocks.
 
         at, term, before, begin: of the words of any item among those of all documents, place, number, place of
         the same word before it, and place of its document's first word.
         """
-        step = self.length
+        step, gain = self.length, self.best[term]
+        own = np.flatnonzero(gain)
+        at, term, before, begin, gain = at[own], term[own], before[own], begin[own], gain[own]
         cells = sizes // step + 1
         base, doc = np.cumsum(cells) - cells, np.searchsorted(np.cumsum(sizes), at, side="right")
-        local, gain = (at - begin) // step, self.best[term]
+        local = (at - begin) // step
         cell, first = base[doc] + local, begin + local * step
         n = int(cells.sum())
         # a word counts at its first place in a window of SPAN cells
-        total = np.bincount(cell, gain * (before < first), n)
-        for k in range(1, SPAN):
-            late = local >= k
-            total += np.bincount(cell[late] - k, (gain * (before < first - k * step))[late], n)
-        for c in np.flatnonzero(total >= 1):
+        counts = [np.flatnonzero((local >= k) & (before < first - k * step)) for k in range(SPAN)]
+        total = np.zeros(n)
+        for k, x in enumerate(counts):
+            total += np.bincount(cell[x] - k, gain[x], n)
+        hot = total >= 1
+        counts = [x[hot[cell[x] - k]] for k, x in enumerate(counts)]
+        window, words_ = np.concatenate([cell[x] - k for k, x in enumerate(counts)]), np.concatenate([term[x] for x in counts])
+        order = np.argsort(window, kind="stable")
+        window, words_ = window[order], words_[order]
+        edges = np.append(np.flatnonzero(np.diff(window, prepend=-1)), len(window))
+        for k in self.postings.reach(words_, edges).tolist():
+            c = int(window[edges[k]])
             d = int(np.searchsorted(base, c, side="right")) - 1
-            yield d, int(c - base[d]) * step
+            yield d, (c - int(base[d])) * step, words_[edges[k] : edges[k + 1]]
 
 
 class Pass:
@@ -205,12 +227,12 @@ class Pass:
         begin = np.repeat(starts, sizes)[at]
         found: list[dict[int, tuple]] = [{} for _ in texts]
         for index in self.indexes:
-            for d, s in index.passages(at, term, before, begin, sizes):
-                a, z = starts[d] + s, starts[d] + min(s + SPAN * index.length, sizes[d])
-                terms = np.unique(ids[a:z])
-                terms = terms[terms > 0]
-                hits = index.search(terms)
+            for d, s, scored in index.passages(at, term, before, begin, sizes):
+                hits = index.search(np.sort(scored))
                 if hits:
+                    a, z = starts[d] + s, starts[d] + min(s + SPAN * index.length, sizes[d])
+                    terms = np.unique(ids[a:z])
+                    terms = terms[terms > 0]
                     have = np.unique(shingle_hashes(hash_list(docs[d][s : s + SPAN * index.length])))
                     for i, score in hits:
                         x = index.items[i]

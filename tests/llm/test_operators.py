@@ -216,6 +216,25 @@ def test_wand_finds_all_above_the_threshold():
         assert all(got[i] == pytest.approx(score[i]) for i in got)
 
 
+@pytest.mark.parametrize("gathered", [1, 1 << 10, 1 << 20])
+def test_only_passages_that_reach_a_run_of_blocks_are_searched(monkeypatch, gathered):
+    one = decontam.Pass([[(i, prose(400 + i, 20 + i % 9, 3000)) for i in range(120)], [(500 + i, prose(600 + i, 70, 3000)) for i in range(40)]])
+    texts = [prose(700 + i, 400 + 37 * i, 3000) for i in range(6)] + ["", " ".join(prose(400 + i, 20 + i % 9, 3000) for i in range(30)), None]
+    want = []
+    for x in one.indexes:
+        for w in map(decontam.words, texts):
+            for s in range(0, len(w), x.length):
+                terms = sorted({one.terms[t] for t in w[s : s + decontam.SPAN * x.length] if t in one.terms})
+                if x.postings.runs[terms].sum(0, dtype=float).max() >= 1:
+                    want.append(sorted(t for t in terms if x.best[t]))
+    seen, search = [], decontam.Index.search
+    monkeypatch.setattr(decontam, "GATHERED", gathered, raising=False)
+    monkeypatch.setattr(decontam.Index, "search", lambda self, terms: [seen.append(terms.tolist()), search(self, terms)][1])
+    found = one.matches(texts)
+    assert len(seen) == len(want) and seen == want and len(want) >= 20
+    assert [r[0] for r in found[7]] == list(range(30)) and not any(found[:7]) and not found[8]
+
+
 def test_an_index_is_no_larger_than_its_items():
     one = decontam.Pass([[(i, prose(1000 + i, 60, 20_000)) for i in range(14_000)]])
     assert len(pickle.dumps(one)) < 48 << 20
