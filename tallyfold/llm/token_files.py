@@ -9,6 +9,7 @@ runs twice, after a lost executor, leaves the same files.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -28,13 +29,16 @@ END = 2
 PART_BYTES = 16 << 20
 #: Parts at most; of more text, parts are larger. A part's offsets are in memory, 24 bytes a document.
 MAX_PARTS = 20_000
-#: Pieces that a worker remembers; a full memory is emptied.
-CACHE = 1_000_000
-
-
-#: Marks that are no part of a word before them; an apostrophe may be.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Pieces that a worker remembers, and the characters of the longest.
+CACHE, LONGEST = 1_000_000, 64
+#: Letters (Latin, Cyrillic) or digits are one pre-token, marks after them are the next; an apostrophe may begin either.
+_word = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F\u0400-\u0481]+|[0-9]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)").fullmatch
+_line = re.compile(r"(\S+)\n(\S+)").fullmatch
 _odd = re.compile(r" (?:\s|$)").search
+_kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_others = iter(range(256, 512))
+#: The characters that stand for the 256 bytes in a byte-level vocabulary.
+ALPHABET = "".join(chr(b if b in _kept else next(_others)) for b in range(256))
 
 
 def tokenizer_path() -> str:
@@ -48,86 +52,76 @@ def id_type(n: int) -> str:
     return "<u2" if n <= 1 << 16 else "<u4"
 
 
+class Pieces(dict):
+    """Ids of pieces, found when first asked for. When `size` are remembered, the half asked for longest ago is forgotten."""
+
+    def __init__(self, find, size: int):
+        self.find, self.half, self.old = find, size // 2, {}
+
+    def __missing__(self, x: str) -> bytes:
+        ids = self.old.get(x) or self.find(x)
+        if len(x) <= LONGEST:
+            if len(self) >= self.half:
+                self.old = self.copy()
+                self.clear()
+            self[x] = ids
+        return ids
+
+
 class Encoder:
     """Whole texts to little-endian ids, by the tokenizers library.
 
     Byte-level BPE takes a space as the start of the pre-token that follows, so a text may be cut before each
-    space that is followed by anything but white space. The ids of the pieces are remembered. Pieces not
-    seen before are encoded together, as one text; the tokens' lengths in bytes tell where each one ends.
-    A text with other white space after a space is encoded as it is.
+    space that is followed by anything but white space. The ids of the pieces are remembered. A word, the marks
+    after it and both sides of a line break are pre-tokens of their own. A word not seen before goes straight to the
+    library's BPE model, any other piece is encoded as a text. A text with other white space after a space is
+    encoded as it is, and so are all texts if the tokenizer splits or normalises in another way.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
-        n = self.tok.get_vocab_size()
+        n, split = self.tok.get_vocab_size(), self.tok.pre_tokenizer
+        self.plain = self.tok.normalizer is None and isinstance(split, ByteLevel) and split.use_regex and not split.add_prefix_space
         self.kind = id_type(n)
-        self.width = np.dtype(self.kind).itemsize
-        # in this alphabet a character stands for a byte
-        self.bytes_of = np.array([len(self.tok.id_to_token(i) or "") for i in range(n)])
-        self.pieces: dict[str, bytes] = {}  # after a space
-        self.heads: dict[str, bytes] = {}  # after a line break
-        self.tails: dict[str, bytes] = {}  # after a letter
-        self.line_break = self._ids("\n").tobytes()
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-
-    def _learn_after(self, space: str, new: list[str], known: dict[str, bytes], skip: int) -> None:
-        """Ids of the new words after a space, encoded as one text; of each, `skip` ids of the space itself are left out."""
-        if not new:
-            return
-        ids = self._ids(space + space.join(new))
-        ends = np.cumsum(np.fromiter((len(x.encode()) + 1 for x in new), np.int64, len(new)))
-        at = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1) * self.width
-        raw, a = ids.tobytes(), 0
-        for x, z in zip(new, at.tolist()):
-            known[x] = raw[a + skip * self.width : z]
-            a = z
-
-    def _learn(self, new: set[str]) -> None:
-        """Pieces are joined from what is a pre-token of its own: words, marks after letters, and both sides of a line break."""
-        broken = {}
-        for x in new:
-            if "\n" in x:
-                a, _, b = x.partition("\n")
-                if a and b and "\n" not in b and not a[-1].isspace() and not b[0].isspace():
-                    broken[x] = a, b
-        need = new.difference(broken).union(a for a, _ in broken.values()).difference(self.pieces)
-        stems = {x: stem for x in need if x[-1] in MARKS and (stem := x.rstrip(MARKS)).isalpha()}
-        self._learn_after(" ", list(need.difference(stems).union(stems.values()).difference(self.pieces)), self.pieces, 0)
-        for x, stem in stems.items():
-            if (tail := x[len(stem) :]) not in self.tails:
-                self.tails[tail] = self._ids(tail).tobytes()
-            self.pieces[x] = self.pieces[stem] + self.tails[tail]
-        self._learn_after("\n", list({b for _, b in broken.values()}.difference(self.heads)), self.heads, 1)
-        for x, (a, b) in broken.items():
-            self.pieces[x] = self.pieces[a] + self.line_break + self.heads[b]
+        self.id_bytes = [x.tobytes() for x in np.arange(n).astype(self.kind)]
+        self.bpe = self.tok.model.tokenize
+        self.pieces = Pieces(lambda x: self._piece(x, " ", self.pieces), CACHE * 3 // 4)
+        self.heads = Pieces(lambda x: self._piece(x, "", self.heads), CACHE // 4)
+        self.tails: dict[str, bytes] = {}  # marks after a word
+        self.line_break = self._text("\n")
+
+    def _text(self, text: str) -> bytes:
+        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
+
+    def _piece(self, x: str, space: str, known: Pieces) -> bytes:
+        if x.isascii() and x.isalpha():
+            return b"".join([self.id_bytes[t.id] for t in self.bpe(ALPHABET[32] + x if space else x)])
+        if m := _word(x):
+            word, marks = m.groups()
+            if not marks:
+                return b"".join([self.id_bytes[t.id] for t in self.bpe(codecs.charmap_decode((space + x).encode(), "strict", ALPHABET)[0])])
+            if marks not in self.tails:
+                if len(self.tails) >= CACHE // 16:
+                    self.tails.clear()
+                self.tails[marks] = self._text(marks)
+            return known[word] + self.tails[marks]
+        if m := _line(x):
+            return known[m[1]] + self.line_break + self.heads[m[2]]
+        return self._text(space + x)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _odd(t) or any(x in t for x in self.added) else t.split(" ") for t in texts]
-        if len(self.pieces) + len(self.heads) + len(self.tails) > CACHE:
-            self.pieces.clear()
-            self.heads.clear()
-            self.tails.clear()
-        new = set().union(*(s[1:] for s in split if s)).difference(self.pieces)
-        if new:
-            self._learn(new)
-        # a text begins like a line, if it begins and its first piece ends with no white space
-        first = {s[0] for s in split if s}.difference(self.heads)
-        odd = {x for x in first if "\n" in x or x[:1].isspace() or x[-1:].isspace()}
-        self._learn_after("\n", [x for x in first.difference(odd) if x], self.heads, 1)
-        own = {x: self._ids(x).tobytes() for x in odd} | {"": b""}
-        piece = self.pieces.__getitem__
-        out = []
-        for t, s in zip(texts, split):
-            if s is None:
-                out.append(self._ids(t).tobytes())
+        piece, out = self.pieces.__getitem__, []
+        for t in texts:
+            if not self.plain or _odd(t) or any(x in t for x in self.added):
+                out.append(self._text(t))
             else:
-                out.append((own[s[0]] if s[0] in own else self.heads[s[0]]) + b"".join(map(piece, s[1:])))
+                first, *rest = t.split(" ")
+                out.append(self.heads[first] + b"".join(map(piece, rest)))
         return out
 
 

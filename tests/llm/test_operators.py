@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import pickle
+import random
 import re
 import zlib
 
@@ -115,6 +116,35 @@ def test_pieces_encode_as_whole_texts(texts):
     assert enc.encode(all_) == want and enc.encode(all_) == want
 
 
+def test_new_words_go_straight_to_the_model():
+    class Counted:
+        def __init__(self, tok):
+            self.tok, self.texts = tok, []
+
+        def encode_batch_fast(self, texts, **kw):
+            self.texts += texts
+            return self.tok.encode_batch_fast(texts, **kw)
+
+    path = P.path("byte_bpe_50k.json")
+    enc, tok = token_files.Encoder(path), Tokenizer.from_file(path)
+    enc.tok = Counted(enc.tok)
+    texts = ["Straße über zwei,\nund café 1234 ... nun. Слово, und", "über (zwei) it's_so"]
+    assert enc.encode(texts) == [np.asarray(e.ids, "<u2").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert set(enc.tok.texts) <= {",", ".", " ...", " (zwei)", " it's_so"}
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE", 400)
+    path, r = P.path("byte_bpe_50k.json"), random.Random(5)
+    enc, tok = token_files.Encoder(path), Tokenizer.from_file(path)
+    mix = [*"aabcde  .,;'!-_\n\r\t09", *"éß×ªµ²жα漢\u0085\u00a0\u2028\u200b\x1c", "'s", "'re", " the", "tion"]
+    for _ in range(20):
+        texts = ["".join(r.choices(r.sample(mix, r.randint(2, len(mix))), k=r.randint(0, 90))) for _ in range(100)] + ["x" * 300 + " " + "y" * 300]
+        assert enc.encode(texts) == [np.asarray(e.ids, "<u2").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert sum(len(x) + len(getattr(x, "old", ())) for x in (enc.pieces, enc.heads)) + len(enc.tails) <= 450
+        assert max(map(len, [*enc.pieces, *enc.heads])) <= 64
+
+
 # ------------------------------------------------------------ BPE
 
 
